@@ -40,7 +40,8 @@ def normalise_single(raw: DataFrame, body: str = "body") -> DataFrame:
 
     Both spellings of the outer names are read; the rest comes from ``metadata``.
     """
-    event = raw.select(F.from_json(F.col(body), SINGLE_EVENT).alias("e")).select("e.*")
+    # A generator, so that the filter below cannot make Spark parse the body again.
+    event = raw.select(F.inline(F.array(F.from_json(F.col(body), SINGLE_EVENT))))
     either = lambda snake, camel: F.coalesce(F.nullif(snake, F.lit("")), F.nullif(camel, F.lit("")))
     outer = {
         "event_type": either("event_type", "eventType"),
@@ -61,10 +62,9 @@ def normalise_single(raw: DataFrame, body: str = "body") -> DataFrame:
 
 def rejected_singles(raw: DataFrame, body: str = "body") -> DataFrame:
     """Single-event bodies without an event type."""
-    kind = F.coalesce(
-        F.nullif(F.get_json_object(body, "$.event_type"), F.lit("")), F.nullif(F.get_json_object(body, "$.eventType"), F.lit(""))
-    )
-    return raw.filter(kind.isNull())
+    kinds = raw.select("*", F.json_tuple(body, "event_type", "eventType").alias("_snake", "_camel"))
+    given = (F.length("_snake") > 0) | (F.length("_camel") > 0)
+    return kinds.filter(~F.coalesce(given, F.lit(False))).drop("_snake", "_camel")
 
 
 def ensure_event_id(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoplight.plans import filters, ingest, joins, metrics, quality, tables, windows  # noqa: F401
+from shoplight.plans import filters, ingest, joins, metrics, quality, streams, tables, windows  # noqa: F401
 from shoplight.plans.registry import REGISTRY, Query
 
 

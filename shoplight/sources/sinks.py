@@ -16,12 +16,14 @@ def append_batches(
 
     The rows are counted while they are written. ``batches`` is the number of inserts of
     ``batch_rows`` rows the same load stands for; file size is set by ``rows_per_file``,
-    since files of a thousand rows would swamp a large table.
+    since files of a thousand rows would swamp a large table. Rows are rebalanced by date, so
+    that a date gets few files and a very busy date is still split over several tasks.
     """
     written = Observation("append")
     (
         df.observe(written, F.count(F.lit(1)).alias("rows"))
         .withColumn("event_date", F.to_date(ts))
+        .hint("rebalance", F.col("event_date"))
         .write.mode("append")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy("event_date")
