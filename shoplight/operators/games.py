@@ -98,7 +98,8 @@ def popularity_rank(scoreboard: DataFrame, by: str = "views") -> DataFrame:
     """Rank by views and a trend label: the first three ranks trend up.
 
     Games with the same count share a rank, so the rank is found once per distinct count; only
-    those few counts pass through the single ordered window.
+    those few counts pass through the single ordered window. The scoreboard is used twice:
+    give a stored one.
     """
     counts = scoreboard.groupBy(by).agg(F.count("*").alias("_games"))
     above = Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)

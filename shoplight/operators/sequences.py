@@ -20,6 +20,23 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, largest first, at most ``MAX_HOT_KEYS`` of them.
+
+    ``_fine`` marks a key so dense that even one minute of it exceeds ``hot_rows`` on average.
+    """
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    minutes = (at(F.max(ts)) - at(F.min(ts))) / 60_000_000 + 1
+    return (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_rows"), (F.count("*") / minutes > hot_rows).alias("_fine"))
+        .filter(F.col("_rows") > hot_rows)
+        .orderBy(F.desc("_rows"))
+        .limit(MAX_HOT_KEYS)
+        .drop("_rows")
+    )
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -29,23 +46,23 @@ def with_neighbours(
     following: Sequence[str] = (),
     number: str = "step_number",
     hot_rows: int = HOT_ROWS,
-    chunk: str = "minute",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each key in ``order`` and add ``prev_*`` and ``next_*`` columns.
 
-    ``order`` starts with a time column and must be unique within a key. Rows of ordinary keys
-    take one window per key. Rows of a hot key take one window per time chunk; the chunk's
-    row offset and the rows just outside it come from one summary row per chunk, which
-    is joined back on the partitioning the window already made.
+    ``order`` starts with a time column and must be unique within a key; keys are not NULL. Rows of
+    ordinary keys take one window per key. Rows of a hot key take one window per time chunk (a
+    minute, or a second of a very dense key); the chunk's row offset and the rows just outside
+    it come from one summary row per chunk, which is joined back on the partitioning the
+    window already made. Without hot keys the summary branch is empty and is never run.
+
+    ``hot`` may hand over the result of ``hot_keys`` for a frame that ``df`` was derived from.
     """
     keys, order = list(keys), list(order)
-    hot = (
-        df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
-    )
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_chunk", F.when(F.col("_hot"), F.date_trunc(chunk, F.col(order[0])))
-    )
+    ts = F.col(order[0])
+    hot = hot_keys(df, keys, order[0], hot_rows) if hot is None else hot
+    chunk = F.when(F.col("_fine"), F.date_trunc("second", ts)).when(~F.col("_fine"), F.date_trunc("minute", ts))
+    tagged = df.join(F.broadcast(hot), keys, "left").withColumn("_chunk", chunk)
 
     carried = sorted({*previous, *following})
     row = F.struct(*carried) if carried else F.struct(F.lit(1).alias("_none"))
@@ -61,7 +78,7 @@ def with_neighbours(
     position = F.struct(*order)
     across = Window.partitionBy(*keys).orderBy("_chunk")
     edges = (
-        tagged.filter("_hot").groupBy(*keys, "_chunk")
+        tagged.filter(F.col("_fine").isNotNull()).groupBy(*keys, "_chunk")
         .agg(F.count("*").alias("_rows"), F.min_by(row, position).alias("_first"), F.max_by(row, position).alias("_last"))
         .select(
             *keys, "_chunk",
@@ -127,11 +144,12 @@ def enrich_visits(page_views: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     Time on page runs to the next visit; the last visit of a session keeps the time the client sent.
     """
     by_time = ["timestamp", "event_id"]
-    seen = with_neighbours(page_views, ["session_id"], by_time, previous=["page_url"], number="_no", hot_rows=hot_rows)
+    hot = hot_keys(page_views, ["session_id"], "timestamp", hot_rows)
+    seen = with_neighbours(page_views, ["session_id"], by_time, previous=["page_url"], number="_no", hot=hot)
     starts = seen.filter((F.col("_no") == 1) | ~F.col("page_url").eqNullSafe(F.col("prev_page_url"))).drop("prev_page_url", "_no")
     visits = with_neighbours(
         starts, ["session_id"], by_time, previous=["page_url"], following=["timestamp"],
-        number="visit_number", hot_rows=hot_rows,
+        number="visit_number", hot=hot,
     )
     seconds = seconds_between(F.col("timestamp"), F.col("next_timestamp"))
     return visits.select(

@@ -111,13 +111,17 @@ def dashboard_summary(minutes: DataFrame, days: DataFrame) -> DataFrame:
     Distinct counts are summed over minutes and daily means are averaged without weights;
     ``dashboard_summary_exact`` gives the true figures.
     """
-    mean = lambda name: F.coalesce(days.agg(F.avg(name)).scalar(), F.lit(0.0)).alias(name)
+    means = days.agg(F.struct(F.avg("avg_session_duration").alias("duration"), F.avg("bounce_rate").alias("bounces")))
     total = lambda name: F.coalesce(F.sum(name), F.lit(0))
     return minutes.agg(
         total("page_views").alias("total_page_views"),
         total("unique_sessions").alias("total_sessions"),
         total("unique_users").alias("total_users"),
-    ).select("*", mean("avg_session_duration"), mean("bounce_rate"))
+    ).withColumn("_means", means.scalar()).select(
+        "total_page_views", "total_sessions", "total_users",
+        F.coalesce("_means.duration", F.lit(0.0)).alias("avg_session_duration"),
+        F.coalesce("_means.bounces", F.lit(0.0)).alias("bounce_rate"),
+    )
 
 
 def dashboard_summary_exact(

@@ -11,6 +11,7 @@ from shoplight.operators import catalogue, orders, paging
 from shoplight.operators.games import game_scoreboard, leaderboard, popularity_rank
 from shoplight.operators.orders import daily_orders
 from shoplight.plans.registry import query
+from shoplight.session import stored
 from shoplight.sources.shop_views import ShopViews
 
 
@@ -181,7 +182,8 @@ UNION ALL
 SELECT * FROM (SELECT 'conversion', game_id, CAST(revenue AS DOUBLE), views, popularity_rank
                FROM scoreboard ORDER BY conversion_rate DESC NULLS LAST, game_id LIMIT 10)""")
 def ord_leaderboard(v: ShopViews) -> DataFrame:
-    board = popularity_rank(game_scoreboard(v.game_interactions, v.purchase_events))
+    scores = stored(game_scoreboard(v.game_interactions, v.purchase_events), "scoreboard")
+    board = popularity_rank(scores)
     named = lambda name, df: df.select(F.lit(name).alias("board"), "game_id", "revenue", "views", "popularity_rank")
     return (
         named("revenue", leaderboard(board, "revenue"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoplight.operators import catalogue, games, orders, paging, quality
 from shoplight.operators.sequences import status_history
 from shoplight.plans.registry import query
+from shoplight.session import stored
 from shoplight.sources.shop_views import ShopViews
 
 
@@ -138,10 +139,9 @@ LEFT JOIN (SELECT order_id, count(*) AS n, arg_max(order_status, (updated_at, be
                  FROM status_snapshots)
            WHERE before IS NOT NULL AND order_status <> before GROUP BY order_id) h ON o.order_id = h.order_id""")
 def jn_order_documents(v: ShopViews) -> DataFrame:
-    documents = orders.order_documents(v.orders, v.order_items, status_history(v.status_snapshots))
-    # get() gives NULL beyond the array's end
-    length = lambda c: F.coalesce(F.size(c), F.lit(0))
-    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(length(c))
+    history = stored(status_history(v.status_snapshots), "status-history")
+    documents = orders.order_documents(v.orders, v.order_items, history)
+    size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
     return documents.select(
         "order_id", "page", size("items").alias("item_count"),
         F.get("items", F.lit(0))["id"].alias("first_item"),
@@ -168,7 +168,7 @@ def jn_game_documents(v: ShopViews) -> DataFrame:
     newest = F.get("reviews", F.lit(0))
     return pages.select(
         "game_id", "name", "average_rating", "review_count",
-        F.when(F.col("reviews").isNull(), 0).otherwise(F.size("reviews")).alias("recent_reviews"),
+        F.coalesce(F.array_size("reviews"), F.lit(0)).alias("recent_reviews"),
         newest["review_id"].alias("newest_review"), newest["first_name"].alias("newest_author"),
     )
 

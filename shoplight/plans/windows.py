@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoplight.operators import catalogue, funnel, games, sequences, traffic
 from shoplight.plans.metrics import FUNNEL
 from shoplight.plans.registry import query
+from shoplight.session import stored
 from shoplight.sources.shop_views import ShopViews
 
 
@@ -28,7 +29,7 @@ SELECT game_id, game_title, views, popularity_rank,
        CASE WHEN popularity_rank <= 3 THEN 'trending_up' ELSE 'stable' END AS popularity_trend
 FROM scoreboard""")
 def win_popularity_rank(v: ShopViews) -> DataFrame:
-    board = games.popularity_rank(games.game_scoreboard(v.game_interactions, v.purchase_events))
+    board = games.popularity_rank(stored(games.game_scoreboard(v.game_interactions, v.purchase_events), "scoreboard"))
     return board.select("game_id", "game_title", "views", "popularity_rank", "popularity_trend")
 
 
