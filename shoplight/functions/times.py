@@ -37,12 +37,20 @@ def trailing(df: DataFrame, ts: str, length: str, as_of: dt.datetime | Column |
 
     A literal ``as_of`` folds into one bound that reaches the file scan. Without it the newest
     time in ``df`` is used: the bound is then a scalar subquery, computed first and pushed
-    into the scan when the query runs.
+    into the scan when the query runs. On a table partitioned by ``event_date`` the bound also
+    prunes partitions.
     """
     if as_of is None:
         bound = df.agg(F.max(ts) - span(length)).scalar()
     else:
         bound = (as_of if isinstance(as_of, Column) else F.lit(as_of)) - span(length)
+    return since(df, ts, bound)
+
+
+def since(df: DataFrame, ts: str, bound: Column) -> DataFrame:
+    """Rows with ``ts`` at or after ``bound``."""
+    if "event_date" in df.columns:
+        df = df.filter(F.col("event_date") >= F.to_date(bound))
     return df.filter(F.col(ts) >= bound)
 
 

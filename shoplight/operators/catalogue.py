@@ -97,7 +97,9 @@ def search_substring(
 
 def featured(games: DataFrame, n: int = 4) -> DataFrame:
     """Featured games: best rating first, then newest."""
-    return games.filter("is_featured").orderBy(F.desc("rating"), F.desc("created_at"), F.asc("game_id")).limit(n)
+    return games.filter("is_featured").orderBy(
+        F.desc_nulls_first("rating"), F.desc_nulls_first("created_at"), F.asc("game_id")
+    ).limit(n)
 
 
 def featured_by_stock(games: DataFrame, n: int = 4) -> DataFrame:
@@ -216,8 +218,8 @@ def reviews_with_author(reviews: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def game_documents(games: DataFrame, reviews: DataFrame, customers: DataFrame, n: int = 5) -> DataFrame:
-    """Each game with its rating and an array of its ``n`` newest reviews."""
+    """Each game with its rating and an array of its ``n`` newest reviews, whole and with their authors."""
     newest = reviews_with_author(latest_reviews(reviews, n), customers)
-    review = F.struct("position", "review_id", "user_id", "first_name", "last_name", "rating", "created_at")
+    review = F.struct("position", *[c for c in newest.columns if c not in ("position", "game_id")])
     arrays = newest.groupBy("game_id").agg(F.sort_array(F.collect_list(review)).alias("reviews"))
     return game_ratings(games, reviews).join(arrays, "game_id", "left")

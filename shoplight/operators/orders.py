@@ -231,12 +231,21 @@ def game_library(items: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def _pages(rows: DataFrame, order: Sequence[str], fields: Sequence[str], name: str, page_rows: int, hot_rows: int) -> DataFrame:
-    numbered = with_neighbours(rows, ["order_id"], order, number="position", hot_rows=hot_rows)
-    page = F.floor((F.col("position") - 1) / page_rows)
-    return numbered.groupBy("order_id", page.alias("page")).agg(
-        F.sort_array(F.collect_list(F.struct("position", *fields))).alias(name)
+def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int, hot_rows: int) -> DataFrame:
+    """Arrays of whole rows per order, in ``order``, in pages of at most ``page_rows``.
+
+    Orders that fit one page are grouped right away; only the rest are numbered first.
+    """
+    entry = F.struct(*order, *[c for c in rows.columns if c not in ("order_id", *order)])
+    array = F.sort_array(F.collect_list(entry)).alias(name)
+    long = rows.groupBy("order_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > page_rows).select("order_id")
+    short_pages = rows.join(long, "order_id", "left_anti").groupBy("order_id").agg(array)
+    numbered = with_neighbours(
+        rows.join(long, "order_id", "left_semi"), ["order_id"], order, number="_no", hot_rows=hot_rows
     )
+    page = F.floor((F.col("_no") - 1) / page_rows)
+    long_pages = numbered.groupBy("order_id", page.alias("page")).agg(array)
+    return short_pages.select("order_id", F.lit(0).cast("bigint").alias("page"), name).unionByName(long_pages)
 
 
 def order_documents(
@@ -247,11 +256,8 @@ def order_documents(
     An ordinary order is one document on page 0. An order with more than ``page_rows`` lines or
     changes goes on over further pages, so no array and no task grows with the order.
     """
-    lines = _pages(items, ["created_at", "id"], ["id", "game_id", "quantity", "total_price"], "items", page_rows, hot_rows)
-    changes = _pages(
-        history, ["created_at", "previous_status", "new_status"], ["previous_status", "new_status", "created_at"],
-        "status_history", page_rows, hot_rows,
-    )
+    lines = _pages(items, ["created_at", "id"], "items", page_rows, hot_rows)
+    changes = _pages(history, ["created_at", "previous_status", "new_status"], "status_history", page_rows, hot_rows)
     parts = lines.join(changes, ["order_id", "page"], "full")
     documents = orders.join(parts, "order_id", "left")
     return documents.withColumn("page", F.coalesce("page", F.lit(0)))

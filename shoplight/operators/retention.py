@@ -7,25 +7,27 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplight.functions.times import span
+from shoplight.functions.times import since, span
 from shoplight.schemas import RETENTION
 
+# Days; more than any month lacks against the longest one.
+SLACK_DAYS = 4
+
 
 def _kept(table: str, as_of: dt.datetime, ts: str | None) -> Column:
     """A row lives until its time plus the table's span.
 
-    Month arithmetic does not invert exactly, so the exact rule stands beside a bound that is a few
-    days wider and, being a plain comparison with a literal, prunes files and partitions.
+    Month arithmetic does not invert exactly, so files and partitions are pruned by a plain bound
+    that is a few days wider, and this exact rule decides the rest.
     """
     length, column = RETENTION[table]
-    at = F.col(ts or column)
-    slack = F.make_dt_interval(F.lit(4))
-    return (at > F.lit(as_of) - span(length) - slack) & (at + span(length) > F.lit(as_of))
+    return F.col(ts or column) + span(length) > F.lit(as_of)
 
 
 def apply_retention(df: DataFrame, table: str, as_of: dt.datetime, ts: str | None = None) -> DataFrame:
-    """Rows still kept at ``as_of``."""
-    return df.filter(_kept(table, as_of, ts))
+    """Rows still kept at ``as_of``; whole date partitions that have expired are not read."""
+    length, column = RETENTION[table]
+    return since(df, ts or column, F.lit(as_of) - span(length) - F.make_dt_interval(F.lit(SLACK_DAYS))).filter(_kept(table, as_of, ts))
 
 
 def retention_report(df: DataFrame, table: str, as_of: dt.datetime, ts: str | None = None) -> DataFrame:

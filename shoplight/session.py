@@ -39,6 +39,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cluster_settings(total_cores: int, input_bytes: int, partition_bytes: int = 256 * 1024**2) -> dict[str, str]:
+    """Settings for a large run: shuffle partitions that fit in memory, and room for AQE to merge or split them.
+
+    The number of partitions grows with the input, and is never below two per core.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        **RUNTIME_SETTINGS,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new, unique folder below the shared folder that ``spark.checkpoint.dir`` names.
 

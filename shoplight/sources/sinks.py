@@ -38,7 +38,7 @@ def export_csv(df: DataFrame, root: str, subject: str, run_date: dt.date) -> str
 
     A rerun of the same day replaces that day. The files keep the partitioning of ``df``.
     """
-    path = f"{root}/{subject}/{run_date:%Y%m%d}"
+    path = f"{root}/{subject}/{run_date:%Y-%m-%d}"
     df.write.mode("overwrite").option("header", "false").csv(path)
     return path
 

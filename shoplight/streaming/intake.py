@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,13 +25,20 @@ def route_batch(bodies: DataFrame, out: str, batch_id: int, received: dt.datetim
     events = ingest.explode_batch(bodies).unionByName(ingest.normalise_single(bodies.filter(single)))
     rejected = ingest.rejected_batches(ingest.rejected_singles(bodies))
     events.persist()
+    dated = lambda rows: rows.withColumn("event_date", F.to_date("timestamp"))
+    writes = [(table, dated(router(events, received)), ["event_date"]) for table, router in ingest.ROUTERS.items()]
+    writes += [
+        ("quarantine", ingest.route_unknown(events), []), ("rejected", rejected.select("body"), []),
+        ("receipts", ingest.ingest_receipt(events), []),
+    ]
+    # The writes do not depend on each other, so their jobs run side by side; the first failure fails the batch.
+    write = inheritable_thread_target(bodies.sparkSession)(
+        lambda name, rows, partition_by: write_batch(rows, f"{out}/{name}", batch_id, partition_by)
+    )
     try:
-        for table, router in ingest.ROUTERS.items():
-            rows = router(events, received).withColumn("event_date", F.to_date("timestamp"))
-            write_batch(rows, f"{out}/{table}", batch_id, ["event_date"])
-        write_batch(ingest.route_unknown(events), f"{out}/quarantine", batch_id)
-        write_batch(rejected.select("body"), f"{out}/rejected", batch_id)
-        write_batch(ingest.ingest_receipt(events), f"{out}/receipts", batch_id)
+        with ThreadPoolExecutor(len(writes)) as pool:
+            for done in [pool.submit(write, *job) for job in writes]:
+                done.result()
     finally:
         events.unpersist()
 

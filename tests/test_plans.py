@@ -10,9 +10,12 @@ import __spark_entry__ as entry_point
 from shoplight.functions.times import trailing
 from shoplight.operators.catalogue import latest_reviews
 from shoplight.operators.orders import filter_orders
-from shoplight.operators.traffic import realtime_metrics
+from shoplight.operators.retention import apply_retention
+from shoplight.operators.traffic import export_page_views, realtime_metrics
 from shoplight.plans.registry import REGISTRY
+from shoplight.session import cluster_settings
 from shoplight.sources.shop_views import ShopViews
+from shoplight.sources.sinks import append_batches
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -31,6 +34,29 @@ def test_literal_bounds_reach_the_scan(views):
     assert "GreaterThanOrEqual(ts,2024-01-13T00:00)" in text
 
 
+def test_date_partitions_are_pruned(spark, views, tmp_path):
+    append_batches(views.page_views, f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    recent = trailing(table, "timestamp", "2 DAY", dt.datetime(2024, 1, 20, 12))
+    assert "PartitionFilters: [isnotnull(event_date#" in plan(recent) and ">= 2024-01-18)" in plan(recent)
+    whole = trailing(views.page_views, "timestamp", "2 DAY", dt.datetime(2024, 1, 20, 12))
+    assert recent.count() == whole.count()
+    kept = apply_retention(table, "page_views", dt.datetime(2025, 1, 20), "timestamp")
+    assert ">= 2024-01-16)" in plan(kept)
+    assert kept.count() == apply_retention(views.page_views, "page_views", dt.datetime(2025, 1, 20), "timestamp").count()
+
+
+def test_sketched_distinct_counts_take_one_shuffle(views):
+    text = plan(export_page_views(views.page_views, as_of=dt.datetime(2024, 1, 20), approx=True).drop("date"))
+    assert text.count("hashpartitioning") == 1 and "Expand" not in text
+
+
+def test_shuffle_partitions_grow_with_the_input():
+    small, large = cluster_settings(100, 10**9), cluster_settings(5000, 10**14)
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
+    assert int(large["spark.sql.shuffle.partitions"]) > 300_000
+
+
 def test_status_filter_reaches_the_scan_through_the_view(views):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string>" in plan(
         filter_orders(views.orders, "pending", 5).select("order_id"))

@@ -65,7 +65,7 @@ def test_csv_export_replaces_its_day(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ('with "quotes", and comma', None)], "s string, n int")
     for _ in range(2):
         path = export_csv(df, str(tmp_path), "page_views", dt.date(2025, 1, 5))
-    assert path.endswith("/page_views/20250105")
+    assert path.endswith("/page_views/2025-01-05")
     assert sorted(map(tuple, spark.read.schema(df.schema).csv(path).collect())) == sorted(map(tuple, df.collect()))
 
 
