@@ -128,7 +128,8 @@ def jn_category_perf(v: ShopViews) -> DataFrame:
 
 
 @query("jn_order_documents", """
-SELECT o.order_id, 0 AS page, coalesce(i.n, 0) AS item_count, i.first_item, i.last_item, coalesce(h.n, 0) AS change_count,
+SELECT o.order_id, CAST(0 AS BIGINT) AS page, CAST(coalesce(i.n, 0) AS INTEGER) AS item_count, i.first_item, i.last_item,
+       CAST(coalesce(h.n, 0) AS INTEGER) AS change_count,
        h.last_status
 FROM shop_orders o
 LEFT JOIN (SELECT order_id, count(*) AS n, arg_min(id, (created_at, id)) AS first_item,
@@ -152,7 +153,7 @@ def jn_order_documents(v: ShopViews) -> DataFrame:
 
 
 @query("jn_game_documents", """
-SELECT g.game_id, g.name, r.average_rating, coalesce(r.n, 0) AS review_count, coalesce(t.kept, 0) AS recent_reviews,
+SELECT g.game_id, g.name, r.average_rating, coalesce(r.n, 0) AS review_count, CAST(coalesce(t.kept, 0) AS INTEGER) AS recent_reviews,
        t.newest_review, t.newest_author
 FROM games g
 LEFT JOIN (SELECT game_id, round(avg(rating), 2) AS average_rating, count(*) AS n FROM game_reviews GROUP BY game_id) r

@@ -344,13 +344,13 @@ def agg_user_counts(v: ShopViews) -> DataFrame:
 
 
 @query("agg_views_4h", """
-SELECT hour(timestamp) // 4 * 4 AS hour_of_day, count(*) AS page_views FROM page_views GROUP BY 1""")
+SELECT CAST(hour(timestamp) // 4 * 4 AS INTEGER) AS hour_of_day, count(*) AS page_views FROM page_views GROUP BY 1""")
 def agg_views_4h(v: ShopViews) -> DataFrame:
     return traffic.views_by_hours_of_day(v.page_views, 4)
 
 
 @query("agg_active_2h", """
-SELECT hour(timestamp) // 2 * 2 AS hour_of_day, count(DISTINCT user_id) AS active_users FROM page_views GROUP BY 1""")
+SELECT CAST(hour(timestamp) // 2 * 2 AS INTEGER) AS hour_of_day, count(DISTINCT user_id) AS active_users FROM page_views GROUP BY 1""")
 def agg_active_2h(v: ShopViews) -> DataFrame:
     return traffic.active_users_by_hours_of_day(v.page_views, 2)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplight.plans.registry import query
+from shoplight.schemas import RAW_TABLES
 from shoplight.session import work_dir
 from shoplight.sources.shop_views import ShopViews
 from shoplight.streaming import intake, sessions, status, summaries
@@ -16,10 +17,10 @@ class StreamViews(ShopViews):
     """The logical event tables as streams over the event files."""
 
     def base(self, name: str) -> DataFrame:
-        static = super().base(name)
         if name != "events":
-            return static
-        stream = self.spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(self.root)
+            return super().base(name)
+        files = self.spark.readStream.schema(RAW_TABLES[name]).option("pathGlobFilter", "events.parquet")
+        stream = files.parquet(self.root)
         return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -6,28 +6,18 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
 
 from shoplight.operators.traffic import export_page_views
 from shoplight.plans.registry import query
+from shoplight.schemas import RAW_TABLES, SORT_KEYS
 from shoplight.session import work_dir
 from shoplight.sources.rows import read_event_rows, upgrade_layout
 from shoplight.sources.shop_views import ShopViews
 from shoplight.sources.sinks import append_batches, export_csv, to_json_rows
 from shoplight.sources.tables import load_tables, table_counts
 
-_RAW = {
-    "events": StructType([
-        StructField("event_id", LongType()), StructField("ts", TimestampNTZType()), StructField("user_id", LongType()),
-        StructField("event_type", StringType()), StructField("value", DoubleType()), StructField("props", StringType()),
-    ]),
-    "orders": StructType([
-        StructField("o_orderkey", LongType()), StructField("o_custkey", LongType()), StructField("o_totalprice", DoubleType()),
-    ]),
-    "lineitem": StructType([StructField("l_orderkey", LongType()), StructField("l_partkey", LongType())]),
-    "part": StructType([StructField("p_partkey", LongType()), StructField("p_name", StringType())]),
-    "customer": StructType([StructField("c_custkey", LongType()), StructField("c_name", StringType())]),
-}
+_COUNTED = ("events", "orders", "lineitem", "part", "customer")
 
 
 @query("src_table_counts", """
@@ -37,7 +27,8 @@ UNION ALL SELECT 'lineitem', count(*) FROM lineitem
 UNION ALL SELECT 'part', count(*) FROM part
 UNION ALL SELECT 'customer', count(*) FROM customer""")
 def src_table_counts(v: ShopViews) -> DataFrame:
-    return table_counts(load_tables(v.spark, v.root, _RAW, suffix=".parquet"))
+    schemas = {name: RAW_TABLES[name] for name in _COUNTED}
+    return table_counts(load_tables(v.spark, v.root, schemas, suffix=".parquet"))
 
 
 @query("src_json_rows", """
@@ -93,7 +84,7 @@ SELECT CAST(timestamp AS DATE) AS event_date, count(*) AS row_count,
 FROM page_views GROUP BY 1""")
 def snk_append_counts(v: ShopViews) -> DataFrame:
     path = work_dir(v.spark, "append")
-    receipt = append_batches(v.page_views, path)
+    receipt = append_batches(v.page_views, path, sort_by=SORT_KEYS["page_views"])
     return v.spark.read.parquet(path).groupBy("event_date").agg(F.count("*").alias("row_count")).select(
         "*", F.lit(receipt["rows"]).cast("bigint").alias("rows_written"),
         F.lit(receipt["batches"]).cast("bigint").alias("batches"),

@@ -127,7 +127,7 @@ def win_conversion_time(v: ShopViews) -> DataFrame:
 
 
 @query("win_latest_reviews", """
-SELECT game_id, review_id, user_id, rating, created_at, position
+SELECT game_id, review_id, user_id, rating, created_at, CAST(position AS INTEGER) AS position
 FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY created_at DESC, review_id) AS position FROM game_reviews)
 WHERE position <= 5""")
 def win_latest_reviews(v: ShopViews) -> DataFrame:

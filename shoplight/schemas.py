@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     ArrayType, BooleanType, DataType, DateType, DecimalType, DoubleType, IntegerType, LongType, MapType, ShortType,
-    StringType, StructField, StructType, TimestampType,
+    StringType, StructField, StructType, TimestampNTZType, TimestampType,
 )
 
 _TYPES: dict[str, DataType] = {
     "string": StringType(), "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType(),
+    "timestamp_ntz": TimestampNTZType(),
     "double": DoubleType(), "smallint": ShortType(), "int": IntegerType(), "bigint": LongType(),
     "decimal(10,2)": DecimalType(10, 2), "decimal(3,2)": DecimalType(3, 2),
     "array<string>": ArrayType(StringType()), "map<string,string>": MapType(StringType(), StringType()),
@@ -29,6 +30,7 @@ def _schema(columns: str) -> StructType:
     return StructType(fields)
 
 
+# The names and types of stored columns.
 EVENT_TABLES = {
     "user_sessions": _schema(
         "session_id string not null, user_id string, ip_address string, user_agent string, device_type string, "
@@ -140,6 +142,38 @@ SINGLE_EVENT = _schema(
     "metadata map<string,string>"
 )
 
+# The generic tables that the logical shop tables are derived from.
+RAW_TABLES = {
+    "events": _schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"),
+    "orders": _schema(
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": _schema(
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "part": _schema(
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    ),
+    "customer": _schema("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+    "nation": _schema("n_nationkey int, n_name string, n_regionkey int"),
+    "region": _schema("r_regionkey int, r_name string"),
+    "pages": _schema("page_id bigint, url string, html string"),
+}
+
+# The columns that each event table is sorted by.
+SORT_KEYS = {
+    "user_sessions": ("session_start_time", "session_id"),
+    "page_views": ("timestamp", "session_id"),
+    "game_interactions": ("timestamp", "game_id", "event_type"),
+    "purchase_events": ("purchase_timestamp", "customer_id", "game_id"),
+    "search_events": ("timestamp", "search_query"),
+    "performance_metrics": ("timestamp", "service_name", "metric_type"),
+    "user_behavior_flow": ("session_id", "step_number", "timestamp"),
+}
+
 # Allowed values of constrained columns.
 ORDER_STATUSES = ("pending", "confirmed", "shipped", "delivered", "cancelled")
 PAYMENT_METHODS = ("credit_card", "debit_card", "paypal", "bank_transfer")

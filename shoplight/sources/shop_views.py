@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shoplight.functions.scalars import page_category
 from shoplight.functions.times import seconds_between
+from shoplight.schemas import RAW_TABLES
 
 
 def pick(index: Column, *values: str) -> Column:
@@ -29,7 +30,7 @@ class ShopViews:
         self.root = root
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.spark.read.schema(RAW_TABLES[name]).parquet(f"{self.root}/{name}.parquet")
 
     def newest_event(self) -> dt.datetime:
         """The time that stands for "now": the newest event. One value reaches the driver."""

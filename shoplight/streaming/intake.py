@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoplight.operators import ingest
+from shoplight.schemas import SORT_KEYS
 from shoplight.streaming.tables import start, write_batch
 
 
@@ -26,14 +27,16 @@ def route_batch(bodies: DataFrame, out: str, batch_id: int, received: dt.datetim
     rejected = ingest.rejected_batches(ingest.rejected_singles(bodies))
     events.persist()
     dated = lambda rows: rows.withColumn("event_date", F.to_date("timestamp"))
-    writes = [(table, dated(router(events, received)), ["event_date"]) for table, router in ingest.ROUTERS.items()]
+    writes = [
+        (table, dated(router(events, received)), ["event_date"], SORT_KEYS[table]) for table, router in ingest.ROUTERS.items()
+    ]
     writes += [
-        ("quarantine", ingest.route_unknown(events), []), ("rejected", rejected.select("body"), []),
-        ("receipts", ingest.ingest_receipt(events), []),
+        ("quarantine", ingest.route_unknown(events), [], []), ("rejected", rejected.select("body"), [], []),
+        ("receipts", ingest.ingest_receipt(events), [], []),
     ]
     # The writes do not depend on each other, so their jobs run side by side; the first failure fails the batch.
     write = inheritable_thread_target(bodies.sparkSession)(
-        lambda name, rows, partition_by: write_batch(rows, f"{out}/{name}", batch_id, partition_by)
+        lambda name, rows, partition_by, sort_by: write_batch(rows, f"{out}/{name}", batch_id, partition_by, sort_by)
     )
     try:
         with ThreadPoolExecutor(len(writes)) as pool:

@@ -15,14 +15,16 @@ from pyspark.sql.streaming import StreamingQuery
 from shoplight.operators.sequences import latest_by_key
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
+def write_batch(
+    df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()
+) -> None:
     """Write one micro-batch's rows of a table, in few files per partition value.
 
     Rows are rebalanced by partition value first; a value with very many rows is split over
-    several tasks, and values with few rows share one.
+    several tasks, and values with few rows share one. Files are sorted by ``sort_by``.
     """
     if partition_by:
-        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by]).sortWithinPartitions(*partition_by, *sort_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch_id={batch_id}")
 
 

@@ -19,6 +19,12 @@ def connect(root: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SQL_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+}
+
+
 def plain(value):
     """A value in a form that both engines share; types that differ stay different."""
     if isinstance(value, Decimal):
@@ -42,6 +48,10 @@ def differences(df, con, sql: str) -> list[str]:
     expected = rows_of(sql_columns, found.fetchall())
     actual = rows_of(df.columns, df.collect())
     problems = []
+    types = {f.name: SQL_TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
+    sql_types = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if types != sql_types:
+        problems.append(f"types {types} against {sql_types}")
     if sorted(sql_columns) != sorted(df.columns):
         problems.append(f"columns {sorted(df.columns)} against {sorted(sql_columns)}")
     if sum(expected.values()) != sum(actual.values()):
