@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplight.session import stored
+
 
 def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, accuracy: int = 100_000) -> DataFrame:
     """Interpolated percentile ``q`` of ``value`` per group, as column ``percentile``.
@@ -16,6 +18,9 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, a
     only a small fraction of a group (``20 / accuracy``) is put in order. In a group too small
     for its ranks to be told apart the bracket is the whole group. A bracket that
     misses the wanted rank stops the job instead of giving a wrong number.
+
+    The brackets, one row per group, are computed at once and stored: a sketch merged again after
+    a lost task may differ, and a stored table has a size by which Spark picks the join.
     """
     keys = list(keys)
     margin = 10.0 / accuracy
@@ -33,7 +38,7 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, a
     )
     # Values below the bracket share the single key NULL, which sorts first.
     counted = (
-        df.select(*keys, value).join(brackets, keys).filter(F.col(value) <= F.col("_high"))
+        df.select(*keys, value).join(stored(brackets, "brackets"), keys).filter(F.col(value) <= F.col("_high"))
         .groupBy(*keys, "_rank", F.when(F.col(value) >= F.col("_low"), F.col(value)).alias("_value"))
         .agg(F.count("*").alias("_rows"))
     )

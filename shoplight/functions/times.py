@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplight.schemas import EVENT_TIMES
+
 _SPAN = re.compile(r"^([0-9]{1,6}) (MINUTE|HOUR|DAY|WEEK|MONTH|YEAR)$")
 
 
@@ -49,7 +51,7 @@ def trailing(df: DataFrame, ts: str, length: str, as_of: dt.datetime | Column |
 
 def since(df: DataFrame, ts: str, bound: Column) -> DataFrame:
     """Rows with ``ts`` at or after ``bound``."""
-    if "event_date" in df.columns:
+    if ts in EVENT_TIMES and "event_date" in df.columns:
         df = df.filter(F.col("event_date") >= F.to_date(bound))
     return df.filter(F.col(ts) >= bound)
 

@@ -31,7 +31,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_RO
         df.groupBy(*keys)
         .agg(F.count("*").alias("_rows"), (F.count("*") / minutes > hot_rows).alias("_fine"))
         .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"))
+        .orderBy(F.desc("_rows"), *keys)  # a total order: every use of this frame picks the same keys
         .limit(MAX_HOT_KEYS)
         .drop("_rows")
     )

@@ -174,6 +174,9 @@ SORT_KEYS = {
     "user_behavior_flow": ("session_id", "step_number", "timestamp"),
 }
 
+# Event-time columns. A table's partition column ``event_date`` is always the date of its event time.
+EVENT_TIMES = ("timestamp", "purchase_timestamp", "session_start_time")
+
 # Allowed values of constrained columns.
 ORDER_STATUSES = ("pending", "confirmed", "shipped", "delivered", "cancelled")
 PAYMENT_METHODS = ("credit_card", "debit_card", "paypal", "bank_transfer")

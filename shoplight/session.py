@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even when that costs one more exchange after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Times with statistics, so that a time bound skips row groups; the default form has none.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 

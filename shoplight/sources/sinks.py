@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from shoplight.schemas import EVENT_TIMES
+
 
 def append_batches(
     df: DataFrame, path: str, ts: str = "timestamp", batch_rows: int = 1000, rows_per_file: int = 1_000_000,
@@ -22,6 +24,8 @@ def append_batches(
     that a date gets few files and a very busy date is still split over several tasks, and
     sorted inside each file, so that a range of the leading sort column skips row groups.
     """
+    if ts not in EVENT_TIMES:
+        raise ValueError(f"{ts!r} is no event time; event_date would mislead time filters")
     written = Observation("append")
     (
         df.observe(written, F.count(F.lit(1)).alias("rows"))

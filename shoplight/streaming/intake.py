@@ -21,10 +21,13 @@ def read_bodies(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
 
 
 def route_batch(bodies: DataFrame, out: str, batch_id: int, received: dt.datetime) -> None:
-    """Unpack one micro-batch of both body forms, write its four tables, the quarantine and the receipt."""
-    single = F.get_json_object("body", "$.events").isNull()
-    events = ingest.explode_batch(bodies).unionByName(ingest.normalise_single(bodies.filter(single)))
-    rejected = ingest.rejected_batches(ingest.rejected_singles(bodies))
+    """Unpack one micro-batch of both body forms, write its four tables, the quarantine and the receipt.
+
+    A body is a batch if it has events, else a single event if it has a type, else it is rejected.
+    """
+    no_batch = ingest.rejected_batches(bodies)
+    events = ingest.explode_batch(bodies).unionByName(ingest.normalise_single(no_batch))
+    rejected = ingest.rejected_singles(no_batch)
     events.persist()
     dated = lambda rows: rows.withColumn("event_date", F.to_date("timestamp"))
     writes = [

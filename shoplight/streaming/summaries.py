@@ -30,10 +30,13 @@ def traffic_states(page_views: DataFrame, unit: str) -> DataFrame:
 def stream_traffic(
     page_views: DataFrame, path: str, checkpoint: str, unit: str = "hour", every: str | None = None
 ) -> StreamingQuery:
-    """Keep traffic states per hour or minute up to date."""
-    return start(
-        page_views, lambda df, batch_id: write_batch(traffic_states(df, unit), path, batch_id), checkpoint, every=every
-    )
+    """Keep traffic states per hour or minute up to date; a reader of some dates reads only their partitions."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        states = traffic_states(batch, unit).withColumn("event_date", F.to_date("bucket"))
+        write_batch(states, path, batch_id, ["event_date"])
+
+    return start(page_views, handle, checkpoint, every=every)
 
 
 def finish_traffic(states: DataFrame, name: str) -> DataFrame:
@@ -100,7 +103,8 @@ def active_user_sketches(interactions: DataFrame) -> DataFrame:
 def stream_dau(interactions: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Daily active users per game, as sketches."""
     return start(
-        interactions, lambda df, batch_id: write_batch(active_user_sketches(df), path, batch_id), checkpoint, every=every
+        interactions, lambda df, batch_id: write_batch(active_user_sketches(df), path, batch_id, ["date"]), checkpoint,
+        every=every,
     )
 
 

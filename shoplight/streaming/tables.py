@@ -25,7 +25,8 @@ def write_batch(
     """
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by]).sortWithinPartitions(*partition_by, *sort_by)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch_id={batch_id}")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by)
+    writer.parquet(f"{path}/batch_id={batch_id}")
 
 
 def start(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from shoplight.functions.times import trailing
@@ -46,6 +47,45 @@ def test_date_partitions_are_pruned(spark, views, tmp_path):
     assert kept.count() == apply_retention(views.page_views, "page_views", dt.datetime(2025, 1, 20), "timestamp").count()
 
 
+def scanned_rows(df) -> int:
+    """Rows that left the file scans of a finished query."""
+    df.collect()
+
+    def walk(node) -> int:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name.startswith("Scan"):
+            return node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        return sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("as_of", [dt.datetime(2024, 1, 1, 12), None])
+def test_time_bounds_skip_row_groups(spark, tmp_path, as_of):
+    """One date, sorted by time: a late bound reads few rows, as a literal and as a subquery."""
+    start = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp")
+    seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") / 10).cast("decimal(18,6)"))
+    rows = spark.range(432_000).select("id", (start + seconds).alias("timestamp"))
+    small_groups = {"parquet.block.size": "65536", "parquet.page.size": "8192"}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for key, value in small_groups.items():
+        hadoop.set(key, value)
+    try:
+        append_batches(rows, f"{tmp_path}/t", sort_by=["timestamp"])
+    finally:
+        for key in small_groups:
+            hadoop.unset(key)
+    recent = trailing(spark.read.parquet(f"{tmp_path}/t"), "timestamp", "1 HOUR", as_of)
+    counted = recent.agg(F.count("*"), F.max("id"))
+    assert scanned_rows(counted) < 150_000
+    assert counted.first()[0] in (36_000, 36_001)
+
+
 def test_sketched_distinct_counts_take_one_shuffle(views):
     text = plan(export_page_views(views.page_views, as_of=dt.datetime(2024, 1, 20), approx=True).drop("date"))
     assert text.count("hashpartitioning") == 1 and "Expand" not in text

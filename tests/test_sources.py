@@ -8,7 +8,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shoplight.schemas import EVENT_TABLES, LEGACY_TABLES
+from shoplight.functions.times import trailing
+from shoplight.operators.retention import apply_retention
+from shoplight.schemas import EVENT_TABLES, LEGACY_TABLES, SORT_KEYS
 from shoplight.session import stored, work_dir
 from shoplight.sources.rows import read_event_rows, upgrade_layout
 from shoplight.sources.sinks import append_batches, export_csv, to_json_rows
@@ -61,6 +63,31 @@ def test_append_reports_rows_and_batches(spark, tmp_path):
     assert back.count() == 2511 and back.select("event_date").distinct().count() == 3
 
 
+def test_partitions_are_found_beside_a_declared_schema(spark, tmp_path):
+    schema = EVENT_TABLES["page_views"]
+    rows = spark.range(100).select(*[
+        (F.lit(AT) + F.make_dt_interval((F.col("id") % 5).cast("int"))).cast("timestamp").alias(f.name) if f.name == "timestamp"
+        else F.col("id").cast("string").alias(f.name) if f.name in ("event_id", "session_id")
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields
+    ])
+    append_batches(rows, f"{tmp_path}/page_views", sort_by=SORT_KEYS["page_views"])
+    table = load_tables(spark, str(tmp_path), {"page_views": schema})["page_views"]
+    recent = trailing(table, "timestamp", "1 DAY", AT + dt.timedelta(days=4))
+    assert recent.count() == 40 and len(recent.inputFiles()) >= 1
+    assert recent.select("event_date").distinct().count() == 2
+    with pytest.raises(ValueError):
+        append_batches(rows, f"{tmp_path}/x", ts="created_at")
+
+
+def test_late_rows_survive_retention_on_partitioned_tables(spark, tmp_path):
+    """Rows age by ``created_at``; the event date must not decide."""
+    at = dt.datetime(2023, 1, 1)
+    rows = spark.createDataFrame([(at, dt.datetime(2024, 6, 1)), (at, dt.datetime(2023, 1, 2))], "timestamp timestamp_ntz, created_at timestamp_ntz")
+    append_batches(rows, f"{tmp_path}/t")
+    kept = apply_retention(spark.read.parquet(f"{tmp_path}/t"), "page_views", dt.datetime(2024, 6, 2))
+    assert kept.count() == 1
+
+
 def test_csv_export_replaces_its_day(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ('with "quotes", and comma', None)], "s string, n int")
     for _ in range(2):

@@ -147,7 +147,8 @@ def test_intake_routes_both_body_forms_and_survives_a_restart(spark, tmp_path):
     batch = {"events": [{"event_type": t, "event_id": f"{t}{i}", "session_id": "s"} for i, t in enumerate(
         ["page_view", "page_view", "game_interaction", "search", "performance", "purchase"])]}
     single = {"eventType": "page_view", "userId": "u", "sessionId": "t", "metadata": {"page_url": "/"}}
-    first = [json.dumps(batch), json.dumps(single), "rubbish", '{"events": []}']
+    both = {"eventType": "search", "sessionId": "t", "events": [], "metadata": {"search_query": "cars"}}
+    first = [json.dumps(batch), json.dumps(single), json.dumps(both), "rubbish", '{"events": []}']
     second = [json.dumps({"events": [{"event_type": "search", "event_id": "z", "session_id": "s"}]})]
     (tmp_path / "in").mkdir()
     for i, bodies in enumerate((first, second)):
@@ -156,9 +157,9 @@ def test_intake_routes_both_body_forms_and_survives_a_restart(spark, tmp_path):
         intake.stream_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     count = lambda t: read_table(spark, f"{tmp_path}/out/{t}").count()
     assert {t: count(t) for t in ("page_views", "game_interactions", "search_events", "performance_metrics", "quarantine", "rejected")} == {
-        "page_views": 3, "game_interactions": 1, "search_events": 2, "performance_metrics": 1, "quarantine": 1, "rejected": 2}
+        "page_views": 3, "game_interactions": 1, "search_events": 3, "performance_metrics": 1, "quarantine": 1, "rejected": 2}
     receipts = read_table(spark, f"{tmp_path}/out/receipts").agg(F.sum("total"), F.count("*")).first()
-    assert tuple(receipts) == (8, 2)
+    assert tuple(receipts) == (9, 2)
 
 
 def test_streams_over_empty_input(spark, tmp_path):
