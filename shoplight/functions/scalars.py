@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # Funnel steps in their order.
 FUNNEL_STEPS = ("view", "add_to_cart", "checkout", "purchase")
 
+# Home page paths, then path parts and their page category, in order of precedence.
+HOME_PATHS = ("/", "/index.html")
+PATH_CATEGORIES = {"shop": "shop", "product-details": "product", "contact": "contact"}
+
 
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent with two decimals; NULL where the whole is zero."""
@@ -26,21 +30,16 @@ def or_default(column: Column, zero, default) -> Column:
 
 def funnel_position(step: Column) -> Column:
     """1 to 4 for the known funnel steps, 5 for any other label."""
-    position = F.lit(len(FUNNEL_STEPS) + 1)
-    for i, label in reversed(list(enumerate(FUNNEL_STEPS, start=1))):
-        position = F.when(step == label, F.lit(i)).otherwise(position)
-    return position
+    known = F.array_position(F.array(*[F.lit(label) for label in FUNNEL_STEPS]), step)
+    return F.coalesce(F.nullif(known, F.lit(0)), F.lit(len(FUNNEL_STEPS) + 1)).cast("int")
 
 
 def page_category(path: Column) -> Column:
     """Category of a page path; the first matching rule wins."""
-    return (
-        F.when(path.isin("/", "/index.html"), "homepage")
-        .when(path.contains("shop"), "shop")
-        .when(path.contains("product-details"), "product")
-        .when(path.contains("contact"), "contact")
-        .otherwise("other")
-    )
+    category = F.when(path.isin(*HOME_PATHS), "homepage")
+    for part, label in PATH_CATEGORIES.items():
+        category = category.when(path.contains(part), label)
+    return category.otherwise("other")
 
 
 def content_id(*columns: Column) -> Column:

@@ -12,6 +12,9 @@ from shoplight.functions.times import trailing
 
 AsOf = dt.datetime | Column | None
 
+# Fixed value: the best ranks that count as trending.
+TRENDING_RANKS = 3
+
 
 def _count_type(label: str) -> Column:
     return F.count_if(F.col("event_type") == label)
@@ -104,7 +107,7 @@ def popularity_rank(scoreboard: DataFrame, by: str = "views") -> DataFrame:
     counts = scoreboard.groupBy(by).agg(F.count("*").alias("_games"))
     above = Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select(by, (F.coalesce(F.sum("_games").over(above), F.lit(0)) + 1).alias("popularity_rank"))
-    trend = F.when(F.col("popularity_rank") <= 3, "trending_up").otherwise("stable")
+    trend = F.when(F.col("popularity_rank") <= TRENDING_RANKS, "trending_up").otherwise("stable")
     return scoreboard.join(ranks, by, "left").withColumn("popularity_trend", trend)
 
 

@@ -18,6 +18,10 @@ ROUTES = {
     "search_events": "search",
     "performance_metrics": "performance",
 }
+# A visit shorter than this bounces; scroll depth is at most this.
+BOUNCE_SECONDS = 10
+FULL_SCROLL = 100
+
 _BATCH = StructType([StructField("events", ArrayType(ENVELOPE_EVENT))])
 
 
@@ -88,15 +92,18 @@ def _of_kind(events: DataFrame, table: str) -> DataFrame:
     return ensure_event_id(events.filter(F.col("event_type") == ROUTES[table]))
 
 
-def _number(name: str) -> Column:
+def number_or_zero(name: str) -> Column:
+    """The number, or 0 where it is missing."""
     return or_default(F.col(name), 0, 0).alias(name)
 
 
-def _flag(name: str) -> Column:
+def flag_or_false(name: str) -> Column:
+    """The flag, or false where it is missing."""
     return F.coalesce(name, F.lit(False)).alias(name)
 
 
-def _text(name: str, default: str | None = None) -> Column:
+def text_or(name: str, default: str | None = None) -> Column:
+    """The text, or ``default`` where it is missing or empty."""
     return or_default(F.col(name), "", F.lit(default).cast("string")).alias(name)
 
 
@@ -104,8 +111,8 @@ def route_page_views(events: DataFrame, received: dt.datetime | Column) -> DataF
     """Rows of the page view table."""
     return _of_kind(events, "page_views").select(
         *_base(received), "page_url", "page_title", "page_category",
-        _number("time_on_page_seconds"), _number("scroll_depth_percentage"),
-        _flag("exit_page"), _flag("bounce"), _text("previous_page"), _text("referrer", ""),
+        number_or_zero("time_on_page_seconds"), number_or_zero("scroll_depth_percentage"),
+        flag_or_false("exit_page"), flag_or_false("bounce"), text_or("previous_page"), text_or("referrer", ""),
     )
 
 
@@ -114,24 +121,24 @@ def route_game_interactions(events: DataFrame, received: dt.datetime | Column) -
     data = F.to_json(F.coalesce("event_data", F.create_map().cast("map<string,string>")))
     return _of_kind(events, "game_interactions").select(
         *_base(received), "game_id", "game_title", "game_category",
-        F.col("interaction_type").alias("event_type"), data.alias("event_data"), _text("page_context", ""),
+        F.col("interaction_type").alias("event_type"), data.alias("event_data"), text_or("page_context", ""),
     )
 
 
 def route_searches(events: DataFrame, received: dt.datetime | Column) -> DataFrame:
     """Rows of the search table; a clicked position or game of 0 means none."""
     return _of_kind(events, "search_events").select(
-        *_base(received), "search_query", _text("search_category"), _number("results_count"),
+        *_base(received), "search_query", text_or("search_category"), number_or_zero("results_count"),
         F.nullif("clicked_result_position", F.lit(0)).alias("clicked_result_position"),
-        F.nullif("clicked_game_id", F.lit(0)).alias("clicked_game_id"), _flag("no_results"),
+        F.nullif("clicked_game_id", F.lit(0)).alias("clicked_game_id"), flag_or_false("no_results"),
     )
 
 
 def route_performance(events: DataFrame, received: dt.datetime | Column) -> DataFrame:
     """Rows of the performance table; the event id becomes the metric id."""
     rows = _of_kind(events, "performance_metrics").select(
-        *_base(received), "service_name", "metric_type", "metric_value", _text("unit", ""), _text("endpoint"),
-        F.nullif("status_code", F.lit(0)).alias("status_code"), _text("error_message"),
+        *_base(received), "service_name", "metric_type", "metric_value", text_or("unit", ""), text_or("endpoint"),
+        F.nullif("status_code", F.lit(0)).alias("status_code"), text_or("error_message"),
     )
     return rows.drop("session_id", "user_id").withColumnRenamed("event_id", "metric_id")
 
@@ -161,9 +168,9 @@ def derive_flags(page_views: DataFrame) -> DataFrame:
     """Client-side derivations: category from the path, bounce under ten seconds, referrer, capped scroll depth."""
     return page_views.withColumns({
         "page_category": page_category(F.col("page_url")),
-        "bounce": F.col("time_on_page_seconds") < 10,
-        "referrer": _text("referrer", "direct"),
-        "scroll_depth_percentage": F.least(F.lit(100), F.round("scroll_depth_percentage").cast("int")),
+        "bounce": F.col("time_on_page_seconds") < BOUNCE_SECONDS,
+        "referrer": text_or("referrer", "direct"),
+        "scroll_depth_percentage": F.least(F.lit(FULL_SCROLL), F.round("scroll_depth_percentage").cast("int")),
     })
 
 

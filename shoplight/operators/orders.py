@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplight.operators.sequences import HOT_ROWS, with_neighbours
+from shoplight.operators.sequences import hot_keys, with_neighbours
 
 # Tax rate, flat shipping cost, the subtotal above which shipping is free, delivery days.
 TAX_RATE = "0.08"
@@ -127,10 +127,12 @@ def monthly_sales(orders: DataFrame) -> DataFrame:
     ).orderBy(F.desc("month"))
 
 
-def daily_orders(orders: DataFrame, days: int, as_of: dt.datetime) -> DataFrame:
-    """Orders and revenue per day since midnight ``days`` days before ``as_of``, newest first."""
-    midnight = dt.datetime.combine(as_of.date() - dt.timedelta(days=days), dt.time())
-    return orders.filter(F.col("created_at") >= F.lit(midnight)).groupBy(F.to_date("created_at").alias("order_date")).agg(
+def daily_orders(orders: DataFrame, days: int | None = None, as_of: dt.datetime | None = None) -> DataFrame:
+    """Orders and revenue per day, newest first: all of them, or since midnight ``days`` days before ``as_of``."""
+    if days is not None:
+        midnight = dt.datetime.combine(as_of.date() - dt.timedelta(days=days), dt.time())
+        orders = orders.filter(F.col("created_at") >= F.lit(midnight))
+    return orders.groupBy(F.to_date("created_at").alias("order_date")).agg(
         F.count("*").alias("orders_count"), F.sum("total_amount").alias("daily_revenue")
     ).orderBy(F.desc("order_date"))
 
@@ -234,27 +236,37 @@ def game_library(items: DataFrame, orders: DataFrame) -> DataFrame:
 def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int, hot_rows: int) -> DataFrame:
     """Arrays of whole rows per order, in ``order``, in pages of at most ``page_rows``.
 
-    Orders that fit one page are grouped right away; only the rest are numbered first.
+    Ordinary orders are grouped once and their array is cut into pages. The rows of a hot order are
+    numbered and grouped page by page, so that they never meet in one task.
     """
     entry = F.struct(*order, *[c for c in rows.columns if c not in ("order_id", *order)])
-    array = F.sort_array(F.collect_list(entry)).alias(name)
-    long = rows.groupBy("order_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > page_rows).select("order_id")
-    short_pages = rows.join(long, "order_id", "left_anti").groupBy("order_id").agg(array)
+    array = F.sort_array(F.collect_list(entry))
+    hot = hot_keys(rows, ["order_id"], order[0], hot_rows)
+    hot_ids = F.broadcast(hot.select("order_id"))
+
+    whole = rows.join(hot_ids, "order_id", "left_anti").groupBy("order_id").agg(array.alias("_all"))
+    last_page = F.floor((F.size("_all") - 1) / page_rows)
+    cut = lambda page: F.struct(
+        page.alias("page"), F.slice("_all", (page * page_rows + 1).cast("int"), F.lit(page_rows)).alias(name)
+    )
+    pages = F.transform(F.sequence(F.lit(0).cast("bigint"), last_page), cut)
+    short = whole.select("order_id", F.inline(pages))
+
     numbered = with_neighbours(
-        rows.join(long, "order_id", "left_semi"), ["order_id"], order, number="_no", hot_rows=hot_rows
+        rows.join(hot_ids, "order_id", "left_semi"), ["order_id"], order, number="_no", hot=hot
     )
     page = F.floor((F.col("_no") - 1) / page_rows)
-    long_pages = numbered.groupBy("order_id", page.alias("page")).agg(array)
-    return short_pages.select("order_id", F.lit(0).cast("bigint").alias("page"), name).unionByName(long_pages)
+    return short.unionByName(numbered.groupBy("order_id", page.alias("page")).agg(array.alias(name)))
 
 
 def order_documents(
-    orders: DataFrame, items: DataFrame, history: DataFrame, page_rows: int = 1000, hot_rows: int = HOT_ROWS
+    orders: DataFrame, items: DataFrame, history: DataFrame, page_rows: int = 1000, hot_rows: int = 100_000
 ) -> DataFrame:
     """Each order with arrays of its lines and status changes in time order.
 
     An ordinary order is one document on page 0. An order with more than ``page_rows`` lines or
-    changes goes on over further pages, so no array and no task grows with the order.
+    changes goes on over further pages, so no array and no task grows with the order. Orders with more
+    than ``hot_rows`` lines are never held whole.
     """
     lines = _pages(items, ["created_at", "id"], "items", page_rows, hot_rows)
     changes = _pages(history, ["created_at", "previous_status", "new_status"], "status_history", page_rows, hot_rows)

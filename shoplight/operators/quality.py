@@ -71,10 +71,11 @@ def check_order_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 def propagate_delete(child: DataFrame, deleted: DataFrame, key: str, mode: str = "cascade") -> DataFrame:
     """Child rows after a delete in the parent: dropped (``cascade``) or left without key (``set_null``)."""
-    gone = deleted.select(F.col(key)).distinct()
+    gone = deleted.select(key)
+    kept = child.join(gone, key, "left_anti")
     if mode == "cascade":
-        return child.join(gone, key, "left_anti")
+        return kept.select(*child.columns)
     if mode == "set_null":
-        marked = child.join(gone.withColumn("_gone", F.lit(True)), key, "left")
-        return marked.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == key else c for c in child.columns])
+        orphans = child.join(gone, key, "left_semi").select(*child.columns)
+        return kept.select(*child.columns).unionAll(orphans.withColumn(key, F.lit(None).cast(child.schema[key].dataType)))
     raise ValueError(f"unknown mode {mode!r}")

@@ -161,19 +161,32 @@ def enrich_visits(page_views: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def conversion_time(purchases: DataFrame) -> DataFrame:
+def join_one_row_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Left join to a frame with one row per key, with the rows of hot keys spread over all tasks.
+
+    The adaptive join does not split a side that meets an aggregate on the same key. So the hot
+    keys' rows of ``right``, no more than there are hot keys, are broadcast, and the rest are shuffled.
+    """
+    keys = list(keys)
+    hot = F.broadcast(hot.select(*keys))
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    rest = left.join(hot, keys, "left_anti").join(right, keys, "left")
+    return rest.unionByName(left.join(hot, keys, "left_semi").join(few, keys, "left"))
+
+
+def conversion_time(purchases: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Seconds from a session's first view to each of its purchases.
 
-    The first view is one row per session, found with map-side combining; a hot session is
-    never sorted, and its purchases are split by the adaptive skew join.
+    The first view is one row per session, found with map-side combining; no session is sorted.
     """
     first_view = (
         purchases.filter(F.col("funnel_step") == "view").groupBy("session_id")
         .agg(F.min("purchase_timestamp").alias("first_view"))
     )
-    bought = purchases.filter(F.col("funnel_step") == "purchase").join(first_view, "session_id", "left")
+    bought = purchases.filter(F.col("funnel_step") == "purchase").select("event_id", "session_id", "purchase_timestamp")
+    hot = hot_keys(bought, ["session_id"], "purchase_timestamp", hot_rows)
     waited = seconds_between(F.col("first_view"), F.col("purchase_timestamp"))
-    return bought.select(
+    return join_one_row_per_key(bought, first_view, ["session_id"], hot).select(
         "event_id", "session_id", "purchase_timestamp",
         F.when(F.col("first_view") <= F.col("purchase_timestamp"), waited).alias("conversion_time_seconds"),
     )

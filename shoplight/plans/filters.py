@@ -23,9 +23,9 @@ def flt_time_range(v: ShopViews) -> DataFrame:
     return trailing(v.ev.select("event_id", "session_id", "kind", "timestamp"), "timestamp", "7 DAY", v.newest_event())
 
 
-@query("flt_time_range_month", """
+@query("flt_time_range_newest", """
 SELECT event_id, timestamp FROM ev WHERE timestamp >= (SELECT max(timestamp) FROM ev) - INTERVAL 2 WEEK""")
-def flt_time_range_month(v: ShopViews) -> DataFrame:
+def flt_time_range_newest(v: ShopViews) -> DataFrame:
     return trailing(v.ev.select("event_id", "timestamp"), "timestamp", "2 WEEK")
 
 
@@ -205,8 +205,7 @@ def ord_funnel_labels(v: ShopViews) -> DataFrame:
 SELECT CAST(created_at AS DATE) AS order_date, count(*) AS orders_count, CAST(sum(total_amount) AS DOUBLE) AS daily_revenue
 FROM shop_orders GROUP BY 1 ORDER BY 1 DESC LIMIT 7""")
 def ord_recent_days(v: ShopViews) -> DataFrame:
-    newest = v.newest_order()
-    return paging.recent_days(daily_orders(v.orders, 10000, newest), "order_date", "week")
+    return paging.recent_days(daily_orders(v.orders), "order_date", "week")
 
 
 @query("ord_recent", """

@@ -71,9 +71,9 @@ def ing_defaults(v: ShopViews) -> DataFrame:
     return rows.groupBy("event_type").agg(
         F.count("*").alias("events"),
         F.count(F.nullif("user_id", F.lit(""))).alias("users_known"),
-        F.sum(ingest._number("time_on_page_seconds")).alias("seconds_sum"),
+        F.sum(ingest.number_or_zero("time_on_page_seconds")).alias("seconds_sum"),
         F.count(F.nullif("clicked_result_position", F.lit(0))).alias("clicked_known"),
-        F.count_if(ingest._text("referrer", "") != "").alias("referrer_known"),
+        F.count_if(ingest.text_or("referrer", "") != "").alias("referrer_known"),
     )
 
 

@@ -34,19 +34,17 @@ def record_changes(batch: DataFrame, path: str, batch_id: int, hot_rows: int = H
     order = ["updated_at", "seq"]
     columns = batch.select("order_id", "order_status", F.lit(batch_id).cast("bigint").alias("as_of_batch"))
     stored = _stored(batch.sparkSession, f"{path}/state", batch_id, columns.schema)
-    before = stored.select("order_id", F.col("order_status").alias("_stored"), F.lit(True).alias("_known"))
+    before = stored.select("order_id", F.col("order_status").alias("_stored"))
 
     seen = with_neighbours(batch, ["order_id"], order, previous=["order_status"], number="_no", hot_rows=hot_rows)
-    first = F.col("_no") == 1
-    previous = F.when(first, F.col("_stored")).otherwise(F.col("prev_order_status"))
-    changes = (
-        seen.join(before, "order_id", "left")
-        .filter((~first | F.col("_known").isNotNull()) & ~F.col("order_status").eqNullSafe(previous))
-        .select(
-            "order_id", previous.alias("previous_status"), F.col("order_status").alias("new_status"),
-            F.lit("Status updated").alias("status_reason"), F.lit("system").alias("changed_by"),
-            F.col("updated_at").alias("created_at"),
-        )
+    # Only an order's first snapshot meets the stored statuses: one row per order on both sides.
+    later = seen.filter(F.col("_no") > 1).withColumnRenamed("prev_order_status", "_before")
+    first = seen.filter(F.col("_no") == 1).join(before, "order_id").select(*batch.columns, F.col("_stored").alias("_before"))
+    compared = later.select(*batch.columns, "_before").unionByName(first)
+    changes = compared.filter(~F.col("order_status").eqNullSafe(F.col("_before"))).select(
+        "order_id", F.col("_before").alias("previous_status"), F.col("order_status").alias("new_status"),
+        F.lit("Status updated").alias("status_reason"), F.lit("system").alias("changed_by"),
+        F.col("updated_at").alias("created_at"),
     )
     write_batch(changes, f"{path}/history", batch_id)
 

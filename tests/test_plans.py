@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from shoplight.functions.times import trailing
 from shoplight.operators.catalogue import latest_reviews
-from shoplight.operators.orders import filter_orders
+from shoplight.operators.orders import filter_orders, game_library
 from shoplight.operators.retention import apply_retention
 from shoplight.operators.traffic import export_page_views, realtime_metrics
 from shoplight.plans.registry import REGISTRY
@@ -97,6 +97,35 @@ def test_shuffle_partitions_grow_with_the_input():
     assert int(large["spark.sql.shuffle.partitions"]) > 300_000
 
 
+def test_joins_on_a_hot_key_are_split(spark, tmp_path):
+    """An order with a third of the lines: the adaptive join cuts its partition."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    order = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 997)
+    spark.range(0, 60_000, 1, 8).select(order.alias("order_id"), (F.col("id") % 50).alias("game_id")).write.parquet(f"{tmp_path}/i")
+    spark.range(997).select(
+        F.col("id").alias("order_id"), (F.col("id") % 90).alias("customer_id"), F.timestamp_seconds("id").alias("created_at")
+    ).write.parquet(f"{tmp_path}/o")
+    items, heads = spark.read.parquet(f"{tmp_path}/i"), spark.read.parquet(f"{tmp_path}/o")
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        found = game_library(items, heads)
+        split = found.collect()
+        assert "skew=true" in plan(found)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert sorted(split) == sorted(game_library(items, heads).collect())
+
+
 def test_status_filter_reaches_the_scan_through_the_view(views):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string>" in plan(
         filter_orders(views.orders, "pending", 5).select("order_id"))

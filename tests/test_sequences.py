@@ -142,8 +142,9 @@ def test_conversion_time_needs_a_view_before(spark):
     rows = [("a", "s1", "view", at(0)), ("b", "s1", "purchase", at(15)), ("c", "s2", "purchase", at(1)),
             ("d", "s3", "purchase", at(1)), ("e", "s3", "view", at(2))]
     df = spark.createDataFrame(rows, "event_id string, session_id string, funnel_step string, purchase_timestamp timestamp_ntz")
-    found = {r.event_id: r.conversion_time_seconds for r in conversion_time(df).collect()}
-    assert found == {"b": 900, "c": None, "d": None}
+    for hot_rows in (1_000_000, 0):
+        found = {r.event_id: r.conversion_time_seconds for r in conversion_time(df, hot_rows).collect()}
+        assert found == {"b": 900, "c": None, "d": None}
 
 
 def test_growth_rate_from_zero_is_null(spark):
