@@ -53,7 +53,5 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, a
     )
     inside = (F.col("_below") <= low_rank) & (F.col("_seen") > high_rank)
     blend = F.col("_at_low") + (F.col("_at_high") - F.col("_at_low")) * (F.col("_rank") - low_rank)
-    return found.select(
-        *keys,
-        F.when(inside, blend).otherwise(F.raise_error(F.lit("percentile bracket missed; raise accuracy"))).alias("percentile"),
-    )
+    missed = F.raise_error(F.lit("percentile bracket missed; raise accuracy"))
+    return found.select(*keys, F.when(inside, blend).otherwise(missed).alias("percentile"))

@@ -42,11 +42,14 @@ def trailing(df: DataFrame, ts: str, length: str, as_of: dt.datetime | Column |
     into the scan when the query runs. On a table partitioned by ``event_date`` the bound also
     prunes partitions.
     """
+    return since(df, ts, start_of(df, ts, length, as_of))
+
+
+def start_of(df: DataFrame, ts: str, length: str, as_of: dt.datetime | Column | None) -> Column:
+    """The time ``length`` before ``as_of``, or before the newest time in ``df``."""
     if as_of is None:
-        bound = df.agg(F.max(ts) - span(length)).scalar()
-    else:
-        bound = (as_of if isinstance(as_of, Column) else F.lit(as_of)) - span(length)
-    return since(df, ts, bound)
+        return df.agg(F.max(ts) - span(length)).scalar()
+    return (as_of if isinstance(as_of, Column) else F.lit(as_of)) - span(length)
 
 
 def since(df: DataFrame, ts: str, bound: Column) -> DataFrame:

@@ -129,7 +129,9 @@ def catalogue_by_category(games: DataFrame) -> DataFrame:
 
 
 def _ratings(reviews: DataFrame) -> DataFrame:
-    return reviews.groupBy("game_id").agg(F.sum("rating").alias("_points"), F.count("rating").alias("_rated"), F.count("*").alias("_reviews"))
+    return reviews.groupBy("game_id").agg(
+        F.sum("rating").alias("_points"), F.count("rating").alias("_rated"), F.count("*").alias("_reviews")
+    )
 
 
 def _sales(items: DataFrame) -> DataFrame:

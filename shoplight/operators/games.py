@@ -40,7 +40,9 @@ def game_popularity(
     )
 
 
-def game_revenue_join(interactions: DataFrame, purchases: DataFrame, length: str = "7 DAY", as_of: AsOf = None) -> DataFrame:
+def game_revenue_join(
+    interactions: DataFrame, purchases: DataFrame, length: str = "7 DAY", as_of: AsOf = None
+) -> DataFrame:
     """Interactions joined to all purchases of the same game, per title: the fan-out figures.
 
     Every interaction counts once per purchase of its game and every purchase once per
@@ -62,13 +64,16 @@ def game_revenue_join(interactions: DataFrame, purchases: DataFrame, length: str
         F.sum(F.col("bought") * partners).alias("purchases"),
         F.sum(F.coalesce(F.col("amount") * F.col("n"), F.lit(0))).alias("revenue"),
     )
-    same = totals["game_title"].eqNullSafe(sessions["game_title"]) & totals["game_category"].eqNullSafe(sessions["game_category"])
+    same = totals["game_title"].eqNullSafe(sessions["game_title"])
+    same &= totals["game_category"].eqNullSafe(sessions["game_category"])
     return totals.join(sessions, same, "left").select(
         totals["game_title"], totals["game_category"], "interactions", "unique_sessions", "purchases", "revenue"
     )
 
 
-def game_revenue_dedup(interactions: DataFrame, purchases: DataFrame, length: str = "7 DAY", as_of: AsOf = None) -> DataFrame:
+def game_revenue_dedup(
+    interactions: DataFrame, purchases: DataFrame, length: str = "7 DAY", as_of: AsOf = None
+) -> DataFrame:
     """Interactions and revenue per game, each side added up once."""
     per_game = (
         trailing(interactions, "timestamp", length, as_of)
@@ -111,7 +116,9 @@ def popularity_rank(scoreboard: DataFrame, by: str = "views") -> DataFrame:
     return scoreboard.join(ranks, by, "left").withColumn("popularity_trend", trend)
 
 
-def leaderboard(scoreboard: DataFrame, sort_by: str = "popularity", category: str | None = None, limit: int = 10) -> DataFrame:
+def leaderboard(
+    scoreboard: DataFrame, sort_by: str = "popularity", category: str | None = None, limit: int = 10
+) -> DataFrame:
     """Top games by revenue, views, conversion or popularity, in one category or all."""
     chosen = scoreboard if category is None else scoreboard.filter(F.lower("game_category") == category.lower())
     order = {

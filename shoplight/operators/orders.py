@@ -47,11 +47,10 @@ def cancel_orders(orders: DataFrame, ids: DataFrame) -> DataFrame:
     """The outcome of cancelling each requested order: shipped and delivered ones are refused."""
     known = orders.select("order_id", "order_status")
     final = F.col("order_status").isin("shipped", "delivered")
+    outcome = F.when(F.col("order_status").isNull(), "not_found").when(final, "rejected").otherwise("cancelled")
+    status = F.when(outcome == "cancelled", "cancelled").otherwise(F.col("order_status"))
     return ids.select("order_id").distinct().join(known, "order_id", "left").select(
-        "order_id",
-        F.col("order_status").alias("previous_status"),
-        F.when(F.col("order_status").isNotNull() & ~final, "cancelled").otherwise(F.col("order_status")).alias("order_status"),
-        F.when(F.col("order_status").isNull(), "not_found").when(final, "rejected").otherwise("cancelled").alias("outcome"),
+        "order_id", F.col("order_status").alias("previous_status"), status.alias("order_status"), outcome.alias("outcome")
     )
 
 

@@ -27,7 +27,8 @@ def _kept(table: str, as_of: dt.datetime, ts: str | None) -> Column:
 def apply_retention(df: DataFrame, table: str, as_of: dt.datetime, ts: str | None = None) -> DataFrame:
     """Rows still kept at ``as_of``; where rows age by event time, expired date partitions are not read."""
     length, column = RETENTION[table]
-    return since(df, ts or column, F.lit(as_of) - span(length) - F.make_dt_interval(F.lit(SLACK_DAYS))).filter(_kept(table, as_of, ts))
+    bound = F.lit(as_of) - span(length) - F.make_dt_interval(F.lit(SLACK_DAYS))
+    return since(df, ts or column, bound).filter(_kept(table, as_of, ts))
 
 
 def retention_report(df: DataFrame, table: str, as_of: dt.datetime, ts: str | None = None) -> DataFrame:

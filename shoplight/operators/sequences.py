@@ -146,7 +146,8 @@ def enrich_visits(page_views: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     by_time = ["timestamp", "event_id"]
     hot = hot_keys(page_views, ["session_id"], "timestamp", hot_rows)
     seen = with_neighbours(page_views, ["session_id"], by_time, previous=["page_url"], number="_no", hot=hot)
-    starts = seen.filter((F.col("_no") == 1) | ~F.col("page_url").eqNullSafe(F.col("prev_page_url"))).drop("prev_page_url", "_no")
+    new_page = (F.col("_no") == 1) | ~F.col("page_url").eqNullSafe(F.col("prev_page_url"))
+    starts = seen.filter(new_page).drop("prev_page_url", "_no")
     visits = with_neighbours(
         starts, ["session_id"], by_time, previous=["page_url"], following=["timestamp"],
         number="visit_number", hot=hot,

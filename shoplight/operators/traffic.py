@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplight.functions.scalars import distinct_count, percent
-from shoplight.functions.times import bucket, span, trailing
+from shoplight.functions.times import bucket, start_of, trailing
 
 AsOf = dt.datetime | Column | None
 
@@ -146,8 +146,7 @@ def dashboard_summary_exact(
 
 def user_counts(events: DataFrame, period: str = "7 DAY", as_of: AsOf = None) -> DataFrame:
     """New, returning, active and total users; active users have an event in the period."""
-    newest = events.agg(F.max("timestamp")).scalar() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
-    start = newest - span(period)
+    start = start_of(events, "timestamp", period, as_of)
     seen = events.groupBy("user_id").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     return seen.agg(
         F.count("*").alias("total_users"),
