@@ -248,7 +248,9 @@ def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int, hot
     cut = lambda page: F.struct(
         page.alias("page"), F.slice("_all", (page * page_rows + 1).cast("int"), F.lit(page_rows)).alias(name)
     )
-    pages = F.transform(F.sequence(F.lit(0).cast("bigint"), last_page), cut)
+    first = F.lit(0).cast("bigint")
+    one_page = F.array(F.struct(first.alias("page"), F.col("_all").alias(name)))
+    pages = F.when(last_page == 0, one_page).otherwise(F.transform(F.sequence(first, last_page), cut))
     short = whole.select("order_id", F.inline(pages))
 
     numbered = with_neighbours(
