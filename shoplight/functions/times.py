@@ -34,6 +34,13 @@ def span(text: str) -> Column:
     return F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes))
 
 
+def moment(value: dt.datetime | Column) -> Column:
+    """A literal for a point in time; a datetime without a zone is UTC, whatever zone the driver runs in."""
+    if isinstance(value, Column):
+        return value
+    return F.lit(value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc))
+
+
 def trailing(df: DataFrame, ts: str, length: str, as_of: dt.datetime | Column | None = None) -> DataFrame:
     """Rows with ``ts`` inside the last ``length`` before ``as_of``.
 
@@ -49,7 +56,7 @@ def start_of(df: DataFrame, ts: str, length: str, as_of: dt.datetime | Column |
     """The time ``length`` before ``as_of``, or before the newest time in ``df``."""
     if as_of is None:
         return df.agg(F.max(ts) - span(length)).scalar()
-    return (as_of if isinstance(as_of, Column) else F.lit(as_of)) - span(length)
+    return moment(as_of) - span(length)
 
 
 def since(df: DataFrame, ts: str, bound: Column) -> DataFrame:

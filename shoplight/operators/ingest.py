@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from shoplight.functions.scalars import content_id, event_time, or_default, page_category
+from shoplight.functions.times import moment
 from shoplight.schemas import ENVELOPE_EVENT, SINGLE_EVENT
 
 # Event kinds that have a table.
@@ -79,12 +80,11 @@ def ensure_event_id(events: DataFrame) -> DataFrame:
 
 
 def _base(received: dt.datetime | Column) -> list[Column]:
-    now = received if isinstance(received, Column) else F.lit(received)
     return [
         F.col("event_id"),
         F.col("session_id"),
         F.nullif("user_id", F.lit("")).alias("user_id"),
-        event_time(F.col("timestamp"), now).alias("timestamp"),
+        event_time(F.col("timestamp"), moment(received)).alias("timestamp"),
     ]
 
 

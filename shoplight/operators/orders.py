@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplight.functions.times import moment
 from shoplight.operators.sequences import hot_keys, with_neighbours
 
 # Tax rate, flat shipping cost, the subtotal above which shipping is free, delivery days.
@@ -130,7 +131,7 @@ def daily_orders(orders: DataFrame, days: int | None = None, as_of: dt.datetime
     """Orders and revenue per day, newest first: all of them, or since midnight ``days`` days before ``as_of``."""
     if days is not None:
         midnight = dt.datetime.combine(as_of.date() - dt.timedelta(days=days), dt.time())
-        orders = orders.filter(F.col("created_at") >= F.lit(midnight))
+        orders = orders.filter(F.col("created_at") >= moment(midnight))
     return orders.groupBy(F.to_date("created_at").alias("order_date")).agg(
         F.count("*").alias("orders_count"), F.sum("total_amount").alias("daily_revenue")
     ).orderBy(F.desc("order_date"))

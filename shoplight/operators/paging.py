@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplight.functions.times import moment
+
 
 def sort_keys(by: str, direction: str, allowed: Sequence[str], default: str, tie_break: str) -> list[Column]:
     """Sort columns: ``by`` if it is allowed, else ``default``; descending only if asked.
@@ -63,7 +66,7 @@ def page_after(df: DataFrame, sort: str, tie_break: str, last: tuple | None, lim
     The cost is one filtered top-k whatever the depth, where an offset pays for all earlier pages.
     """
     if last is not None:
-        value, tie = F.lit(last[0]), F.lit(last[1])
+        value, tie = (moment(v) if isinstance(v, dt.datetime) else F.lit(v) for v in last)
         df = df.filter((F.col(sort) < value) | ((F.col(sort) == value) & (F.col(tie_break) > tie)))
     return df.orderBy(F.desc(sort), F.asc(tie_break)).limit(limit)
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplight.functions.times import moment
 from shoplight.operators.games import game_scoreboard
 from shoplight.operators.orders import revenue_summary
 from shoplight.operators.traffic import user_counts
@@ -18,9 +19,9 @@ SECTIONS = ("sales", "games", "users")
 def _between(df: DataFrame, ts: str, start: dt.date | None, end: dt.date | None) -> DataFrame:
     """Rows from the start of ``start`` to the end of ``end``."""
     if start is not None:
-        df = df.filter(F.col(ts) >= F.lit(dt.datetime.combine(start, dt.time())))
+        df = df.filter(F.col(ts) >= moment(dt.datetime.combine(start, dt.time())))
     if end is not None:
-        df = df.filter(F.col(ts) < F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time())))
+        df = df.filter(F.col(ts) < moment(dt.datetime.combine(end + dt.timedelta(days=1), dt.time())))
     return df
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplight.functions.times import since, span
+from shoplight.functions.times import moment, since, span
 from shoplight.schemas import RETENTION
 
 # Days; more than any month lacks against the longest one.
@@ -21,13 +21,13 @@ def _kept(table: str, as_of: dt.datetime, ts: str | None) -> Column:
     that is a few days wider, and this exact rule decides the rest.
     """
     length, column = RETENTION[table]
-    return F.col(ts or column) + span(length) > F.lit(as_of)
+    return F.col(ts or column) + span(length) > moment(as_of)
 
 
 def apply_retention(df: DataFrame, table: str, as_of: dt.datetime, ts: str | None = None) -> DataFrame:
     """Rows still kept at ``as_of``; where rows age by event time, expired date partitions are not read."""
     length, column = RETENTION[table]
-    bound = F.lit(as_of) - span(length) - F.make_dt_interval(F.lit(SLACK_DAYS))
+    bound = moment(as_of) - span(length) - F.make_dt_interval(F.lit(SLACK_DAYS))
     return since(df, ts or column, bound).filter(_kept(table, as_of, ts))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplight.functions.scalars import event_time, page_category
+from shoplight.functions.times import moment
 from shoplight.operators import ingest
 from shoplight.plans.registry import query
 from shoplight.sources.shop_views import ShopViews
@@ -44,7 +45,7 @@ def ing_normalise_single(v: ShopViews) -> DataFrame:
     return rows.select(
         "event_type", "session_id", "user_id", "game_id", "page_url", "time_on_page_seconds", "interaction_type",
         "search_query", "metric_value",
-        event_time(F.col("timestamp"), F.lit(v.newest_event())).alias("timestamp"),
+        event_time(F.col("timestamp"), moment(v.newest_event())).alias("timestamp"),
     )
 
 
@@ -56,7 +57,7 @@ def ing_reject_single(v: ShopViews) -> DataFrame:
 @query("ing_timestamp", """
 SELECT session_id, event_type, timestamp, count(*) AS event_count FROM envelope_events GROUP BY 1, 2, 3""")
 def ing_timestamp(v: ShopViews) -> DataFrame:
-    at = event_time(F.col("timestamp"), F.lit(v.newest_event())).alias("timestamp")
+    at = event_time(F.col("timestamp"), moment(v.newest_event())).alias("timestamp")
     return _events(v).groupBy("session_id", "event_type", at).agg(F.count("*").alias("event_count"))
 
 
