@@ -7,11 +7,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+from shoplight.plans.catalog import all_queries
 from tests.harness import connect, differences
 
 ROOT = f"/root/testdata/sf{os.environ.get('SHOPLIGHT_TEST_SF', '0.01')}"
-QUERIES = entry_point.queries()
-CHECKS = entry_point.oracle_sql()
+QUERIES = {name: entry_point.queries()[name] for name in all_queries()}
+CHECKS = {name: sql for name, sql in entry_point.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
