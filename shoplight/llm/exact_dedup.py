@@ -41,7 +41,8 @@ def frequent(rows: DataFrame) -> DataFrame:
     """Candidates (key): 64-bit hashes of digests that may be frequent, at most ``HEAVY`` of them."""
     keys = rows.select(F.xxhash64("digest").alias("key"), (F.spark_partition_id() % MERGERS).alias("merger"))
     parts = keys.groupBy("merger").agg(F.expr(f"approx_top_k_accumulate(key, {COUNTERS})").alias("part"))
-    top = parts.agg(F.expr(f"approx_top_k_combine(part, {COUNTERS})").alias("part")).select(
+    # A grouped sum: a sum over everything would also merge a state without a type from each empty task.
+    top = parts.groupBy(F.col("merger") < 0).agg(F.expr(f"approx_top_k_combine(part, {COUNTERS})").alias("part")).select(
         F.explode(F.expr(f"approx_top_k_estimate(part, {HEAVY})")).alias("top"))
     # A digest of one row is never frequent.
     return top.filter("top.count > 1").select(F.col("top.item").alias("key"))
