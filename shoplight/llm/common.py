@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +84,21 @@ def bounded_sample(labelled: DataFrame, label: str, per_label: int, row_id: str
     return labelled.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= per_label).drop(place)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that tasks can import it."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    if context.applicationId in _SHIPPED or not (root / "shoplight").is_dir():
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='shoplight-code-')}/shoplight", "zip", root, "shoplight")
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with the function's own working sets kept small."""
+    """``mapInArrow`` by a function of this package."""
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)

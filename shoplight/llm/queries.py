@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplight.llm import exact_dedup, sharding
+from shoplight.llm import exact_dedup, packing, pieces, pseudonyms, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op5_pii": pseudonyms.op5_pii,
+    "op6_pieces": pieces.op6_pieces,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_packing": packing.op9_packing,
 }
 
 CHECKS: dict[str, str] = {
