@@ -3,14 +3,14 @@
 Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the piece they would
 form, best first and leftmost among equals. The best pair is merged, its two new neighbours enter
 the agenda, and pairs whose symbols have changed meanwhile are skipped when they come up. Symbols
-that no piece covers become byte pieces. Every Arrow batch is compared with the sentencepiece
-library, id by id.
+that no piece covers become byte pieces. No piece reaches over the spans between spaces, so the
+agendas of many spans are worked off side by side and spans that come back are looked up. In every
+Arrow batch, all new spans and some whole texts are compared with the sentencepiece library.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +25,10 @@ from shoplight.session import prepare
 
 SPACE_MARK = "▁"
 # Spans whose ids one task keeps; beyond that it starts over.
-CACHED_SPANS, CACHED_BYTES = 200_000, 32 << 20
+CACHED_SPANS, CACHED_BYTES = 600_000, 32 << 20
+# Every span that a task meets is compared with the library; so is every such text of an Arrow batch as a whole.
+WHOLE_CHECKS = 16
+NO_PAIR = np.iinfo(np.int64).max
 
 
 class PieceEncoder:
@@ -36,21 +39,26 @@ class PieceEncoder:
 
         self.library = library = sentencepiece.SentencePieceProcessor(model_file=path)
         size = library.vocab_size()
-        self.scores: dict[str, tuple[float, int]] = {}
+        scores: dict[str, tuple[float, int]] = {}
         self.bytes: dict[int, int] = {}
+        self.symbols: dict[str, int] = {}  # pieces by id; then, as they come, symbols that have no piece
+        self.pieces = size
         for i in range(size):
             piece = library.id_to_piece(i)
             if library.is_unused(i):
                 raise ValueError("vocabularies with unused pieces are not supported")
             if library.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-            elif not library.is_control(i) and not library.is_unknown(i):
-                self.scores[piece] = (library.get_score(i), i)
+            if library.is_byte(i) or library.is_control(i) or library.is_unknown(i):
+                self.symbols[f"\0{i}"] = i  # no symbol of a text has this name
+            else:
+                scores[piece] = (library.get_score(i), i)
+                self.symbols[piece] = i
         if len(self.bytes) != 256:
             raise ValueError("only vocabularies with byte pieces are supported")
-        if library.encode("a  b") != self.agenda_ids(f"{SPACE_MARK}a") + self.agenda_ids(SPACE_MARK + SPACE_MARK + "b"):
-            raise ValueError("the model's white space rules are not supported")
-        long = [p for p in self.scores if len(p) > 1]
+        self.decimal = [b"%d," % i for i in range(size)]
+        self.pair_table(scores)
+        long = [p for p in scores if len(p) > 1]
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in long):
             raise ValueError("pieces with inner spaces are not supported")
         # No piece reaches over a span: a span is a run of space marks and symbols that occur in longer pieces, or one other symbol.
@@ -58,62 +66,113 @@ class PieceEncoder:
         self.span = re.compile(f"{SPACE_MARK}*[{inner}]+|{SPACE_MARK}+|.", re.DOTALL)
         self.forget()
 
+    def pair_table(self, scores: dict[str, tuple[float, int]]) -> None:
+        """Every pair of symbols that forms a piece, by key, with its place in the order of scores."""
+        order = {score: place for place, score in enumerate(sorted({s for s, _ in scores.values()}, reverse=True))}
+        rows = sorted((self.symbols[p[:k]] << 32 | self.symbols[p[k:]], order[score], i)
+                      for p, (score, i) in scores.items() for k in range(1, len(p)) if p[:k] in scores and p[k:] in scores)
+        keys, ranks, made = zip(*rows)
+        self.pair_keys, self.pair_ranks, self.pair_pieces = (np.array(x, dtype=np.int64) for x in (keys, ranks, made))
+
     def forget(self) -> None:
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.size = 0
 
-    def agenda_ids(self, span: str) -> list[int]:
-        """The ids of one span, by merging the best adjacent pair again and again."""
-        symbols: list[str] = list(span)
-        after = [*range(1, len(symbols)), -1]
-        ahead = list(range(-1, len(symbols) - 1))
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right >= 0 and (found := self.scores.get(symbols[left] + symbols[right])):
-                heapq.heappush(agenda, (-found[0], left, right, symbols[left] + symbols[right]))
-
-        for i in range(len(symbols) - 1):
-            offer(i, i + 1)
-        while agenda:
-            _, left, right, piece = heapq.heappop(agenda)
-            if not symbols[left] or after[left] != right or symbols[left] + symbols[right] != piece:
-                continue
-            symbols[left], symbols[right] = piece, ""
-            after[left] = after[right]
-            if after[left] >= 0:
-                ahead[after[left]] = left
-            offer(ahead[left], left)
-            offer(left, after[left])
-        ids: list[int] = []
-        at = 0
-        while at >= 0 and symbols:
-            found = self.scores.get(symbols[at])
-            ids.extend([found[1]] if found else [self.bytes[b] for b in symbols[at].encode()])
-            at = after[at]
-        return ids
-
-    def encode(self, text: str) -> tuple[np.ndarray, bytes]:
-        """The ids of a text, and their decimal forms with a comma after each."""
-        if not text:
-            return np.empty(0, dtype=np.int32), b""
-        spans = self.span.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
+    def agenda_ids(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many spans, side by side, and where each span's ids begin.
+
+        In each turn the best adjacent pair of every span is merged, and the pairs beside it get
+        new places in the agenda. A span is done when no pair of it is a piece.
+        """
+        symbols = np.array([self.symbols.setdefault(c, len(self.symbols)) for c in "".join(spans)], dtype=np.int64)
+        owner = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
+        done_symbols, done_owner = [], []
+        rank, made = self.pair(symbols, owner)
+        while len(symbols):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            best = np.minimum.reduceat(rank, first)
+            # Spans without a pair are finished and leave the agenda.
+            counts = np.diff(first, append=len(owner))
+            live = np.repeat(best < NO_PAIR, counts)
+            done_symbols.append(symbols[~live])
+            done_owner.append(owner[~live])
+            best_here = np.repeat(best, counts)[live]
+            symbols, owner, rank, made = symbols[live], owner[live], rank[live], made[live]
+            if not len(symbols):
+                break
+            hits = np.flatnonzero(rank == best_here)
+            left = hits[np.flatnonzero(np.diff(owner[hits], prepend=-1))]  # the leftmost of each span
+            symbols[left] = made[left]
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[left + 1] = False
+            left = left - np.arange(len(left))  # where the merged symbols are once the others are out
+            symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
+            changed = np.concatenate([left, left[left > 0] - 1])
+            rank[changed], made[changed] = self.pair(symbols, owner, changed)
+        symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        symbols, owner = symbols[order], owner[order]
+        if len(missing := np.flatnonzero(symbols >= self.pieces)):
+            symbols, owner = self.as_bytes(symbols, owner, missing)
+        return symbols.astype(np.int32), np.searchsorted(owner, np.arange(len(spans) + 1))
+
+    def pair(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The place in the agenda and the piece of each symbol (or those at ``at``) with the next of its span."""
+        at = np.arange(len(symbols)) if at is None else at
+        following = np.minimum(at + 1, len(symbols) - 1)
+        key = symbols[at] << 32 | symbols[following]
+        found = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        known = (self.pair_keys[found] == key) & (owner[at] == owner[following]) & (at != following)
+        return np.where(known, self.pair_ranks[found], NO_PAIR), self.pair_pieces[found]
+
+    def as_bytes(self, symbols: np.ndarray, owner: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols without a piece as the pieces of their UTF-8 bytes."""
+        names = list(self.symbols)
+        raw = {s: [self.bytes[b] for b in names[s].encode()] for s in set(symbols[missing].tolist())}
+        each = np.ones(len(symbols), dtype=np.int64)
+        each[missing] = [len(raw[s]) for s in symbols[missing].tolist()]
+        wide, wide_owner = np.repeat(symbols, each), np.repeat(owner, each)
+        wide[wide >= self.pieces] = [i for s in symbols[missing].tolist() for i in raw[s]]
+        return wide, wide_owner
+
+    def learn(self, spans: list[str]) -> None:
+        """Keep the ids of spans, and compare them with the library's."""
+        ids, starts = self.agenda_ids(spans)
+        # The library puts a space mark before each text; spans without one follow a line break, which no piece holds.
+        marked = [s.startswith(SPACE_MARK) for s in spans]
+        asked = [s.replace(SPACE_MARK, " ")[1:] if m else "\n" + s for s, m in zip(spans, marked)]
+        theirs = self.library.encode(asked, num_threads=1)
+        raw, decimal = ids.tobytes(), self.decimal
+        for i, (span, m, their) in enumerate(zip(spans, marked, theirs)):
+            own = ids[starts[i] : starts[i + 1]].tolist()
+            if own != (their if m or not span else their[2:]):
+                if span != SPACE_MARK:  # alone, it is the library's empty text
+                    raise ValueError(f"ids differ from the library's for {span!r}")
+            self.known[span] = (raw[4 * starts[i] : 4 * starts[i + 1]], b"".join([decimal[k] for k in own]))
+            self.size += 9 * len(own) + len(span)
+        if len(self.symbols) > self.pieces + 100_000:
+            self.symbols = dict(list(self.symbols.items())[: self.pieces])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
+        """The ids of each text, and their decimal forms with a comma after each."""
+        split = [self.span.findall(SPACE_MARK + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
         known = self.known
-        for span in set(spans).difference(known):
-            ids = self.agenda_ids(span)
-            known[span] = (np.array(ids, dtype=np.int32).tobytes(), "".join(f"{i}," for i in ids).encode())
-            self.size += 8 * len(span) + 8 * len(ids)
-        found = [known[s] for s in spans]
-        result = np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int32), b"".join([f[1] for f in found])
         if len(known) > CACHED_SPANS or self.size > CACHED_BYTES:
             self.forget()
-        return result
+            known = self.known
+        if new := set().union(*split).difference(known):
+            self.learn(list(new))
+        results = []
+        for spans in split:
+            found = [known[s] for s in spans]
+            results.append((np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int32), b"".join([f[1] for f in found])))
+        return results
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 
     def check(self, texts: list[str], ids: list[np.ndarray]) -> None:
-        """Compare with the library; a difference ends the job."""
+        """Compare whole texts with the library; a difference ends the job."""
         for text, own, theirs in zip(texts, ids, self.library.encode(texts, num_threads=1)):
             if not np.array_equal(own, np.array(theirs, dtype=np.int32)):
                 raise ValueError(f"ids differ from the library's for a text that starts with {text[:80]!r}")
@@ -140,8 +199,8 @@ def encoded(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             for keys, raw in text_slices(batch, "doc_id", "text", 1 << 20):
                 texts = [t.decode("utf-8", "replace") for t in raw]
-                found = [pieces.encode(t) for t in texts]
-                pieces.check(texts, [ids for ids, _ in found])
+                found = pieces.encode(texts)
+                pieces.check(texts[::WHOLE_CHECKS], [ids for ids, _ in found[::WHOLE_CHECKS]])
                 decoded = [pieces.decode(ids) for ids, _ in found]
                 columns = {
                     "doc_id": pa.array(keys, pa.int64()),

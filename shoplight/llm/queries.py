@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplight.llm import exact_dedup, packing, pieces, pseudonyms, sharding
+from shoplight.llm import exact_dedup, language, neighbours, packing, pieces, pseudonyms, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_language": language.op4_language,
     "op5_pii": pseudonyms.op5_pii,
     "op6_pieces": pieces.op6_pieces,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 
 CHECKS: dict[str, str] = {
