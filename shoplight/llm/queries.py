@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplight.llm import exact_dedup, language, neighbours, ngram_join, packing, pieces, pseudonyms, quality, sharding
+from shoplight.llm import exact_dedup, language, neighbours, ngram_join, packing, pieces, pseudonyms, quality, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_language": language.op4_language,
     "op5_pii": pseudonyms.op5_pii,
     "op6_pieces": pieces.op6_pieces,
