@@ -202,7 +202,7 @@ def identify(docs: DataFrame, machines: Machines | None, doc_id: str = "doc_id",
 
 def with_language(docs: DataFrame, machines: Machines | None, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with its predicted language in one more column, and that column's name; no row moves."""
-    name = free_name(docs, "lang_pred")
+    name, flag, kept_columns = free_name(docs, "lang_pred"), free_name(docs, "has_letter"), list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,10 +215,9 @@ def with_language(docs: DataFrame, machines: Machines | None, text: str = "text"
                 if kept and machines is not None:
                     for (p, _), found in zip(kept, machines.predict([t for _, t in kept])[0]):
                         langs[p] = found
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string())], names=[*docs.columns, name])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept_columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string())], names=[*kept_columns, name])
 
-    flag = free_name(docs, "has_letter")
     schema = docs.limit(0).withColumn(name, F.lit("")).schema
     return map_batches(docs.withColumn(flag, has_letter(text)), run, schema), name
 
