@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The white space of the contracts: 0x20 and 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
+# Parts that the rows of one label are dealt to before a sample is taken.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,21 +68,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def crc_of(text: str) -> int:
-    return zlib.crc32(text.encode())
-
-
 def bounded_sample(labelled: DataFrame, label: str, per_label: int, row_id: str = "doc_id") -> DataFrame:
     """At most ``per_label`` rows of each label: those whose id hashes lowest, so every run picks the same rows.
 
-    The window keeps the lowest rows of each task before it shuffles, so a label that most
-    rows share costs no more than the others.
+    The rows of a label are first cut to the lowest in each of ``SALTS`` parts, so no task sorts more than its part
+    of a label that most rows share, and the last step gets a bounded number of rows.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(row_id)), F.col(row_id))
-    place = free_name(labelled, "place")
-    return labelled.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= per_label).drop(place)
+    order = [F.xxhash64(F.col(row_id)), F.col(row_id)]
+    place, part = free_name(labelled, "place"), free_name(labelled, "part")
+    rows = labelled.withColumn(part, F.pmod(F.xxhash64(F.col(row_id), F.lit(1)), F.lit(SALTS)))
+    for keys in ([label, part], [label]):
+        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) <= per_label)
+    return rows.drop(place, part)
 
 
 _SHIPPED: set[str] = set()
