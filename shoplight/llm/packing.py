@@ -11,6 +11,8 @@ their places.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -39,41 +41,76 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many of it in one sequence
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+# Characters whose lower case, composition and class are the same everywhere: printable ASCII and the letters of Latin-1 and Latin Extended-A.
+_PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+_LOWER = "a-z\u00df-\u00f6\u00f8-\u017e"
+PLAIN_TEXT = re.compile(rf"[{_PLAIN} \t-\r]*")
+# The vocabulary's own word rule over such characters in lower case (fixed values).
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\s0-9{_LOWER}]+")
+
+
 class WordIds:
     """The ids of a text, as little-endian unsigned 32-bit words.
 
-    The vocabulary drops white space before it looks for pieces, and neither its normaliser nor its
-    pieces see across it, so the ids of a text are those of its words in turn. Words come back
-    all the time; each is given to the library once per filling of the cache.
+    The vocabulary drops white space, and neither its normaliser nor its pieces see across words, so
+    the ids of a text are those of its words in turn. Words come back all the time; each is
+    given to the library once per filling of the cache, many in one call: the last piece of a word
+    has an end mark. Text with characters beyond ``PLAIN_TEXT`` is given to the library by whole
+    stretches between white space.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        self.ids: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
         self.size = 0
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.ids) > CACHED_WORDS or self.size > CACHED_BYTES:
-            self.ids, self.size = {}, 0
-        new = [w for w in words if w not in self.ids]
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            texts = [w.decode("utf-8", "replace") for w in some]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.ids[word] = np.array(found.ids, dtype="<u4").tobytes()
-                self.size += len(word) + 4 * len(found.ids)
-
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        known = self.ids.__getitem__
-        for words in split:
-            yield b"".join(map(known, words))
+    def learn_words(self, new: list[str]) -> None:
+        for start in range(0, len(new), 8192):
+            some = new[start : start + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the vocabulary's word rule differs from the expected one")
+            raw = ids.tobytes()
+            self.words.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+            self.size += len(raw) + sum(map(len, some))
+
+    def learn_stretches(self, new: list[str]) -> None:
+        for start in range(0, len(new), 1024):
+            some = new[start : start + 1024]
+            for stretch, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.stretches[stretch] = np.array(found.ids, dtype="<u4").tobytes()
+                self.size += 5 * len(found.ids) + len(stretch)
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.words) + len(self.stretches) > CACHED_WORDS or self.size > CACHED_BYTES:
+            self.forget()
+        plain, other = [], []
+        for raw in texts:
+            text = raw.decode("utf-8", "replace")
+            # "<|" may begin a special piece.
+            ordinary = PLAIN_TEXT.fullmatch(text) and "<|" not in text
+            plain.append(WORD.findall(text.lower()) if ordinary else None)
+            other.append(None if ordinary else re.split("[ \t-\r]+", text))
+        if new := set().union(*filter(None, plain)).difference(self.words):
+            self.learn_words(list(new))
+        if new := set().union(*filter(None, other)).difference(self.stretches):
+            self.learn_stretches(list(new))
+        return [b"".join(map(self.stretches.__getitem__, rest) if words is None else map(self.words.__getitem__, words))
+                for words, rest in zip(plain, other)]
 
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
@@ -88,7 +125,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: s
         seen: dict[int, int] = {}
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            for keys, texts in text_slices(batch, "doc_id", "text"):
+            for keys, texts in text_slices(batch, "doc_id", "text", 1 << 20):
                 rows = []
                 for key, ids in zip(keys, words.of(texts)):
                     ids += end
