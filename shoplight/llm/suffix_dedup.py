@@ -198,6 +198,12 @@ def matched(dealt: DataFrame) -> DataFrame:
         x = {c: v[order] for c, v in x.items()}
         if not len(order):
             return
+        # One document that several tasks gave (equal rows) counts once.
+        new = np.zeros(len(order), dtype=bool)
+        new[:1] = True
+        for v in x.values():
+            new[1:] |= v[1:] != v[:-1]
+        x = {c: v[new] for c, v in x.items()}
         new_anchor = np.diff(x["anchor"], prepend=x["anchor"][:1] + np.uint64(1)) != 0
         # Equal segments are one string; the earliest of them comes first.
         first = new_anchor.copy()
