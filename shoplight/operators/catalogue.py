@@ -58,6 +58,17 @@ def category_order() -> list[Column]:
     return [F.desc_nulls_first("rating"), F.asc("name"), F.asc("game_id")]
 
 
+# The English stop words of the database's text search, in natural order.
+STOP_WORDS = frozenset(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had "
+    "having do does did doing a an the and but if or because as until while of at by for with about against between into through "
+    "during before after above below to from up down in out on off over under again further then once here there when where why "
+    "how all any both each few more most other some such no nor not only own same so than too very s t can will just don should "
+    "now".split()
+)
+
+
 def trending_by_category(games: DataFrame, categories: Sequence[str], n: int = 4) -> DataFrame:
     """The first ``n`` games in stock in the given categories."""
     return in_stock(games, True).filter(F.col("category").isin(*categories)).orderBy("game_id").limit(n)
@@ -66,11 +77,12 @@ def trending_by_category(games: DataFrame, categories: Sequence[str], n: int = 4
 def search_games(games: DataFrame, q: str, limit: int = 10) -> DataFrame:
     """Games that hold every word of ``q``, or ``q`` as a substring; name hits first, then rating.
 
-    Words match exactly after lower-casing: there is no stemming and no stop-word list.
+    A word is a run of letters and digits of any script. English stop words are not asked for; words
+    match exactly after lower-casing, without stemming.
     """
-    words = [w for w in re.split(r"[^a-z0-9]+", q.lower()) if w]
+    words = [w for w in re.findall(r"[^\W_]+", q.lower()) if w not in STOP_WORDS]
     text = F.lower(F.concat_ws(" ", "name", "description", F.array_join("tags", " ")))
-    tokens = F.split(text, "[^a-z0-9]+")
+    tokens = F.split(text, r"[^\p{L}\p{N}]+")
     all_words = reduce(Column.__and__, [F.array_contains(tokens, w) for w in words]) if words else F.lit(False)
     holds = lambda name: F.coalesce(F.col(name).ilike(f"%{q}%"), F.lit(False))
     hit = all_words | holds("name") | holds("description") | holds("category")

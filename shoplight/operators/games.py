@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplight.functions.scalars import distinct_count, percent
 from shoplight.functions.times import trailing
+from shoplight.operators.sequences import in_chunks
 
 AsOf = dt.datetime | Column | None
 
@@ -105,13 +106,16 @@ def game_scoreboard(interactions: DataFrame, purchases: DataFrame) -> DataFrame:
 def popularity_rank(scoreboard: DataFrame, by: str = "views") -> DataFrame:
     """Rank by views and a trend label: the first three ranks trend up.
 
-    Games with the same count share a rank, so the rank is found once per distinct count; only
-    those few counts pass through the single ordered window. The scoreboard is used twice:
-    give a stored one.
+    Games with the same count share a rank, so the rank is found once per distinct count. The counts are cut
+    into ranges, added up inside each, and moved by the sum of the ranges above: no task orders them all.
     """
-    counts = scoreboard.groupBy(by).agg(F.count("*").alias("_games"))
-    above = Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(by, (F.coalesce(F.sum("_games").over(above), F.lit(0)) + 1).alias("popularity_rank"))
+    counts = in_chunks(scoreboard.groupBy(by).agg(F.count("*").alias("_games")).withColumn("_down", -F.col(by)), ["_down"], "counts")
+    whole = counts.groupBy("_chunk").agg(F.sum("_games").alias("_whole"))
+    above = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = whole.select("_chunk", F.coalesce(F.sum("_whole").over(above), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy("_chunk").orderBy("_down").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("_higher", F.coalesce(F.sum("_games").over(inside), F.lit(0))).join(offsets, "_chunk").select(
+        by, (F.col("_higher") + F.col("_above") + 1).alias("popularity_rank"))
     trend = F.when(F.col("popularity_rank") <= TRENDING_RANKS, "trending_up").otherwise("stable")
     return scoreboard.join(ranks, by, "left").withColumn("popularity_trend", trend)
 

@@ -85,6 +85,7 @@ def _base(received: dt.datetime | Column) -> list[Column]:
         F.col("session_id"),
         F.nullif("user_id", F.lit("")).alias("user_id"),
         event_time(F.col("timestamp"), moment(received)).alias("timestamp"),
+        moment(received).cast("timestamp").alias("created_at"),
     ]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplight.functions.times import moment
-from shoplight.operators.sequences import hot_keys, with_neighbours
+from shoplight.operators.sequences import with_neighbours
 
 # Tax rate, flat shipping cost, the subtotal above which shipping is free, delivery days.
 TAX_RATE = "0.08"
@@ -128,10 +128,10 @@ def monthly_sales(orders: DataFrame) -> DataFrame:
 
 
 def daily_orders(orders: DataFrame, days: int | None = None, as_of: dt.datetime | None = None) -> DataFrame:
-    """Orders and revenue per day, newest first: all of them, or since midnight ``days`` days before ``as_of``."""
+    """Orders and revenue per day, newest first: all of them, or since midnight ``days`` days before ``as_of``, by default the newest order."""
     if days is not None:
-        midnight = dt.datetime.combine(as_of.date() - dt.timedelta(days=days), dt.time())
-        orders = orders.filter(F.col("created_at") >= moment(midnight))
+        newest = orders.agg(F.max("created_at")).scalar() if as_of is None else moment(as_of)
+        orders = orders.filter(F.col("created_at") >= F.date_trunc("day", newest) - F.make_dt_interval(F.lit(days)))
     return orders.groupBy(F.to_date("created_at").alias("order_date")).agg(
         F.count("*").alias("orders_count"), F.sum("total_amount").alias("daily_revenue")
     ).orderBy(F.desc("order_date"))
@@ -212,9 +212,9 @@ def price_orders(cart_lines: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def merge_cart(adds: DataFrame) -> DataFrame:
-    """One line per cart and game; a missing quantity counts as one."""
+    """One line per cart and game; a missing quantity counts as one, and what is in no cart gives no line."""
     quantity = F.coalesce(F.nullif("quantity", F.lit(0)), F.lit(1))
-    return adds.groupBy("cart_id", "game_id").agg(F.sum(quantity).alias("quantity"), F.max("price").alias("price"))
+    return adds.filter(F.col("cart_id").isNotNull()).groupBy("cart_id", "game_id").agg(F.sum(quantity).alias("quantity"), F.max("price").alias("price"))
 
 
 def cart_totals(lines: DataFrame) -> DataFrame:
@@ -226,52 +226,29 @@ def cart_totals(lines: DataFrame) -> DataFrame:
 
 
 def game_library(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """Each user's games with the time of the first purchase."""
-    buyers = orders.select("order_id", F.col("customer_id").alias("user_id"), F.col("created_at").alias("bought_at"))
+    """Each user's games with the time of the first purchase; orders without a buyer belong to no library."""
+    buyers = orders.filter(F.col("customer_id").isNotNull()).select("order_id", F.col("customer_id").alias("user_id"), F.col("created_at").alias("bought_at"))
     return items.select("order_id", "game_id").join(buyers, "order_id").groupBy("user_id", "game_id").agg(
         F.min("bought_at").alias("purchased_at")
     )
 
 
-def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int, hot_rows: int) -> DataFrame:
-    """Arrays of whole rows per order, in ``order``, in pages of at most ``page_rows``.
-
-    Ordinary orders are grouped once and their array is cut into pages. The rows of a hot order are
-    numbered and grouped page by page, so that they never meet in one task.
-    """
+def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int) -> DataFrame:
+    """Arrays of whole rows per order, in ``order``, in pages of at most ``page_rows``: numbered, then grouped by page."""
     entry = F.struct(*order, *[c for c in rows.columns if c not in ("order_id", *order)])
-    array = F.sort_array(F.collect_list(entry))
-    hot = hot_keys(rows, ["order_id"], order[0], hot_rows)
-    hot_ids = F.broadcast(hot.select("order_id"))
-
-    whole = rows.join(hot_ids, "order_id", "left_anti").groupBy("order_id").agg(array.alias("_all"))
-    last_page = F.floor((F.size("_all") - 1) / page_rows)
-    cut = lambda page: F.struct(
-        page.alias("page"), F.slice("_all", (page * page_rows + 1).cast("int"), F.lit(page_rows)).alias(name)
-    )
-    first = F.lit(0).cast("bigint")
-    one_page = F.array(F.struct(first.alias("page"), F.col("_all").alias(name)))
-    pages = F.when(last_page == 0, one_page).otherwise(F.transform(F.sequence(first, last_page), cut))
-    short = whole.select("order_id", F.inline(pages))
-
-    numbered = with_neighbours(
-        rows.join(hot_ids, "order_id", "left_semi"), ["order_id"], order, number="_no", hot=hot
-    )
+    numbered = with_neighbours(rows.filter(F.col("order_id").isNotNull()), ["order_id"], order, number="_no")
     page = F.floor((F.col("_no") - 1) / page_rows)
-    return short.unionByName(numbered.groupBy("order_id", page.alias("page")).agg(array.alias(name)))
+    return numbered.groupBy("order_id", page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias(name))
 
 
-def order_documents(
-    orders: DataFrame, items: DataFrame, history: DataFrame, page_rows: int = 1000, hot_rows: int = 100_000
-) -> DataFrame:
-    """Each order with arrays of its lines and status changes in time order.
+def order_documents(orders: DataFrame, items: DataFrame, history: DataFrame, page_rows: int = 1000) -> DataFrame:
+    """Each order with arrays of its lines and status changes in time order; the row key is ``(order_id, page)``.
 
-    An ordinary order is one document on page 0. An order with more than ``page_rows`` lines or
-    changes goes on over further pages, so no array and no task grows with the order. Orders with more
-    than ``hot_rows`` lines are never held whole.
+    An order with at most ``page_rows`` lines and changes is one document on page 0. A longer one goes on over
+    further pages, so no array and no task grows with the order: to read an order whole, take all its pages.
     """
-    lines = _pages(items, ["created_at", "id"], "items", page_rows, hot_rows)
-    changes = _pages(history, ["created_at", "previous_status", "new_status"], "status_history", page_rows, hot_rows)
+    lines = _pages(items, ["created_at", "id"], "items", page_rows)
+    changes = _pages(history, ["created_at", "previous_status", "new_status"], "status_history", page_rows)
     parts = lines.join(changes, ["order_id", "page"], "full")
     documents = orders.join(parts, "order_id", "left")
     return documents.withColumn("page", F.coalesce("page", F.lit(0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +39,13 @@ def check_range(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
 
 
 def check_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Repeated keys and the rows beyond the first of each; map tasks count before the shuffle."""
-    counts = df.groupBy(*key).agg(F.count("*").alias("_rows"))
+    """Repeated keys and the rows beyond the first of each; a key with a NULL repeats nothing. Map tasks count before the shuffle."""
+    set_key = reduce(Column.__and__, [F.col(k).isNotNull() for k in key])
+    counts = df.groupBy(*key).agg(F.count("*").alias("_rows")).withColumn("_set", set_key)
     return counts.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("checked_rows"),
-        F.count_if(F.col("_rows") > 1).alias("repeated_keys"),
-        F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("violations"),
+        F.count_if(F.col("_set") & (F.col("_rows") > 1)).alias("repeated_keys"),
+        F.coalesce(F.sum(F.when(F.col("_set"), F.col("_rows") - 1)), F.lit(0)).alias("violations"),
     ).select(F.lit("unique:" + ",".join(key)).alias("rule"), "*")
 
 
@@ -71,11 +73,10 @@ def check_order_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 def propagate_delete(child: DataFrame, deleted: DataFrame, key: str, mode: str = "cascade") -> DataFrame:
     """Child rows after a delete in the parent: dropped (``cascade``) or left without key (``set_null``)."""
-    gone = deleted.select(key)
-    kept = child.join(gone, key, "left_anti")
+    if mode not in ("cascade", "set_null"):
+        raise ValueError(f"unknown mode {mode!r}")
+    gone = deleted.select(F.col(key).alias("_gone")).distinct()
+    marked = child.join(gone, F.col(key) == F.col("_gone"), "left_anti" if mode == "cascade" else "left")
     if mode == "cascade":
-        return kept.select(*child.columns)
-    if mode == "set_null":
-        orphans = child.join(gone, key, "left_semi").select(*child.columns)
-        return kept.select(*child.columns).unionAll(orphans.withColumn(key, F.lit(None).cast(child.schema[key].dataType)))
-    raise ValueError(f"unknown mode {mode!r}")
+        return marked
+    return marked.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).select(*child.columns)

@@ -12,6 +12,7 @@ from shoplight.functions.times import moment
 from shoplight.operators.games import game_scoreboard
 from shoplight.operators.orders import revenue_summary
 from shoplight.operators.traffic import user_counts
+from shoplight.session import prepare
 
 SECTIONS = ("sales", "games", "users")
 
@@ -72,13 +73,59 @@ def build_report(spec: dict, tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# Leaves of a parsed query that read nothing, beside the given tables.
+_HARMLESS_LEAVES = {"OneRowRelation", "UnresolvedInlineTable", "LocalRelation"}
+_SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
+# Functions that call code outside Spark's own expressions.
+_REFUSED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
+
+
+def _refuse_foreign_relations(plan, known: set[str]) -> None:
+    """Walk a parsed query with its subqueries; only ``known`` tables and its own named subqueries may be read."""
+    sequence = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    kind = plan.nodeName()
+    if kind == "UnresolvedWith":
+        inner = sequence(plan.innerChildren())
+        known = known | {child.alias().lower() for child in inner}
+        for child in inner:
+            _refuse_foreign_relations(child, known)
+    if kind == "UnresolvedRelation":
+        name = ".".join(sequence(plan.multipartIdentifier()))
+        if name.lower() not in known:
+            raise ValueError(f"the query reads {name!r}, which is not among the given tables")
+    elif plan.children().isEmpty() and kind not in _HARMLESS_LEAVES:
+        raise ValueError(f"the query has a part that is not allowed: {kind}")
+
+    def inside(expression) -> None:
+        kind = expression.getClass().getSimpleName()
+        if kind in _SUBQUERIES:
+            _refuse_foreign_relations(expression.plan(), known)
+        elif "Subquery" in kind and kind != "InSubquery":  # that one has its query as a child
+            raise ValueError(f"the query has a part that is not allowed: {kind}")
+        for child in sequence(expression.children()):
+            inside(child)
+
+    for child in sequence(plan.children()):
+        _refuse_foreign_relations(child, known)
+    for expression in sequence(plan.expressions()):
+        inside(expression)
+
+
 def run_report(spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: dict | None = None) -> DataFrame:
     """Run a read-only query over the given tables; values are passed as named parameters.
 
-    The text is used as a subquery, where Spark accepts nothing but a query.
+    The text must be one query, and read nothing but the tables and its own named subqueries. It runs in a
+    session of its own, where files cannot be named as tables and functions that call outside code
+    are gone, so the caller's views and settings stay as they are.
     """
     if not sql or not sql.strip():
         raise ValueError("a query is required")
+    own = prepare(spark.newSession())
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    state, jvm = own._jsparkSession.sessionState(), own._jvm
+    _refuse_foreign_relations(state.sqlParser().parseQuery(sql), {name.lower() for name in tables})
+    for name in _REFUSED_FUNCTIONS:
+        state.functionRegistry().dropFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT * FROM (\n{sql}\n)", args=args or {})
+        jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()).createOrReplaceTempView(name)
+    return own.sql(sql, args=args or {})

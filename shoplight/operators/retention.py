@@ -7,15 +7,15 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplight.functions.times import moment, since, span
-from shoplight.schemas import RETENTION
+from shoplight.functions.times import moment, span
+from shoplight.schemas import EVENT_TIMES, RETENTION
 
 # Days; more than any month lacks against the longest one.
 SLACK_DAYS = 4
 
 
 def _kept(table: str, as_of: dt.datetime, ts: str | None) -> Column:
-    """A row lives until its time plus the table's span.
+    """A row lives until its time plus the table's span; NULL where it has no time.
 
     Month arithmetic does not invert exactly, so files and partitions are pruned by a plain bound
     that is a few days wider, and this exact rule decides the rest.
@@ -25,15 +25,18 @@ def _kept(table: str, as_of: dt.datetime, ts: str | None) -> Column:
 
 
 def apply_retention(df: DataFrame, table: str, as_of: dt.datetime, ts: str | None = None) -> DataFrame:
-    """Rows still kept at ``as_of``; where rows age by event time, expired date partitions are not read."""
+    """Rows still kept at ``as_of``; a row without a time is kept. Expired date partitions are not read where rows age by event time."""
     length, column = RETENTION[table]
+    name = ts or column
     bound = moment(as_of) - span(length) - F.make_dt_interval(F.lit(SLACK_DAYS))
-    return since(df, ts or column, bound).filter(_kept(table, as_of, ts))
+    if name in EVENT_TIMES and "event_date" in df.columns:
+        df = df.filter(F.col("event_date").isNull() | (F.col("event_date") >= F.to_date(bound)))
+    return df.filter(F.col(name).isNull() | ((F.col(name) >= bound) & _kept(table, as_of, ts)))
 
 
 def retention_report(df: DataFrame, table: str, as_of: dt.datetime, ts: str | None = None) -> DataFrame:
-    """Rows kept and dropped, in one pass."""
+    """Rows kept, dropped and kept for want of a time, in one pass; the three add up to all rows."""
     kept = _kept(table, as_of, ts)
-    return df.agg(F.count_if(kept).alias("kept_rows"), F.count_if(~kept).alias("dropped_rows")).select(
-        F.lit(table).alias("table_name"), "*"
-    )
+    return df.agg(
+        F.count_if(kept).alias("kept_rows"), F.count_if(~kept).alias("dropped_rows"), F.count_if(kept.isNull()).alias("unknown_rows")
+    ).select(F.lit(table).alias("table_name"), "*")

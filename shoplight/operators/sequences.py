@@ -1,132 +1,151 @@
 """Ordered sequences: neighbours, steps, sessions, visits and status changes.
 
 A window over a key sorts all rows of that key in one task. One key may hold a large
-share of all rows, so the operators here either reduce rows per key before they open a window
-(sessions) or cut the sequences of hot keys into time chunks (everything row-level).
+share of all rows, even at one instant, so row-level sequences are range-partitioned by key and the
+whole order first: a partition is one chunk of the order, however the keys are spread. Sessions are folded into
+slots before they open a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplight.functions.times import parse_span, seconds_between
+from shoplight.session import stored
 
-# A key with more rows than this is cut into chunks.
-HOT_ROWS = 1_000_000
-# At most this many keys are cut; it bounds what is broadcast. The result does not depend on it.
-MAX_HOT_KEYS = 100_000
+# Parts that the rows of one key are dealt to before a join with one row per key.
+SALTS = 32
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, largest first, at most ``MAX_HOT_KEYS`` of them.
+def in_chunks(df: DataFrame, order: Sequence[str], label: str = "sequences") -> DataFrame:
+    """``df`` cut into ranges of ``order`` of about equal size, the number of each in ``_chunk``.
 
-    ``_fine`` marks a key so dense that even one minute of it exceeds ``hot_rows`` on average.
+    The table is written once, so that all uses see the same cuts.
     """
-    at = lambda c: F.unix_micros(c.cast("timestamp"))
-    minutes = (at(F.max(ts)) - at(F.min(ts))) / 60_000_000 + 1
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"), (F.count("*") / minutes > hot_rows).alias("_fine"))
-        .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys)  # a total order: every use of this frame picks the same keys
-        .limit(MAX_HOT_KEYS)
-        .drop("_rows")
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *[F.col(c) for c in order])
+    return stored(ranged.withColumn("_chunk", F.spark_partition_id()), label)
 
 
-def with_neighbours(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    previous: Sequence[str] = (),
-    following: Sequence[str] = (),
-    number: str = "step_number",
-    hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Number the rows of each key in ``order`` and add ``prev_*`` and ``next_*`` columns.
+def _has_key(keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
 
-    ``order`` starts with a time column and must be unique within a key; keys are not NULL. Rows of
-    ordinary keys take one window per key. Rows of a hot key take one window per time chunk (a
-    minute, or a second of a very dense key); the chunk's row offset and the rows just outside
-    it come from one summary row per chunk, which is joined back on the partitioning the
-    window already made. Without hot keys the summary branch is empty and is never run.
 
-    ``hot`` may hand over the result of ``hot_keys`` for a frame that ``df`` was derived from.
-    """
+def neighbours_in_chunks(
+    chunked: DataFrame, keys: Sequence[str], order: Sequence[str], previous: Sequence[str], following: Sequence[str], number: str,
+) -> DataFrame:
+    """``with_neighbours`` for a table of ``in_chunks``; keeps ``_chunk``."""
     keys, order = list(keys), list(order)
-    ts = F.col(order[0])
-    hot = hot_keys(df, keys, order[0], hot_rows) if hot is None else hot
-    chunk = F.when(F.col("_fine"), F.date_trunc("second", ts)).when(~F.col("_fine"), F.date_trunc("minute", ts))
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumn("_chunk", chunk)
-
+    keyed = chunked.filter(_has_key(keys))
     carried = sorted({*previous, *following})
     row = F.struct(*carried) if carried else F.struct(F.lit(1).alias("_none"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    rows = tagged.select(
-        *df.columns, "_chunk",
+    rows = keyed.select(
+        *chunked.columns,
         F.row_number().over(inside).cast("bigint").alias("_no"),
         F.lag(row).over(inside).alias("_prev"),
         F.lead(row).over(inside).alias("_next"),
     )
-
-    # One row per chunk of a hot key.
+    # One row per chunk of a key; only keys that lie in several chunks need it, at most two per chunk.
     position = F.struct(*order)
-    across = Window.partitionBy(*keys).orderBy("_chunk")
+    whole, across = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_chunk")
     edges = (
-        tagged.filter(F.col("_fine").isNotNull()).groupBy(*keys, "_chunk")
+        keyed.groupBy(*keys, "_chunk")
         .agg(F.count("*").alias("_rows"), F.min_by(row, position).alias("_first"), F.max_by(row, position).alias("_last"))
+        .withColumn("_chunks", F.count("*").over(whole))
         .select(
-            *keys, "_chunk",
+            *keys, "_chunk", "_chunks",
             F.sum("_rows").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
             F.lag("_last").over(across).alias("_prev_edge"),
             F.lead("_first").over(across).alias("_next_edge"),
         )
+        .filter("_chunks > 1").drop("_chunks")
     )
     joined = rows.join(edges, [*keys, "_chunk"], "left")
     prev_row = F.coalesce("_prev", "_prev_edge")
     next_row = F.coalesce("_next", "_next_edge")
-    return joined.select(
-        *df.columns,
+    found = joined.select(
+        *chunked.columns,
         (F.col("_no") + F.coalesce("_before", F.lit(0))).alias(number),
         *[prev_row[c].alias(f"prev_{c}") for c in previous],
         *[next_row[c].alias(f"next_{c}") for c in following],
     )
+    none = lambda c: F.lit(None).cast(chunked.schema[c].dataType)
+    alone = chunked.filter(~_has_key(keys)).select(
+        *chunked.columns, F.lit(1).cast("bigint").alias(number),
+        *[none(c).alias(f"prev_{c}") for c in previous], *[none(c).alias(f"next_{c}") for c in following],
+    )
+    return found.unionByName(alone)
+
 
+def with_neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    *,
+    previous: Sequence[str] = (),
+    following: Sequence[str] = (),
+    number: str = "step_number",
+) -> DataFrame:
+    """Number the rows of each key in ``order`` and add ``prev_*`` and ``next_*`` columns.
 
-def behavior_flow(events: DataFrame, ts: str = "timestamp", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Step number and seconds since the previous step within each session."""
-    steps = with_neighbours(events, ["session_id"], [ts, "event_id"], previous=[ts], hot_rows=hot_rows)
+    ``order`` must be unique within a key. A row whose key is NULL belongs to no sequence: it has number 1 and
+    no neighbours. Every table takes the same path: chunks of the whole order, one window per key and
+    chunk, and one summary row for each chunk of a key that lies in several, which gives the chunk's offset
+    and the rows just outside it. No task holds more than its chunk, whatever the keys.
+    """
+    chunked = in_chunks(df, [*keys, *order])
+    return neighbours_in_chunks(chunked, keys, order, previous, following, number).drop("_chunk")
+
+
+def behavior_flow(events: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Step number and seconds since the previous step within each session; an event without a session stands alone."""
+    steps = with_neighbours(events, ["session_id"], [ts, "event_id"], previous=[ts])
     gap = F.coalesce(seconds_between(F.col(f"prev_{ts}"), F.col(ts)), F.lit(0))
     return steps.withColumn("time_since_previous_step_seconds", gap).drop(f"prev_{ts}")
 
 
-def sessionise(events: DataFrame, gap: str = "30 MINUTE", user: str = "user_id", ts: str = "timestamp") -> DataFrame:
-    """Sessions of each user: a pause longer than ``gap`` starts a new one.
-
-    Events are first folded into slots as long as the gap. Two events in one slot are
-    never further apart than the gap, so a slot belongs to exactly one session and a user,
-    however busy, enters the window with at most one row per slot.
-    """
+def _gap_micros(gap: str) -> int:
     n, unit = parse_span(gap)
     if unit in ("MONTH", "YEAR"):
         raise ValueError("a session gap has a fixed length: minutes, hours, days or weeks")
-    gap_us = n * {"MINUTE": 60, "HOUR": 3600, "DAY": 86400, "WEEK": 604800}[unit] * 1_000_000
+    return n * {"MINUTE": 60, "HOUR": 3600, "DAY": 86400, "WEEK": 604800}[unit] * 1_000_000
+
+
+def visitors(events: DataFrame, user: str = "user_id", session: str = "session_id") -> list[Column]:
+    """The two columns that tell visitors apart: the user or, where that is NULL, the client's session."""
+    client = F.col(session) if session in events.columns else F.lit(None).cast("string")
+    return [F.col(user), F.when(F.col(user).isNull(), client).alias("anonymous_session")]
+
+
+def session_slots(events: DataFrame, gap: str = "30 MINUTE", user: str = "user_id", ts: str = "timestamp") -> DataFrame:
+    """Events folded into slots as long as the gap, per visitor: first and last time and number.
+
+    Two events in one slot are never further apart than the gap, so a slot belongs to exactly one session.
+    Slots of several batches add up: ``fold_slots`` takes their union.
+    """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    slots = events.groupBy(user, F.floor(at / F.lit(gap_us)).alias("_slot")).agg(
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count("*").alias("_events")
+    return events.groupBy(*visitors(events, user), F.floor(at / F.lit(_gap_micros(gap))).alias("slot")).agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("events")
     )
-    by_user = Window.partitionBy(user).orderBy("_slot")
-    pause = F.unix_micros(F.col("_first").cast("timestamp")) - F.unix_micros(F.lag("_last").over(by_user).cast("timestamp"))
-    numbered = slots.withColumn("_starts", F.coalesce((pause > gap_us).cast("int"), F.lit(1))).withColumn(
-        "session_number", F.sum("_starts").over(by_user.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def fold_slots(slots: DataFrame, gap: str = "30 MINUTE", user: str = "user_id") -> DataFrame:
+    """Sessions from slots: a pause longer than ``gap`` starts a new one."""
+    visitor = [user, "anonymous_session"]
+    merged = slots.groupBy(*visitor, "slot").agg(
+        F.min("first").alias("_first"), F.max("last").alias("_last"), F.sum("events").alias("_events"))
+    by_visitor = Window.partitionBy(*visitor).orderBy("slot")
+    pause = F.unix_micros(F.col("_first").cast("timestamp")) - F.unix_micros(F.lag("_last").over(by_visitor).cast("timestamp"))
+    numbered = merged.withColumn("_starts", F.coalesce((pause > _gap_micros(gap)).cast("int"), F.lit(1))).withColumn(
+        "session_number", F.sum("_starts").over(by_visitor.rowsBetween(Window.unboundedPreceding, 0))
     )
     return (
-        numbered.groupBy(user, "session_number")
+        numbered.groupBy(*visitor, "session_number")
         .agg(
             F.min("_first").alias("session_start_time"),
             F.max("_last").alias("session_end_time"),
@@ -138,20 +157,27 @@ def sessionise(events: DataFrame, gap: str = "30 MINUTE", user: str = "user_id",
     )
 
 
-def enrich_visits(page_views: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def sessionise(events: DataFrame, gap: str = "30 MINUTE", user: str = "user_id", ts: str = "timestamp") -> DataFrame:
+    """Sessions of each visitor: a pause longer than ``gap`` starts a new one.
+
+    A visitor is a user or, where there is none, the client's own session (``anonymous_session``). Events are
+    first folded into slots as long as the gap, so a visitor, however busy, enters the window with at most one
+    row per slot.
+    """
+    return fold_slots(session_slots(events, gap, user, ts), gap, user)
+
+
+def enrich_visits(page_views: DataFrame) -> DataFrame:
     """Page visits: heartbeats of one page folded together, with previous page, exit flag and time on page.
 
-    Time on page runs to the next visit; the last visit of a session keeps the time the client sent.
+    Time on page runs to the next visit; the last visit of a session keeps the time the client sent. The
+    chunks of the page views serve both steps.
     """
-    by_time = ["timestamp", "event_id"]
-    hot = hot_keys(page_views, ["session_id"], "timestamp", hot_rows)
-    seen = with_neighbours(page_views, ["session_id"], by_time, previous=["page_url"], number="_no", hot=hot)
+    keys, by_time = ["session_id"], ["timestamp", "event_id"]
+    seen = neighbours_in_chunks(in_chunks(page_views, [*keys, *by_time]), keys, by_time, ["page_url"], [], "_no")
     new_page = (F.col("_no") == 1) | ~F.col("page_url").eqNullSafe(F.col("prev_page_url"))
-    starts = seen.filter(new_page).drop("prev_page_url", "_no")
-    visits = with_neighbours(
-        starts, ["session_id"], by_time, previous=["page_url"], following=["timestamp"],
-        number="visit_number", hot=hot,
-    )
+    starts = stored(seen.filter(new_page).drop("prev_page_url", "_no"), "visits")
+    visits = neighbours_in_chunks(starts, keys, by_time, ["page_url"], ["timestamp"], "visit_number")
     seconds = seconds_between(F.col("timestamp"), F.col("next_timestamp"))
     return visits.select(
         "session_id", "user_id", "event_id", "visit_number", "page_url",
@@ -162,47 +188,30 @@ def enrich_visits(page_views: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def join_one_row_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Left join to a frame with one row per key, with the rows of hot keys spread over all tasks.
+def conversion_time(purchases: DataFrame) -> DataFrame:
+    """Seconds from a session's first view to each of its purchases; NULL without a session.
 
-    The adaptive join does not split a side that meets an aggregate on the same key. So the hot
-    keys' rows of ``right``, no more than there are hot keys, are broadcast, and the rest are shuffled.
+    Each part of a session (``SALTS`` of them) has one row with its first view. The parts of a session share the
+    smallest, and each purchase meets the row of its own part, so a very busy session is spread over all parts.
     """
-    keys = list(keys)
-    hot = F.broadcast(hot.select(*keys))
-    few = F.broadcast(right.join(hot, keys, "left_semi"))
-    rest = left.join(hot, keys, "left_anti").join(right, keys, "left")
-    return rest.unionByName(left.join(hot, keys, "left_semi").join(few, keys, "left"))
-
-
-def conversion_time(purchases: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Seconds from a session's first view to each of its purchases.
-
-    The first view is one row per session, found with map-side combining; no session is sorted.
-    """
-    first_view = (
-        purchases.filter(F.col("funnel_step") == "view").groupBy("session_id")
-        .agg(F.min("purchase_timestamp").alias("first_view"))
-    )
-    bought = purchases.filter(F.col("funnel_step") == "purchase").select("event_id", "session_id", "purchase_timestamp")
-    hot = hot_keys(bought, ["session_id"], "purchase_timestamp", hot_rows)
+    part = F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).alias("_part")
+    viewed = F.when(F.col("funnel_step") == "view", F.col("purchase_timestamp"))
+    parts = purchases.filter(F.col("session_id").isNotNull()).groupBy("session_id", part).agg(F.min(viewed).alias("_own"))
+    first = parts.withColumn("first_view", F.min("_own").over(Window.partitionBy("session_id"))).select("session_id", "_part", "first_view")
+    bought = purchases.filter(F.col("funnel_step") == "purchase").select("event_id", "session_id", "purchase_timestamp", part)
     waited = seconds_between(F.col("first_view"), F.col("purchase_timestamp"))
-    return join_one_row_per_key(bought, first_view, ["session_id"], hot).select(
+    return bought.join(first, ["session_id", "_part"], "left").select(
         "event_id", "session_id", "purchase_timestamp",
         F.when(F.col("first_view") <= F.col("purchase_timestamp"), waited).alias("conversion_time_seconds"),
     )
 
 
-def status_history(
-    snapshots: DataFrame, order: Sequence[str] = ("updated_at", "seq"), hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def status_history(snapshots: DataFrame, order: Sequence[str] = ("updated_at", "seq")) -> DataFrame:
     """One row per change of an order's status between consecutive snapshots.
 
     NULL counts as a status of its own. The first snapshot is the insert, not a change.
     """
-    seen = with_neighbours(
-        snapshots, ["order_id"], order, previous=["order_status"], number="_no", hot_rows=hot_rows
-    )
+    seen = with_neighbours(snapshots, ["order_id"], order, previous=["order_status"], number="_no")
     changed = (F.col("_no") > 1) & ~F.col("order_status").eqNullSafe(F.col("prev_order_status"))
     return seen.filter(changed).select(
         "order_id",

@@ -145,9 +145,9 @@ def dashboard_summary_exact(
 
 
 def user_counts(events: DataFrame, period: str = "7 DAY", as_of: AsOf = None) -> DataFrame:
-    """New, returning, active and total users; active users have an event in the period."""
+    """New, returning, active and total users; active users have an event in the period. Anonymous events count for none."""
     start = start_of(events, "timestamp", period, as_of)
-    seen = events.groupBy("user_id").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    seen = events.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     return seen.agg(
         F.count("*").alias("total_users"),
         F.count_if(F.col("last") >= start).alias("active_users"),

@@ -17,6 +17,8 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS event_no,
        CAST(user_id AS VARCHAR) AS user_id, user_id AS user_no, ts AS timestamp, event_type AS kind, value, props,
        CAST(props->>'$.k' AS INTEGER) AS k
 FROM events""",
+    "some_anonymous": """
+SELECT * REPLACE (CASE WHEN event_no % 7 <> 0 THEN user_id END AS user_id) FROM ev""",
     "game_events": """
 SELECT ev.*, p_partkey AS game_id, p_name AS game_title, p_type AS game_category,
        CASE kind WHEN 'click' THEN 'add_to_cart' WHEN 'signup' THEN 'checkout' ELSE kind END AS event_type

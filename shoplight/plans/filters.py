@@ -115,6 +115,19 @@ def txt_full_text(v: ShopViews) -> DataFrame:
     return catalogue.search_games(v.games, "widget red", 10).select("game_id", "name", "category", "rating")
 
 
+_TEXT = "lower(name || ' ' || description || ' ' || array_to_string(tags, ' '))"
+
+
+@query("txt_stop_words", f"""
+SELECT game_id, name, category, CAST(rating AS DOUBLE) AS rating FROM games
+WHERE list_contains(string_split_regex({_TEXT}, '[^\\p{{L}}\\p{{N}}]+'), 'red')
+  AND list_contains(string_split_regex({_TEXT}, '[^\\p{{L}}\\p{{N}}]+'), 'title')
+ORDER BY rating DESC, game_id LIMIT 10""")
+def txt_stop_words(v: ShopViews) -> DataFrame:
+    """Words that carry no meaning are not asked for."""
+    return catalogue.search_games(v.games, "the title of RED", 10).select("game_id", "name", "category", "rating")
+
+
 @query("txt_substring", """
 SELECT game_id, name, category, CAST(price AS DOUBLE) AS price FROM games
 WHERE (contains(lower(name), 'ing') OR contains(lower(description), 'ing')
@@ -126,10 +139,10 @@ def txt_substring(v: ShopViews) -> DataFrame:
 
 
 @query("ord_safe_sort", """
-SELECT game_id, name, CAST(price AS DOUBLE) AS price FROM games ORDER BY price DESC, game_id LIMIT 25""")
+SELECT game_id, name, CAST(price AS DOUBLE) AS price FROM games ORDER BY price DESC, game_id""")
 def ord_safe_sort(v: ShopViews) -> DataFrame:
     allowed = ("name", "price", "rating", "release_date", "created_at")
-    return paging.safe_sort(v.games, "price", "desc", allowed, "name", "game_id").limit(25).select("game_id", "name", "price")
+    return paging.safe_sort(v.games, "price", "desc", allowed, "name", "game_id").select("game_id", "name", "price")
 
 
 @query("ord_paginate", """

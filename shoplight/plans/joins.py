@@ -127,29 +127,41 @@ def jn_category_perf(v: ShopViews) -> DataFrame:
     return catalogue.category_performance(v.games, stats(v))
 
 
-@query("jn_order_documents", """
-SELECT o.order_id, CAST(0 AS BIGINT) AS page, CAST(coalesce(i.n, 0) AS INTEGER) AS item_count, i.first_item, i.last_item,
-       CAST(coalesce(h.n, 0) AS INTEGER) AS change_count,
-       h.last_status
-FROM shop_orders o
-LEFT JOIN (SELECT order_id, count(*) AS n, arg_min(id, (created_at, id)) AS first_item,
-                  arg_max(id, (created_at, id)) AS last_item FROM order_items GROUP BY order_id) i ON o.order_id = i.order_id
-LEFT JOIN (SELECT order_id, count(*) AS n, arg_max(order_status, (updated_at, before, order_status)) AS last_status
-           FROM (SELECT order_id, updated_at, order_status,
-                        lag(order_status) OVER (PARTITION BY order_id ORDER BY updated_at, seq) AS before
-                 FROM status_snapshots)
-           WHERE before IS NOT NULL AND order_status <> before GROUP BY order_id) h ON o.order_id = h.order_id""")
+def _order_documents_sql(page_rows: int) -> str:
+    return f"""
+WITH lines AS (SELECT order_id, id, (row_number() OVER (PARTITION BY order_id ORDER BY created_at, id) - 1) // {page_rows} AS page,
+                      created_at, CAST(id AS VARCHAR) || ':' || quantity AS entry FROM order_items),
+     changed AS (SELECT order_id, before, order_status, updated_at FROM (
+                     SELECT *, lag(order_status) OVER (PARTITION BY order_id ORDER BY updated_at, seq) AS before FROM status_snapshots)
+                 WHERE before IS NOT NULL AND order_status <> before),
+     changes AS (SELECT *, (row_number() OVER (PARTITION BY order_id ORDER BY updated_at, before, order_status) - 1) // {page_rows} AS page
+                 FROM changed),
+     i AS (SELECT order_id, page, string_agg(entry, ',' ORDER BY created_at, id) AS items FROM lines GROUP BY ALL),
+     h AS (SELECT order_id, page, string_agg(before || '>' || order_status || '@' || CAST(epoch_us(updated_at) AS VARCHAR), ','
+                                             ORDER BY updated_at, before, order_status) AS changes FROM changes GROUP BY ALL),
+     parts AS (SELECT order_id, page, items, changes FROM i FULL JOIN h USING (order_id, page))
+SELECT o.order_id, CAST(coalesce(page, 0) AS BIGINT) AS page, coalesce(items, '') AS items, coalesce(changes, '') AS changes
+FROM shop_orders o LEFT JOIN parts p ON o.order_id = p.order_id"""
+
+
+def _order_documents(v: ShopViews, page_rows: int) -> DataFrame:
+    """Every entry of both arrays, as text."""
+    documents = orders.order_documents(v.orders, v.order_items, status_history(v.status_snapshots), page_rows)
+    line = lambda e: F.concat_ws(":", e["id"], e["quantity"])
+    change = lambda e: F.concat(
+        e["previous_status"], F.lit(">"), e["new_status"], F.lit("@"), F.unix_micros(e["created_at"].cast("timestamp")).cast("string"))
+    joined = lambda name, entry: F.coalesce(F.array_join(F.transform(name, entry), ","), F.lit(""))
+    return documents.select("order_id", "page", joined("items", line).alias("items"), joined("status_history", change).alias("changes"))
+
+
+@query("jn_order_documents", _order_documents_sql(1000))
 def jn_order_documents(v: ShopViews) -> DataFrame:
-    history = stored(status_history(v.status_snapshots), "status-history")
-    documents = orders.order_documents(v.orders, v.order_items, history)
-    size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
-    return documents.select(
-        "order_id", "page", size("items").alias("item_count"),
-        F.get("items", F.lit(0))["id"].alias("first_item"),
-        F.get("items", F.size("items") - 1)["id"].alias("last_item"),
-        size("status_history").alias("change_count"),
-        F.get("status_history", F.size("status_history") - 1)["new_status"].alias("last_status"),
-    )
+    return _order_documents(v, 1000)
+
+
+@query("jn_order_documents_paged", _order_documents_sql(2))
+def jn_order_documents_paged(v: ShopViews) -> DataFrame:
+    return _order_documents(v, 2)
 
 
 @query("jn_game_documents", """

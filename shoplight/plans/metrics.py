@@ -180,7 +180,7 @@ SELECT CAST(created_at AS DATE) AS order_date, count(*) AS orders_count, CAST(su
 FROM shop_orders
 WHERE created_at >= CAST((SELECT max(o_orderdate) FROM orders) AS DATE) - INTERVAL 7 DAY GROUP BY 1""")
 def agg_daily_orders(v: ShopViews) -> DataFrame:
-    return orders.daily_orders(v.orders, 7, v.newest_order())
+    return orders.daily_orders(v.orders, 7)
 
 
 @query("agg_order_summary", f"""
@@ -338,9 +338,10 @@ def agg_sales_headline(v: ShopViews) -> DataFrame:
 SELECT count(*) AS total_users, count(*) FILTER (WHERE newest >= {as_of} - INTERVAL 1 DAY) AS active_users,
        count(*) FILTER (WHERE oldest >= {as_of} - INTERVAL 1 DAY) AS new_users,
        count(*) FILTER (WHERE newest >= {as_of} - INTERVAL 1 DAY AND oldest < {as_of} - INTERVAL 1 DAY) AS returning_users
-FROM (SELECT user_id, min(timestamp) AS oldest, max(timestamp) AS newest FROM ev GROUP BY user_id)""")
+FROM (SELECT user_id, min(timestamp) AS oldest, max(timestamp) AS newest FROM some_anonymous
+      WHERE user_id IS NOT NULL GROUP BY user_id)""")
 def agg_user_counts(v: ShopViews) -> DataFrame:
-    return traffic.user_counts(v.ev, "1 DAY", v.newest_event())
+    return traffic.user_counts(v.some_anonymous, "1 DAY", v.newest_event())
 
 
 @query("agg_views_4h", """

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from shoplight.operators import orders, quality, retention
 from shoplight.plans.registry import query
-from shoplight.schemas import ADDRESS_TYPES, PAYMENT_METHODS
+from shoplight.schemas import ADDRESS_TYPES, EVENT_TABLES, PAYMENT_METHODS
+from shoplight.session import work_dir
 from shoplight.sources.shop_views import ShopViews
+from shoplight.streaming.intake import route_batch
 
 
 @query("dq_not_null", """
@@ -26,19 +28,21 @@ def dq_not_null(v: ShopViews) -> DataFrame:
 
 def _unique_sql(label: str, columns: str, table: str) -> str:
     return f"""SELECT 'unique:{label}' AS rule, CAST(sum(n) AS BIGINT) AS checked_rows,
-       count(*) FILTER (WHERE n > 1) AS repeated_keys, CAST(sum(n - 1) AS BIGINT) AS violations
-FROM (SELECT count(*) AS n FROM {table} GROUP BY {columns})"""
+       count(*) FILTER (WHERE n > 1 AND given) AS repeated_keys, CAST(sum(CASE WHEN given THEN n - 1 ELSE 0 END) AS BIGINT) AS violations
+FROM (SELECT count(*) AS n, {' AND '.join(f'{c} IS NOT NULL' for c in columns.split(', '))} AS given FROM {table} GROUP BY {columns})"""
 
 
 @query("dq_unique", "\nUNION ALL\n".join([
     _unique_sql("game_id", "game_id", "games"), _unique_sql("customer_id", "customer_id", "customers"),
     _unique_sql("email", "email", "customers"), _unique_sql("review_id", "review_id", "game_reviews"),
     _unique_sql("user_id,game_id", "user_id, game_id", "game_reviews"),
+    _unique_sql("shipping_address_id", "shipping_address_id", "shop_orders"),
 ]))
 def dq_unique(v: ShopViews) -> DataFrame:
     checks = [
         (v.games, ["game_id"]), (v.customers, ["customer_id"]), (v.customers, ["email"]),
         (v.game_reviews, ["review_id"]), (v.game_reviews, ["user_id", "game_id"]),
+        (v.orders, ["shipping_address_id"]),
     ]
     first, *rest = [quality.check_unique(df, key) for df, key in checks]
     for report in rest:
@@ -115,28 +119,53 @@ def dq_order_totals(v: ShopViews) -> DataFrame:
     return quality.check_order_totals(stated, orders.price_lines(v.order_items))
 
 
-@query("str_retention", """
-SELECT 'legacy_performance_metrics' AS table_name,
-       count(*) FILTER (WHERE timestamp + INTERVAL 30 DAY > TIMESTAMP '2024-02-10 00:00:00') AS kept_rows,
-       count(*) FILTER (WHERE timestamp + INTERVAL 30 DAY <= TIMESTAMP '2024-02-10 00:00:00') AS dropped_rows
-FROM performance_metrics
-UNION ALL
-SELECT 'performance_metrics', count(*) FILTER (WHERE timestamp + INTERVAL 6 MONTH > TIMESTAMP '2024-07-15 00:00:00'),
-       count(*) FILTER (WHERE timestamp + INTERVAL 6 MONTH <= TIMESTAMP '2024-07-15 00:00:00')
-FROM performance_metrics
-UNION ALL
-SELECT 'purchase_events', count(*) FILTER (WHERE purchase_timestamp + INTERVAL 3 YEAR > TIMESTAMP '2027-01-05 00:00:00'),
-       count(*) FILTER (WHERE purchase_timestamp + INTERVAL 3 YEAR <= TIMESTAMP '2027-01-05 00:00:00')
-FROM purchase_events""")
+def _aged_sql(table: str, source: str, time: str, length: str, as_of: str, name: str | None = None) -> str:
+    return f"""
+SELECT '{name or table}' AS table_name, count(*) FILTER (WHERE {time} + INTERVAL {length} > TIMESTAMP '{as_of}') AS kept_rows,
+       count(*) FILTER (WHERE {time} + INTERVAL {length} <= TIMESTAMP '{as_of}') AS dropped_rows,
+       count(*) FILTER (WHERE {time} IS NULL) AS unknown_rows
+FROM {source}"""
+
+
+# Two batches of the intake, received on different days; the events' own times do not matter.
+_RECEIVED = (dt.datetime(2024, 3, 1), dt.datetime(2024, 5, 31, 12))
+_STORED = """(SELECT CASE floor(event_no / 50) % 2 WHEN 0 THEN TIMESTAMP '2024-03-01 00:00:00' ELSE TIMESTAMP '2024-05-31 12:00:00' END AS created_at
+              FROM envelope_events WHERE event_type = '{}')"""
+_INTAKE = {"page_views": ("page_view", "1 YEAR", dt.datetime(2025, 4, 1)), "search_events": ("search", "1 YEAR", dt.datetime(2025, 3, 1)),
+           "performance_metrics": ("performance", "6 MONTH", dt.datetime(2024, 11, 30, 12))}
+
+
+@query("str_retention", "\nUNION ALL".join([
+    _aged_sql("legacy_performance_metrics", "performance_metrics", "timestamp", "30 DAY", "2024-02-10 00:00:00"),
+    _aged_sql("performance_metrics", "performance_metrics", "CASE WHEN CAST(metric_id AS BIGINT) % 5 <> 0 THEN timestamp END", "6 MONTH",
+              "2024-07-15 00:00:00"),
+    _aged_sql("purchase_events", "purchase_events", "purchase_timestamp", "3 YEAR", "2027-01-05 00:00:00"),
+]))
 def str_retention(v: ShopViews) -> DataFrame:
     report = retention.retention_report
+    some = v.performance_metrics.withColumn("timestamp", F.when(F.col("metric_id").cast("bigint") % 5 != 0, F.col("timestamp")))
     return (
         report(v.performance_metrics, "legacy_performance_metrics", dt.datetime(2024, 2, 10), "timestamp")
-        .unionAll(report(v.performance_metrics, "performance_metrics", dt.datetime(2024, 7, 15), "timestamp"))
+        .unionAll(report(some, "performance_metrics", dt.datetime(2024, 7, 15), "timestamp"))
         .unionAll(report(v.purchase_events, "purchase_events", dt.datetime(2027, 1, 5), "purchase_timestamp"))
     )
 
 
+@query("str_retention_intake", "\nUNION ALL".join(
+    _aged_sql(table, _STORED.format(kind), "created_at", length, as_of.isoformat(" ")) for table, (kind, length, as_of) in _INTAKE.items()))
+def str_retention_intake(v: ShopViews) -> DataFrame:
+    """Tables as the intake writes them, read with their declared schemas, by their own insert time."""
+    root = work_dir(v.spark, "retention")
+    bodies = v.batch_envelopes.filter("body_no >= 0")
+    for i, received in enumerate(_RECEIVED):
+        route_batch(bodies.filter(F.col("body_no") % 2 == i).select("body"), root, i, received)
+    found = [
+        retention.retention_report(v.spark.read.schema(EVENT_TABLES[table]).parquet(f"{root}/{table}"), table, as_of)
+        for table, (_, _, as_of) in _INTAKE.items()
+    ]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 @query("str_retention_rows", """
 SELECT event_id, timestamp FROM page_views WHERE timestamp + INTERVAL 1 YEAR > TIMESTAMP '2025-01-20 00:00:00'""")
 def str_retention_rows(v: ShopViews) -> DataFrame:

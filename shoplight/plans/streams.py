@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplight.plans.registry import query
+from shoplight.plans.windows import sessions_sql
 from shoplight.schemas import RAW_TABLES
 from shoplight.session import work_dir
 from shoplight.sources.shop_views import ShopViews
 from shoplight.streaming import intake, sessions, status, summaries
-from shoplight.streaming.tables import read_latest, read_table
+from shoplight.streaming.tables import read_table
 
 
 class StreamViews(ShopViews):
@@ -28,6 +29,23 @@ def _live(v: ShopViews) -> StreamViews:
     return StreamViews(v.spark, v.root)
 
 
+class ShuffledStreamViews(StreamViews):
+    """The event tables as streams over six files, each with events of all times, one file per batch."""
+
+    def __init__(self, v: ShopViews, root: str):
+        super().__init__(v.spark, v.root)
+        rows = v.base("events").withColumn("ts", F.col("ts").cast("timestamp"))
+        self.files = f"{root}/events"
+        part = F.pmod(F.xxhash64("event_id"), F.lit(6)).cast("int")
+        rows.withColumn("part", part).repartition(6, "part").write.partitionBy("part").parquet(self.files)
+        self.schema = rows.schema
+
+    def base(self, name: str) -> DataFrame:
+        if name != "events":
+            return super().base(name)
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.files}/part=*")
+
+
 @query("str_ingest", """
 SELECT 'page_views' AS target, session_id, count(*) AS row_count FROM envelope_events WHERE event_type = 'page_view' GROUP BY 2
 UNION ALL SELECT 'game_interactions', session_id, count(*) FROM envelope_events WHERE event_type = 'game_interaction' GROUP BY 2
@@ -74,8 +92,9 @@ SELECT date_trunc('hour', purchase_timestamp) AS hour, game_id, CAST(sum(total_a
 FROM purchase_events WHERE status = 'completed' GROUP BY 1, 2""")
 def str_hourly_sales(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "sales")
-    summaries.stream_hourly_sales(_live(v).purchase_events, f"{root}/sales", f"{root}/checkpoint").awaitTermination()
-    return read_latest(v.spark, f"{root}/sales", ["hour", "game_id"])
+    live = ShuffledStreamViews(v, root)
+    summaries.stream_hourly_sales(live.purchase_events, f"{root}/sales", f"{root}/checkpoint").awaitTermination()
+    return summaries.finish_sales(read_table(v.spark, f"{root}/sales"))
 
 
 _DAU = """SELECT CAST(timestamp AS DATE) AS date, game_id, count(DISTINCT user_id) AS unique_users
@@ -99,46 +118,37 @@ def str_dau_exact(v: ShopViews) -> DataFrame:
 
 
 @query("str_realtime", """
-SELECT date_trunc('minute', timestamp) AS minute, count(*) AS page_views, count(DISTINCT session_id) AS unique_sessions,
+SELECT date_trunc('minute', timestamp) AS window_start, date_trunc('minute', timestamp) + INTERVAL 1 MINUTE AS window_end,
+       count(*) AS page_views, count(DISTINCT session_id) AS unique_sessions,
        count(DISTINCT user_id) AS unique_users, avg(time_on_page_seconds) AS avg_time_on_page
-FROM page_views GROUP BY 1""")
+FROM page_views GROUP BY 1, 2""")
 def str_realtime(v: ShopViews) -> DataFrame:
-    root = work_dir(v.spark, "realtime")
-    summaries.stream_traffic(_live(v).page_views, f"{root}/states", f"{root}/checkpoint", "minute").awaitTermination()
-    return summaries.finish_traffic(read_table(v.spark, f"{root}/states"), "minute")
+    return _realtime(v, "1 minute", None)
 
 
 @query("str_realtime_sliding", """
-SELECT window_end, count(*) AS page_views, avg(time_on_page_seconds) AS avg_time_on_page
-FROM (SELECT time_on_page_seconds, unnest(generate_series(date_trunc('minute', timestamp) + INTERVAL 1 MINUTE,
+SELECT window_end - INTERVAL 60 MINUTE AS window_start, window_end, count(*) AS page_views, count(DISTINCT session_id) AS unique_sessions,
+       count(DISTINCT user_id) AS unique_users, avg(time_on_page_seconds) AS avg_time_on_page
+FROM (SELECT session_id, user_id, time_on_page_seconds, unnest(generate_series(date_trunc('minute', timestamp) + INTERVAL 1 MINUTE,
              date_trunc('minute', timestamp) + INTERVAL 60 MINUTE, INTERVAL 1 MINUTE)) AS window_end FROM page_views)
-GROUP BY 1""")
+GROUP BY 1, 2""")
 def str_realtime_sliding(v: ShopViews) -> DataFrame:
-    root = work_dir(v.spark, "sliding")
-    views = _live(v).page_views
-    summaries.stream_realtime(views, f"{root}/windows", f"{root}/checkpoint", "1 hour", "1 minute").awaitTermination()
-    return read_latest(v.spark, f"{root}/windows", ["window_start", "window_end"]).select(
-        "window_end", "page_views", "avg_time_on_page"
-    )
+    return _realtime(v, "1 hour", "1 minute")
+
+
+def _realtime(v: ShopViews, length: str, slide: str | None) -> DataFrame:
+    root = work_dir(v.spark, "realtime")
+    live = ShuffledStreamViews(v, root)
+    summaries.stream_realtime(live.page_views, f"{root}/states", f"{root}/checkpoint").awaitTermination()
+    return summaries.finish_windows(read_table(v.spark, f"{root}/states"), length, slide)
 
 
-@query("str_sessions", """
-WITH sessions AS (
-  SELECT user_id, min(timestamp) AS session_start_time, max(timestamp) AS session_end_time, count(*) AS page_views
-  FROM (SELECT user_id, timestamp, sum(is_new) OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS no
-        FROM (SELECT user_id, event_id, timestamp,
-                     CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, event_id)
-                               <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS is_new
-              FROM ev))
-  GROUP BY user_id, no)
-SELECT *, CAST((epoch_us(session_end_time) - epoch_us(session_start_time)) // 1000000 AS BIGINT) AS session_duration_seconds
-FROM sessions
-WHERE session_end_time + INTERVAL 30 MINUTE <= date_trunc('millisecond', {as_of}) - INTERVAL 10 MINUTE""")
+@query("str_sessions", sessions_sql("30 MINUTE", "some_anonymous"))
 def str_sessions(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "sessions")
-    events = _live(v).ev.select("user_id", "timestamp")
-    sessions.stream_sessions(events, f"{root}/sessions", f"{root}/checkpoint").awaitTermination()
-    return read_table(v.spark, f"{root}/sessions")
+    events = ShuffledStreamViews(v, root).some_anonymous.select("user_id", "session_id", "timestamp")
+    sessions.stream_sessions(events, f"{root}/slots", f"{root}/checkpoint").awaitTermination()
+    return sessions.finish_sessions(read_table(v.spark, f"{root}/slots"))
 
 
 @query("str_status_history", """

@@ -75,29 +75,47 @@ SELECT event_id, session_id, kind, timestamp, row_number() OVER w AS step_number
 FROM (SELECT event_id, 'u' || user_id AS session_id, kind, timestamp FROM ev)
 WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, event_id)""")
 def win_behavior_flow_split(v: ShopViews) -> DataFrame:
-    """One long sequence per user, with the hot-key split at work."""
+    """One long sequence per user, so that sequences lie in several chunks."""
     rows = v.ev.select("event_id", F.concat(F.lit("u"), "user_id").alias("session_id"), "kind", "timestamp")
-    return sequences.behavior_flow(rows, hot_rows=20)
+    return sequences.behavior_flow(rows)
 
 
-def _sessions_sql(gap: str) -> str:
+@query("win_behavior_flow_hot", """
+SELECT event_id, session_id, kind, timestamp,
+       CASE WHEN session_id IS NULL THEN 1 ELSE row_number() OVER w END AS step_number,
+       CASE WHEN session_id IS NULL THEN 0 ELSE
+            CAST(coalesce((epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) // 1000000, 0) AS BIGINT) END AS time_since_previous_step_seconds
+FROM (SELECT event_id, kind, CASE event_no % 3 WHEN 0 THEN 'hot' WHEN 1 THEN session_id END AS session_id,
+             CASE WHEN event_no % 3 = 0 THEN (SELECT max(ts) FROM events) ELSE timestamp END AS timestamp FROM ev)
+WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, event_id)""")
+def win_behavior_flow_hot(v: ShopViews) -> DataFrame:
+    """A third of the rows is one session at one instant, another third has none."""
+    third = F.col("event_no") % 3
+    newest = v.base("events").agg(F.max("ts")).scalar()
+    rows = v.ev.select(
+        "event_id", F.when(third == 0, "hot").when(third == 1, F.col("session_id")).alias("session_id"), "kind",
+        F.when(third == 0, newest).otherwise(F.col("timestamp")).alias("timestamp"))
+    return sequences.behavior_flow(rows)
+
+
+def sessions_sql(gap: str, events: str) -> str:
     return f"""
-SELECT user_id, session_number, min(timestamp) AS session_start_time, max(timestamp) AS session_end_time,
+SELECT user_id, anonymous_session, session_number, min(timestamp) AS session_start_time, max(timestamp) AS session_end_time,
        count(*) AS page_views, CAST((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) // 1000000 AS BIGINT) AS session_duration_seconds
-FROM (SELECT user_id, timestamp, CAST(sum(is_new) OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS BIGINT) AS session_number
-      FROM (SELECT user_id, event_id, timestamp,
-                   CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, event_id) <= INTERVAL {gap}
+FROM (SELECT user_id, anonymous_session, timestamp, CAST(sum(is_new) OVER (PARTITION BY user_id, anonymous_session ORDER BY timestamp, event_id) AS BIGINT) AS session_number
+      FROM (SELECT user_id, anonymous_session, event_id, timestamp,
+                   CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY user_id, anonymous_session ORDER BY timestamp, event_id) <= INTERVAL {gap}
                         THEN 0 ELSE 1 END AS is_new
-            FROM ev))
-GROUP BY user_id, session_number"""
+            FROM (SELECT *, CASE WHEN user_id IS NULL THEN session_id END AS anonymous_session FROM {events})))
+GROUP BY user_id, anonymous_session, session_number"""
 
 
-@query("win_sessionise", _sessions_sql("30 MINUTE"))
+@query("win_sessionise", sessions_sql("30 MINUTE", "some_anonymous"))
 def win_sessionise(v: ShopViews) -> DataFrame:
-    return sequences.sessionise(v.ev, "30 MINUTE")
+    return sequences.sessionise(v.some_anonymous, "30 MINUTE")
 
 
-@query("win_sessionise_6h", _sessions_sql("6 HOUR"))
+@query("win_sessionise_6h", sessions_sql("6 HOUR", "ev"))
 def win_sessionise_6h(v: ShopViews) -> DataFrame:
     return sequences.sessionise(v.ev, "6 HOUR")
 

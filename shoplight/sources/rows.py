@@ -24,7 +24,7 @@ def upgrade_layout(df: DataFrame, table: str) -> DataFrame:
     if table == "user_events":
         return df.select(
             "session_id", text_id("user_id"), "page_url", F.col("event_type").alias("action_type"),
-            F.col("metadata").alias("event_data"), "timestamp",
+            F.col("metadata").alias("event_data"), "timestamp", "ip_address", "user_agent",
         )
     if table == "game_events":
         return df.select(
@@ -33,7 +33,7 @@ def upgrade_layout(df: DataFrame, table: str) -> DataFrame:
     if table == "purchase_events":
         return df.select(
             text_id("user_id"), text_id("order_id"), "game_id", F.lit(1).alias("quantity"),
-            F.col("amount").alias("total_amount"), "payment_method",
+            F.col("amount").alias("total_amount"), "currency", "payment_method",
             F.col("timestamp").alias("purchase_timestamp"), F.lit("purchase").alias("funnel_step"), "status",
         )
     if table == "performance_metrics":

@@ -57,6 +57,11 @@ class ShopViews:
             F.get_json_object("props", "$.k").cast("int").alias("k"),
         )
 
+    @cached_property
+    def some_anonymous(self) -> DataFrame:
+        """The events, every seventh of them by a visitor who is no user."""
+        return self.ev.withColumn("user_id", F.when(F.col("event_no") % 7 != 0, F.col("user_id")))
+
     @cached_property
     def _game_events(self) -> DataFrame:
         part = self.base("part").select("p_partkey", "p_name", "p_type")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation
@@ -13,13 +12,11 @@ from shoplight.schemas import EVENT_TIMES
 
 
 def append_batches(
-    df: DataFrame, path: str, ts: str = "timestamp", batch_rows: int = 1000, rows_per_file: int = 1_000_000,
-    sort_by: Sequence[str] = (),
+    df: DataFrame, path: str, ts: str = "timestamp", rows_per_file: int = 1_000_000, sort_by: Sequence[str] = (),
 ) -> dict[str, int]:
-    """Append ``df`` to a table partitioned by ``event_date``; report rows and insert batches.
+    """Append ``df`` to a table partitioned by ``event_date``; report the rows written.
 
-    The rows are counted while they are written. ``batches`` is the number of inserts of
-    ``batch_rows`` rows the same load stands for; file size is set by ``rows_per_file``,
+    The rows are counted while they are written. File size is set by ``rows_per_file``,
     since files of a thousand rows would swamp a large table. Rows are rebalanced by date, so
     that a date gets few files and a very busy date is still split over several tasks, and
     sorted inside each file, so that a range of the leading sort column skips row groups.
@@ -37,8 +34,7 @@ def append_batches(
         .partitionBy("event_date")
         .parquet(path)
     )
-    rows = int(written.get["rows"])
-    return {"rows": rows, "batches": math.ceil(rows / batch_rows)}
+    return {"rows": int(written.get["rows"])}
 
 
 def export_csv(df: DataFrame, root: str, subject: str, run_date: dt.date) -> str:

@@ -6,33 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shoplight.functions.times import seconds_between, span
-from shoplight.streaming.summaries import WATERMARK
-from shoplight.streaming.tables import start_table
+from shoplight.operators.sequences import fold_slots, session_slots
+from shoplight.streaming.tables import start, write_batch
 
 
-def live_sessions(events: DataFrame, gap: str = "30 MINUTE", watermark: str = WATERMARK) -> DataFrame:
-    """Sessions that have ended: a user paused longer than ``gap`` and the watermark has passed.
+def stream_sessions(
+    events: DataFrame, path: str, checkpoint: str, gap: str = "30 MINUTE", every: str | None = None
+) -> StreamingQuery:
+    """Store each batch's slots of visitors, at most one row per visitor and ``gap``; ``finish_sessions`` folds them.
 
-    Events of one session are merged inside each map task first, so a very busy user sends
-    one partial session per task instead of every event.
+    No event is too late: its slot joins the others when the sessions are read, and may extend or connect sessions.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    window = F.session_window("timestamp", gap.lower())
-    end = F.col("s.end") - span(gap)
-    return (
-        events.withWatermark("timestamp", watermark)
-        .groupBy("user_id", window.alias("s"))
-        .agg(F.count("*").alias("page_views"))
-        .select(
-            "user_id", F.col("s.start").alias("session_start_time"), end.alias("session_end_time"), "page_views",
-            seconds_between(F.col("s.start"), end).alias("session_duration_seconds"),
-        )
-    )
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(session_slots(batch, gap).withColumn("event_date", F.to_date("first")), path, batch_id, ["event_date"])
 
-def stream_sessions(
-    events: DataFrame, path: str, checkpoint: str, gap: str = "30 MINUTE", every: str | None = None
-) -> StreamingQuery:
-    """Append each session once, when it has ended; open sessions stay in the state."""
-    return start_table(live_sessions(events, gap), path, checkpoint, "append", every)
+    return start(events, handle, checkpoint, every=every)
+
+
+def finish_sessions(slots: DataFrame, gap: str = "30 MINUTE") -> DataFrame:
+    """All sessions so far, open ones included; ``gap`` is the one the slots were made with."""
+    return fold_slots(slots.drop("event_date"), gap)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from shoplight.operators.sequences import HOT_ROWS, latest_by_key, with_neighbours
+from shoplight.operators.sequences import latest_by_key, with_neighbours
 from shoplight.streaming.tables import start, write_batch
 
 # Every so many batches the whole state is written once, so a batch reads few folders.
@@ -24,7 +24,7 @@ def _stored(spark: SparkSession, path: str, batch_id: int, schema: StructType) -
     return latest_by_key(spark.read.schema(schema).parquet(*folders), ["order_id"], ["as_of_batch"])
 
 
-def record_changes(batch: DataFrame, path: str, batch_id: int, hot_rows: int = HOT_ROWS) -> None:
+def record_changes(batch: DataFrame, path: str, batch_id: int) -> None:
     """Write one micro-batch's status changes and the statuses it leaves behind.
 
     Inside the batch each snapshot is compared with the one before; an order's first snapshot
@@ -36,7 +36,7 @@ def record_changes(batch: DataFrame, path: str, batch_id: int, hot_rows: int = H
     stored = _stored(batch.sparkSession, f"{path}/state", batch_id, columns.schema)
     before = stored.select("order_id", F.col("order_status").alias("_stored"))
 
-    seen = with_neighbours(batch, ["order_id"], order, previous=["order_status"], number="_no", hot_rows=hot_rows)
+    seen = with_neighbours(batch, ["order_id"], order, previous=["order_status"], number="_no")
     # Only an order's first snapshot meets the stored statuses: one row per order on both sides.
     later = seen.filter(F.col("_no") > 1).withColumnRenamed("prev_order_status", "_before")
     first = seen.filter(F.col("_no") == 1).join(before, "order_id").select(*batch.columns, F.col("_stored").alias("_before"))
@@ -56,14 +56,14 @@ def record_changes(batch: DataFrame, path: str, batch_id: int, hot_rows: int = H
 
 
 def stream_status_history(
-    snapshots: DataFrame, path: str, checkpoint: str, every: str | None = None, hot_rows: int = HOT_ROWS
+    snapshots: DataFrame, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Record status changes below ``path`` as order snapshots arrive: ``history`` and ``state``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            record_changes(batch, path, batch_id, hot_rows)
+            record_changes(batch, path, batch_id)
         finally:
             batch.unpersist()
 

@@ -1,9 +1,9 @@
 """Running summaries of traffic, sales and active users.
 
-Two forms are used. Additive figures (sales) live in windowed state behind a watermark. Distinct
-counts and means do not add up over batches, so each batch stores a mergeable state (one row
-per bucket and session, or one sketch per group) that is finished when it is read; a late
-row then simply joins its old bucket.
+Each batch stores a mergeable state: sums per hour and game, one row per bucket, session and user, or one
+sketch per group. Reading merges the states of all batches, so a row that comes late, however late, simply
+joins its old bucket, and there is no watermark behind which rows are lost. States are partitioned by event
+date: a reader of some dates reads only theirs.
 """
 
 from __future__ import annotations
@@ -12,10 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shoplight.functions.times import bucket
-from shoplight.streaming.tables import start, start_table, write_batch
-
-WATERMARK = "10 minutes"
+from shoplight.functions.times import bucket, parse_span
+from shoplight.streaming.tables import start, write_batch
 
 
 def traffic_states(page_views: DataFrame, unit: str) -> DataFrame:
@@ -49,48 +47,55 @@ def finish_traffic(states: DataFrame, name: str) -> DataFrame:
     )
 
 
-def windowed_traffic(
-    page_views: DataFrame, length: str = "1 minute", slide: str | None = None, watermark: str = WATERMARK
-) -> DataFrame:
-    """Traffic per tumbling or sliding window in stream state; distinct counts are sketches."""
-    window = F.window("timestamp", length, slide) if slide else F.window("timestamp", length)
-    return (
-        page_views.withWatermark("timestamp", watermark)
-        .groupBy(window.alias("w"))
-        .agg(
-            F.count("*").alias("page_views"),
-            F.approx_count_distinct("session_id").alias("unique_sessions"),
-            F.approx_count_distinct("user_id").alias("unique_users"),
-            F.avg("time_on_page_seconds").alias("avg_time_on_page"),
-        )
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "page_views",
-                "unique_sessions", "unique_users", "avg_time_on_page")
-    )
+def _minutes(length: str) -> int:
+    n, unit = parse_span(length.removesuffix("s").removesuffix("S"))
+    if unit not in ("MINUTE", "HOUR", "DAY"):
+        raise ValueError("a window is some minutes, hours or days long")
+    return n * {"MINUTE": 1, "HOUR": 60, "DAY": 1440}[unit]
 
 
-def stream_realtime(
-    page_views: DataFrame, path: str, checkpoint: str, length: str = "1 minute", slide: str | None = None,
-    every: str | None = None,
-) -> StreamingQuery:
-    """Live traffic per window; each batch writes the windows it changed."""
-    return start_table(windowed_traffic(page_views, length, slide), path, checkpoint, "update", every)
+def stream_realtime(page_views: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Live traffic: states per minute, which ``finish_windows`` rolls up to any window."""
+    return stream_traffic(page_views, path, checkpoint, "minute", every)
+
+
+def finish_windows(states: DataFrame, length: str = "1 minute", slide: str | None = None) -> DataFrame:
+    """True traffic per tumbling or sliding window of whole minutes, from minute states.
 
+    Windows begin at multiples of ``slide`` (by default ``length``) from midnight 1970. Filter the states to the
+    dates asked for first: each goes into ``length / slide`` windows.
+    """
+    long, step = _minutes(length), _minutes(slide or length)
+    minute = F.unix_seconds(F.col("bucket").cast("timestamp")) / 60
+    last = F.floor(minute / step) * step
+    first = (F.floor((minute - long) / step) + 1) * step
+    begin = F.timestamp_seconds(F.col("_begin") * 60).cast("timestamp_ntz")
+    windows = states.withColumn("_begin", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"), F.lit(step).cast("bigint"))))
+    merged = finish_traffic(windows.withColumn("bucket", begin), "window_start")
+    end = F.col("window_start") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(long))
+    return merged.select("window_start", end.alias("window_end"), "page_views", "unique_sessions", "unique_users", "avg_time_on_page")
 
-def hourly_sales(purchases: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Revenue and orders per hour and game over completed purchases, batch or stream."""
-    completed = purchases.filter(F.col("status") == "completed")
-    if completed.isStreaming:
-        completed = completed.withWatermark("purchase_timestamp", watermark)
+
+def hourly_sales(purchases: DataFrame) -> DataFrame:
+    """Revenue and orders per hour and game over completed purchases."""
     return (
-        completed.groupBy(F.window("purchase_timestamp", "1 hour").alias("w"), "game_id")
+        purchases.filter(F.col("status") == "completed").groupBy(bucket("purchase_timestamp", "hour").alias("hour"), "game_id")
         .agg(F.sum("total_amount").alias("total_revenue"), F.count("*").alias("total_orders"))
-        .select(F.col("w.start").alias("hour"), "game_id", "total_revenue", "total_orders")
     )
 
 
 def stream_hourly_sales(purchases: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Hourly sales; each batch writes the hours it changed."""
-    return start_table(hourly_sales(purchases), path, checkpoint, "update", every)
+    """Hourly sales of each batch, as sums that add up over batches."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(hourly_sales(batch).withColumn("event_date", F.to_date("hour")), path, batch_id, ["event_date"])
+
+    return start(purchases, handle, checkpoint, every=every)
+
+
+def finish_sales(states: DataFrame) -> DataFrame:
+    """Revenue and orders per hour and game from merged sums."""
+    return states.groupBy("hour", "game_id").agg(F.sum("total_revenue").alias("total_revenue"), F.sum("total_orders").alias("total_orders"))
 
 
 def active_user_sketches(interactions: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shoplight.operators.sequences import latest_by_key
-
 
 def write_batch(
     df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()
@@ -41,18 +39,6 @@ def start(
     )
 
 
-def start_table(
-    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str | None = None
-) -> StreamingQuery:
-    """Write a stream's rows, or in update mode its changed rows, batch by batch."""
-    return start(stream, lambda df, batch_id: write_batch(df, path, batch_id), checkpoint, mode, every)
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """All rows of a stream table."""
     return spark.read.parquet(path).drop("batch_id")
-
-
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest version of each key of an update-mode table."""
-    return latest_by_key(spark.read.parquet(path), keys, ["batch_id"]).drop("batch_id")

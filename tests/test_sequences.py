@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplight.operators.sequences import (
-    behavior_flow, conversion_time, enrich_visits, growth_rate, hot_keys, latest_by_key, sessionise, status_history,
+    behavior_flow, conversion_time, enrich_visits, growth_rate, in_chunks, latest_by_key, sessionise, status_history,
     with_neighbours,
 )
 
@@ -39,12 +39,20 @@ def by_session(rows: list[tuple]) -> dict[str, list[tuple]]:
 
 
 @pytest.mark.parametrize("burst", [False, True])
-@pytest.mark.parametrize("hot_rows", [1_000_000, 50, 5, 0])
-def test_neighbours_do_not_depend_on_the_split(spark, hot_rows, burst):
-    rows = clicks(1, burst)
+@pytest.mark.parametrize("chunks", ["1", "8", "40"])
+def test_neighbours_do_not_depend_on_the_split(spark, chunks, burst, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", chunks)
+    try:
+        check_neighbours(spark, clicks(1, burst))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def check_neighbours(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
     found = with_neighbours(
-        df, ["session_id"], ["timestamp", "event_id"], previous=["page_url"], following=["timestamp"], hot_rows=hot_rows
+        df, ["session_id"], ["timestamp", "event_id"], previous=["page_url"], following=["timestamp"]
     )
     actual = {r.event_id: (r.step_number, r.prev_page_url, r.next_timestamp) for r in found.collect()}
     expected = {}
@@ -56,27 +64,32 @@ def test_neighbours_do_not_depend_on_the_split(spark, hot_rows, burst):
     assert actual == expected
 
 
-def test_hot_keys_are_found_and_bounded(spark):
-    df = spark.createDataFrame(clicks(2), SCHEMA)
-    assert [r.session_id for r in hot_keys(df, ["session_id"], "timestamp", 100).collect()] == ["bot"]
-    dense = hot_keys(spark.createDataFrame(clicks(2, burst=True), SCHEMA), ["session_id"], "timestamp", 100).first()
-    assert dense._fine is True
+def test_a_key_at_one_instant_is_cut_into_even_chunks(spark):
+    """A third of the rows is one session at one instant, a third has no session."""
+    rows = [(f"e{i:05d}", ["bot", None, f"s{i % 50}"][i % 3], "u", "/", START if i % 3 == 0 else START + dt.timedelta(seconds=i), 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    sizes = [r["count"] for r in in_chunks(df, ["session_id", "timestamp", "event_id"]).groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 2 * 6000 / 8
+    found = with_neighbours(df, ["session_id"], ["timestamp", "event_id"], previous=["event_id"], following=["event_id"]).collect()
+    assert len(found) == 6000
+    assert all(r.step_number == 1 and r.prev_event_id is None and r.next_event_id is None for r in found if r.session_id is None)
+    bot = sorted((r.step_number, r.event_id, r.prev_event_id, r.next_event_id) for r in found if r.session_id == "bot")
+    names = [f"e{i:05d}" for i in range(0, 6000, 3)]
+    assert bot == [(k + 1, n, names[k - 1] if k else None, names[k + 1] if k + 1 < len(names) else None) for k, n in enumerate(names)]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
-def test_behavior_flow(spark, hot_rows):
+def test_behavior_flow(spark):
     rows = clicks(3)
-    found = {r.event_id: r for r in behavior_flow(spark.createDataFrame(rows, SCHEMA), hot_rows=hot_rows).collect()}
+    found = {r.event_id: r for r in behavior_flow(spark.createDataFrame(rows, SCHEMA)).collect()}
     for group in by_session(rows).values():
         for i, row in enumerate(group):
             gap = int((row[4] - group[i - 1][4]).total_seconds()) if i else 0
             assert (found[row[0]].step_number, found[row[0]].time_since_previous_step_seconds) == (i + 1, gap)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
-def test_visits_fold_heartbeats(spark, hot_rows):
+def test_visits_fold_heartbeats(spark):
     rows = clicks(4)
-    found = enrich_visits(spark.createDataFrame(rows, SCHEMA), hot_rows=hot_rows).collect()
+    found = enrich_visits(spark.createDataFrame(rows, SCHEMA)).collect()
     expected = set()
     for key, group in by_session(rows).items():
         starts = [row for i, row in enumerate(group) if i == 0 or row[3] != group[i - 1][3]]
@@ -109,6 +122,12 @@ def test_sessions(spark, gap, seconds):
     assert sum(r.page_views for r in found) == len(rows)
 
 
+def test_anonymous_visitors_are_told_apart(spark):
+    rows = [(None, "a", START), (None, "b", START), (None, "a", START + dt.timedelta(minutes=1)), ("u", "c", START), ("u", "d", START)]
+    df = spark.createDataFrame(rows, "user_id string, session_id string, timestamp timestamp_ntz")
+    assert sorted((r.user_id or "", r.anonymous_session or "", r.page_views) for r in sessionise(df).collect()) == [("", "a", 2), ("", "b", 1), ("u", "", 2)]
+
+
 def test_a_pause_of_exactly_the_gap_stays_in_the_session(spark):
     times = [START, START + dt.timedelta(minutes=30), START + dt.timedelta(minutes=60, microseconds=1)]
     df = spark.createDataFrame([("u", t) for t in times], "user_id string, timestamp timestamp_ntz")
@@ -125,10 +144,9 @@ def test_status_history_is_null_safe(spark):
     rows = [(1, 1, "pending", day(1)), (1, 2, "pending", day(2)), (1, 3, None, day(3)), (1, 4, None, day(4)),
             (1, 5, "shipped", day(5)), (2, 1, None, day(1)), (2, 2, None, day(2)), (3, 1, "pending", day(1))]
     df = spark.createDataFrame(rows, "order_id int, seq int, order_status string, updated_at timestamp_ntz")
-    for hot_rows in (1_000_000, 1):
-        found = status_history(df, hot_rows=hot_rows).collect()
-        assert sorted((r.order_id, r.previous_status or "", r.new_status or "", r.created_at.day) for r in found) == [
-            (1, "", "shipped", 5), (1, "pending", "", 3)]
+    found = status_history(df).collect()
+    assert sorted((r.order_id, r.previous_status or "", r.new_status or "", r.created_at.day) for r in found) == [
+        (1, "", "shipped", 5), (1, "pending", "", 3)]
 
 
 def test_latest_by_key_breaks_ties(spark):
@@ -142,9 +160,8 @@ def test_conversion_time_needs_a_view_before(spark):
     rows = [("a", "s1", "view", at(0)), ("b", "s1", "purchase", at(15)), ("c", "s2", "purchase", at(1)),
             ("d", "s3", "purchase", at(1)), ("e", "s3", "view", at(2))]
     df = spark.createDataFrame(rows, "event_id string, session_id string, funnel_step string, purchase_timestamp timestamp_ntz")
-    for hot_rows in (1_000_000, 0):
-        found = {r.event_id: r.conversion_time_seconds for r in conversion_time(df, hot_rows).collect()}
-        assert found == {"b": 900, "c": None, "d": None}
+    found = {r.event_id: r.conversion_time_seconds for r in conversion_time(df).collect()}
+    assert found == {"b": 900, "c": None, "d": None}
 
 
 def test_growth_rate_from_zero_is_null(spark):

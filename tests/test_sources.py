@@ -56,9 +56,9 @@ def test_older_layout(spark):
 def test_append_reports_rows_and_batches(spark, tmp_path):
     df = spark.range(2501).select("id", (F.lit(AT) + F.make_dt_interval(F.lit(0), (F.col("id") % 50).cast("int"))).alias("timestamp"))
     path = f"{tmp_path}/t"
-    assert append_batches(df, path) == {"rows": 2501, "batches": 3}
-    assert append_batches(df.limit(0), path) == {"rows": 0, "batches": 0}
-    assert append_batches(df.limit(10), path, batch_rows=5) == {"rows": 10, "batches": 2}
+    assert append_batches(df, path) == {"rows": 2501}
+    assert append_batches(df.limit(0), path) == {"rows": 0}
+    assert append_batches(df.limit(10), path) == {"rows": 10}
     back = spark.read.parquet(path)
     assert back.count() == 2511 and back.select("event_date").distinct().count() == 3
 
