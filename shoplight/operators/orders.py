@@ -234,8 +234,12 @@ def game_library(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int) -> DataFrame:
-    """Arrays of whole rows per order, in ``order``, in pages of at most ``page_rows``: numbered, then grouped by page."""
-    entry = F.struct(*order, *[c for c in rows.columns if c not in ("order_id", *order)])
+    """Arrays of whole rows per order, in pages of at most ``page_rows``: numbered, then grouped by page.
+
+    Rows are in ``order``; the other columns break ties, in numbering and in the arrays alike.
+    """
+    order = [*order, *[c for c in rows.columns if c not in ("order_id", *order)]]
+    entry = F.struct(*order)
     numbered = with_neighbours(rows.filter(F.col("order_id").isNotNull()), ["order_id"], order, number="_no")
     page = F.floor((F.col("_no") - 1) / page_rows)
     return numbered.groupBy("order_id", page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias(name))

@@ -129,14 +129,14 @@ def jn_category_perf(v: ShopViews) -> DataFrame:
 
 def _order_documents_sql(page_rows: int) -> str:
     return f"""
-WITH lines AS (SELECT order_id, id, (row_number() OVER (PARTITION BY order_id ORDER BY created_at, id) - 1) // {page_rows} AS page,
-                      created_at, CAST(id AS VARCHAR) || ':' || quantity AS entry FROM order_items),
+WITH lines AS (SELECT order_id, id, (row_number() OVER (PARTITION BY order_id ORDER BY created_at, id, game_id, quantity) - 1) // {page_rows} AS page,
+                      created_at, game_id, quantity, CAST(id AS VARCHAR) || ':' || quantity AS entry FROM order_items),
      changed AS (SELECT order_id, before, order_status, updated_at FROM (
                      SELECT *, lag(order_status) OVER (PARTITION BY order_id ORDER BY updated_at, seq) AS before FROM status_snapshots)
                  WHERE before IS NOT NULL AND order_status <> before),
      changes AS (SELECT *, (row_number() OVER (PARTITION BY order_id ORDER BY updated_at, before, order_status) - 1) // {page_rows} AS page
                  FROM changed),
-     i AS (SELECT order_id, page, string_agg(entry, ',' ORDER BY created_at, id) AS items FROM lines GROUP BY ALL),
+     i AS (SELECT order_id, page, string_agg(entry, ',' ORDER BY created_at, id, game_id, quantity) AS items FROM lines GROUP BY ALL),
      h AS (SELECT order_id, page, string_agg(before || '>' || order_status || '@' || CAST(epoch_us(updated_at) AS VARCHAR), ','
                                              ORDER BY updated_at, before, order_status) AS changes FROM changes GROUP BY ALL),
      parts AS (SELECT order_id, page, items, changes FROM i FULL JOIN h USING (order_id, page))
