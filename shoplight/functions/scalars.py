@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, LongType
 
 # Funnel steps in their order.
 FUNNEL_STEPS = ("view", "add_to_cart", "checkout", "purchase")
@@ -47,6 +48,21 @@ def content_id(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *columns), 256)
 
 
+def given_time(text: Column) -> Column:
+    """The instant of an ISO-8601 text or of a number of milliseconds since 1970; NULL where it is neither."""
+    number = text.rlike("^-?[0-9]{9,15}$")
+    return F.when(number, F.timestamp_millis(text.try_cast("bigint"))).otherwise(F.try_to_timestamp(text))
+
+
 def event_time(text: Column, default: Column) -> Column:
-    """UTC time, cut to the second, of an ISO-8601 text; ``default`` where there is none."""
-    return F.date_trunc("SECOND", F.coalesce(F.try_to_timestamp(text), default.cast("timestamp")))
+    """UTC time, cut to the second, of a given time; ``default`` where there is none."""
+    return F.date_trunc("SECOND", F.coalesce(given_time(text), default.cast("timestamp")))
+
+
+def fitting(text: Column, kind: DataType) -> Column:
+    """The value of a text in a type, NULL where it does not fit; a whole number may be written with a fraction of zero."""
+    if isinstance(kind, (IntegerType, LongType)):
+        number = text.try_cast("double")
+        whole = F.when((number == F.floor(number)) & (F.abs(number) < 2**53), number.try_cast(kind))
+        return F.coalesce(text.try_cast(kind), whole)
+    return text.try_cast(kind)

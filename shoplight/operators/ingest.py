@@ -6,11 +6,11 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from shoplight.functions.scalars import content_id, event_time, or_default, page_category
+from shoplight.functions.scalars import content_id, event_time, fitting, given_time, or_default, page_category
 from shoplight.functions.times import moment
-from shoplight.schemas import ENVELOPE_EVENT, SINGLE_EVENT
+from shoplight.schemas import ENVELOPE_EVENT, ENVELOPE_TEXTS, SINGLE_EVENT
 
 # Event kinds that have a table.
 ROUTES = {
@@ -23,21 +23,62 @@ ROUTES = {
 BOUNCE_SECONDS = 10
 FULL_SCROLL = 100
 
-_BATCH = StructType([StructField("events", ArrayType(ENVELOPE_EVENT))])
+_BODY = StructType([StructField("events", ArrayType(ENVELOPE_TEXTS)), *SINGLE_EVENT.fields])
 
 
-def _events_of(body: str) -> Column:
-    return F.from_json(F.col(body), _BATCH)["events"]
+def unpack(raw: DataFrame, body: str = "body") -> DataFrame:
+    """The rows of ``raw`` with the texts of one event each (``_event``) and the form of their body (``_form``).
+
+    A body is a ``batch`` if it has events, else a ``single`` event if it has a type, else ``rejected``; the last
+    two give one row. Each body is parsed once: the generator keeps Spark from doing it again for later filters.
+    """
+    parsed = raw.select("*", F.explode(F.array(F.from_json(F.col(body), _BODY))).alias("_body"))
+    at = lambda name: F.col("_body")[name]
+    either = lambda snake, camel: F.coalesce(F.nullif(at(snake), F.lit("")), F.nullif(at(camel), F.lit("")))
+    inner = lambda name: at("metadata")[name]
+    outer = {
+        "event_type": either("event_type", "eventType"),
+        "event_id": either("event_id", "eventId"),
+        "session_id": either("session_id", "sessionId"),
+        "user_id": either("user_id", "userId"),
+        "game_id": F.coalesce(at("game_id"), at("gameId")),
+        "timestamp": F.coalesce(at("timestamp"), inner("timestamp")),
+        "interaction_type": F.coalesce(inner("interaction_type"), inner("action")),
+        "event_data": F.get_json_object(F.col(body), "$.metadata"),
+        "clicked_game_id": F.coalesce(at("game_id"), at("gameId")),
+    }
+    single = F.struct(*[outer.get(f.name, inner(f.name)).alias(f.name) for f in ENVELOPE_TEXTS.fields])
+    is_batch = F.coalesce(F.size(at("events")) > 0, F.lit(False))
+    form = F.when(is_batch, "batch").when(outer["event_type"].isNotNull(), "single").otherwise("rejected")
+    rows = F.when(is_batch, at("events")).otherwise(F.array(single))
+    return parsed.select(*raw.columns, form.alias("_form"), F.explode(rows).alias("_event"))
+
+
+def typed(unpacked: DataFrame) -> DataFrame:
+    """Events in the types of their fields, and ``misfits``: the given values that do not fit, with their fields.
+
+    A missing or empty value fits. ``event_data`` keeps the JSON as it came.
+    """
+    text = lambda name: F.col("_event")[name]
+    columns, wrong = [], []
+    for f in ENVELOPE_EVENT.fields:
+        value = text(f.name) if isinstance(f.dataType, StringType) else fitting(text(f.name), f.dataType)
+        columns.append(value.alias(f.name))
+        read = given_time(text("timestamp")) if f.name == "timestamp" else value
+        if f.name == "timestamp" or not isinstance(f.dataType, StringType):
+            given = (F.length(text(f.name)) > 0) & read.isNull()
+            wrong.append(F.when(given, F.struct(F.lit(f.name).alias("field"), text(f.name).alias("value"))))
+    return unpacked.select(*columns, F.filter(F.array(*wrong), lambda x: x.isNotNull()).alias("misfits"))
 
 
 def explode_batch(raw: DataFrame, body: str = "body") -> DataFrame:
     """One row per event of each batch body; bodies without events give none."""
-    return raw.select(F.explode(_events_of(body)).alias("event")).select("event.*")
+    return typed(unpack(raw, body).filter("_form = 'batch'"))
 
 
 def rejected_batches(raw: DataFrame, body: str = "body") -> DataFrame:
     """Bodies whose ``events`` is missing, no array, or empty."""
-    return raw.filter(F.coalesce(F.size(_events_of(body)), F.lit(0)) <= 0)
+    return unpack(raw, body).filter("_form <> 'batch'").select(*raw.columns)
 
 
 def normalise_single(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -45,37 +86,18 @@ def normalise_single(raw: DataFrame, body: str = "body") -> DataFrame:
 
     Both spellings of the outer names are read; the rest comes from ``metadata``.
     """
-    # A generator, so that the filter below cannot make Spark parse the body again.
-    event = raw.select(F.inline(F.array(F.from_json(F.col(body), SINGLE_EVENT))))
-    either = lambda snake, camel: F.coalesce(F.nullif(snake, F.lit("")), F.nullif(camel, F.lit("")))
-    outer = {
-        "event_type": either("event_type", "eventType"),
-        "event_id": either("event_id", "eventId"),
-        "session_id": either("session_id", "sessionId"),
-        "user_id": either("user_id", "userId"),
-        "game_id": F.coalesce("game_id", "gameId"),
-        "timestamp": F.coalesce("timestamp", F.col("metadata")["timestamp"]),
-        "interaction_type": F.coalesce(F.col("metadata")["interaction_type"], F.col("metadata")["action"]),
-        "event_data": F.col("metadata"),
-        "clicked_game_id": F.coalesce("game_id", "gameId"),
-    }
-    columns = [
-        outer.get(f.name, F.col("metadata")[f.name].try_cast(f.dataType)).alias(f.name) for f in ENVELOPE_EVENT.fields
-    ]
-    return event.select(*columns).filter(F.col("event_type").isNotNull())
+    return typed(unpack(raw, body).filter("_form = 'single'"))
 
 
 def rejected_singles(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Single-event bodies without an event type."""
-    kinds = raw.select("*", F.json_tuple(body, "event_type", "eventType").alias("_snake", "_camel"))
-    given = (F.length("_snake") > 0) | (F.length("_camel") > 0)
-    return kinds.filter(~F.coalesce(given, F.lit(False))).drop("_snake", "_camel")
+    """Bodies without events and without an event type."""
+    return unpack(raw, body).filter("_form = 'rejected'").select(*raw.columns)
 
 
 def ensure_event_id(events: DataFrame) -> DataFrame:
     """Fill a missing event id from the event's content, so a retry or replay gives the same id."""
     given = F.nullif("event_id", F.lit(""))
-    content = F.to_json(F.struct(*[c for c in events.columns if c != "event_id"]))
+    content = F.to_json(F.struct(*[c for c in events.columns if c not in ("event_id", "misfits")]))
     return events.withColumn("event_id", F.coalesce(given, content_id(content)))
 
 
@@ -89,8 +111,12 @@ def _base(received: dt.datetime | Column) -> list[Column]:
     ]
 
 
+def _fits() -> Column:
+    return F.size("misfits") == 0
+
+
 def _of_kind(events: DataFrame, table: str) -> DataFrame:
-    return ensure_event_id(events.filter(F.col("event_type") == ROUTES[table]))
+    return ensure_event_id(events.filter((F.col("event_type") == ROUTES[table]) & _fits()))
 
 
 def number_or_zero(name: str) -> Column:
@@ -119,7 +145,7 @@ def route_page_views(events: DataFrame, received: dt.datetime | Column) -> DataF
 
 def route_game_interactions(events: DataFrame, received: dt.datetime | Column) -> DataFrame:
     """Rows of the game interaction table; the interaction type becomes the event type."""
-    data = F.to_json(F.coalesce("event_data", F.create_map().cast("map<string,string>")))
+    data = F.coalesce(F.nullif("event_data", F.lit("")), F.lit("{}"))
     return _of_kind(events, "game_interactions").select(
         *_base(received), "game_id", "game_title", "game_category",
         F.col("interaction_type").alias("event_type"), data.alias("event_data"), text_or("page_context", ""),
@@ -145,9 +171,9 @@ def route_performance(events: DataFrame, received: dt.datetime | Column) -> Data
 
 
 def route_unknown(events: DataFrame) -> DataFrame:
-    """Events of a kind that has no table, or of none."""
+    """Events of a kind that has no table, or of none, and events with a value that does not fit; ``misfits`` names those."""
     known = F.coalesce(F.col("event_type").isin(*ROUTES.values()), F.lit(False))
-    return ensure_event_id(events.filter(~known))
+    return ensure_event_id(events.filter(~(known & _fits())))
 
 
 ROUTERS = {
@@ -159,10 +185,11 @@ ROUTERS = {
 
 
 def ingest_receipt(events: DataFrame) -> DataFrame:
-    """Events in total, per table and without a table, in one pass."""
-    per_table = [F.count_if(F.col("event_type") == kind).alias(table) for table, kind in ROUTES.items()]
+    """Events in total, per table and in quarantine, and how many of those for a value that does not fit; in one pass."""
+    per_table = [F.count_if((F.col("event_type") == kind) & _fits()).alias(table) for table, kind in ROUTES.items()]
     known = F.coalesce(F.col("event_type").isin(*ROUTES.values()), F.lit(False))
-    return events.agg(F.count("*").alias("total"), *per_table, F.count_if(~known).alias("quarantined"))
+    return events.agg(F.count("*").alias("total"), *per_table, F.count_if(~(known & _fits())).alias("quarantined"),
+                      F.count_if(~_fits()).alias("misfits"))
 
 
 def derive_flags(page_views: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'page_view') AS pa
        count(*) FILTER (WHERE event_type = 'game_interaction') AS game_interactions,
        count(*) FILTER (WHERE event_type = 'search') AS search_events,
        count(*) FILTER (WHERE event_type = 'performance') AS performance_metrics,
-       count(*) FILTER (WHERE event_type = 'purchase') AS quarantined
+       count(*) FILTER (WHERE event_type = 'purchase') AS quarantined, CAST(0 AS BIGINT) AS misfits
 FROM envelope_events""")
 def ing_receipt(v: ShopViews) -> DataFrame:
     return ingest.ingest_receipt(_events(v))
@@ -184,3 +184,40 @@ def ing_event_id(v: ShopViews) -> DataFrame:
         F.count_if(F.length("event_id") < 64).alias("given_ids"),
         F.count_if(F.length("event_id") == 64).alias("made_ids"),
     )
+
+
+@query("ing_odd_values", """
+SELECT event_id, CASE WHEN k % 8 IN (0, 3) THEN 'quarantine' WHEN k % 8 IN (5, 6) THEN 'game_interactions' ELSE 'page_views' END AS target,
+       CASE WHEN k % 8 <> 4 THEN session_id END AS session_id,
+       CASE WHEN k % 8 = 1 THEN k WHEN k % 8 IN (0, 3, 5, 6) THEN NULL ELSE 0 END AS seconds,
+       CASE k % 8 WHEN 5 THEN CAST(k AS VARCHAR) WHEN 6 THEN 'text' END AS inner_value,
+       CASE WHEN k % 8 NOT IN (0, 3) THEN date_trunc('second', timestamp) END AS timestamp,
+       CASE k % 8 WHEN 0 THEN 'time_on_page_seconds=' || k || '.7' WHEN 3 THEN 'timestamp=garbage' END AS misfit
+FROM ev""")
+def ing_odd_values(v: ShopViews) -> DataFrame:
+    """Fractions, numbers as texts, other forms of time, event data as an object and as text, missing sessions."""
+    k, part = F.col("k"), F.col("k") % 8
+    time = F.when(part == 2, F.unix_millis(F.col("timestamp").cast("timestamp")).cast("string")).when(part == 3, '"garbage"').otherwise(
+        F.concat(F.lit('"'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"')))
+    body = F.concat(
+        F.lit('{"events": [{"event_id": "'), "event_id", F.lit('", "event_type": "'),
+        F.when(part.isin(5, 6), "game_interaction").otherwise("page_view"), F.lit('", "timestamp": '), time,
+        F.when(part != 4, F.concat(F.lit(', "session_id": "'), "session_id", F.lit('"'))).otherwise(', "session_id": null'),
+        F.when(part == 0, F.concat(F.lit(', "time_on_page_seconds": '), k, F.lit(".7")))
+        .when(part == 1, F.concat(F.lit(', "time_on_page_seconds": "'), k, F.lit('"')))
+        .when(part == 5, F.concat(F.lit(', "event_data": {"a": 1, "b": {"c": '), k, F.lit("}}")))
+        .when(part == 6, F.lit(', "event_data": "{\\"b\\": {\\"c\\": \\"text\\"}}"')).otherwise(""),
+        F.lit("}]}"))
+    events = ingest.explode_batch(v.ev.select(body.alias("body")))
+    received = v.newest_event()
+    none = lambda kind: F.lit(None).cast(kind)
+    views = ingest.route_page_views(events, received).select(
+        "event_id", F.lit("page_views").alias("target"), "session_id", F.col("time_on_page_seconds").cast("int").alias("seconds"),
+        none("string").alias("inner_value"), "timestamp", none("string").alias("misfit"))
+    games = ingest.route_game_interactions(events, received).select(
+        "event_id", F.lit("game_interactions"), "session_id", none("int"), F.get_json_object("event_data", "$.b.c"), "timestamp", none("string"))
+    first = F.element_at("misfits", 1)
+    rest = ingest.route_unknown(events).select(
+        "event_id", F.lit("quarantine"), "session_id", none("int"), none("string"), none("timestamp"),
+        F.concat_ws("=", first["field"], first["value"]))
+    return views.unionAll(games).unionAll(rest)

@@ -130,14 +130,17 @@ ENVELOPE_EVENT = _schema(
     "event_type string, event_id string, session_id string, user_id string, timestamp string, page_url string, "
     "page_title string, page_category string, time_on_page_seconds bigint, scroll_depth_percentage int, "
     "exit_page boolean, bounce boolean, previous_page string, referrer string, game_id bigint, game_title string, "
-    "game_category string, interaction_type string, event_data map<string,string>, page_context string, "
+    "game_category string, interaction_type string, event_data string, page_context string, "
     "search_query string, search_category string, results_count bigint, clicked_result_position int, "
     "clicked_game_id bigint, no_results boolean, service_name string, metric_type string, metric_value double, "
     "unit string, endpoint string, status_code int, error_message string"
 )
 
+# All values as texts: what does not fit its type is told apart from what is missing.
+ENVELOPE_TEXTS = StructType([StructField(f.name, StringType()) for f in ENVELOPE_EVENT.fields])
+
 SINGLE_EVENT = _schema(
-    "eventType string, event_type string, userId string, user_id string, gameId bigint, game_id bigint, "
+    "eventType string, event_type string, userId string, user_id string, gameId string, game_id string, "
     "sessionId string, session_id string, eventId string, event_id string, timestamp string, "
     "metadata map<string,string>"
 )

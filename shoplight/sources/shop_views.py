@@ -174,7 +174,7 @@ class ShopViews:
             F.when(k % 6 != 0, F.lit("search")).alias("referrer"),
             k.cast("bigint").alias("game_id"),
             F.when(k % 3 == 0, "view").otherwise("purchase").alias("interaction_type"),
-            F.when(k % 5 != 0, F.create_map(F.lit("interaction_value"), F.col("value").cast("string"))).alias("event_data"),
+            F.when(k % 5 != 0, F.struct(F.col("value").cast("string").alias("interaction_value"))).alias("event_data"),
             F.concat(F.lit("game "), k).alias("search_query"),
             (k % 10).cast("bigint").alias("results_count"),
             (k % 4).alias("clicked_result_position"),

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shoplight.operators import ingest
 from shoplight.schemas import SORT_KEYS
+from shoplight.session import stored
 from shoplight.streaming.tables import start, write_batch
 
 
@@ -23,12 +24,12 @@ def read_bodies(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
 def route_batch(bodies: DataFrame, out: str, batch_id: int, received: dt.datetime) -> None:
     """Unpack one micro-batch of both body forms, write its four tables, the quarantine and the receipt.
 
-    A body is a batch if it has events, else a single event if it has a type, else it is rejected.
+    A body is a batch if it has events, else a single event if it has a type, else it is rejected. Each body is
+    parsed once for all the tables; the parsed batch is a stored table, so a lost executor costs no body.
     """
-    no_batch = ingest.rejected_batches(bodies)
-    events = ingest.explode_batch(bodies).unionByName(ingest.normalise_single(no_batch))
-    rejected = ingest.rejected_singles(no_batch)
-    events.persist()
+    unpacked = stored(ingest.unpack(bodies.select("body")), "intake")
+    events = ingest.typed(unpacked.filter("_form <> 'rejected'"))
+    rejected = unpacked.filter("_form = 'rejected'")
     dated = lambda rows: rows.withColumn("event_date", F.to_date("timestamp"))
     writes = [
         (table, dated(router(events, received)), ["event_date"], SORT_KEYS[table]) for table, router in ingest.ROUTERS.items()
@@ -41,12 +42,9 @@ def route_batch(bodies: DataFrame, out: str, batch_id: int, received: dt.datetim
     write = inheritable_thread_target(bodies.sparkSession)(
         lambda name, rows, partition_by, sort_by: write_batch(rows, f"{out}/{name}", batch_id, partition_by, sort_by)
     )
-    try:
-        with ThreadPoolExecutor(len(writes)) as pool:
-            for done in [pool.submit(write, *job) for job in writes]:
-                done.result()
-    finally:
-        events.unpersist()
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(write, *job) for job in writes]:
+            done.result()
 
 
 def stream_ingest(bodies: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -50,7 +50,7 @@ def test_page_views(events):
 
 def test_interactions_carry_json(events):
     found = {r.event_type: r for r in ingest.route_game_interactions(events, NOW).collect()}
-    assert json.loads(found["add_to_cart"].event_data) == {"quantity": "2"}
+    assert json.loads(found["add_to_cart"].event_data) == {"quantity": 2}
     assert found["view"].event_data == "{}" and len(found["view"].event_id) == 64 and found["view"].page_context == ""
 
 
@@ -68,6 +68,7 @@ def test_performance_has_a_metric_id(events):
 def test_unknown_kinds_are_kept_and_the_receipt_adds_up(events):
     assert sorted(r.event_id for r in ingest.route_unknown(events).collect()) == ["b1", "n1"]
     receipt = ingest.ingest_receipt(events).first().asDict()
+    assert receipt.pop("misfits") == 0
     assert receipt.pop("total") == sum(receipt.values()) == len(EVENTS)
     assert receipt["quarantined"] == 2
 
@@ -90,9 +91,28 @@ def test_single_bodies(spark):
     assert (view.session_id, view.page_url, view.time_on_page_seconds, view.bounce) == ("s", "/", 9, True)
     assert view.timestamp == "2025-01-15T10:00:00Z"
     assert (search.clicked_game_id, search.search_query, search.results_count) == (4, "cars", None)
+    assert [tuple(m) for m in search.misfits] == [("results_count", "many")] and view.misfits == []
+    assert json.loads(view.event_data) == bodies[0]["metadata"]
     assert ingest.rejected_singles(raw).count() == 3
 
 
+def test_values_fit_or_are_reported(spark):
+    given = [("a", {"time_on_page_seconds": 12.7}), ("b", {"time_on_page_seconds": "abc"}), ("c", {"time_on_page_seconds": "12", "game_id": "7"}),
+             ("d", {"timestamp": "garbage"}), ("e", {"timestamp": 1736935200123}), ("f", {"time_on_page_seconds": 5.0, "bounce": "true"}),
+             ("g", {"time_on_page_seconds": "", "timestamp": ""}), ("h", {"bounce": "perhaps", "scroll_depth_percentage": "1e9999"})]
+    body = json.dumps({"events": [{"event_type": "page_view", "event_id": i, **fields} for i, fields in given]})
+    events = ingest.explode_batch(spark.createDataFrame([(body,)], "body string"))
+    kept = {r.event_id: r for r in ingest.route_page_views(events, NOW).collect()}
+    assert set(kept) == {"c", "e", "f", "g"}
+    assert (kept["c"].time_on_page_seconds, kept["f"].time_on_page_seconds, kept["f"].bounce, kept["g"].time_on_page_seconds) == (12, 5, True, 0)
+    assert str(kept["e"].timestamp.replace(tzinfo=None)).startswith("2025-01-15 10:00:00")
+    found = {r.event_id: sorted(tuple(m) for m in r.misfits) for r in ingest.route_unknown(events).collect()}
+    assert found == {"a": [("time_on_page_seconds", "12.7")], "b": [("time_on_page_seconds", "abc")], "d": [("timestamp", "garbage")],
+                     "h": [("bounce", "perhaps"), ("scroll_depth_percentage", "1e9999")]}
+    receipt = ingest.ingest_receipt(events).first()
+    assert (receipt.total, receipt.page_views, receipt.quarantined, receipt.misfits) == (8, 4, 4, 4)
+
+
 def test_flags(spark):
     views = spark.createDataFrame([("/shop.html", 9, None, 120.4), ("/", 10, "", 33.5)], "page_url string, time_on_page_seconds int, referrer string, scroll_depth_percentage double")
     found = ingest.derive_flags(views).collect()
