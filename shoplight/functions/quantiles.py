@@ -7,51 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplight.session import stored
+from shoplight.operators.sequences import in_chunks
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, accuracy: int = 100_000) -> DataFrame:
-    """Interpolated percentile ``q`` of ``value`` per group, as column ``percentile``.
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
+    """Interpolated percentile ``q`` of ``value`` per group, as column ``percentile``; NULL values do not count.
 
-    A sketch first brackets the percentile between two values a few ranks apart. The
-    second pass counts the values below the bracket and, value by value, those inside, so
-    only a small fraction of a group (``20 / accuracy``) is put in order. In a group too small
-    for its ranks to be told apart the bracket is the whole group. A bracket that
-    misses the wanted rank stops the job instead of giving a wrong number.
-
-    The brackets, one row per group, are computed at once and stored: a sketch merged again after
-    a lost task may differ, and a stored table has a size by which Spark picks the join.
+    Equal values are counted together first. The counted values are cut into ranges of group and value, added
+    up inside each range, and moved by the sum of the group's ranges before: every group takes this path, and no
+    task orders more than its range, however the groups are spread.
     """
     keys = list(keys)
-    margin = 10.0 / accuracy
-    bounds = F.percentile_approx(value, F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))), F.lit(accuracy))
-    small = F.col("_n") < int(4 / margin)
-    brackets = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys)
-        .agg(F.count("*").alias("_n"), bounds.alias("_b"), F.min(value).alias("_min"), F.max(value).alias("_max"))
-        .select(
-            *keys,
-            ((F.col("_n") - 1) * F.lit(q)).alias("_rank"),
-            F.when(small, F.col("_min")).otherwise(F.col("_b")[0]).alias("_low"),
-            F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_high"),
-        )
-    )
-    # Values below the bracket share the single key NULL, which sorts first.
-    counted = (
-        df.select(*keys, value).join(stored(brackets, "brackets"), keys).filter(F.col(value) <= F.col("_high"))
-        .groupBy(*keys, "_rank", F.when(F.col(value) >= F.col("_low"), F.col(value)).alias("_value"))
-        .agg(F.count("*").alias("_rows"))
-    )
-    upto = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_value")).rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumn("_upto", F.sum("_rows").over(upto))
-    at = lambda rank: F.min_by("_value", F.when(F.col("_upto") > rank, F.col("_upto")))
-    low_rank, high_rank = F.floor("_rank"), F.ceil("_rank")
-    found = running.groupBy(*keys, "_rank").agg(
-        at(low_rank).alias("_at_low"), at(high_rank).alias("_at_high"),
-        F.sum(F.when(F.col("_value").isNull(), F.col("_rows")).otherwise(0)).alias("_below"),
-        F.sum("_rows").alias("_seen"),
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
+    ranges = in_chunks(counted, [*keys, "_value"], "counted-values")
+    by_key = Window.partitionBy(*keys)
+    ahead = by_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    wholes = ranges.groupBy(*keys, "_chunk").agg(F.sum("_rows").alias("_whole")).select(
+        *keys, "_chunk", F.coalesce(F.sum("_whole").over(ahead), F.lit(0)).alias("_ahead"),
+        ((F.sum("_whole").over(by_key) - 1) * F.lit(q)).alias("_rank"),
     )
-    inside = (F.col("_below") <= low_rank) & (F.col("_seen") > high_rank)
-    blend = F.col("_at_low") + (F.col("_at_high") - F.col("_at_low")) * (F.col("_rank") - low_rank)
-    missed = F.raise_error(F.lit("percentile bracket missed; raise accuracy"))
-    return found.select(*keys, F.when(inside, blend).otherwise(missed).alias("percentile"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranges.withColumn("_upto", F.sum("_rows").over(inside)).alias("r").join(
+        wholes.alias("w"), [*(F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys), F.col("r._chunk") == F.col("w._chunk")]
+    ).select(*[F.col(f"r.{k}").alias(k) for k in keys], "_value", "_rows", "_rank", (F.col("_upto") + F.col("_ahead")).alias("_upto"))
+    at = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_rows") <= rank), F.col("_value")))
+    low_rank = F.floor("_rank")
+    found = placed.groupBy(*keys, "_rank").agg(at(low_rank).alias("_low"), at(F.ceil("_rank")).alias("_high"))
+    return found.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_rank") - low_rank)).alias("percentile"))

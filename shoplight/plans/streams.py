@@ -11,7 +11,7 @@ from shoplight.schemas import RAW_TABLES
 from shoplight.session import work_dir
 from shoplight.sources.shop_views import ShopViews
 from shoplight.streaming import intake, sessions, status, summaries
-from shoplight.streaming.tables import read_table
+from shoplight.streaming.tables import read_states, read_table
 
 
 class StreamViews(ShopViews):
@@ -79,7 +79,7 @@ FROM page_views GROUP BY 1""")
 def str_hourly(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "hourly")
     summaries.stream_traffic(_live(v).page_views, f"{root}/states", f"{root}/checkpoint", "hour").awaitTermination()
-    hours = summaries.finish_traffic(read_table(v.spark, f"{root}/states"), "metric_hour")
+    hours = summaries.finish_traffic(read_states(v.spark, f"{root}/states"), "metric_hour")
     return hours.select(
         "metric_hour", F.lit("hourly_summary").alias("metric_type"), F.col("page_views").alias("total_events"),
         "unique_sessions", "unique_users", F.lit(0).alias("total_revenue"), "avg_time_on_page",
@@ -94,7 +94,7 @@ def str_hourly_sales(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "sales")
     live = ShuffledStreamViews(v, root)
     summaries.stream_hourly_sales(live.purchase_events, f"{root}/sales", f"{root}/checkpoint").awaitTermination()
-    return summaries.finish_sales(read_table(v.spark, f"{root}/sales"))
+    return summaries.finish_sales(read_states(v.spark, f"{root}/sales"))
 
 
 _DAU = """SELECT CAST(timestamp AS DATE) AS date, game_id, count(DISTINCT user_id) AS unique_users
@@ -140,7 +140,7 @@ def _realtime(v: ShopViews, length: str, slide: str | None) -> DataFrame:
     root = work_dir(v.spark, "realtime")
     live = ShuffledStreamViews(v, root)
     summaries.stream_realtime(live.page_views, f"{root}/states", f"{root}/checkpoint").awaitTermination()
-    return summaries.finish_windows(read_table(v.spark, f"{root}/states"), length, slide)
+    return summaries.finish_windows(read_states(v.spark, f"{root}/states"), length, slide)
 
 
 @query("str_sessions", sessions_sql("30 MINUTE", "some_anonymous"))
@@ -148,7 +148,7 @@ def str_sessions(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "sessions")
     events = ShuffledStreamViews(v, root).some_anonymous.select("user_id", "session_id", "timestamp")
     sessions.stream_sessions(events, f"{root}/slots", f"{root}/checkpoint").awaitTermination()
-    return sessions.finish_sessions(read_table(v.spark, f"{root}/slots"))
+    return sessions.finish_sessions(read_states(v.spark, f"{root}/slots"))
 
 
 @query("str_status_history", """

@@ -24,6 +24,12 @@ def stream_sessions(
     return start(events, handle, checkpoint, every=every)
 
 
+def merge_slots(slots: DataFrame) -> DataFrame:
+    """Slots of several batches as one, for ``compact``."""
+    return slots.groupBy("user_id", "anonymous_session", "slot", "event_date").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"))
+
+
 def finish_sessions(slots: DataFrame, gap: str = "30 MINUTE") -> DataFrame:
     """All sessions so far, open ones included; ``gap`` is the one the slots were made with."""
     return fold_slots(slots.drop("event_date"), gap)

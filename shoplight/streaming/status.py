@@ -2,39 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from shoplight.operators.sequences import latest_by_key, with_neighbours
-from shoplight.streaming.tables import start, write_batch
+from shoplight.session import stored
+from shoplight.streaming.tables import drop_folder, start, write_batch
 
 # Every so many batches the whole state is written once, so a batch reads few folders.
 FULL_EVERY = 20
+# The state lies in so many folders by order; a batch reads those of its orders.
+BUCKETS = 64
 
 
-def _stored(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
-    """The last status per order before ``batch_id``: the newest full state and the changes since."""
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("order_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _state(spark: SparkSession, path: str, batch_id: int, schema: StructType, buckets: list[int] | None = None) -> DataFrame:
+    """The last status per order before ``batch_id``: the newest full state and the changes since, of some buckets or all."""
     full = batch_id // FULL_EVERY * FULL_EVERY - 1
     folders = [f"{path}/full/batch_id={full}"] if full >= 0 else []
     folders += [f"{path}/changes/batch_id={i}" for i in range(full + 1, batch_id)]
-    if not folders:
+    rows = None
+    for folder in folders:  # each with its own partitions
+        part = spark.read.schema(schema).parquet(folder)
+        part = part if buckets is None else part.filter(F.col("bucket").isin(buckets))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
         return spark.createDataFrame([], schema)
-    return latest_by_key(spark.read.schema(schema).parquet(*folders), ["order_id"], ["as_of_batch"])
+    return latest_by_key(rows, ["order_id"], ["as_of_batch"])
 
 
 def record_changes(batch: DataFrame, path: str, batch_id: int) -> None:
     """Write one micro-batch's status changes and the statuses it leaves behind.
 
     Inside the batch each snapshot is compared with the one before; an order's first snapshot
-    is compared with its stored status. Only folders of earlier batches are read, so a batch
-    that is run again gives the same rows.
+    is compared with its stored status. Only folders of earlier batches are read, and of the state only the
+    buckets of the batch's orders, so a batch that is run again gives the same rows. States that no rerun
+    can need any more are removed.
     """
     order = ["updated_at", "seq"]
-    columns = batch.select("order_id", "order_status", F.lit(batch_id).cast("bigint").alias("as_of_batch"))
-    stored = _stored(batch.sparkSession, f"{path}/state", batch_id, columns.schema)
-    before = stored.select("order_id", F.col("order_status").alias("_stored"))
+    spark = batch.sparkSession
+    columns = batch.select("order_id", "order_status", F.lit(batch_id).cast("bigint").alias("as_of_batch"), _bucket())
+    buckets = [r.bucket for r in batch.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
+    before = _state(spark, f"{path}/state", batch_id, columns.schema, buckets).select("order_id", F.col("order_status").alias("_stored"))
 
     seen = with_neighbours(batch, ["order_id"], order, previous=["order_status"], number="_no")
     # Only an order's first snapshot meets the stored statuses: one row per order on both sides.
@@ -48,11 +62,16 @@ def record_changes(batch: DataFrame, path: str, batch_id: int) -> None:
     )
     write_batch(changes, f"{path}/history", batch_id)
 
-    last = latest_by_key(batch, ["order_id"], order).select(*columns.columns[:2]).withColumn("as_of_batch", F.lit(batch_id).cast("bigint"))
-    write_batch(last, f"{path}/state/changes", batch_id)
+    last = latest_by_key(batch, ["order_id"], order).select(
+        "order_id", "order_status", F.lit(batch_id).cast("bigint").alias("as_of_batch"), _bucket())
+    write_batch(last, f"{path}/state/changes", batch_id, ["bucket"])
     if batch_id % FULL_EVERY == FULL_EVERY - 1:
-        everything = _stored(batch.sparkSession, f"{path}/state", batch_id, columns.schema).unionByName(last)
-        write_batch(latest_by_key(everything, ["order_id"], ["as_of_batch"]), f"{path}/state/full", batch_id)
+        everything = _state(spark, f"{path}/state", batch_id, columns.schema).unionByName(last)
+        write_batch(latest_by_key(everything, ["order_id"], ["as_of_batch"]), f"{path}/state/full", batch_id, ["bucket"])
+        for old in range(max(0, batch_id - 2 * FULL_EVERY + 1), batch_id - FULL_EVERY + 1):
+            drop_folder(spark, f"{path}/state/changes/batch_id={old}")
+        if batch_id >= 2 * FULL_EVERY:
+            drop_folder(spark, f"{path}/state/full/batch_id={batch_id - 2 * FULL_EVERY}")
 
 
 def stream_status_history(
@@ -61,10 +80,6 @@ def stream_status_history(
     """Record status changes below ``path`` as order snapshots arrive: ``history`` and ``state``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            record_changes(batch, path, batch_id)
-        finally:
-            batch.unpersist()
+        record_changes(stored(batch, "snapshots"), path, batch_id)
 
     return start(snapshots, handle, checkpoint, every=every)

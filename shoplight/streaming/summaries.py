@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoplight.functions.times import bucket, parse_span
-from shoplight.streaming.tables import start, write_batch
+from shoplight.streaming.tables import read_states, start, write_batch
 
 
 def traffic_states(page_views: DataFrame, unit: str) -> DataFrame:
@@ -37,6 +37,12 @@ def stream_traffic(
     return start(page_views, handle, checkpoint, every=every)
 
 
+def merge_traffic(states: DataFrame) -> DataFrame:
+    """Traffic states of several batches as one, for ``compact``."""
+    return states.groupBy("bucket", "session_id", "user_id", "event_date").agg(
+        F.sum("views").alias("views"), F.sum("seconds").alias("seconds"), F.sum("timed").alias("timed"))
+
+
 def finish_traffic(states: DataFrame, name: str) -> DataFrame:
     """True views, distinct sessions, distinct users and mean time per bucket from merged states."""
     return states.groupBy(F.col("bucket").alias(name)).agg(
@@ -93,6 +99,13 @@ def stream_hourly_sales(purchases: DataFrame, path: str, checkpoint: str, every:
     return start(purchases, handle, checkpoint, every=every)
 
 
+def merge_sales(states: DataFrame) -> DataFrame:
+    """Sums of several batches as one, for ``compact``."""
+    kind = states.schema["total_revenue"].dataType
+    return states.groupBy("hour", "game_id", "event_date").agg(
+        F.sum("total_revenue").cast(kind).alias("total_revenue"), F.sum("total_orders").alias("total_orders"))
+
+
 def finish_sales(states: DataFrame) -> DataFrame:
     """Revenue and orders per hour and game from merged sums."""
     return states.groupBy("hour", "game_id").agg(F.sum("total_revenue").alias("total_revenue"), F.sum("total_orders").alias("total_orders"))
@@ -101,21 +114,26 @@ def finish_sales(states: DataFrame) -> DataFrame:
 def active_user_sketches(interactions: DataFrame) -> DataFrame:
     """One mergeable sketch of viewing users per day and game."""
     return interactions.filter(F.col("event_type") == "view").groupBy(
-        F.to_date("timestamp").alias("date"), "game_id"
+        F.to_date("timestamp").alias("event_date"), "game_id"
     ).agg(F.hll_sketch_agg("user_id").alias("users"))
 
 
 def stream_dau(interactions: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Daily active users per game, as sketches."""
     return start(
-        interactions, lambda df, batch_id: write_batch(active_user_sketches(df), path, batch_id, ["date"]), checkpoint,
+        interactions, lambda df, batch_id: write_batch(active_user_sketches(df), path, batch_id, ["event_date"]), checkpoint,
         every=every,
     )
 
 
+def merge_dau(sketches: DataFrame) -> DataFrame:
+    """Sketches of several batches as one, for ``compact``."""
+    return sketches.groupBy("event_date", "game_id").agg(F.hll_union_agg("users").alias("users"))
+
+
 def finish_dau(spark: SparkSession, path: str) -> DataFrame:
     """Estimated daily active users from the merged sketches."""
-    return spark.read.parquet(path).groupBy("date", "game_id").agg(
+    return read_states(spark, path).groupBy(F.col("event_date").alias("date"), "game_id").agg(
         F.hll_sketch_estimate(F.hll_union_agg("users")).alias("unique_users")
     )
 

@@ -6,6 +6,7 @@ replaces its folder, so each batch counts once.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,72 @@ def start(
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """All rows of a stream table."""
     return spark.read.parquet(path).drop("batch_id")
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[list[str], object, object]:
+    """Names below ``path``, its file system, and the class of paths."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = to_path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+    return found, files, to_path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that no reader uses any more."""
+    _, files, to_path = _folders(spark, path)
+    files.delete(to_path(path), True)
+
+
+def _merged(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
+    """The newest finished compaction: its last batch, its date and its folder."""
+    names, files, to_path = _folders(spark, f"{path}-merged")
+    done = sorted(n for n in names if files.exists(to_path(f"{path}-merged/{n}/_SUCCESS")))
+    if not done:
+        return None
+    _, batch, _, before = done[-1].split("_")
+    return int(batch), before, f"{path}-merged/{done[-1]}"
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a table of mergeable states: the last compaction, and what came after it.
+
+    Rows of a closed date that arrived after the compaction are in later batches, so none is lost or counted
+    twice. Filter on ``event_date`` to read the files of some dates only.
+    """
+    live = spark.read.parquet(path)
+    merged = _merged(spark, path)
+    if merged is None:
+        return live.drop("batch_id")
+    batch, before, folder = merged
+    newer = live.filter((F.col("batch_id") > batch) | (F.col("event_date") >= F.to_date(F.lit(before))))
+    return newer.drop("batch_id").unionByName(spark.read.parquet(folder))
+
+
+def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame], before: dt.date) -> None:
+    """Merge all states of dates before ``before`` into one folder, and remove what it replaces.
+
+    A compaction counts once its success marker is there, so one that fails changes nothing. It is named by the
+    last batch it holds; a reader skips the older batches' rows of these dates, whether removed yet or not.
+    """
+    names, _, _ = _folders(spark, path)
+    batches = sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
+    if not batches:
+        return
+    old = _merged(spark, path)
+    folder = f"{path}-merged/batch_{batches[-1]:012d}_before_{before:%Y-%m-%d}"
+    if old and old[2] == folder:
+        return
+    closed = merge(read_states(spark, path).filter(F.col("event_date") < F.lit(before)))
+    closed.hint("rebalance", F.col("event_date")).write.mode("overwrite").partitionBy("event_date").parquet(folder)
+    if old:
+        drop_folder(spark, old[2])
+    for batch in batches:
+        dates, _, _ = _folders(spark, f"{path}/batch_id={batch}")
+        days = [d for d in dates if d.startswith("event_date=")]
+        gone = [d for d in days if d.removeprefix("event_date=") < before.isoformat()]
+        if len(gone) == len(days) and batch != batches[-1]:
+            drop_folder(spark, f"{path}/batch_id={batch}")
+        else:
+            for day in gone:
+                drop_folder(spark, f"{path}/batch_id={batch}/{day}")

@@ -80,13 +80,13 @@ def test_event_time(spark):
 
 
 @pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.95, 1.0])
-def test_exact_percentile_uses_its_bracket(spark, q):
-    """Groups large enough for the bracket, one of them a third of all rows, one with few values."""
+def test_exact_percentile(spark, q):
+    """Groups over several ranges, one of them with a third of all rows, one with few values, one without a name."""
     rng = np.random.default_rng(7)
     groups = {"hot": rng.lognormal(3, 2, 6000), "few": rng.integers(0, 4, 5000).astype(float),
-              "flat": rng.random(5000), "tiny": rng.random(3), "one": np.array([4.0]), "same": np.full(5000, 2.5)}
+              "flat": rng.random(5000), "tiny": rng.random(3), "one": np.array([4.0]), "same": np.full(5000, 2.5), None: rng.random(700)}
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("few", None)] * 50
     df = spark.createDataFrame(rows, "g string, x double").repartition(8)
-    found = {r.g: r.percentile for r in exact_percentile(df, ["g"], "x", q, accuracy=1000).collect()}
+    found = {r.g: r.percentile for r in exact_percentile(df, ["g"], "x", q).collect()}
     for g, xs in groups.items():
         assert found[g] == pytest.approx(np.quantile(xs, q), rel=1e-12), g

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shoplight.operators.sequences import sessionise, status_history
 from shoplight.operators.traffic import traffic_by
 from shoplight.streaming import intake, sessions, status, summaries
-from shoplight.streaming.tables import read_table
+from shoplight.streaming.tables import compact, read_states, read_table
 
 START = dt.datetime(2024, 1, 1)
 VIEWS = "session_id string, user_id string, time_on_page_seconds bigint, timestamp timestamp"
@@ -167,3 +167,34 @@ def test_streams_over_empty_input(spark, tmp_path):
     stream = source(spark, f"{tmp_path}/in", empty.schema)
     summaries.stream_traffic(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     sessions.stream_sessions(stream.select("user_id", "timestamp"), f"{tmp_path}/s", f"{tmp_path}/ck2").awaitTermination()
+
+
+def test_files_of_a_day_stay_level_and_compaction_loses_nothing(spark, tmp_path):
+    path, files = f"{tmp_path}/states", {}
+    rows = []
+    for batch in range(61):
+        day = START + dt.timedelta(days=batch // 20)
+        new = [(f"s{batch % 7}", "u", 5, day), ("late", "v", 1, START)]
+        rows += new
+        states = summaries.traffic_states(spark.createDataFrame(new, VIEWS), "hour").withColumn("event_date", F.to_date("bucket"))
+        summaries.write_batch(states.coalesce(1), path, batch, ["event_date"])
+        if batch % 10 == 9:
+            compact(spark, path, summaries.merge_traffic, dt.date(2024, 1, 10))
+        if batch in (20, 40, 60):
+            files[batch] = sum("event_date=2024-01-01" in f for f in read_states(spark, path).inputFiles())
+            found = summaries.finish_traffic(read_states(spark, path), "hour")
+            expected = traffic_by(spark.createDataFrame(rows, VIEWS), "hour", "hour")
+            assert rows_of(found) == rows_of(expected.select(*found.columns))
+    assert max(files.values()) <= files[20] + 1
+
+
+def test_old_status_folders_go_and_batches_read_their_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(status, "FULL_EVERY", 4)
+    rows = [(i % 9, i, ["pending", "shipped"][i % 2], START + dt.timedelta(minutes=i)) for i in range(130)]
+    schema = "order_id bigint, seq int, order_status string, updated_at timestamp"
+    for batch in range(13):
+        status.record_changes(spark.createDataFrame(rows[batch * 10 : batch * 10 + 10], schema), f"{tmp_path}", batch)
+        kept = len(list((tmp_path / "state" / "changes").iterdir())) + len(list((tmp_path / "state").glob("full/*")))
+        assert kept <= 3 * 4
+    key = lambda df: sorted((r.order_id, r.previous_status, r.new_status, r.created_at) for r in df.collect())
+    assert key(read_table(spark, f"{tmp_path}/history")) == key(status_history(spark.createDataFrame(rows, schema)))
