@@ -3,11 +3,11 @@
 1. Every text becomes its set of five-word shingles. Equal sets are one node, whatever the number of copies.
 2. Each task gives the signatures of the nodes it meets, once per node, as packed arrays that are dealt out by signature.
    Signatures that one node alone has are dropped there.
-3. In each signature's group the node that shares most is the pivot, and the others are compared with it.
-   That settles groups of near copies without their pairs.
-4. Members that were not similar to the pivot are compared with the rest of their group, in blocks: first by
-   bitmaps, which can only rule pairs out that are too far apart, then one pair for each two components, then all pairs
-   that are left between components. No link between components is lost.
+3. In each signature's group the smallest node is the pivot, and the others are compared with it. That settles
+   most groups of near copies without their pairs.
+4. Where a group's members lie in several components, they are compared in blocks by bitmaps, which can only rule out pairs
+   that are too far apart. In a few rounds each component gives its nearest pair with another one; then all pairs
+   that are left between components are compared. No link between components is lost.
 5. Links become components by spreading the smallest id.
 
 Every pair is confirmed on the whole texts.
@@ -30,8 +30,10 @@ from shoplight.session import prepare, stored
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 # Bytes of text whose signatures are packed together, and nodes of one packing at most (16-bit numbers).
 PACK_BYTES, PACK_NODES = 4 << 20, 60_000
-# Members of one block in step 4.
-BLOCK = 512
+# Members of one block in step 4, and rounds in which a component gives one pair only.
+BLOCK, ROUNDS = 512, 3
+# Bits of a signature that are packed; those of its bucket come on top. Two signatures taken for one only cost a comparison.
+PACKED_BITS = 48
 
 
 def node_of(values: np.ndarray) -> tuple[int, int]:
@@ -123,9 +125,10 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         if not nodes:
             return
         signature, owner = np.concatenate(found), np.concatenate(owners)
-        bucket = (signature % np.uint64(buckets)).astype(np.int64)
+        bucket = ((signature >> np.uint64(PACKED_BITS)) * np.uint64(buckets) >> np.uint64(64 - PACKED_BITS)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         signature, owner, bucket = signature[order], owner[order], bucket[order]
+        low = signature.view(np.uint8).reshape(-1, 8)[:, : PACKED_BITS // 8]  # little-endian
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         names, every = [], np.array(nodes, dtype=np.int64)
         payloads = []
@@ -135,18 +138,21 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 own, place = np.unique(mine, return_inverse=True)
                 names.append(b)
                 payloads.append(np.array([len(own), len(mine)], dtype="<u4").tobytes() + every[own].tobytes()
-                                + signature[cuts[b] : cuts[b + 1]].tobytes() + place.astype("<u2").tobytes())
+                                + low[cuts[b] : cuts[b + 1]].tobytes() + place.astype("<u2").tobytes())
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, nodes = [], []
+        width = PACKED_BITS // 8
         for batch in batches:
-            for value in batch.column("payload"):
+            for bucket, value in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
                 raw = value.as_buffer()
                 n, m = np.frombuffer(raw, dtype="<u4", count=2).tolist()
                 every = np.frombuffer(raw, dtype=np.int64, count=n, offset=8)
-                found.append(np.frombuffer(raw, dtype=np.uint64, count=m, offset=8 + 8 * n).copy())
-                nodes.append(every[np.frombuffer(raw, dtype="<u2", count=m, offset=8 + 8 * n + 8 * m)])
+                full = np.zeros((m, 8), dtype=np.uint8)
+                full[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=width * m, offset=8 + 8 * n).reshape(m, width)
+                found.append(full.view(np.uint64).ravel() | np.uint64(bucket % (1 << (64 - PACKED_BITS)) << PACKED_BITS))
+                nodes.append(every[np.frombuffer(raw, dtype="<u2", count=m, offset=8 + 8 * n + width * m)])
         if not found:
             return
         signature, node = np.concatenate(found), np.concatenate(nodes)
@@ -171,15 +177,8 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         counts = counts[counts > 1]
         if not len(counts):
             return
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        # The pivot shares most with others, summed over this task's groups.
-        distinct, place = np.unique(node, return_inverse=True)
-        weight = np.bincount(place, weights=np.repeat(counts, counts).astype(float))[place]
-        best = np.repeat(np.maximum.reduceat(weight, starts), counts)
-        first = np.flatnonzero(weight == best)
-        group = np.repeat(np.arange(len(counts)), counts)
-        first = first[np.flatnonzero(np.diff(group[first], prepend=-1))]
-        pivot = np.repeat(node[first], counts)
+        # The pivot is the smallest node: nodes that share many groups then mostly have one pivot in all of them.
+        pivot = np.repeat(node[np.concatenate([[0], np.cumsum(counts)[:-1]])], counts)
         for a in range(0, len(node), 100_000):
             part = slice(a, a + 100_000)
             yield pa.RecordBatch.from_pydict({
@@ -249,32 +248,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Nodes with the label of their component so far."""
-    if labels is None:
-        return nodes.withColumn("label", F.col("rep"))
-    own = labels.withColumnRenamed("id", "rep")
-    return nodes.join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+def joined_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with new labels, after links between ids of nodes; the components so far are the ids of a smaller graph."""
+    own = nodes.select("rep", "label")
+    side = lambda name: own.select(F.col("rep").alias(name), F.col("label").alias(f"{name}_label"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    labels = components(between).select(F.col("id").alias("label"), F.col("label").alias("joined"))
+    return stored(nodes.join(labels, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined"), "nodes")
 
 
 def open_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The members of groups in which some node is not in its pivot's component, with their blocks.
+    """The members of groups whose nodes lie in several components, with the number of blocks of their group.
 
-    Groups of two are settled, as their one pair was compared.
+    Groups of two are settled, as their one pair was compared. A settled group stays settled.
     """
-    pivots = nodes.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-    rows = stored(members.join(nodes, "node").join(pivots, "pivot").select(
-        "signature", "node", "pivot", "label", "pivot_label", "size", "bitmap"), "members")
-    counts = (rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") != F.col("pivot_label")).cast("int")).alias("apart"))
+    label = nodes.select("node", "label")
+    pivot = nodes.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+    apart = members.select("signature", "node", "pivot").join(label, "node").join(pivot, "pivot")
+    counts = (apart.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("pivot_label")).alias("apart"))
               .filter("apart > 0 AND n > 2").select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    return rows.join(stored(counts, "open-groups"), "signature")
+    return stored(members.select("signature", "node", "pivot").join(stored(counts, "open-groups"), "signature"), "members")
 
 
-def cross_pairs(rows: DataFrame, best: bool) -> DataFrame:
+def cross_pairs(members: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of open groups between components that the bitmaps do not rule out and that hold no pivot.
 
-    With ``best``, of each two components in a block only the pair with the nearest bitmaps.
+    With ``best``, of each component in a block only the pair with the nearest bitmaps.
     """
+    rows = members.join(nodes.select("node", "label", "size", "bitmap"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (rows.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("signature", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label",
@@ -285,7 +286,7 @@ def cross_pairs(rows: DataFrame, best: bool) -> DataFrame:
         node, label, size, block = (np.array(chunk[c]) for c in ("node", "label", "size", "block"))
         pivot = np.array(chunk["is_pivot"])
         maps = folded(chunk["bitmap"])
-        found_a, found_b, gaps, sides = [], [], [], []
+        found_a, found_b, gaps = [], [], []
         for k in range(len(node) - 1):
             rest = slice(k + 1, None)
             ok = (label[rest] != label[k]) & ~pivot[rest] & (not pivot[k])
@@ -298,10 +299,12 @@ def cross_pairs(rows: DataFrame, best: bool) -> DataFrame:
             gaps += gap[hits].tolist()
         a, b = np.array(found_a, dtype=np.int64), np.array(found_b, dtype=np.int64)
         if best and len(a):
-            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-            order = np.lexsort((np.array(gaps), high, low))
-            first = np.flatnonzero((np.diff(low[order], prepend=low[order][:1] - 1) != 0) | (np.diff(high[order], prepend=high[order][:1] - 1) != 0))
-            a, b = a[order[first]], b[order[first]]
+            # Each pair counts for both its components; of each component the nearest stays.
+            sides, twice = np.concatenate([label[a], label[b]]), np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((twice, np.tile(np.array(gaps), 2), sides))
+            first = np.flatnonzero(np.diff(sides[order], prepend=sides[order][:1] - 1) != 0)
+            kept = np.unique(twice[order[first]])
+            a, b = a[kept], b[kept]
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,13 +350,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = stored(source.join(wanted, source.doc_id == wanted.rep).select("node", "rep", "text").distinct(), "texts")
     pairs = stored(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stored(confirmed(near_enough(pairs, nodes), texts), "links")
-    labels = components(links)
-    for best in (True, False):
-        rows = open_groups(members, stored(labelled(nodes, labels), "labelled"))
-        found = stored(confirmed(cross_pairs(rows, best), texts), "links")
-        links = links.unionByName(found)
-        labels = components(links)
-    own = stored(labelled(nodes, labels).select("node", F.col("label").alias("component")), "components")
+    nodes = joined_components(nodes.withColumn("label", F.col("rep")), links)
+    for turn in range(ROUNDS + 1):
+        members = open_groups(members, nodes)
+        pairs = stored(cross_pairs(members, nodes, best=turn < ROUNDS), "pairs")
+        if not pairs.limit(1).count():
+            break
+        nodes = joined_components(nodes, stored(confirmed(pairs, texts), "links"))
+    own = nodes.select("node", F.col("label").alias("component"))
     return sets.join(own, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
