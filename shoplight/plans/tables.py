@@ -134,7 +134,7 @@ SELECT CAST(timestamp AS DATE) AS date, page_category, count(*) AS page_views,
        count(DISTINCT session_id) AS unique_sessions, count(DISTINCT user_id) AS unique_users
 FROM page_views WHERE timestamp >= {as_of} - INTERVAL 30 DAY GROUP BY 1, 2""")
 def snk_csv_roundtrip(v: ShopViews) -> DataFrame:
-    as_of = v.newest_event()
+    as_of = v.newest_event_value()
     export = export_page_views(v.page_views, as_of=as_of).select(
         "date", "page_category", "page_views", "unique_sessions", "unique_users"
     )

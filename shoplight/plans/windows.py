@@ -91,7 +91,7 @@ WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, event_id)""")
 def win_behavior_flow_hot(v: ShopViews) -> DataFrame:
     """A third of the rows is one session at one instant, another third has none."""
     third = F.col("event_no") % 3
-    newest = v.base("events").agg(F.max("ts")).scalar()
+    newest = v.newest_event()
     rows = v.ev.select(
         "event_id", F.when(third == 0, "hot").when(third == 1, F.col("session_id")).alias("session_id"), "kind",
         F.when(third == 0, newest).otherwise(F.col("timestamp")).alias("timestamp"))

@@ -32,12 +32,13 @@ class ShopViews:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW_TABLES[name]).parquet(f"{self.root}/{name}.parquet")
 
-    def newest_event(self) -> dt.datetime:
-        """The time that stands for "now": the newest event. One value reaches the driver."""
-        return self.base("events").agg(F.max("ts")).first()[0]
+    def newest_event(self) -> Column:
+        """The time that stands for "now": the newest event, found when the query runs."""
+        return self.base("events").agg(F.max("ts")).scalar()
 
-    def newest_order(self) -> dt.datetime:
-        return self.base("orders").agg(F.max("o_orderdate")).first()[0]
+    def newest_event_value(self) -> dt.datetime:
+        """The same as a value, for names of folders. One value reaches the driver."""
+        return self.base("events").agg(F.max("ts")).first()[0]
 
     # ---- events -----------------------------------------------------------------------
 
