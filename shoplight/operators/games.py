@@ -44,7 +44,7 @@ def game_popularity(
 def game_revenue_join(
     interactions: DataFrame, purchases: DataFrame, length: str = "7 DAY", as_of: AsOf = None
 ) -> DataFrame:
-    """Interactions joined to all purchases of the same game, per title: the fan-out figures.
+    """Interactions joined to all purchases of the same game, per title, most interactions first: the fan-out figures.
 
     Every interaction counts once per purchase of its game and every purchase once per
     interaction. These are products of per-game totals, so the pairs are never built.
@@ -69,7 +69,7 @@ def game_revenue_join(
     same &= totals["game_category"].eqNullSafe(sessions["game_category"])
     return totals.join(sessions, same, "left").select(
         totals["game_title"], totals["game_category"], "interactions", "unique_sessions", "purchases", "revenue"
-    )
+    ).orderBy(F.desc("interactions"), "game_title", "game_category")
 
 
 def game_revenue_dedup(
@@ -134,7 +134,7 @@ def leaderboard(
 def export_interactions(
     interactions: DataFrame, length: str = "30 DAY", as_of: AsOf = None, value_path: str = "$.interaction_value"
 ) -> DataFrame:
-    """Daily interactions by game and type, with purchase revenue read from the event's JSON, for export."""
+    """Daily interactions by game and type, with purchase revenue read from the event's JSON, for export: newest day and most interactions first."""
     value = F.coalesce(F.get_json_object("event_data", value_path).try_cast("decimal(18,2)"), F.lit(0))
     return (
         trailing(interactions, "timestamp", length, as_of)
@@ -147,4 +147,5 @@ def export_interactions(
             F.count_distinct("session_id").alias("unique_sessions"),
             F.sum(F.when(F.col("event_type") == "purchase", value).otherwise(0)).alias("revenue"),
         )
+        .orderBy(F.desc("date"), F.desc("interactions"), "game_id", "game_title", "game_category", "interaction_type")
     )
