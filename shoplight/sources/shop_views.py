@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from shoplight.functions.scalars import page_category
 from shoplight.functions.times import seconds_between
-from shoplight.schemas import RAW_TABLES
+from shoplight.schemas import PAYMENT_METHODS, RAW_TABLES
+
+
+# Services that the test data stand for.
+SERVICES = ("frontend", "game-service", "order-service", "analytics-service")
 
 
 def pick(index: Column, *values: str) -> Column:
@@ -94,7 +98,7 @@ class ShopViews:
             amount.alias("unit_price"),
             F.lit(0).cast("decimal(10,2)").alias("discount_amount"),
             amount.alias("total_amount"),
-            pick(F.col("k"), "credit_card", "debit_card", "paypal", "bank_transfer").alias("payment_method"),
+            pick(F.col("k"), *PAYMENT_METHODS).alias("payment_method"),
             F.col("timestamp").alias("purchase_timestamp"),
             F.col("event_type").alias("funnel_step"),
             F.when(F.col("k") % 10 == 0, "pending").otherwise("completed").alias("status"),
@@ -133,7 +137,7 @@ class ShopViews:
     def performance_metrics(self) -> DataFrame:
         return self.ev.select(
             F.col("event_id").alias("metric_id"),
-            pick(F.col("user_no"), "frontend", "game-service", "order-service", "analytics-service").alias("service_name"),
+            pick(F.col("user_no"), *SERVICES).alias("service_name"),
             F.col("kind").alias("metric_type"),
             F.col("value").alias("metric_value"),
             F.lit("ms").alias("unit"),
@@ -179,7 +183,7 @@ class ShopViews:
             F.concat(F.lit("game "), k).alias("search_query"),
             (k % 10).cast("bigint").alias("results_count"),
             (k % 4).alias("clicked_result_position"),
-            pick(F.col("user_no"), "frontend", "game-service", "order-service", "analytics-service").alias("service_name"),
+            pick(F.col("user_no"), *SERVICES).alias("service_name"),
             F.lit("response_time").alias("metric_type"),
             F.col("value").alias("metric_value"),
             F.when(k % 2 == 0, 200).otherwise(0).alias("status_code"),
@@ -270,7 +274,7 @@ class ShopViews:
             F.col("o_custkey").alias("customer_id"),
             F.when(status == "P", "pending").when(status == "O", "shipped").otherwise("delivered").alias("order_status"),
             total.alias("total_amount"),
-            pick(key, "credit_card", "debit_card", "paypal", "bank_transfer").alias("payment_method"),
+            pick(key, *PAYMENT_METHODS).alias("payment_method"),
             pick(key, "paid", "pending", "refunded").alias("payment_status"),
             F.when(key % 10 != 0, F.col("o_custkey") * 2).alias("shipping_address_id"),
             (F.col("o_custkey") * 2 + 1).alias("billing_address_id"),

@@ -140,7 +140,7 @@ def test_newest_rows_are_trimmed_before_the_shuffle(views):
     assert plan(latest_reviews(views.game_reviews)).count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("name", sorted(n for n in REGISTRY if n.startswith(("agg_", "jn_", "win_", "flt_", "ord_", "txt_", "dq_", "ing_"))))
+@pytest.mark.parametrize("name", sorted(n for n in REGISTRY if n.startswith(("agg_", "jn_", "win_", "flt_", "ord_", "txt_", "dq_", "ing_", "src_", "snk_"))))
 def test_no_python_and_no_cross_joins(spark, name):
     text = plan(entry_point.queries()[name](spark, ROOT))
     for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
