@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 # The white space of the contracts: 0x20 and 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
+# Rows of an Arrow batch at most.
+BATCH_ROWS = 2000
 # Parts that the rows of one label are dealt to before a sample is taken.
-SALTS = 64
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +99,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` by a function of this package."""
+    """``mapInArrow`` by a function of this package, in batches of whole texts that stay small."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
