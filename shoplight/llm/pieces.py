@@ -25,7 +25,7 @@ from shoplight.session import prepare
 
 SPACE_MARK = "▁"
 # Spans whose ids one task keeps; beyond that it starts over.
-CACHED_SPANS, CACHED_BYTES = 600_000, 32 << 20
+CACHED_SPANS, CACHED_BYTES = 1_000_000, 48 << 20
 # Every span that a task meets is compared with the library; so is every such text of an Arrow batch as a whole.
 WHOLE_CHECKS = 16
 NO_PAIR = np.iinfo(np.int64).max
