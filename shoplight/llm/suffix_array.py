@@ -79,31 +79,37 @@ def _induce_buckets(t: np.ndarray, is_s: np.ndarray, sorted_lms: np.ndarray, k:
 
 
 def _induce_symbols(t: np.ndarray, is_s: np.ndarray, sorted_lms: np.ndarray, k: int) -> np.ndarray:
-    """The same, one symbol at a time."""
-    text, kinds = t.tolist(), is_s.tolist()
-    sizes = np.bincount(t, minlength=k)
-    ends = np.cumsum(sizes)
-    array = [-1] * len(text)
+    """The same, one symbol at a time.
+
+    The array is read while it is filled: each entry places the suffix before it at the next free place of its
+    bucket, from the left for type L and from the right for type S. ``n`` stands for an empty place.
+    """
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=k))
+    array = [n] * n
     tails = (ends - 1).tolist()
-    for i in reversed(sorted_lms.tolist()):
-        c = text[i]
+    for i, c in zip(sorted_lms[::-1].tolist(), t[sorted_lms[::-1]].tolist()):
         array[tails[c]] = i
         tails[c] -= 1
-    heads = (ends - sizes).tolist()
-    for place in range(len(array)):
-        i = array[place] - 1
-        if i >= 0 and not kinds[i]:
-            c = text[i]
-            array[heads[c]] = i
-            heads[c] += 1
-    tails = (ends - 1).tolist()
-    for place in range(len(array) - 1, -1, -1):
-        i = array[place] - 1
-        if i >= 0 and kinds[i]:
-            c = text[i]
-            array[tails[c]] = i
-            tails[c] -= 1
-    array[0] = len(text) - 1
+    # The bucket of the suffix before each, where that has the type.
+    before = np.full(n + 1, -1, dtype=np.int64)
+    before[1:n] = np.where(is_s[:-1], -1, t[:-1])
+    to, heads = before.tolist(), np.concatenate([[0], ends[:-1]]).tolist()
+    for i in array:
+        c = to[i]
+        if c >= 0:
+            place = heads[c]
+            array[place] = i - 1
+            heads[c] = place + 1
+    before[1:n] = np.where(is_s[:-1], t[:-1], -1)
+    to, tails = before.tolist(), (ends - 1).tolist()
+    for i in reversed(array):
+        c = to[i]
+        if c >= 0:
+            place = tails[c]
+            array[place] = i - 1
+            tails[c] = place - 1
+    array[0] = n - 1
     return np.array(array, dtype=np.int64)
 
 

@@ -34,7 +34,7 @@ from shoplight.session import prepare, stored
 WINDOW = 100
 GRAM = 32
 # Bytes of text packed together, segments' owners at most (16-bit numbers), and bytes of one anchor piece of a long text.
-PACK_BYTES, PACK_DOCS, PIECE = 4 << 20, 60_000, 1 << 22
+PACK_BYTES, PACK_DOCS, PIECE = 4 << 20, 60_000, 1 << 20
 # A shard is closed at the first anchor behind so many bytes.
 SHARD_BYTES = 1 << 20
 NO_ID = 2**63 - 1  # documents without an id come last
@@ -117,6 +117,7 @@ def dealt_segments(rows: DataFrame) -> DataFrame:
                 part: list[bytes] = []
                 owners: list[int] = []
                 bases: list[int] = []
+                size = 0
                 for number, one in zip(numbers, texts):
                     key, mark = keys[number], (keys[number][1], len(one))
                     # A later copy is removed as a whole; only the text with the smallest id counts.
@@ -127,14 +128,15 @@ def dealt_segments(rows: DataFrame) -> DataFrame:
                         part.append(piece)
                         owners.append(len(names))
                         bases.append(at)
+                        size += len(piece)
+                        if size >= 1 << 20:
+                            found.append(_located(part, owners, bases))
+                            part, owners, bases, size = [], [], [], 0
                     names.append(key)
-                    if sum(map(len, part[-64:])) > (1 << 20) or len(part) >= 512:
-                        found.append(_located(part, owners, bases))
-                        part, owners, bases = [], [], []
                     if len(names) >= PACK_DOCS:
                         found += [_located(part, owners, bases)] if part else []
                         yield _packed(names, found, buckets)
-                        names, found, part, owners, bases = [], [], [], [], []
+                        names, found, part, owners, bases, size = [], [], [], [], [], 0
                 found += [_located(part, owners, bases)] if part else []
                 if found:
                     yield _packed(names, found, buckets)
