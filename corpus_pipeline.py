@@ -39,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values become pseudonyms; no document goes."""
+    """Personal values become pseudonyms; no document goes. Other columns, such as the raw length, stay as they are."""
     return pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark))
 
 

@@ -28,8 +28,8 @@ from shoplight.session import prepare, stored
 
 # A bitmap has twice as many bits as its set has shingles, between these bounds.
 LEAST_BITS, MOST_BITS = 64, 1 << 16
-# Bytes of text whose signatures are packed together, and nodes of one packing at most (16-bit numbers).
-PACK_BYTES, PACK_NODES = 4 << 20, 60_000
+# Bytes of text whose signatures are packed together, and nodes after which a packing is closed.
+PACK_BYTES, PACK_NODES = 4 << 20, 40_000
 # Members of one block in step 4, and rounds in which a component gives one pair only.
 BLOCK, ROUNDS = 512, 3
 # Bits of a signature that are packed; those of its bucket come on top. Two signatures taken for one only cost a comparison.
@@ -102,24 +102,24 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        nodes, found, owners, size = [], [], [], 0
         for batch in batches:
-            for keys, texts in text_slices(batch, "doc_id", "text", PACK_BYTES):
-                nodes, found, owners = [], [], []
-                for start in range(0, len(texts), 512):  # the working arrays of few texts at a time
-                    fresh, fresh_nodes = [], []
-                    for key, values in zip(keys[start : start + 512], shingle_sets(texts[start : start + 512])):
-                        if key is not None and len(values) and (node := node_of(values)[0]) not in seen:
-                            seen.add(node)
-                            fresh.append(values)
-                            fresh_nodes.append(node)
-                    signature, owner = signatures(fresh)
-                    found.append(signature)
-                    owners.append(owner + len(nodes))
-                    nodes += fresh_nodes
-                    if len(nodes) > PACK_NODES - 512:
-                        yield from packed(nodes, found, owners)
-                        nodes, found, owners = [], [], []
-                yield from packed(nodes, found, owners)
+            for keys, texts in text_slices(batch, "doc_id", "text", 1 << 20):
+                fresh, fresh_nodes = [], []
+                for key, values in zip(keys, shingle_sets(texts)):
+                    if key is not None and len(values) and (node := node_of(values)[0]) not in seen:
+                        seen.add(node)
+                        fresh.append(values)
+                        fresh_nodes.append(node)
+                signature, owner = signatures(fresh)
+                found.append(signature)
+                owners.append(owner + len(nodes))
+                nodes += fresh_nodes
+                size += sum(map(len, texts))
+                if size >= PACK_BYTES or len(nodes) >= PACK_NODES:
+                    yield from packed(nodes, found, owners)
+                    nodes, found, owners, size = [], [], [], 0
+        yield from packed(nodes, found, owners)
 
     def packed(nodes: list[int], found: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not nodes:
@@ -138,7 +138,7 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 own, place = np.unique(mine, return_inverse=True)
                 names.append(b)
                 payloads.append(np.array([len(own), len(mine)], dtype="<u4").tobytes() + every[own].tobytes()
-                                + low[cuts[b] : cuts[b + 1]].tobytes() + place.astype("<u2").tobytes())
+                                + low[cuts[b] : cuts[b + 1]].tobytes() + place.astype("<u4" if len(own) > 65_535 else "<u2").tobytes())
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 full = np.zeros((m, 8), dtype=np.uint8)
                 full[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=width * m, offset=8 + 8 * n).reshape(m, width)
                 found.append(full.view(np.uint64).ravel() | np.uint64(bucket % (1 << (64 - PACKED_BITS)) << PACKED_BITS))
-                nodes.append(every[np.frombuffer(raw, dtype="<u2", count=m, offset=8 + 8 * n + width * m)])
+                nodes.append(every[np.frombuffer(raw, dtype="<u4" if n > 65_535 else "<u2", count=m, offset=8 + 8 * n + width * m)])
         if not found:
             return
         signature, node = np.concatenate(found), np.concatenate(nodes)
