@@ -138,6 +138,24 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert replaced(spark, texts, "other")[0] != out[0]
 
 
+def test_pseudonyms_of_other_forms(spark):
+    texts = ["(555) 123-4567", "555-123-4567", "+1 555.123.4567", "+33 1 42 68 53 00", "01 42 68 53 00", "020 7946 0958", "1-800-555-0199",
+             "DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034 THE END", "12/25/1999", "03/14/2001", "1/25/1999", "1/2/1999", "25.1.1999", "1999-1-2",
+             "иван@mail.ru", "李雷@b.cn", "DE12 4539 5787 6362 1486 00"]
+    out = replaced(spark, texts)
+    for before, after in zip(texts, out):
+        assert after != before and (re.sub("[0-9]+", "0", after) == re.sub("[0-9]+", "0", before) or re.search("DE89|BE68|@", before))
+    assert out[0].replace("(", "").replace(") ", "-") == out[1] == out[2][3:].replace(".", "-") and out[3][4:] == out[4][1:]
+    for iban in (out[7], out[8].removesuffix(" THE END")):
+        plain = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert all(int(out[i].split("/")[1]) > 12 for i in (9, 10, 11))
+    assert re.fullmatch("[Ѐ-ӿԀ-ԯᲀ-ᲈꙀ-ꚟ]{4}@mail.ru", out[15]) and re.fullmatch("[一-鿿]{2}@b.cn", out[16])
+    assert out[17][:4] == "DE12" and out[17][-3:] == " 00" and luhn(out[17][5:24].replace(" ", ""))
+    kept = ["99/99/1999", "version 1.2.3", "DE89 3704 0044 0532 0130 01", "+1 2 3", "1/2/3"]
+    assert replaced(spark, kept) == kept
+
+
 def test_permutations_are_one_to_one(spark):
     numbers = spark.range(60 * 7).select(pseudonyms.permuted_number(pseudonyms.F.col("id"), 60, 7, "k").alias("n"))
     assert sorted(r.n for r in numbers.collect()) == list(range(420))
