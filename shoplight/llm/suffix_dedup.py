@@ -6,13 +6,15 @@ only text that could repeat should be sorted:
 1. The anchor of a window is its byte group of ``GRAM`` bytes with the smallest hash, the leftmost of equals. It
    depends on the window's bytes alone, so equal windows have equal anchors. Neighbouring windows that share
    an anchor form a segment. Each task packs its segments (anchor hash, place, hash of the segment, no text) and deals
-   them out by anchor.
+   them out by anchor. Of equal segments in one pack only the earliest goes to its anchor; the others are repeats.
 2. An anchor that one segment alone has cannot repeat. Equal segments are entered into the arrays as one string,
    for its earliest place; the windows of the others are repeats.
 3. Where an anchor has several different segments, their text is fetched, and the shards of such anchors
    get a suffix array by induced sorting and common prefixes in text order. Neighbours in the array with ``WINDOW``
    bytes in common are equal windows; all but the earliest are repeats.
-4. The bytes that repeats cover are merged to spans per document.
+4. An anchor whose different segments are more than one shard is split by its windows: each window is known by a digest
+   of its own 100 bytes, partial aggregates give the earliest place of each, and all other windows are repeats.
+5. The bytes that repeats cover are merged to spans per document.
 
 Whole copies are settled by a digest of the text first, so a group of copies gives each task few segments.
 """
@@ -35,8 +37,9 @@ WINDOW = 100
 GRAM = 32
 # Bytes of text packed together, segments' owners at most (16-bit numbers), and bytes of one anchor piece of a long text.
 PACK_BYTES, PACK_DOCS, PIECE = 4 << 20, 60_000, 1 << 20
-# A shard is closed at the first anchor behind so many bytes.
+# A shard is closed at the first anchor behind so many bytes; an anchor with more is split by its windows.
 SHARD_BYTES = 1 << 20
+DIGEST_BYTES = 16
 NO_ID = 2**63 - 1  # documents without an id come last
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +104,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def dealt_segments(rows: DataFrame) -> DataFrame:
-    """(bucket, payload): packed segments by bucket of their anchor."""
+    """(bucket, payload): packed segments by bucket of their anchor; those that repeat within a pack in buckets below 0."""
     spark = rows.sparkSession
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * tasks
@@ -151,19 +154,37 @@ def _located(part: list[bytes], owners: list[int], bases: list[int]) -> dict[str
     return found
 
 
+def _later_equals(x: dict[str, np.ndarray], ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which segments of a pack are equal to an earlier one in it."""
+    key = mix(x["whole"] ^ mix(x["anchor"] + (x["lead"] * 256 + x["windows"]).astype(np.uint64)))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    shared = np.zeros(len(order), dtype=bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    some = order[shared]
+    own = [x[c][some] for c in ("whole", "windows", "lead", "anchor")]
+    owner = x["owner"][some]
+    turn = np.lexsort((x["start"][some], hashes[owner], ids[owner], *own))
+    later = np.zeros(len(order), dtype=bool)
+    later[some[turn[1:]]] = np.all([v[turn][1:] == v[turn][:-1] for v in own], axis=0)
+    return later
+
+
 def _packed(names: list[tuple[int, int]], found: list[dict[str, np.ndarray]], buckets: int) -> pa.RecordBatch:
     all_of = {c: np.concatenate([f[c] for f in found]) for c in FIELDS}
+    ids, hashes = (np.array(x, dtype=np.int64) for x in zip(*names))
     bucket = (all_of["anchor"] % np.uint64(buckets)).astype(np.int64)
+    bucket[_later_equals(all_of, ids, hashes)] = buckets
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    ids, hashes = (np.array(x, dtype=np.int64) for x in zip(*names))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 2))
     numbers, payloads = [], []
-    for b in range(buckets):
+    for b in [*range(buckets), buckets]:
         mine = order[cuts[b] : cuts[b + 1]]
         if len(mine):
             own, place = np.unique(all_of["owner"][mine], return_inverse=True)
             columns = [(place if c == "owner" else all_of[c][mine]).astype(kind).tobytes() for c, kind in FIELDS.items()]
-            numbers.append(b)
+            numbers.append(b if b < buckets else -1 - int(hashes[0]) % buckets)
             payloads.append(b"".join([np.array([len(own), len(mine)], dtype="<u4").tobytes(), ids[own].tobytes(), hashes[own].tobytes(), *columns]))
     return pa.RecordBatch.from_pydict({"bucket": pa.array(numbers, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
@@ -180,10 +201,23 @@ def _unpacked(payload: pa.Buffer) -> dict[str, np.ndarray]:
 
 
 def matched(dealt: DataFrame) -> DataFrame:
-    """(id, h, start, end, anchor): bytes that repeat, without an anchor; and segments that the arrays need, with theirs."""
+    """(id, h, start, end, anchor, hot): bytes that repeat, without an anchor; and segments to be compared, with theirs.
+
+    Anchors with more than ``SHARD_BYTES`` of segments are hot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpacked(v.as_buffer()) for batch in batches for v in batch.column("payload")]
+        parts = []
+        for batch in batches:
+            for bucket, value in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+                part = _unpacked(value.as_buffer())
+                if bucket >= 0:
+                    parts.append(part)
+                    continue
+                start, none = part["start"].astype(np.int64), len(part["start"])
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array(part["id"]), "h": pa.array(part["h"]), "start": pa.array(start),
+                    "end": pa.array(start + part["windows"] + (WINDOW - 1)), "anchor": pa.nulls(none, pa.int64()), "hot": pa.array([False] * none)})
         if not parts:
             return
         anchor = np.concatenate([p["anchor"] for p in parts])
@@ -214,15 +248,17 @@ def matched(dealt: DataFrame) -> DataFrame:
         group = np.cumsum(new_anchor) - 1
         several = (np.bincount(group, weights=first) > 1)[group]
         end = x["start"].astype(np.int64) + x["windows"] + (WINDOW - 1)
+        hot = (np.bincount(group, weights=first * (x["windows"] + (WINDOW - 1.0))) > SHARD_BYTES)[group]
         chosen = ~first | several
         wanted = (first & several)[chosen]
         for a in range(0, len(wanted), 100_000):
             part = np.flatnonzero(chosen)[a : a + 100_000]
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(x["id"][part]), "h": pa.array(x["h"][part]), "start": pa.array(x["start"][part].astype(np.int64)),
-                "end": pa.array(end[part]), "anchor": pa.array(x["anchor"][part].view(np.int64), mask=~wanted[a : a + 100_000])})
+                "end": pa.array(end[part]), "anchor": pa.array(x["anchor"][part].view(np.int64), mask=~wanted[a : a + 100_000]),
+                "hot": pa.array(hot[part] & wanted[a : a + 100_000])})
 
-    return map_batches(dealt, run, "id long, h long, start long, end long, anchor long")
+    return map_batches(dealt, run, "id long, h long, start long, end long, anchor long, hot boolean")
 
 
 def fetched(involved: DataFrame) -> DataFrame:
@@ -243,6 +279,37 @@ def fetched(involved: DataFrame) -> DataFrame:
     return map_batches(involved, run, "anchor long, id long, h long, start long, segment binary")
 
 
+def hot_windows(involved: DataFrame) -> DataFrame:
+    """(digest, id, h, start) of each window of the segments that are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, h, text, wanted in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(),
+                                            batch.column("text").cast(pa.large_binary()), batch.column("wanted").to_pylist()):
+                raw = text.as_py()
+                places = [at for w in wanted for at in range(w["start"], w["end"] - WINDOW + 1)]
+                for a in range(0, len(places), 100_000):
+                    some = places[a : a + 100_000]
+                    yield pa.RecordBatch.from_pydict({
+                        "digest": pa.array([hashlib.blake2b(raw[at : at + WINDOW], digest_size=DIGEST_BYTES).digest() for at in some], pa.binary()),
+                        "id": pa.array([id_] * len(some), pa.int64()), "h": pa.array([h] * len(some), pa.int64()), "start": pa.array(some, pa.int64())})
+
+    return map_batches(involved, run, "digest binary, id long, h long, start long")
+
+
+def window_repeats(windows: DataFrame) -> DataFrame:
+    """(id, h, start, end) of the windows that have an earlier equal.
+
+    Each task first reduces its windows to the earliest of each digest, so one that very many documents have is
+    one row per task there.
+    """
+    place = F.struct("id", "h", "start")
+    earliest = stored(windows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+                      .filter("n > 1").select("digest", "first"), "earliest")
+    return windows.join(earliest, "digest").filter(place > F.col("first")).select(
+        "id", "h", "start", (F.col("start") + WINDOW).alias("end"))
+
+
 def shard_repeats(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard of segments: number of the segment, first and last byte (exclusive) of what repeats, by its suffix array."""
     sizes = np.array([len(t) for t in texts])
@@ -365,9 +432,14 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     span, want = F.struct("start", "end"), F.struct("start", "end", "anchor")
     per_document = matches.groupBy("id", "h").agg(
         F.collect_list(F.when(F.col("anchor").isNull(), span)).alias("removed"),
-        F.collect_list(F.when(F.col("anchor").isNotNull(), want)).alias("wanted"))
+        F.collect_list(F.when(F.col("anchor").isNotNull() & ~F.col("hot"), want)).alias("wanted"),
+        F.collect_list(F.when(F.col("hot"), want)).alias("hot"))
     involved = stored(source.join(per_document, ["id", "h"]), "involved")
     more = stored(array_repeats(fetched(involved.filter(F.size("wanted") > 0))), "repeats")
+    if matches.filter("hot").limit(1).count():
+        # Equal rows of a document give their windows once.
+        chosen = involved.filter(F.size("hot") > 0).drop("wanted").withColumnRenamed("hot", "wanted").dropDuplicates(["id", "h"])
+        more = more.unionByName(stored(window_repeats(stored(hot_windows(chosen), "hot-windows")), "hot-repeats"))
     results = cut_texts(involved, more, with_text).dropDuplicates(["id", "h"])
     rows = facts.join(copies, "sha", "left").join(results, ["id", "h"], "left")
     copy = F.coalesce(F.col("first_id") < F.col("id"), F.lit(False))

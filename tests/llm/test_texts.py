@@ -56,6 +56,26 @@ def test_removed_bytes_against_brute_force(spark, monkeypatch, shard):
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(400)
+    rows = [(i, some(150) + rng.choice("xy") + passage + rng.choice("xy") + some(150)) for i in range(200)]
+    docs = spark.createDataFrame([*rows, rows[7]], EMPTY).repartition(6)
+    dealt = suffix_dedup.dealt_segments(suffix_dedup.keyed(docs, "doc_id", "text"))
+    matches = suffix_dedup.matched(dealt).filter("anchor IS NOT NULL")
+    sizes = [r for r in matches.groupBy("anchor", "hot").count().collect()]
+    assert any(r.hot for r in sizes) and all(r["count"] * 100 <= 4000 for r in sizes if not r.hot)
+    # Equal segments of a pack go to their anchor once.
+    least = np.array([np.frombuffer(r.payload, dtype="<u4", count=2)[1] for r in dealt.filter("bucket >= 0").collect()]).sum()
+    every = sum(len(suffix_dedup.segments([t.encode()])["owner"]) for _, t in rows)
+    assert least < every - 5 * 150
+    found = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in suffix_dedup.repeated_spans(docs).collect()}
+    want = brute.removed(rows)
+    assert found == want
+
+
 def test_removed_bytes_odd_rows(spark):
     docs = spark.createDataFrame([(1, "k" * 300), (1, "k" * 300), (None, "k" * 300), (None, None)], EMPTY)
     found = sorted((r.doc_id or 0, r.n_bytes, [tuple(s) for s in r.spans]) for r in suffix_dedup.repeated_spans(docs).collect())
