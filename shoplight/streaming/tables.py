@@ -74,14 +74,15 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
     """All rows of a table of mergeable states: the last compaction, and what came after it.
 
     Rows of a closed date that arrived after the compaction are in later batches, so none is lost or counted
-    twice. Filter on ``event_date`` to read the files of some dates only.
+    twice. Rows without a date are never closed. Filter on ``event_date`` to read the files of some dates only.
     """
     live = spark.read.parquet(path)
     merged = _merged(spark, path)
     if merged is None:
         return live.drop("batch_id")
     batch, before, folder = merged
-    newer = live.filter((F.col("batch_id") > batch) | (F.col("event_date") >= F.to_date(F.lit(before))))
+    closed = F.coalesce(F.col("event_date") < F.to_date(F.lit(before)), F.lit(False))
+    newer = live.filter((F.col("batch_id") > batch) | ~closed)
     return newer.drop("batch_id").unionByName(spark.read.parquet(folder))
 
 
@@ -90,12 +91,15 @@ def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFra
 
     A compaction counts once its success marker is there, so one that fails changes nothing. It is named by the
     last batch it holds; a reader skips the older batches' rows of these dates, whether removed yet or not.
+    A date that is closed stays so: an earlier ``before`` than that of the last compaction is refused.
     """
     names, _, _ = _folders(spark, path)
     batches = sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
     if not batches:
         return
     old = _merged(spark, path)
+    if old and before.isoformat() < old[1]:
+        raise ValueError(f"states before {old[1]} are merged already, so {before} is too early")
     folder = f"{path}-merged/batch_{batches[-1]:012d}_before_{before:%Y-%m-%d}"
     if old and old[2] == folder:
         return

@@ -188,6 +188,22 @@ def test_files_of_a_day_stay_level_and_compaction_loses_nothing(spark, tmp_path)
     assert max(files.values()) <= files[20] + 1
 
 
+def test_compaction_keeps_rows_without_a_date_and_closed_dates(spark, tmp_path):
+    path = f"{tmp_path}/states"
+    days = [None, dt.date(2024, 1, 1), dt.date(2024, 1, 5), dt.date(2024, 1, 9)]
+    for batch in range(3):
+        summaries.write_batch(spark.createDataFrame([(batch, d) for d in days], "n int, event_date date"), path, batch, ["event_date"])
+    every = sorted((n, str(d)) for n in range(3) for d in days)
+    found = lambda: sorted((r.n, str(r.event_date)) for r in read_states(spark, path).collect())
+    compact(spark, path, lambda df: df, dt.date(2024, 1, 8))
+    assert found() == every
+    with pytest.raises(ValueError):
+        compact(spark, path, lambda df: df, dt.date(2024, 1, 3))
+    assert found() == every
+    compact(spark, path, lambda df: df, dt.date(2024, 1, 10))
+    assert found() == every
+
+
 def test_old_status_folders_go_and_batches_read_their_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(status, "FULL_EVERY", 4)
     rows = [(i % 9, i, ["pending", "shipped"][i % 2], START + dt.timedelta(minutes=i)) for i in range(130)]
