@@ -269,8 +269,9 @@ def merged(largest: int, filling: list[tuple[int, int]]) -> Pattern:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """The packing of a table of lengths: the best of best-fit and bin completion.
 
-    Targets rise from the lower bound (all room used) towards the incumbent; the first that is
-    reached is the result. The effort is bounded by ``SEARCH_STEPS`` in all, after which the incumbent stands.
+    Targets rise from the lower bound (all room used) towards the incumbent in growing steps. Those between the last that
+    failed and the first that was reached, or the incumbent, are bisected. Each target has a share of ``SEARCH_STEPS``, so
+    one that fails is not proven impossible.
     """
     if not counts:
         return []
@@ -281,13 +282,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern
     bound = -(-sum(n * c for n, c in counts.items()) // capacity)
     # Lengths above half the capacity never share a sequence.
     bound = max(bound, sum(c for n, c in counts.items() if 2 * n > capacity))
-    gap, step = best - bound, 1
-    target = bound
-    while target < best:
-        found = completed(counts, capacity, target, max(2 * len(counts), SEARCH_STEPS // max(1, min(gap, 8))))
+    effort = max(2 * len(counts), SEARCH_STEPS // max(1, min(best - bound, 8)))
+    failed, target, step = bound - 1, bound, 1
+    rising = True
+    while failed + 1 < best:
+        found = completed(counts, capacity, target, effort)
         if found is not None:
-            return found
+            incumbent, best, rising = found, sum(times for _, times in found), False
+        else:
+            failed = target
         target, step = target + step, 2 * step
+        rising = rising and target < best
+        if not rising:
+            target = (failed + best) // 2
     return incumbent
 
 

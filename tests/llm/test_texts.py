@@ -211,6 +211,13 @@ def test_pii_query_leaves_other_documents_alone(spark):
             assert found not in after[i]
 
 
+@pytest.mark.parametrize("least", range(2, 11))
+def test_packing_tries_targets_between_steps(monkeypatch, least):
+    monkeypatch.setattr(packing, "best_fit", lambda counts, capacity: [(((1, 1),), 10)])
+    monkeypatch.setattr(packing, "completed", lambda counts, capacity, target, budget: [(((1, 1),), target)] if target >= least else None)
+    assert sum(times for _, times in packing.plan({1: 10}, 5)) == least
+
+
 def test_pieces_equal_the_library_s(spark):
     library = pieces.encoder(pieces.model_path()).library
     rng = random.Random(3)
