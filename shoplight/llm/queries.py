@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplight.llm import exact_dedup, language, neighbours, ngram_join, packing, pieces, prefix_trie, pseudonyms, quality, sharding, suffix_dedup
+from shoplight.llm import exact_dedup, language, neighbours, ngram_join, packing, pieces, prefix_trie, pseudonyms, quality, ranked_search, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -19,11 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_neighbours": neighbours.op10_neighbours,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 CHECKS: dict[str, str] = {
     "op1_sharding": sharding.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op11_ranked_search": ranked_search.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
 }
