@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 # Ranges of documents that a search opens at once.
-FRONT = 64
+FRONT = 256
 _COUNT = np.array([bin(i).count("1") for i in range(16)], dtype=np.int64)
 # Set bits of a mask below a child's own.
 _BELOW = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], dtype=np.int64)
@@ -60,18 +60,18 @@ class Treap:
         return Treap(height, np.concatenate(masks[::-1]), np.concatenate(levels[::-1]))
 
     def packed(self) -> tuple[bytes, bytes, int]:
-        """Two masks to a byte; the root's value and then what each node lacks of its parent's; bytes of one such number."""
+        """Two masks to a byte; the root's value and then what each node lacks of its parent's, first bytes first; bytes of one such number."""
         masks = np.append(self.masks, np.zeros(len(self.masks) % 2, dtype=np.uint8))
         below = np.repeat(self.values[: len(self.masks)], _COUNT[self.masks]) - self.values[1:]
         lacks = small(below)
-        return (masks[::2] | masks[1::2] << 4).tobytes(), self.values[:1].astype("<u8").tobytes() + lacks.tobytes(), lacks.itemsize
+        return (masks[::2] | masks[1::2] << 4).tobytes(), self.values[:1].astype("<u8").tobytes() + lacks.view(np.uint8).reshape(-1, lacks.itemsize).T.tobytes(), lacks.itemsize
 
     @staticmethod
     def unpacked(height: int, masks: bytes, values: bytes, width: int) -> Treap:
         both = np.frombuffer(masks, dtype=np.uint8)
         every = np.stack([both & 15, both >> 4], axis=1).ravel()
         every = every[: len(every) - (every[-1] == 0)]  # a node above the leaves has a child
-        lacks = np.frombuffer(values, dtype=f"<u{width}", offset=8).astype(np.int64)
+        lacks = np.ascontiguousarray(np.frombuffer(values, dtype=np.uint8, offset=8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
         found = np.empty(1 + len(lacks), dtype=np.int64)
         found[0] = np.frombuffer(values, dtype="<u8", count=1)[0]
         # Level by level, as a node needs its parent's value.
