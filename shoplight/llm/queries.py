@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplight.llm import exact_dedup, language, neighbours, ngram_join, packing, pieces, prefix_trie, pseudonyms, quality, ranked_search, sharding, suffix_dedup
+from shoplight.llm import exact_dedup, language, neighbours, ngram_join, packing, pieces, prefix_trie, pseudonyms, quality, ranked_search, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": neighbours.op10_neighbours,
     "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 CHECKS: dict[str, str] = {
