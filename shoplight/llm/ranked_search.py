@@ -25,7 +25,7 @@ from shoplight.session import prepare, stored
 
 TOP = 20
 # A block is closed at so many documents or bytes of text.
-BLOCK_DOCS, BLOCK_BYTES = 8192, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES = 4096, 5 << 20
 # Bytes of a text that are cut into words at once, and items that are searched together.
 SLICE_BYTES, ITEMS = 4 << 20, 2000
 # Parts that the results of tasks are dealt to before the last ranking.

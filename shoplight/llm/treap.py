@@ -15,9 +15,9 @@ import numpy as np
 
 # Ranges of documents that a search opens at once.
 FRONT = 256
-_COUNT = np.array([bin(i).count("1") for i in range(16)], dtype=np.int64)
+_COUNT = np.array([bin(i).count("1") for i in range(16)], dtype=np.int8)
 # Set bits of a mask below a child's own.
-_BELOW = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], dtype=np.int64)
+_BELOW = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], dtype=np.int32)
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def small(values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Treap:
-    """Masks of all nodes above the leaves, and the values of all nodes, from the root down."""
+    """Masks of all nodes above the leaves, and the values of all nodes, below 2^31, from the root down."""
 
     height: int
     masks: np.ndarray
@@ -48,7 +48,7 @@ class Treap:
         height = max(1, int(max(rows.max(), columns.max())).bit_length())
         code = spread(rows) << np.uint64(1) | spread(columns)
         order = np.argsort(code)
-        code, best = code[order], values[order].astype(np.int64)
+        code, best = code[order], values[order].astype(np.int32)
         masks, levels = [], [best]
         for _ in range(height):
             parent = code >> np.uint64(2)
@@ -71,22 +71,22 @@ class Treap:
         both = np.frombuffer(masks, dtype=np.uint8)
         every = np.stack([both & 15, both >> 4], axis=1).ravel()
         every = every[: len(every) - (every[-1] == 0)]  # a node above the leaves has a child
-        lacks = np.ascontiguousarray(np.frombuffer(values, dtype=np.uint8, offset=8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
-        found = np.empty(1 + len(lacks), dtype=np.int64)
+        lacks = np.ascontiguousarray(np.frombuffer(values, dtype=np.uint8, offset=8).reshape(width, -1).T).view(f"<u{width}").ravel()
+        found = np.empty(1 + len(lacks), dtype=np.int32)
         found[0] = np.frombuffer(values, dtype="<u8", count=1)[0]
         # Level by level, as a node needs its parent's value.
         counts = _COUNT[every]
         node, end = 0, 1
         while node < len(every):
             upto = min(end, len(every))
-            children = int(counts[node:upto].sum())
-            found[end : end + children] = np.repeat(found[node:upto], counts[node:upto]) - lacks[end - 1 : end - 1 + children]
+            children = int(counts[node:upto].sum(dtype=np.int64))
+            found[end : end + children] = np.repeat(found[node:upto], counts[node:upto]) - lacks[end - 1 : end - 1 + children].astype(np.int32)
             node, end = upto, end + children
         return Treap(height, every, found)
 
     def __post_init__(self) -> None:
         counts = _COUNT[self.masks]
-        self.first_child = 1 + np.cumsum(counts) - counts
+        self.first_child = (1 + np.cumsum(counts, dtype=np.int64) - counts).astype(np.int32)
 
     def child(self, nodes: np.ndarray, quarter: np.ndarray) -> np.ndarray:
         """The child of each node in a quarter; -1 where there is none."""
@@ -107,7 +107,7 @@ class Treap:
             return []
         floor = least or (0, np.iinfo(np.int64).max)
         # Open ranges: bound, level, first column, and each term's node.
-        nodes = np.zeros((1, len(rows)), dtype=np.int64)
+        nodes = np.zeros((1, len(rows)), dtype=np.int32)
         bound = (self.values[nodes] * weights).sum(axis=1)
         level, column = np.array([self.height]), np.array([0])
         found: list[tuple[int, int]] = []
