@@ -4,13 +4,15 @@ Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the pi
 form, best first and leftmost among equals. The best pair is merged, its two new neighbours enter
 the agenda, and pairs whose symbols have changed meanwhile are skipped when they come up. Symbols
 that no piece covers become byte pieces. No piece reaches over the spans between spaces, so the
-agendas of many spans are worked off side by side and spans that come back are looked up. In every
+agendas of many short spans are worked off side by side and spans that come back are looked up. A long
+span, such as a text without spaces, has an agenda of its own, in which all pairs of one score come up together. In every
 Arrow batch, all new spans and some whole texts are compared with the sentencepiece library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +31,8 @@ CACHED_SPANS, CACHED_BYTES = 1_000_000, 48 << 20
 # Every span that a task meets is compared with the library; so is every such text of an Arrow batch as a whole.
 WHOLE_CHECKS = 16
 NO_PAIR = np.iinfo(np.int64).max
+# Symbols from which a span has its own agenda.
+LONG_SPAN = 256
 
 
 class PieceEncoder:
@@ -71,6 +75,7 @@ class PieceEncoder:
         order = {score: place for place, score in enumerate(sorted({s for s, _ in scores.values()}, reverse=True))}
         rows = sorted((self.symbols[p[:k]] << 32 | self.symbols[p[k:]], order[score], i)
                       for p, (score, i) in scores.items() for k in range(1, len(p)) if p[:k] in scores and p[k:] in scores)
+        self.pairs: dict[int, tuple[int, int]] | None = None  # the same as a dictionary, once it is needed
         keys, ranks, made = zip(*rows)
         self.pair_keys, self.pair_ranks, self.pair_pieces = (np.array(x, dtype=np.int64) for x in (keys, ranks, made))
 
@@ -84,8 +89,10 @@ class PieceEncoder:
         In each turn the best adjacent pair of every span is merged, and the pairs beside it get
         new places in the agenda. A span is done when no pair of it is a piece.
         """
-        symbols = np.array([self.symbols.setdefault(c, len(self.symbols)) for c in "".join(spans)], dtype=np.int64)
-        owner = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
+        long = [i for i, s in enumerate(spans) if len(s) >= LONG_SPAN]
+        side_by_side = [s if len(s) < LONG_SPAN else "" for s in spans]
+        symbols = np.array([self.symbols.setdefault(c, len(self.symbols)) for c in "".join(side_by_side)], dtype=np.int64)
+        owner = np.repeat(np.arange(len(spans)), [len(s) for s in side_by_side])
         done_symbols, done_owner = [], []
         rank, made = self.pair(symbols, owner)
         while len(symbols):
@@ -109,6 +116,10 @@ class PieceEncoder:
             symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
             changed = np.concatenate([left, left[left > 0] - 1])
             rank[changed], made[changed] = self.pair(symbols, owner, changed)
+        if long:
+            long_symbols, place = self.long_spans([spans[i] for i in long])
+            done_symbols.append(long_symbols)
+            done_owner.append(np.array(long)[place])
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
         order = np.argsort(owner, kind="stable")
         symbols, owner = symbols[order], owner[order]
@@ -116,6 +127,102 @@ class PieceEncoder:
             symbols, owner = self.as_bytes(symbols, owner, missing)
         return symbols.astype(np.int32), np.searchsorted(owner, np.arange(len(spans) + 1))
 
+    def long_spans(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of long spans once no pair of them is a piece, and the span of each.
+
+        The agenda is a heap of scores with the places of their pairs. All pairs of the best score are merged at
+        once, from the left; that is what one merge after another does, unless a new pair has a better
+        score than the one at hand. Then the rest goes on with single merges.
+        """
+        symbol = np.array([self.symbols.setdefault(c, len(self.symbols)) for c in "".join(spans)], dtype=np.int64)
+        sizes = np.array([len(s) for s in spans])
+        n, ends = len(symbol), np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(spans)), sizes)
+        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following[ends - 1], before[ends - sizes] = n, -1
+        alive = np.ones(n, dtype=bool)
+        rank, made = np.full(n, NO_PAIR), np.zeros(n, dtype=np.int64)
+        agenda: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+
+        def enter(at: np.ndarray) -> int:
+            """Put the pairs that begin at these places on the agenda; their best score."""
+            rank[at] = NO_PAIR
+            at = at[following[at] < n]
+            rank[at], made[at] = self.rated(symbol[at], symbol[following[at]])
+            at = at[rank[at] < NO_PAIR]
+            if not len(at):
+                return NO_PAIR
+            at = at[np.argsort(rank[at], kind="stable")]
+            first = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for some in np.split(at, first[1:]):
+                r = int(rank[some[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(agenda, r)
+                places[r].append(some)
+            return int(rank[at[0]])
+
+        enter(np.arange(n))
+        while agenda:
+            best = heapq.heappop(agenda)
+            at = np.unique(np.concatenate(places.pop(best)))
+            at = at[rank[at] == best]
+            # Of pairs that overlap one after another, as in a run of one symbol, every second is merged.
+            run = np.flatnonzero(np.r_[True, following[at[:-1]] != at[1:]]) if len(at) else at
+            place = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
+            at = at[place % 2 == 0]
+            if not len(at):
+                continue
+            gone = following[at]
+            symbol[at] = made[at]
+            rank[gone], alive[gone] = NO_PAIR, False
+            following[at] = following[gone]
+            inner = following[at] < n
+            before[following[at[inner]]] = at[inner]
+            touched = np.concatenate([at, before[at][before[at] >= 0]])
+            if enter(np.unique(touched)) < best:
+                symbol, alive = self.one_by_one(symbol, following, before, rank, alive)
+                break
+        return symbol[alive], owner[alive]
+
+    def one_by_one(self, symbol: np.ndarray, following: np.ndarray, before: np.ndarray, rank: np.ndarray,
+                   alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Single merges from a heap of (score, place), from any state of long spans; the symbols and which of them are left."""
+        n = len(symbol)
+        if self.pairs is None:
+            self.pairs = dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_pieces.tolist())))
+        agenda = [(r, i) for r, i in zip(rank.tolist(), range(n)) if r < NO_PAIR]
+        heapq.heapify(agenda)
+        pairs, none = self.pairs, (NO_PAIR, -1)
+        symbols, after, ahead, ranks, left_over = symbol.tolist(), following.tolist(), before.tolist(), rank.tolist(), alive.tolist()
+        while agenda:
+            best, at = heapq.heappop(agenda)
+            if ranks[at] != best:
+                continue
+            gone = after[at]
+            symbols[at] = pairs[symbols[at] << 32 | symbols[gone]][1]
+            ranks[gone], left_over[gone], end = NO_PAIR, False, after[gone]
+            after[at] = end
+            ranks[at] = NO_PAIR
+            if end < n:
+                ahead[end] = at
+                ranks[at] = pairs.get(symbols[at] << 32 | symbols[end], none)[0]
+                if ranks[at] < NO_PAIR:
+                    heapq.heappush(agenda, (ranks[at], at))
+            left = ahead[at]
+            if left >= 0:
+                ranks[left] = pairs.get(symbols[left] << 32 | symbols[at], none)[0]
+                if ranks[left] < NO_PAIR:
+                    heapq.heappush(agenda, (ranks[left], left))
+        return np.array(symbols, dtype=np.int64), np.array(left_over)
+
+    def rated(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in the order of scores and the pieces of pairs of symbols."""
+        key = left << 32 | right
+        found = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[found] == key, self.pair_ranks[found], NO_PAIR), self.pair_pieces[found]
+
     def pair(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The place in the agenda and the piece of each symbol (or those at ``at``) with the next of its span."""
         at = np.arange(len(symbols)) if at is None else at
