@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from shoplight.llm.common import map_batches, table, text_slices
 from shoplight.llm.treap import Treap, small
-from shoplight.session import prepare, stored
+from shoplight.session import prepare, work_dir
 
 TOP = 20
 # A block is closed at so many documents or bytes of text.
-BLOCK_DOCS, BLOCK_BYTES = 4096, 5 << 20
+BLOCK_DOCS, BLOCK_BYTES = 2048, 3 << 20
+# Bytes of a row group of the index: a task holds one at a time.
+GROUP_BYTES = 8 << 20
 # Bytes of a text that are cut into words at once, and items that are searched together.
 SLICE_BYTES, ITEMS = 4 << 20, 2000
 # Parts that the results of tasks are dealt to before the last ranking.
@@ -116,7 +118,9 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
             pa.array([treap.height], pa.int32()), pa.array([masks], pa.binary()), pa.array([impacts], pa.binary()), pa.array([width], pa.int32())],
             names=["ids", "words", "holders", "holder_width", "height", "masks", "impacts", "impact_width"])
 
-    return stored(map_batches(_chosen(docs, doc_id, text), run, INDEX), "word-index"), holding
+    path = work_dir(docs.sparkSession, "word-index")
+    map_batches(_chosen(docs, doc_id, text), run, INDEX).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return docs.sparkSession.read.schema(INDEX).parquet(path), holding
 
 
 @dataclass
@@ -142,15 +146,20 @@ class Items:
                      [np.array(list(c.values()), dtype=np.int64) for c in every])
 
 
+def places_of(words: list[bytes], own: bytes) -> np.ndarray:
+    """The place of each word among a block's own words, which stand in one text; -1 where it has none."""
+    here = {w: i for i, w in enumerate(own.split(b" "))}
+    return np.array([here.get(w, -1) for w in words], dtype=np.int64)
+
+
 def holders_of(blocks: DataFrame, words: list[bytes]) -> np.ndarray:
     """How many documents hold each word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(len(words), dtype=np.int64)
         for batch in batches:
-            for own, raw, width in zip(*(batch.column(c).to_pylist() for c in ("words", "holders", "holder_width"))):
-                here = {w: i for i, w in enumerate(own.split(b" "))}
-                local = np.array([here.get(w, -1) for w in words], dtype=np.int64)
-                found += np.where(local >= 0, np.frombuffer(raw, dtype=f"<u{width}").astype(np.int64)[np.maximum(local, 0)], 0)
+            for own, raw, width in zip(*(batch.column(c) for c in ("words", "holders", "holder_width"))):
+                local = places_of(words, own.as_py())
+                found += np.where(local >= 0, np.frombuffer(raw.as_buffer(), dtype=f"<u{width}").astype(np.int64)[np.maximum(local, 0)], 0)
         there = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"word": pa.array(there, pa.int64()), "holders": pa.array(found[there], pa.int64())})
 
@@ -171,12 +180,12 @@ def best(blocks: DataFrame, items: Items, weights: np.ndarray, top: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[tuple[int, int, bool]]] = [[] for _ in items.names]
         for batch in batches:
-            for row in batch.to_pylist():
-                here = {w: i for i, w in enumerate(row["words"].split(b" "))}
-                local = np.array([here.get(w, -1) for w in items.words], dtype=np.int64)
-                treap = Treap.unpacked(row["height"], row["masks"], row["impacts"], row["impact_width"])
-                no_id = [i is None for i in row["ids"]]
-                names = np.array([LAST_NAME if i is None else i for i in row["ids"]], dtype=np.int64)
+            for ids, own, height, masks, impacts, width in zip(*(batch.column(c) for c in ("ids", "words", "height", "masks", "impacts", "impact_width"))):
+                local = places_of(items.words, own.as_py())
+                treap = Treap.unpacked(height.as_py(), masks.as_buffer(), impacts.as_buffer(), width.as_py())
+                known = ids.as_py()
+                no_id = [i is None for i in known]
+                names = np.array([LAST_NAME if i is None else i for i in known], dtype=np.int64)
                 for i, (places, counts) in enumerate(zip(items.places, items.counts)):
                     there = local[places] >= 0
                     if there.any():
@@ -190,7 +199,7 @@ def best(blocks: DataFrame, items: Items, weights: np.ndarray, top: int) -> Data
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["item", "doc_id", "score"])
 
-    return map_batches(blocks, run, "item long, doc_id long, score long")
+    return map_batches(blocks.drop("holders", "holder_width"), run, "item long, doc_id long, score long")
 
 
 def ranked(blocks: DataFrame, holding: int, items: DataFrame, item_id: str = "item_id", text: str = "text", top: int = TOP) -> DataFrame:
