@@ -213,11 +213,14 @@ def features(strings: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray
 
 def kernel(strings: list[tuple[bytes, bytes]], codes: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """Kernel values of strings with the landmarks, which are given by their codes and a column of weights each."""
-    owner, code, weight = features(strings)
-    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-    known = codes[at] == code
     found = np.zeros((len(strings), dense.shape[1]))
-    np.add.at(found, owner[known], weight[known, None] * dense[at[known]])
+    for first in range(0, len(strings), 200):  # some strings at a time, as each of their subsequences needs a row
+        owner, code, weight = features(strings[first : first + 200])
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        known = np.flatnonzero(codes[at] == code)
+        if len(known):
+            begin = np.flatnonzero(np.diff(owner[known], prepend=-1))
+            found[first + owner[known[begin]]] = np.add.reduceat(weight[known, None] * dense[at[known]], begin)
     return found
 
 
@@ -302,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id
     sure = [(v, 1 / len(all_of)) for w, s in words if s >= CERTAIN for all_of in [variants(w)] for v in all_of]
     against = sorted({variants(w)[0] for w, s in words if s == 0})
     machine = Machine(codes, (dense @ alpha).astype(np.float32))
+    rated: dict[tuple[bytes, bytes], np.ndarray] = {}
     for _ in range(ROUNDS):
         rows = worst_words(sample, machine)
         toxic = [(r["letters"], r["bounds"]) for r in rows if r["label"] == 1]
@@ -312,7 +316,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id
         of_documents = 0.5 * (1 - SURE_SHARE) if sure else 0.5
         share = np.concatenate([np.full(len(toxic), of_documents / len(toxic)), certain * (0.5 - of_documents) / max(certain.sum(), 1e-9),
                                 np.full(len(against), 0.5 / len(against))])
-        x = kernel([*toxic, *(v for v, _ in sure), *against], codes, dense) @ root
+        every = [*toxic, *(v for v, _ in sure), *against]
+        if fresh := list({v for v in every if v not in rated}):
+            rated.update(zip(fresh, (kernel(fresh, codes, dense) @ root).astype(np.float32)))
+        x = np.stack([rated[v] for v in every]).astype(float)
         w = support_vectors(x, np.repeat([1.0, -1.0], [len(toxic) + len(sure), len(against)]), share)
         machine = Machine(codes, (dense @ (root @ w)).astype(np.float32))
     rows = worst_words(whole.filter("spare"), machine)
