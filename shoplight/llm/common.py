@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 # Rows of an Arrow batch at most.
 BATCH_ROWS = 2000
-# Parts that the rows of one label are dealt to before a sample is taken.
-SALTS = 16
+# Labels that a sample takes rows of, at most.
+MOST_LABELS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,18 +70,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bounded_sample(labelled: DataFrame, label: str, per_label: int, row_id: str = "doc_id") -> DataFrame:
+def bounded_sample(labelled: DataFrame, label: str, per_label: int, row_id: str = "doc_id", most_labels: int = MOST_LABELS) -> DataFrame:
     """At most ``per_label`` rows of each label: those whose id hashes lowest, so every run picks the same rows.
 
-    The rows of a label are first cut to the lowest in each of ``SALTS`` parts, so no task sorts more than its part
-    of a label that most rows share, and the last step gets a bounded number of rows.
+    The rows of each label are counted first. Of a label with many only hashes below a limit are looked at, which leaves some
+    more than ``per_label`` however many it has; the few that are left are ranked. Of more than ``most_labels``
+    labels the most frequent are sampled, so the sample is bounded whatever the column holds.
     """
-    order = [F.xxhash64(F.col(row_id)), F.col(row_id)]
-    place, part = free_name(labelled, "place"), free_name(labelled, "part")
-    rows = labelled.withColumn(part, F.pmod(F.xxhash64(F.col(row_id), F.lit(1)), F.lit(SALTS)))
-    for keys in ([label, part], [label]):
-        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) <= per_label)
-    return rows.drop(place, part)
+    share, place, rows_of = (free_name(labelled, n) for n in ("hash_share", "place", "rows_of_label"))
+    counts = labelled.groupBy(label).agg(F.count("*").alias(rows_of)).orderBy(F.desc(rows_of), label).limit(most_labels)
+    # Four standard deviations and more above what is wanted.
+    wanted = F.lit(float(per_label + 6 * per_label**0.5 + 40))
+    hashed = (F.xxhash64(F.col(row_id)).cast("double") / 2.0**64) + 0.5
+    few = (labelled.join(F.broadcast(counts), label).withColumn(share, hashed).filter(F.col(share) * F.col(rows_of) <= wanted))
+    order = Window.partitionBy(label).orderBy(share, F.col(row_id))
+    return few.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= per_label).select(*labelled.columns)
 
 
 _SHIPPED: set[str] = set()

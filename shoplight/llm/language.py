@@ -107,21 +107,23 @@ def linear_machine(x: np.ndarray, sign: np.ndarray, turns: int = 150, slack: flo
     """
     if len(set(sign.tolist())) < 2:
         return np.zeros(x.shape[1]), float(sign[0]) if len(sign) else 0.0
-    middle = x.mean(axis=0)
-    scale = 1 / max(np.sqrt(((x - middle) ** 2).sum(axis=1).mean()), 1e-12)
-    z = (x - middle) * scale
+    # One copy of the data, in single precision; sums over rows are in double.
+    middle = x.mean(axis=0, dtype=float)
+    z = x - middle.astype(x.dtype)
+    scale = 1 / max(np.sqrt(np.einsum("ij,ij->", z, z, dtype=float) / len(z)), 1e-12)
+    z *= x.dtype.type(scale)
     share = np.where(sign > 0, 0.5 / (sign > 0).sum(), 0.5 / (sign < 0).sum())
     w, b = np.zeros(x.shape[1]), 0.0
     ahead, ahead_b, t = w, b, 1.0
     steepest = np.ones(x.shape[1])
     for _ in range(20):  # the largest curvature, by power iteration
-        steepest = z.T @ (share * (z @ steepest))
+        steepest = z.T @ (share * (z @ steepest.astype(z.dtype))).astype(z.dtype)
         curvature = np.linalg.norm(steepest)
         steepest /= max(curvature, 1e-300)
     step = 1 / (1 + 2 * slack * (1.2 * curvature + 1))
     for _ in range(turns):
-        lack = np.maximum(0, 1 - sign * (z @ ahead + ahead_b)) * sign * share
-        new, new_b = ahead - step * (ahead - 2 * slack * (z.T @ lack)), ahead_b + step * 2 * slack * lack.sum()
+        lack = np.maximum(0, 1 - sign * (z @ ahead.astype(z.dtype) + ahead_b)) * sign * share
+        new, new_b = ahead - step * (ahead - 2 * slack * (z.T @ lack.astype(z.dtype))), ahead_b + step * 2 * slack * lack.sum()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_b = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
         w, b, t = new, new_b, t_new
@@ -171,7 +173,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    return fit(np.stack([np.frombuffer(r["x"], dtype="<f4").astype(float) for r in rows]), [r["lang"] for r in rows])
+    labels = [r["lang"] for r in rows]
+    x = np.frombuffer(b"".join(r["x"] for r in rows), dtype="<f4").reshape(len(rows), BINS)
+    del rows
+    return fit(x, labels)
 
 
 def identify(docs: DataFrame, machines: Machines | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
