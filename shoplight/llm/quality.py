@@ -22,9 +22,10 @@ from shoplight.session import prepare
 
 PASSAGE_WORDS = 48
 BINS, HIDDEN, GATE = 512, 24, 12
-# Labelled documents of each class that the network is fitted on, and passages of each of them, at most.
-# Scoring has no such bound.
-PER_CLASS, TRAIN_PASSAGES = 800, 24
+# Labelled documents of each class that the network is fitted on, at most. Scoring has no such bound.
+PER_CLASS = 800
+# A sampled document of more passages is learned from as so many stretches of them; a stretch has the mean features of all its passages.
+STRETCHES = 24
 EPOCHS, BATCH, RATE, SHRINK = 25, 64, 0.01, 1e-4
 # Passages whose features are held at once.
 BLOCK = 2048
@@ -61,6 +62,20 @@ def features(bins: np.ndarray, passage: np.ndarray, first: int, last: int) -> np
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
+def stretches(text: bytes) -> np.ndarray:
+    """The features of all passages of a text, as means over at most ``STRETCHES`` stretches of about equal length."""
+    bins, passage, doc = passages([text])
+    n = len(doc)
+    count = min(n, STRETCHES)
+    stretch = np.arange(n) * count // n
+    sums = np.zeros((count, BINS))
+    for first in range(0, n, BLOCK):
+        last = min(first + BLOCK, n)
+        begin = np.flatnonzero(np.diff(stretch[first:last], prepend=-1))
+        sums[stretch[first + begin]] += np.add.reduceat(features(bins, passage, first, last), begin)
+    return sums / np.bincount(stretch)[:, None]
+
+
 @dataclass
 class Network:
     """The weights of encoder, gated attention and score."""
@@ -93,7 +108,7 @@ class Network:
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
-    """Adam on the logistic loss, both classes weighted alike; gradients by hand."""
+    """Adam on the logistic loss, both classes weighted alike; gradients by hand. Bags are widened as they are used."""
     rng = np.random.default_rng(seed)
     w = {
         "encode": rng.normal(0, 2 / np.sqrt(BINS), (BINS, HIDDEN)), "encode0": np.zeros(HIDDEN),
@@ -108,7 +123,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            x = np.concatenate([bags[i] for i in some])
+            x = np.concatenate([bags[i] for i in some]).astype(float)
             sizes = np.array([len(bags[i]) for i in some])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             owner = np.repeat(np.arange(len(some)), sizes)
@@ -143,9 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id
           label: str = "quality") -> Network | None:
     """A network from labelled documents that are not held out; None unless both classes occur.
 
-    At most ``per_class`` documents of each class, and of each of them at most ``TRAIN_PASSAGES``
-    passages, evenly spread over the whole text. Their features are made in the tasks. Labels
-    other than 0 and 1 are ignored; of several labels of one document the largest counts.
+    At most ``per_class`` documents of each class, with all their passages, whose features are made and, in long texts,
+    averaged over stretches in the tasks. Labels other than 0 and 1 are ignored; of several labels of one document the largest counts.
     """
     known = (labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
              .filter(F.col("label").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label")))
@@ -157,9 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id
             for marks, texts in text_slices(batch, "label", "text", 1 << 20):
                 bags = []
                 for one in texts:
-                    bins, passage, doc = passages([one])
-                    spread = np.unique(np.linspace(0, len(doc) - 1, min(len(doc), TRAIN_PASSAGES)).astype(int))
-                    bags.append(np.concatenate([features(bins, passage, p, p + 1) for p in spread]).astype("<f2").tobytes())
+                    bags.append(stretches(one).astype("<f2").tobytes())
                 yield pa.RecordBatch.from_pydict({"label": pa.array(marks, pa.int32()), "bag": pa.array(bags, pa.binary())})
 
     rows = map_batches(sample.select("label", "text"), encode, "label int, bag binary").collect()
@@ -167,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, doc_id
     marks = np.array([r["label"] for r in rows])
     if len(set(marks.tolist())) < 2:
         return None
-    return fit([np.frombuffer(r["bag"], dtype="<f2").astype(float).reshape(-1, BINS) for r in rows], marks)
+    return fit([np.frombuffer(r["bag"], dtype="<f2").reshape(-1, BINS) for r in rows], marks)
 
 
 def scored(docs: DataFrame, network: Network | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
