@@ -36,6 +36,8 @@ SKIP, SPACED = 0.8, 0.9
 NEVER = 60
 # Letters of a word at most; what is longer is cut.
 LONGEST = 24
+# Bytes of text that are scored together; what is worked on then stays in the processor's cache.
+SLICE = 1 << 15
 # Labelled documents of each class that are sampled, at most; landmarks of each kind; rounds. Of ``PARTS`` sampled documents
 # one is kept for the threshold.
 PER_CLASS, LANDMARKS, ROUNDS, PARTS = 3000, 192, 4, 4
@@ -65,14 +67,21 @@ PATTERNS = [(0, *rest) for rest in combinations(range(1, REACH), ORDER - 1)]
 _CROSSING = np.where(np.arange(NEVER + 1) < NEVER, SPACED ** np.arange(NEVER + 1), 0).astype(np.float32)
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before; the first does."""
+    found = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=found[1:])
+    return found
+
+
 def repeated(symbol: np.ndarray, apart: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Whether each letter lies in a word of several letters that is the same as the word before it."""
-    starts = np.flatnonzero((np.diff(apart, prepend=-1) > 0) | (np.diff(text, prepend=-1) > 0))
-    if not len(starts):
+    if not len(symbol):
         return np.zeros(0, dtype=bool)
+    starts = np.flatnonzero(changes(apart) | changes(text))
     sizes = np.diff(starts, append=len(symbol))
-    place = np.arange(len(symbol), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
-    name = np.add.reduceat(mix(place << np.uint64(8) | symbol), starts)
+    place = np.arange(len(symbol)) - np.repeat(starts, sizes)
+    name = np.add.reduceat(mix(place.astype(np.uint64) << np.uint64(8) | symbol), starts)
     same = np.zeros(len(starts), dtype=bool)
     same[1:] = (name[1:] == name[:-1]) & (sizes[1:] == sizes[:-1]) & (sizes[1:] > 1) & (text[starts[1:]] == text[starts[:-1]])
     return np.repeat(same, sizes)
@@ -96,45 +105,55 @@ class Letters:
         # Of two bytes, upper and lower case mostly differ in a bit that is not looked at.
         symbol[others] = OTHERS + (raw[others + 1] & 0x1F) % (EDGE - OTHERS)
         at = np.flatnonzero((symbol > 0) & (symbol < INSIDE))
-        text = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-        apart = np.cumsum(symbol == 0)
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
+        apart = np.cumsum(symbol == 0, dtype=np.int32)
         at = at[~repeated(symbol[at], apart[at], text[at])]
-        blank = _BLANK[raw]
+        if not len(at):
+            none = np.zeros(0, dtype=np.int32)
+            return Letters(none, none, none, none)
         ends = raw == 10
-        ends[:-1] |= _STOP[raw[:-1]] & blank[1:]
-        sentence, text = np.cumsum(ends)[at], text[at]
-        new = np.diff(sentence, prepend=-1) > 0
-        starts = np.flatnonzero(new | (np.diff(apart[at], prepend=-1) > 0))
+        ends[:-1] |= _STOP[raw[:-1]] & _BLANK[raw[1:]]
+        sentence, text, apart = np.cumsum(ends, dtype=np.int32)[at], text[at], apart[at]
+        new = changes(sentence)
+        starts = np.flatnonzero(new | changes(apart))
         single = np.diff(starts, append=len(at)) == 1
-        spaced = single & np.r_[False, single[:-1]] & ~new[starts]
-        cost = np.zeros(len(at), dtype=np.int64)
+        spaced = single & ~new[starts]
+        spaced[1:] &= single[:-1]
+        cost = np.zeros(len(at), dtype=np.int32)
         cost[starts[spaced]] = 1
         # An edge stands before every other word, and after the last of a sentence.
         edges = starts[~spaced]
         inside = np.arange(len(at)) - np.repeat(edges, np.diff(edges, append=len(at)))
         edges = np.flatnonzero(inside % LONGEST == 0)
-        last = np.flatnonzero(np.r_[new[1:], True]) + 1 if len(at) else edges
-        place = np.concatenate([edges, last])
-        sentence_of = np.concatenate([sentence[edges], sentence[last - 1]])
-        text_of = np.concatenate([text[edges], text[last - 1]])
-        order = np.lexsort((sentence_of, place))
-        place, sentence_of, text_of = place[order], sentence_of[order], text_of[order]
-        letters = np.insert(symbol[at].astype(np.int32), place, EDGE)
-        sentence, text, cost = np.insert(sentence, place, sentence_of), np.insert(text, place, text_of), np.insert(cost, place, 0)
-        cost[np.diff(sentence, prepend=-1) > 0] = NEVER
-        return Letters(letters, np.cumsum(cost), sentence, text)
+        last = np.append(np.flatnonzero(new[1:]), len(at) - 1)
+        put = np.zeros(len(at) + 1, dtype=np.int32)
+        put[edges] += 1
+        put[last + 1] += 1
+        place = np.arange(len(at)) + np.cumsum(put[:-1])
+        found = []
+        for values, before, after in ((symbol[at], EDGE, EDGE), (sentence, sentence[edges], sentence[last]), (text, text[edges], text[last]), (cost, 0, 0)):
+            whole = np.empty(len(at) + len(edges) + len(last), dtype=np.int32)
+            whole[place], whole[place[edges] - 1], whole[place[last] + 1] = values, before, after
+            found.append(whole)
+        letters, sentence, text, cost = found
+        cost[changes(sentence)] = NEVER
+        return Letters(letters, np.cumsum(cost, dtype=np.int32), sentence, text)
 
     def subsequences(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """For each pattern of offsets: the codes and weights of the letters that can begin it, and its last offset."""
         n = len(self.symbol)
+        digits = [self.symbol * np.int32(LETTERS**k) for k in range(ORDER - 1, -1, -1)]
+        crossing: dict[int, np.ndarray] = {}
         for offsets in PATTERNS:
-            if (m := n - offsets[-1]) <= 0:
+            reach = offsets[-1]
+            if (m := n - reach) <= 0:
                 continue
-            code = self.symbol[:m]
-            for o in offsets[1:]:
-                code = code * LETTERS + self.symbol[o : o + m]
-            units = np.minimum(self.units[offsets[-1] :] - self.units[:m], NEVER)
-            yield code, _CROSSING[units] * np.float32(SKIP ** (offsets[-1] - ORDER + 1)), offsets[-1]
+            code = digits[0][:m] + digits[1][offsets[1] : offsets[1] + m]
+            for k in range(2, ORDER):
+                code += digits[k][offsets[k] : offsets[k] + m]
+            if reach not in crossing:
+                crossing[reach] = _CROSSING[np.minimum(self.units[reach:] - self.units[:m], NEVER)]
+            yield code, crossing[reach] * np.float32(SKIP ** (reach - ORDER + 1)), reach
 
 
 def highest(letters: Letters, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,16 +161,24 @@ def highest(letters: Letters, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(letters.symbol)
     edges = np.flatnonzero(letters.symbol == EDGE)
     # The edges after each letter: of its word and of the next.
-    after = np.append(edges, [n + REACH] * 2)[np.searchsorted(edges, np.arange(n), side="right")]
+    before = np.cumsum(letters.symbol == EDGE)
+    after = np.append(edges, [n + REACH] * 2)[before]
+    left = np.minimum(after - np.arange(n), REACH).astype(np.int8)
     inside, squares, over, over_squares = (np.zeros(n, dtype=np.float32) for _ in range(4))
     for code, weight, reach in letters.subsequences():
         m = len(code)
-        value, square = whole[code] * weight, weight * weight
-        own = after[:m] >= np.arange(reach, reach + m)
-        inside[:m] += value * own
-        squares[:m] += square * own
-        over[:m] += value * ~own
-        over_squares[:m] += square * ~own
+        value = whole[code]
+        value *= weight
+        weight *= weight
+        own = left[:m] >= reach
+        over[:m] += value
+        over_squares[:m] += weight
+        value *= own
+        weight *= own
+        inside[:m] += value
+        squares[:m] += weight
+    over -= inside
+    over_squares -= squares
     word = edges[np.append(np.diff(letters.sentence[edges]) == 0, False)]  # the edges that begin a word
     if not len(word):
         return np.zeros(0), word, word
@@ -185,8 +212,12 @@ class Machine:
         if not len(value):
             return best, shown
         owner = letters.text[begin]
-        order = np.lexsort((-begin, value, owner))
-        for k in order[np.flatnonzero(np.diff(owner[order], append=len(texts)) > 0)].tolist():
+        # The highest of each text, the first of equal ones.
+        top = np.full(len(texts), -np.inf)
+        np.maximum.at(top, owner, value)
+        hits = np.flatnonzero(value == top[owner])
+        hits = hits[np.lexsort((begin[hits], owner[hits]))]
+        for k in hits[changes(owner[hits])].tolist():
             span = slice(begin[k], end[k] + 1)
             cost = np.diff(letters.units[span], prepend=letters.units[begin[k]]).astype(np.uint8)
             best[owner[k]], shown[owner[k]] = value[k], (letters.symbol[span].astype(np.uint8).tobytes(), cost.tobytes())
@@ -348,7 +379,7 @@ def worst_words(sample: DataFrame, machine: Machine) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = machine.table()
         for batch in batches:
-            for marks, texts in text_slices(batch, "label", "text", 1 << 20):
+            for marks, texts in text_slices(batch, "label", "text", SLICE):
                 best, shown = machine.sums(texts, whole)
                 yield pa.RecordBatch.from_pydict({
                     "label": pa.array(marks, pa.int32()), "best": pa.array(best, pa.float64()),
@@ -367,7 +398,7 @@ def scored(docs: DataFrame, machine: Machine | None, doc_id: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = machine.table() if machine else None
         for batch in batches:
-            for keys, texts in text_slices(batch, "doc_id", "text", 1 << 20):
+            for keys, texts in text_slices(batch, "doc_id", "text", SLICE):
                 found = machine.score(machine.sums(texts, whole)[0]) if machine else np.zeros(len(texts))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "score": pa.array(found, pa.float64())})
 
