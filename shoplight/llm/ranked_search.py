@@ -36,7 +36,19 @@ LAST_NAME = np.iinfo(np.int64).max
 
 # Digits, letters in lower case and all bytes of other scripts stay; everything else separates words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX = "ids array<long>, words binary, holders binary, holder_width int, height int, masks binary, impacts binary, impact_width int"
+INDEX = ("ids array<long>, words array<binary>, holders array<binary>, holder_width int, height int, masks array<binary>, "
+         "impacts array<binary>, impact_width int")
+# Bytes of a piece of a long value: files are written and read by pages, and a page holds whole values.
+PIECE_BYTES = 128 << 10
+
+
+def in_pieces(raw: bytes) -> pa.Array:
+    """One row that holds a long value in pieces."""
+    return pa.array([[raw[a : a + PIECE_BYTES] for a in range(0, len(raw), PIECE_BYTES)]], pa.list_(pa.binary()))
+
+
+def joined(value: pa.ListScalar) -> bytes:
+    return b"".join(value.as_py())
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
@@ -114,8 +126,8 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
         holders = small(np.bincount(row, minlength=len(words)))
         return pa.RecordBatch.from_arrays([
             pa.array([[None if r[1] else r[0] for r in rows]], pa.list_(pa.int64())),
-            pa.array([b" ".join(words)], pa.binary()), pa.array([holders.tobytes()], pa.binary()), pa.array([holders.itemsize], pa.int32()),
-            pa.array([treap.height], pa.int32()), pa.array([masks], pa.binary()), pa.array([impacts], pa.binary()), pa.array([width], pa.int32())],
+            in_pieces(b" ".join(words)), in_pieces(holders.tobytes()), pa.array([holders.itemsize], pa.int32()),
+            pa.array([treap.height], pa.int32()), in_pieces(masks), in_pieces(impacts), pa.array([width], pa.int32())],
             names=["ids", "words", "holders", "holder_width", "height", "masks", "impacts", "impact_width"])
 
     path = work_dir(docs.sparkSession, "word-index")
@@ -158,8 +170,8 @@ def holders_of(blocks: DataFrame, words: list[bytes]) -> np.ndarray:
         found = np.zeros(len(words), dtype=np.int64)
         for batch in batches:
             for own, raw, width in zip(*(batch.column(c) for c in ("words", "holders", "holder_width"))):
-                local = places_of(words, own.as_py())
-                found += np.where(local >= 0, np.frombuffer(raw.as_buffer(), dtype=f"<u{width}").astype(np.int64)[np.maximum(local, 0)], 0)
+                local = places_of(words, joined(own))
+                found += np.where(local >= 0, np.frombuffer(joined(raw), dtype=f"<u{width}").astype(np.int64)[np.maximum(local, 0)], 0)
         there = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"word": pa.array(there, pa.int64()), "holders": pa.array(found[there], pa.int64())})
 
@@ -181,8 +193,8 @@ def best(blocks: DataFrame, items: Items, weights: np.ndarray, top: int) -> Data
         found: list[list[tuple[int, int, bool]]] = [[] for _ in items.names]
         for batch in batches:
             for ids, own, height, masks, impacts, width in zip(*(batch.column(c) for c in ("ids", "words", "height", "masks", "impacts", "impact_width"))):
-                local = places_of(items.words, own.as_py())
-                treap = Treap.unpacked(height.as_py(), masks.as_buffer(), impacts.as_buffer(), width.as_py())
+                local = places_of(items.words, joined(own))
+                treap = Treap.unpacked(height.as_py(), joined(masks), joined(impacts), width.as_py())
                 known = ids.as_py()
                 no_id = [i is None for i in known]
                 names = np.array([LAST_NAME if i is None else i for i in known], dtype=np.int64)
