@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplight.functions.stems import same_stem, stem
 from shoplight.operators.sequences import newest_per_key
 
 
@@ -77,17 +78,25 @@ def trending_by_category(games: DataFrame, categories: Sequence[str], n: int = 4
 def search_games(games: DataFrame, q: str, limit: int = 10) -> DataFrame:
     """Games that hold every word of ``q``, or ``q`` as a substring; name hits first, then rating.
 
-    A word is a run of letters and digits of any script. English stop words are not asked for; words
-    match exactly after lower-casing, without stemming.
+    A word is a run of letters and digits of any script. English stop words are not asked for; words match by their
+    English stems, so "games" finds "game". The stems of ``q`` are found once, and only words that begin like one of them
+    are stripped.
     """
     words = [w for w in re.findall(r"[^\W_]+", q.lower()) if w not in STOP_WORDS]
     text = F.lower(F.concat_ws(" ", "name", "description", F.array_join("tags", " ")))
     tokens = F.split(text, r"[^\p{L}\p{N}]+")
-    all_words = reduce(Column.__and__, [F.array_contains(tokens, w) for w in words]) if words else F.lit(False)
+    if words:
+        asked = F.transform(F.array(*[F.lit(w) for w in words]), stem)
+        # One subquery, computed before the scan.
+        games = games.withColumn("_wanted", games.sparkSession.range(1).select(asked.alias("wanted")).scalar())
+        all_words = F.forall("_wanted", lambda w: F.exists(tokens, lambda token: same_stem(token, w)))
+    else:
+        all_words = F.lit(False)
     holds = lambda name: F.coalesce(F.col(name).ilike(f"%{q}%"), F.lit(False))
     hit = all_words | holds("name") | holds("description") | holds("category")
     name_first = F.when(holds("name"), 1).otherwise(2)
-    return games.filter(hit).orderBy(name_first, F.desc_nulls_first("rating"), F.asc("game_id")).limit(limit)
+    found = games.filter(hit).drop("_wanted")
+    return found.orderBy(name_first, F.desc_nulls_first("rating"), F.asc("game_id")).limit(limit)
 
 
 def search_substring(

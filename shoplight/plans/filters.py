@@ -128,6 +128,20 @@ def txt_stop_words(v: ShopViews) -> DataFrame:
     return catalogue.search_games(v.games, "the title of RED", 10).select("game_id", "name", "category", "rating")
 
 
+# Words of these tables and of the query below by their stems (known from the published algorithm's steps).
+_STEMS = {"gear": ["gear", "gears", "geared", "gearing"], "titl": ["title", "titles", "titled", "titling"], "larg": ["large"]}
+_ALL_STEMS = " AND ".join(
+    f"list_has_any(string_split_regex({_TEXT}, '[^\\p{{L}}\\p{{N}}]+'), {words})" for words in _STEMS.values())
+
+
+@query("txt_stems", f"""
+SELECT game_id, name, category, CAST(rating AS DOUBLE) AS rating FROM games WHERE {_ALL_STEMS}
+ORDER BY rating DESC, game_id LIMIT 10""")
+def txt_stems(v: ShopViews) -> DataFrame:
+    """Inflected words find their other forms."""
+    return catalogue.search_games(v.games, "Gears titled large", 10).select("game_id", "name", "category", "rating")
+
+
 @query("txt_substring", """
 SELECT game_id, name, category, CAST(price AS DOUBLE) AS price FROM games
 WHERE (contains(lower(name), 'ing') OR contains(lower(description), 'ing')

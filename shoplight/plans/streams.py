@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shoplight.plans.registry import query
 from shoplight.plans.windows import sessions_sql
 from shoplight.schemas import RAW_TABLES
-from shoplight.session import work_dir
+from shoplight.session import stored, work_dir
 from shoplight.sources.shop_views import ShopViews
 from shoplight.streaming import intake, sessions, status, summaries
 from shoplight.streaming.tables import read_states, read_table
@@ -160,7 +160,10 @@ WHERE no > 1 AND order_status IS DISTINCT FROM before""")
 def str_status_history(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "status")
     snapshots = v.status_snapshots.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    snapshots.repartition(4, "order_id").write.parquet(f"{root}/snapshots")
+    # Cut by time and written one after another, so that orders go on over the batches and meet their kept status.
+    cut = stored(snapshots.repartitionByRange(4, "updated_at").withColumn("part", F.spark_partition_id()), "snapshots")
+    for part in range(4):
+        cut.filter(F.col("part") == part).drop("part").coalesce(2).write.mode("append").parquet(f"{root}/snapshots")
     stream = v.spark.readStream.schema(snapshots.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/snapshots")
     status.stream_status_history(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return read_table(v.spark, f"{root}/out/history")
