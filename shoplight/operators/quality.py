@@ -50,14 +50,31 @@ def check_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def check_fk(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows whose key is set but missing in the parent; keys are counted before the join."""
-    keys = child.groupBy(F.col(child_key).alias("_key")).agg(F.count("*").alias("_rows"))
-    orphans = keys.filter(F.col("_key").isNotNull()).join(
-        parent.select(F.col(parent_key).alias("_key")), "_key", "left_anti"
-    )
-    return orphans.agg(
-        F.count("*").alias("orphan_keys"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("violations")
-    ).select(F.lit(f"foreign_key:{child_key}").alias("rule"), "*")
+    """Child rows whose key is set but missing in the parent."""
+    return check_fks([(child, parent, child_key, parent_key)])
+
+
+def check_fks(relations: Sequence[tuple[DataFrame, DataFrame, str, str]]) -> DataFrame:
+    """Child rows whose key is set but missing in the parent, for relations (child, parent, child key, parent key).
+
+    The keys of all children and parents, each with the number of its relation, meet in one aggregate: one shuffle for
+    all rules, and map tasks count a child's repeated keys before it. Keys are compared as texts of one type per relation.
+    """
+    tagged = []
+    for number, (child, parent, child_key, parent_key) in enumerate(relations):
+        for df, key, rows in ((child, child_key, 1), (parent, parent_key, 0)):
+            tagged.append(df.filter(F.col(key).isNotNull()).select(
+                F.lit(number).alias("_relation"), F.col(key).cast("string").alias("_key"), F.lit(rows).cast("bigint").alias("_rows"),
+                F.lit(rows == 0).alias("_known")))
+    keys = reduce(DataFrame.unionAll, tagged).groupBy("_relation", "_key").agg(F.sum("_rows").alias("_rows"), F.max("_known").alias("_known"))
+    orphan = ~F.col("_known")
+    figures = [F.struct(F.count_if(orphan & (F.col("_relation") == n)).alias("orphan_keys"),
+                        F.coalesce(F.sum(F.when(orphan & (F.col("_relation") == n), F.col("_rows"))), F.lit(0)).alias("violations")).alias(f"_{n}")
+               for n in range(len(relations))]
+    counts = keys.agg(*figures)
+    entries = F.array(*[F.struct(F.lit(f"foreign_key:{key}").alias("rule"), f"_{n}.orphan_keys", f"_{n}.violations")
+                        for n, (_, _, key, _) in enumerate(relations)])
+    return counts.select(F.inline(entries))
 
 
 def check_order_totals(orders: DataFrame, items: DataFrame) -> DataFrame:

@@ -70,10 +70,7 @@ def dq_foreign_key(v: ShopViews) -> DataFrame:
         # No relation of the shop: it has orphans, which the others should not.
         (v.search_events, v.search_events, "results_count", "clicked_result_position"),
     ]
-    first, *rest = [quality.check_fk(*check) for check in checks]
-    for report in rest:
-        first = first.unionAll(report)
-    return first
+    return quality.check_fks(checks)
 
 
 @query("dq_domain", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplight.functions.times import bucket
 from shoplight.plans.registry import query
 from shoplight.plans.windows import sessions_sql
 from shoplight.schemas import RAW_TABLES
@@ -25,10 +26,6 @@ class StreamViews(ShopViews):
         return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _live(v: ShopViews) -> StreamViews:
-    return StreamViews(v.spark, v.root)
-
-
 class ShuffledStreamViews(StreamViews):
     """The event tables as streams over six files, each with events of all times, one file per batch."""
 
@@ -78,7 +75,8 @@ SELECT date_trunc('hour', timestamp) AS metric_hour, 'hourly_summary' AS metric_
 FROM page_views GROUP BY 1""")
 def str_hourly(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "hourly")
-    summaries.stream_traffic(_live(v).page_views, f"{root}/states", f"{root}/checkpoint", "hour").awaitTermination()
+    live = ShuffledStreamViews(v, root)
+    summaries.stream_traffic(live.page_views, f"{root}/states", f"{root}/checkpoint", "hour").awaitTermination()
     hours = summaries.finish_traffic(read_states(v.spark, f"{root}/states"), "metric_hour")
     return hours.select(
         "metric_hour", F.lit("hourly_summary").alias("metric_type"), F.col("page_views").alias("total_events"),
@@ -105,7 +103,8 @@ FROM game_interactions WHERE event_type = 'view' GROUP BY 1, 2"""
 def str_dau(v: ShopViews) -> DataFrame:
     """The sketches' estimate, held against the exact count."""
     root = work_dir(v.spark, "dau")
-    summaries.stream_dau(_live(v).game_interactions, f"{root}/sketches", f"{root}/checkpoint").awaitTermination()
+    live = ShuffledStreamViews(v, root)
+    summaries.stream_dau(live.game_interactions, f"{root}/sketches", f"{root}/checkpoint").awaitTermination()
     estimate = summaries.finish_dau(v.spark, f"{root}/sketches").withColumnRenamed("unique_users", "_estimate")
     exact = summaries.dau_exact(v.game_interactions)
     close = F.abs(F.col("_estimate") - F.col("unique_users")) <= F.greatest(F.lit(1.0), F.col("unique_users") * 0.05)
@@ -151,6 +150,41 @@ def str_sessions(v: ShopViews) -> DataFrame:
     return sessions.finish_sessions(read_states(v.spark, f"{root}/slots"))
 
 
+@query("str_user_counts", """
+SELECT count(*) AS total_users, count(*) FILTER (WHERE newest >= {as_of} - INTERVAL 1 DAY) AS active_users,
+       count(*) FILTER (WHERE oldest >= {as_of} - INTERVAL 1 DAY) AS new_users,
+       count(*) FILTER (WHERE newest >= {as_of} - INTERVAL 1 DAY AND oldest < {as_of} - INTERVAL 1 DAY) AS returning_users
+FROM (SELECT user_id, min(timestamp) AS oldest, max(timestamp) AS newest FROM some_anonymous
+      WHERE user_id IS NOT NULL GROUP BY user_id)""")
+def str_user_counts(v: ShopViews) -> DataFrame:
+    """New and returning users from a table of first events and the period's dates alone."""
+    root = work_dir(v.spark, "first-seen")
+    live = ShuffledStreamViews(v, root).some_anonymous.select("user_id", "timestamp")
+    summaries.stream_first_seen(live, f"{root}/first", f"{root}/checkpoint").awaitTermination()
+    dated = v.some_anonymous.select("user_id", "timestamp").withColumn("event_date", F.to_date("timestamp"))
+    dated.repartition("event_date").write.partitionBy("event_date").parquet(f"{root}/dated")
+    return summaries.user_counts(v.spark.read.parquet(f"{root}/dated"), read_states(v.spark, f"{root}/first"), "1 DAY", v.newest_event())
+
+
+@query("str_performance", """
+SELECT date_trunc('hour', timestamp) AS period_start, service_name, metric_type, round(avg(metric_value), 6) AS avg_value,
+       min(metric_value) AS min_value, max(metric_value) AS max_value, count(metric_value) AS sample_count, true AS p95_close
+FROM performance_metrics WHERE metric_value IS NOT NULL GROUP BY 1, 2, 3""")
+def str_performance(v: ShopViews) -> DataFrame:
+    """Hourly percentiles from sketches of six batches, held against the ranks of the samples."""
+    root = work_dir(v.spark, "performance")
+    live = ShuffledStreamViews(v, root).performance_metrics
+    summaries.stream_performance(live, f"{root}/states", f"{root}/checkpoint").awaitTermination()
+    hours = summaries.finish_performance(read_states(v.spark, f"{root}/states"))
+    keys = ["period_start", "service_name", "metric_type"]
+    samples = v.performance_metrics.select(bucket("timestamp", "hour").alias("period_start"), "service_name", "metric_type", "metric_value")
+    below = F.count_if(F.col("metric_value") < F.col("p95_value"))
+    upto = F.count_if(F.col("metric_value") <= F.col("p95_value"))
+    close = (below <= F.ceil(F.count("metric_value") * 0.97)) & (upto >= F.floor(F.count("metric_value") * 0.93))
+    return samples.filter("metric_value IS NOT NULL").join(hours, keys).groupBy(*keys, "avg_value", "min_value", "max_value", "sample_count").agg(
+        close.alias("p95_close")).withColumn("avg_value", F.round("avg_value", 6))
+
+
 @query("str_status_history", """
 SELECT order_id, before AS previous_status, order_status AS new_status, 'Status updated' AS status_reason,
        'system' AS changed_by, updated_at AS created_at

@@ -1,85 +1,73 @@
-"""Live order status history."""
+"""Live order status history on Spark's keyed state.
+
+Spark keeps the last status of every order in its state store (RocksDB) beside the checkpoint, and restores it after a
+failure. Only the history of changes is written as a table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from shoplight.streaming.tables import start, write_batch
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGE = "order_id bigint, previous_status string, new_status string, created_at timestamp"
+
 
-from shoplight.operators.sequences import latest_by_key, with_neighbours
-from shoplight.session import stored
-from shoplight.streaming.tables import drop_folder, start, write_batch
+class StatusChanges(StatefulProcessor):
+    """Compares an order's snapshots with each other and the first of a batch with the order's last status so far."""
 
-# Every so many batches the whole state is written once, so a batch reads few folders.
-FULL_EVERY = 20
-# The state lies in so many folders by order; a batch reads those of its orders.
-BUCKETS = 64
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last_status", "order_status string")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        stored = self.last.get()
+        known, status = stored is not None, stored[0] if stored else None
+        before = status
+        # An order's rows of one batch come in any order; the source's limits bound a batch.
+        snapshots = [(r.updated_at, r.seq, r.order_status) for r in rows]
+        snapshots.sort(key=lambda s: [(value is not None, value) for value in s[:2]])
+        new = not known
+        for at, _, current in snapshots:
+            if known and current != status:
+                yield Row(order_id=key[0], previous_status=status, new_status=current, created_at=at)
+            known, status = True, current
+        if new or status != before:
+            self.last.update((status,))
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("order_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    def close(self) -> None:
+        pass
 
 
-def _state(spark: SparkSession, path: str, batch_id: int, schema: StructType, buckets: list[int] | None = None) -> DataFrame:
-    """The last status per order before ``batch_id``: the newest full state and the changes since, of some buckets or all."""
-    full = batch_id // FULL_EVERY * FULL_EVERY - 1
-    folders = [f"{path}/full/batch_id={full}"] if full >= 0 else []
-    folders += [f"{path}/changes/batch_id={i}" for i in range(full + 1, batch_id)]
-    rows = None
-    for folder in folders:  # each with its own partitions
-        part = spark.read.schema(schema).parquet(folder)
-        part = part if buckets is None else part.filter(F.col("bucket").isin(buckets))
-        rows = part if rows is None else rows.unionByName(part)
-    if rows is None:
-        return spark.createDataFrame([], schema)
-    return latest_by_key(rows, ["order_id"], ["as_of_batch"])
+def status_changes(snapshots: DataFrame) -> DataFrame:
+    """The changes of a stream of snapshots (order_id, seq, order_status, updated_at). Rows without an order are of no order."""
+    known = snapshots.filter(F.col("order_id").isNotNull()).select(
+        F.col("order_id").cast("bigint").alias("order_id"), F.col("seq").cast("bigint").alias("seq"), "order_status",
+        F.col("updated_at").cast("timestamp").alias("updated_at"))
+    changes = known.groupBy("order_id").transformWithState(StatusChanges(), CHANGE, "Append", "None")
+    return changes.select(
+        "order_id", "previous_status", "new_status", F.lit("Status updated").alias("status_reason"), F.lit("system").alias("changed_by"),
+        "created_at")
 
 
-def record_changes(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch's status changes and the statuses it leaves behind.
+def stream_status_history(snapshots: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Record status changes in ``path``/history as order snapshots arrive.
 
-    Inside the batch each snapshot is compared with the one before; an order's first snapshot
-    is compared with its stored status. Only folders of earlier batches are read, and of the state only the
-    buckets of the batch's orders, so a batch that is run again gives the same rows. States that no rerun
-    can need any more are removed.
+    Snapshots of one batch are ordered by ``updated_at`` and ``seq``; batches follow each other as they arrive. NULL counts as
+    a status of its own. The first snapshot of an order is the insert, not a change.
     """
-    order = ["updated_at", "seq"]
-    spark = batch.sparkSession
-    columns = batch.select("order_id", "order_status", F.lit(batch_id).cast("bigint").alias("as_of_batch"), _bucket())
-    buckets = [r.bucket for r in batch.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
-    before = _state(spark, f"{path}/state", batch_id, columns.schema, buckets).select("order_id", F.col("order_status").alias("_stored"))
-
-    seen = with_neighbours(batch, ["order_id"], order, previous=["order_status"], number="_no")
-    # Only an order's first snapshot meets the stored statuses: one row per order on both sides.
-    later = seen.filter(F.col("_no") > 1).withColumnRenamed("prev_order_status", "_before")
-    first = seen.filter(F.col("_no") == 1).join(before, "order_id").select(*batch.columns, F.col("_stored").alias("_before"))
-    compared = later.select(*batch.columns, "_before").unionByName(first)
-    changes = compared.filter(~F.col("order_status").eqNullSafe(F.col("_before"))).select(
-        "order_id", F.col("_before").alias("previous_status"), F.col("order_status").alias("new_status"),
-        F.lit("Status updated").alias("status_reason"), F.lit("system").alias("changed_by"),
-        F.col("updated_at").alias("created_at"),
-    )
-    write_batch(changes, f"{path}/history", batch_id)
-
-    last = latest_by_key(batch, ["order_id"], order).select(
-        "order_id", "order_status", F.lit(batch_id).cast("bigint").alias("as_of_batch"), _bucket())
-    write_batch(last, f"{path}/state/changes", batch_id, ["bucket"])
-    if batch_id % FULL_EVERY == FULL_EVERY - 1:
-        everything = _state(spark, f"{path}/state", batch_id, columns.schema).unionByName(last)
-        write_batch(latest_by_key(everything, ["order_id"], ["as_of_batch"]), f"{path}/state/full", batch_id, ["bucket"])
-        for old in range(max(0, batch_id - 2 * FULL_EVERY + 1), batch_id - FULL_EVERY + 1):
-            drop_folder(spark, f"{path}/state/changes/batch_id={old}")
-        if batch_id >= 2 * FULL_EVERY:
-            drop_folder(spark, f"{path}/state/full/batch_id={batch_id - 2 * FULL_EVERY}")
-
-
-def stream_status_history(
-    snapshots: DataFrame, path: str, checkpoint: str, every: str | None = None
-) -> StreamingQuery:
-    """Record status changes below ``path`` as order snapshots arrive: ``history`` and ``state``."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        record_changes(stored(batch, "snapshots"), path, batch_id)
-
-    return start(snapshots, handle, checkpoint, every=every)
+    conf = snapshots.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        return start(status_changes(snapshots), lambda batch, n: write_batch(batch, f"{path}/history", n), checkpoint, every=every)
+    finally:  # a running stream keeps the setting that it began with
+        if before is None:
+            conf.unset(PROVIDER)
+        else:
+            conf.set(PROVIDER, before)
