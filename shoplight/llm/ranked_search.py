@@ -25,7 +25,7 @@ from shoplight.session import prepare, work_dir
 
 TOP = 20
 # A block is closed at so many documents or bytes of text.
-BLOCK_DOCS, BLOCK_BYTES = 2048, 3 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1024, 3 << 19
 # Bytes of a row group of the index: a task holds one at a time.
 GROUP_BYTES = 8 << 20
 # Bytes of a text that are cut into words at once, and items that are searched together.
