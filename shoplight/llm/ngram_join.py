@@ -2,13 +2,14 @@
 
 1. Every text becomes its set of five-word shingles. Equal sets are one node, whatever the number of copies.
 2. Each task gives the signatures of the nodes it meets, once per node, as packed arrays that are dealt out by signature.
-   Signatures that one node alone has are dropped there.
+   Signatures that one node alone has are dropped there. Near copies share many signatures: groups of the same nodes are
+   one group, whatever the number of their signatures.
 3. In each signature's group the smallest node is the pivot, and the others are compared with it. That settles
    most groups of near copies without their pairs.
 4. Where a group's members lie in several components, they are compared in blocks by bitmaps, which can only rule out pairs
    that are too far apart. In a few rounds each component gives its nearest pair with another one; then all pairs
    that are left between components are compared. No link between components is lost.
-5. Links become components by spreading the smallest id.
+5. Links between nodes become components by spreading the smallest node; the smallest id of a component is its name.
 
 Every pair is confirmed on the whole texts.
 """
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from shoplight.llm.common import free_name, map_batches, mix, table, text_slices
+from shoplight.llm.common import free_name, map_batches, mix, table, text_slices, whole_text
 from shoplight.llm.signatures import distance, shingle_sets, signatures, similar
 from shoplight.session import prepare, stored
 
@@ -60,11 +61,12 @@ def folded(bitmaps: list[bytes]) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Each row's id, set size, node, check and, for the first row of a node in a task, bitmap."""
+    """Each row's id, digest of its text, set size, node, check and, for the first row of a node in a task, bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            at = 0
             for keys, texts in text_slices(batch, "doc_id", "text", 1 << 20):
                 rows = []
                 for key, values in zip(keys, shingle_sets(texts)):
@@ -75,10 +77,18 @@ def set_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     rows.append((key, len(values), node, check, None if node in seen else bitmap_of(values)))
                     seen.add(node)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                    names=["doc_id", "n_shingles", "node", "check", "bitmap"])
+                    [batch.column(batch.schema.get_field_index("digest")).slice(at, len(rows)),
+                     *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]],
+                    names=["digest", "doc_id", "n_shingles", "node", "check", "bitmap"])
+                at += len(rows)
 
-    return map_batches(_chosen(docs, doc_id, text), run, "doc_id long, n_shingles long, node long, check long, bitmap binary")
+    chosen = _chosen(docs, doc_id, text).withColumn("digest", text_digest("text"))
+    return map_batches(chosen, run, "digest binary, doc_id long, n_shingles long, node long, check long, bitmap binary")
+
+
+def text_digest(text: str) -> Column:
+    """Sixteen bytes that tell texts apart; null is read as empty."""
+    return F.unhex(F.md5(whole_text(text)))
 
 
 def _chosen(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -95,7 +105,7 @@ def nodes_of(sets: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(signature, node, pivot) for every signature that two nodes or more have."""
+    """(signature, node, pivot) of every group of two nodes or more that share a signature, under one name for all signatures of the group."""
     spark = docs.sparkSession
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * tasks
@@ -177,6 +187,14 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         counts = counts[counts > 1]
         if not len(counts):
             return
+        # Groups of the same nodes are one. They are known by two sums over their nodes, one of which becomes their name.
+        begin = np.cumsum(counts) - counts
+        name, other = (np.add.reduceat(mix(node.view(np.uint64) + np.uint64(c)), begin) for c in (1, 2))
+        _, one_of = np.unique(np.stack([name, other], axis=1), axis=0, return_index=True)
+        chosen = np.zeros(len(counts), dtype=bool)
+        chosen[one_of] = True
+        signature, node = np.repeat(name, counts)[np.repeat(chosen, counts)], node[np.repeat(chosen, counts)]
+        counts = counts[chosen]
         # The pivot is the smallest node: nodes that share many groups then mostly have one pivot in all of them.
         pivot = np.repeat(node[np.concatenate([[0], np.cumsum(counts)[:-1]])], counts)
         for a in range(0, len(node), 100_000):
@@ -185,7 +203,8 @@ def groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 "signature": pa.array(signature[part].view(np.int64)), "node": pa.array(node[part]), "pivot": pa.array(pivot[part])})
 
     dealt = map_batches(_chosen(docs, doc_id, text), pack, "bucket int, payload binary").repartition(tasks, "bucket")
-    return map_batches(dealt, unpack, "signature long, node long, pivot long")
+    # Several tasks may give one group.
+    return map_batches(dealt, unpack, "signature long, node long, pivot long").distinct()
 
 
 def near_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,28 +225,33 @@ def near_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b): the smallest ids of the two nodes of each pair whose whole texts are similar."""
-    side = lambda name: texts.select(
-        F.col("node").alias(name), F.col("rep").alias(f"{name}_rep"), F.col("text").alias(f"{name}_text"))
+    """Links (a, b): the pairs of nodes whose whole texts are similar."""
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, np.ndarray] | None = None
         for batch in batches:
             links = []
-            column = {c: batch.column(c).to_pylist() for c in ("a", "b", "a_rep", "b_rep")}
-            for a, b, a_rep, b_rep, x, y in zip(*column.values(), batch.column("a_text"), batch.column("b_text")):
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("a_text"), batch.column("b_text")):
                 # Rows of one node mostly come together.
                 if last is None or last[0] != a:
                     last = a, shingle_sets([x.as_py().encode()])[0]
                 other = shingle_sets([y.as_py().encode()])[0]
                 if node_of(last[1])[0] == a and node_of(other)[0] == b and similar(last[1], other):
-                    links.append((a_rep, b_rep))
+                    links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_rep", "b_rep", "a_text", "b_text")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
     return map_batches(both, run, "a long, b long")
 
 
+def counted(df: DataFrame, label: str, what: Column) -> tuple[DataFrame, int]:
+    """``stored``, and how many rows meet a condition, which the write counts on its way."""
+    seen = Observation()
+    written = stored(df.observe(seen, F.count_if(what).alias("n")), label)
+    return written, int(seen.get.get("n") or 0)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each linked id reaches.
 
@@ -241,17 +265,17 @@ def components(links: DataFrame) -> DataFrame:
         nearer = labels.join(heard, labels.id == heard.a).select("id", "label", F.least("label", "heard").alias("next"))
         # Then the label's own label of the turn before.
         over = labels.select(F.col("id").alias("next"), F.col("label").alias("beyond"))
-        new = stored(nearer.join(over, "next", "left").select(
-            "id", F.least("next", "beyond").alias("label"), (F.least("next", "beyond") < F.col("label")).alias("changed")), "labels")
+        new, changed = counted(nearer.join(over, "next", "left").select(
+            "id", F.least("next", "beyond").alias("label"), (F.least("next", "beyond") < F.col("label")).alias("changed")), "labels", F.col("changed"))
         labels = new.select("id", "label")
-        if not new.filter("changed").limit(1).count():
+        if not changed:
             return labels
 
 
 def joined_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` with new labels, after links between ids of nodes; the components so far are the ids of a smaller graph."""
-    own = nodes.select("rep", "label")
-    side = lambda name: own.select(F.col("rep").alias(name), F.col("label").alias(f"{name}_label"))
+    """``nodes`` with new labels, after links between nodes; the components so far are the ids of a smaller graph."""
+    own = nodes.select("node", "label")
+    side = lambda name: own.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
     between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
     labels = components(between).select(F.col("id").alias("label"), F.col("label").alias("joined"))
     return stored(nodes.join(labels, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined"), "nodes")
@@ -267,7 +291,7 @@ def open_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
     apart = members.select("signature", "node", "pivot").join(label, "node").join(pivot, "pivot")
     counts = (apart.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("pivot_label")).alias("apart"))
               .filter("apart > 0 AND n > 2").select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    return stored(members.select("signature", "node", "pivot").join(stored(counts, "open-groups"), "signature"), "members")
+    return stored(members.select("signature", "node", "pivot").join(counts, "signature"), "members")
 
 
 def cross_pairs(members: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
@@ -341,33 +365,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     row without an id takes no part in links, and its component is null. Repeated rows are equal
     sets and so linked. An empty table gives an empty table; other columns are not read.
     """
+    return _components_of_rows(docs, doc_id, text).select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first.rep", "doc_id")).alias("component_id"))
+
+
+def _components_of_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``set_rows`` with ``first``: the smallest id of their component and the node that has it."""
     sets = stored(set_rows(docs, doc_id, text), "sets")
     nodes = stored(nodes_of(sets), "nodes")
     members = stored(groups(docs, doc_id, text), "groups")
     # The texts of nodes that share a signature with another.
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "rep")
-    source = _chosen(docs, doc_id, text)
-    texts = stored(source.join(wanted, source.doc_id == wanted.rep).select("node", "rep", "text").distinct(), "texts")
+    chosen = sets.select("doc_id", "digest", "node").join(wanted, "node").filter("doc_id = rep").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"))
+    source = _chosen(docs, doc_id, text).withColumn("digest", text_digest("text"))
+    texts = stored(source.join(chosen, ["doc_id", "digest"]).groupBy("doc_id", "digest", "node").agg(
+        F.any_value("text").alias("text")), "texts")
     pairs = stored(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stored(confirmed(near_enough(pairs, nodes), texts), "links")
-    nodes = joined_components(nodes.withColumn("label", F.col("rep")), links)
+    nodes = joined_components(nodes.withColumn("label", F.col("node")), links)
     for turn in range(ROUNDS + 1):
         members = open_groups(members, nodes)
-        pairs = stored(cross_pairs(members, nodes, best=turn < ROUNDS), "pairs")
-        if not pairs.limit(1).count():
+        pairs, found = counted(cross_pairs(members, nodes, best=turn < ROUNDS), "pairs", F.lit(True))
+        if not found:
             break
         nodes = joined_components(nodes, stored(confirmed(pairs, texts), "links"))
-    own = nodes.select("node", F.col("label").alias("component"))
-    return sets.join(own, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    firsts = nodes.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("first"))
+    own = nodes.select("node", "label").join(firsts, "label").select("node", "first")
+    return sets.join(own, "node", "left")
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: those whose id is the smallest of their component, and those without an id."""
-    found = near_duplicates(docs, doc_id, text)
-    gone = free_name(docs, "gone_id")
-    dropped = stored(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
-    return docs.join(dropped, F.col(doc_id) == F.col(gone), "left_anti")
+    """The rows of ``docs`` that stay: those with the smallest id of their component and, where an id comes with several
+    texts, the one set of them that the component is known by; and those without an id. Repeated rows stay or go together.
+    """
+    found = _components_of_rows(docs, doc_id, text)
+    gone, mark = free_name(docs, "gone_id"), free_name(docs, "gone_digest")
+    dropped = stored(found.filter("doc_id IS NOT NULL AND (first.rep <> doc_id OR first.node <> node)").select(
+        F.col("doc_id").alias(gone), F.col("digest").alias(mark)).distinct(), "near-copies")
+    return docs.join(dropped, (F.col(doc_id) == F.col(gone)) & (text_digest(text) == F.col(mark)), "left_anti")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ parts, of which two at least agree, and all subsets of two.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +21,8 @@ from shoplight.llm.common import mix
 WORDS = 5
 # Similar: 100 times the intersection is 80 times the union or more.
 SIMILAR, OF = 80, 100
+# Bytes from which a word is known by a digest.
+LONG_WORD = 64
 SMALL = 4  # largest distance of the one-group scheme
 
 _WORD_SPACE = np.zeros(256, dtype=bool)
@@ -45,6 +48,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=total[1:])
     words = mix((total[ends] - total[starts]) * _powers(_INVERSE, len(raw))[starts])
+    # Sums of powers can be equal for long words that differ by design; these get a digest.
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        words[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     bounds = np.cumsum([0, *map(len, padded)])
     return words, np.diff(np.searchsorted(starts, bounds))
 
