@@ -26,7 +26,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry_point.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def filled(shards: list[str], slots: int) -> list[str]:
