@@ -335,9 +335,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str
     # One row for each block of ranks that a place spans; long places are cut into equal spans first.
     blocks = (places.withColumn("last", F.col("first") + F.col("many") * F.col("times") - 1)
               .withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, last div {BLOCK})"))))
-    ranked = (items.join(offsets, ["part", "length"]).withColumn("rank", F.col("ahead") + F.col("local_rank"))
+    # Both tables grow with the input, however small they look beside it: they are never broadcast.
+    ranked = (items.join(offsets.hint("merge"), ["part", "length"]).withColumn("rank", F.col("ahead") + F.col("local_rank"))
               .withColumn("block", F.expr(f"rank div {BLOCK}")))
-    placed = ranked.join(blocks, ["length", "block"]).filter("rank BETWEEN first AND last")
+    placed = ranked.join(blocks.hint("merge"), ["length", "block"]).filter("rank BETWEEN first AND last")
     inside = F.col("rank") - F.col("first")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
