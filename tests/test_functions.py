@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shoplight.functions.quantiles import exact_percentile
 from shoplight.functions.scalars import event_time, funnel_position, or_default, page_category, percent
+from shoplight.functions.stems import same_stem, stem
 from shoplight.functions.times import parse_span, seconds_between, span, trailing
 
 
@@ -90,3 +91,23 @@ def test_exact_percentile(spark, q):
     found = {r.g: r.percentile for r in exact_percentile(df, ["g"], "x", q).collect()}
     for g, xs in groups.items():
         assert found[g] == pytest.approx(np.quantile(xs, q), rel=1e-12), g
+
+
+# Words and stems as the algorithm's publication gives them.
+STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
+relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic
+differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis
+hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal
+electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop
+adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog
+communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas
+controll control roll roll games game racing race puzzles puzzl generalizations gener oscillators oscil toy toi by by syzygy syzygi""".split()
+
+
+def test_stems(spark):
+    pairs = list(zip(STEMS[::2], STEMS[1::2]))
+    words = spark.createDataFrame([*pairs, ("naïve", "naïve"), ("42nds", "42nds"), ("", ""), (None, None)], "word string, stem string")
+    wrong = words.filter(~stem(F.col("word")).eqNullSafe(F.col("stem")))
+    assert wrong.collect() == []
+    assert words.filter("stem <> ''").filter(~same_stem(F.col("word"), F.col("stem"))).collect() == []

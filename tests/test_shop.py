@@ -49,6 +49,7 @@ def test_search_ranks_names_first(shop):
     assert ids(catalogue.search_games(shop, "sea", limit=0)) == []
     assert ids(catalogue.search_games(shop, "...")) == []
     assert ids(catalogue.search_games(shop, "the rally of")) == [3, 1]
+    assert ids(catalogue.search_games(shop, "rallying nights")) == [1] and ids(catalogue.search_games(shop, "rallies")) == [3, 1]
     named = shop.withColumn("name", F.when(F.col("game_id") == 2, "Тёмный Лес").otherwise(F.col("name")))
     assert ids(catalogue.search_games(named, "лес тёмный")) == [2]
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplight.operators.sequences import sessionise, status_history
-from shoplight.operators.traffic import traffic_by
+from shoplight.operators.traffic import traffic_by, user_counts
 from shoplight.streaming import intake, sessions, status, summaries
 from shoplight.streaming.tables import compact, read_states, read_table
 
@@ -122,24 +122,110 @@ def snapshots(spark):
     return spark.createDataFrame(rows, "order_id bigint, seq int, order_status string, updated_at timestamp")
 
 
-def test_status_changes_equal_batch_over_many_batches(spark, tmp_path, snapshots, monkeypatch):
-    monkeypatch.setattr(status, "FULL_EVERY", 3)  # cross several full states
-    for k in range(7):
-        arrive(snapshots.filter((F.col("seq") >= k * 45) & (F.col("seq") < (k + 1) * 45)), f"{tmp_path}/in")
+def changes_of(df):
+    return sorted((r.order_id, str(r.previous_status), str(r.new_status), r.created_at) for r in df.collect())
+
+
+def test_status_changes_equal_batch_over_restarts(spark, tmp_path, snapshots):
+    before = spark.conf.get(status.PROVIDER, None)
+    for k in range(4):  # every batch is a run of its own, and the kept statuses are those of Spark's state store
+        arrive(snapshots.filter((F.col("seq") >= k * 75) & (F.col("seq") < (k + 1) * 75)), f"{tmp_path}/in")
         stream = source(spark, f"{tmp_path}/in", snapshots.schema)
         status.stream_status_history(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    found = read_table(spark, f"{tmp_path}/out/history")
-    key = lambda df: sorted((r.order_id, str(r.previous_status), str(r.new_status), r.created_at) for r in df.collect())
-    assert key(found) == key(status_history(snapshots))
+    assert changes_of(read_table(spark, f"{tmp_path}/out/history")) == changes_of(status_history(snapshots))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["history"] and (tmp_path / "ck" / "state").is_dir()
+    assert spark.conf.get(status.PROVIDER, None) == before
 
 
-def test_a_replayed_status_batch_gives_the_same_rows(spark, tmp_path, snapshots):
-    parts = [snapshots.filter(F.col("seq") < 100), snapshots.filter(F.col("seq") >= 100)]
-    status.record_changes(parts[0], f"{tmp_path}", 0)
-    status.record_changes(parts[1], f"{tmp_path}", 1)
-    once = rows_of(read_table(spark, f"{tmp_path}/history").fillna("none"))
-    status.record_changes(parts[1], f"{tmp_path}", 1)
-    assert rows_of(read_table(spark, f"{tmp_path}/history").fillna("none")) == once
+def test_a_status_batch_that_runs_again_gives_the_same_rows(spark, tmp_path, snapshots):
+    for k in range(2):
+        arrive(snapshots.filter(F.col("seq") % 2 == 0 if k == 0 else F.col("seq") % 2 == 1).filter("seq < 80"), f"{tmp_path}/in")
+        stream = source(spark, f"{tmp_path}/in", snapshots.schema)
+        status.stream_status_history(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    once = changes_of(read_table(spark, f"{tmp_path}/out/history"))
+    (tmp_path / "ck" / "commits" / "1").unlink()  # as if the driver had died after the batch was written
+    (tmp_path / "ck" / "commits" / ".1.crc").unlink(missing_ok=True)
+    stream = source(spark, f"{tmp_path}/in", snapshots.schema)
+    status.stream_status_history(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert changes_of(read_table(spark, f"{tmp_path}/out/history")) == once
+
+
+def test_status_of_odd_snapshots(spark, tmp_path):
+    at = lambda m: START + dt.timedelta(minutes=m)
+    rows = [(1, 1, None, at(0)), (1, 2, None, at(1)), (1, 3, "paid", at(2)), (1, 3, "paid", at(2)), (2, 2, "b", at(5)), (2, 1, "a", at(5)),
+            (None, 1, "lost", at(0)), (None, 2, "gone", at(1)), (3, None, "x", None), (3, 1, "y", at(0))]
+    arrive(spark.createDataFrame(rows, "order_id bigint, seq int, order_status string, updated_at timestamp"), f"{tmp_path}/in")
+    stream = source(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    status.stream_status_history(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert changes_of(read_table(spark, f"{tmp_path}/out/history")) == [(1, "None", "paid", at(2)), (2, "a", "b", at(5)), (3, "x", "y", at(0))]
+
+
+def plain_windows(rows, long, step):
+    found = {}
+    for session, user, seconds, at in rows:
+        minute = int((at - dt.datetime(1970, 1, 1)).total_seconds() // 60)
+        for begin in range((minute - long) // step * step + step, minute // step * step + 1, step):
+            found.setdefault(begin, []).append((session, user, seconds))
+    return sorted((dt.datetime(1970, 1, 1) + dt.timedelta(minutes=b), len(v), len({s for s, _, _ in v if s}), len({u for _, u, _ in v if u}))
+                  for b, v in found.items())
+
+
+@pytest.mark.parametrize("length, slide, long, step", [("60 minutes", "1 minute", 60, 1), ("1 hour", "15 minutes", 60, 15), ("50 minutes", "20 minutes", 50, 20)])
+def test_sliding_windows_against_every_window(spark, length, slide, long, step):
+    rng = random.Random(long + step)
+    rows = [(rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.choice(["u", "v", None]), rng.choice([3, None]),
+             START + dt.timedelta(minutes=rng.choice([rng.randrange(40), rng.randrange(3000), -4000]), seconds=rng.randrange(60))) for _ in range(300)]
+    states = [summaries.traffic_states(spark.createDataFrame(rows[i::3], VIEWS), "minute") for i in range(3)]
+    windows = summaries.finish_windows(states[0].unionByName(states[1]).unionByName(states[2]), length, slide)
+    found = sorted((r.window_start, r.page_views, r.unique_sessions, r.unique_users) for r in windows.collect())
+    assert found == plain_windows(rows, long, step)
+    assert summaries.finish_windows(states[0].limit(0), length, slide).count() == 0
+
+
+def test_a_sweep_makes_two_rows_of_a_state_at_most(spark):
+    rows = [(f"s{i}", f"u{i}", 1, START + dt.timedelta(minutes=i % 7)) for i in range(500)]
+    states = summaries.traffic_states(spark.createDataFrame(rows, VIEWS), "minute")
+    timed = states.withColumn("_minute", F.floor(F.unix_seconds(F.col("bucket").cast("timestamp")) / 60).cast("bigint"))
+    turns = summaries._comings_and_goings(timed, "session_id", F.col("_minute") - 59, F.col("_minute"), 1)
+    assert turns.select(F.sum(F.abs("turn"))).head()[0] <= 2 * states.count()
+
+
+def test_user_counts_read_the_period_s_dates_only(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"u{rng.randrange(60)}" if i % 5 else None, START + dt.timedelta(hours=rng.randrange(24 * 20))) for i in range(400)]
+    events = spark.createDataFrame(rows, "user_id string, timestamp timestamp")
+    for k in range(3):  # unordered batches
+        summaries.write_batch(summaries.first_seen(events.filter(F.pmod(F.hash("timestamp"), F.lit(3)) == k)), f"{tmp_path}/first", k, ["event_date"])
+    before = read_states(spark, f"{tmp_path}/first").count()
+    compact(spark, f"{tmp_path}/first", summaries.merge_first_seen, dt.date(2024, 1, 10))
+    events.withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date").parquet(f"{tmp_path}/events")
+    stored_events, as_of = spark.read.parquet(f"{tmp_path}/events"), START + dt.timedelta(days=19, hours=5)
+    found = summaries.user_counts(stored_events, read_states(spark, f"{tmp_path}/first"), "2 DAY", as_of)
+    assert rows_of(found) == rows_of(user_counts(spark.read.parquet(f"{tmp_path}/events"), "2 DAY", as_of).select(*found.columns))
+    scan = next(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "/events]" in line and "FileScan" in line)
+    assert "PartitionFilters: [isnotnull(event_date" in scan and ">= 2024-01-18" in scan
+    assert before > read_states(spark, f"{tmp_path}/first").count()
+
+
+def test_percentiles_from_states_of_unordered_batches(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [("api" if i % 3 else "db", rng.choice(["latency", "cpu"]), rng.lognormvariate(3, 1) if i % 50 else None,
+             START + dt.timedelta(seconds=rng.randrange(3 * 3600))) for i in range(30_000)]
+    samples = spark.createDataFrame(rows, "service_name string, metric_type string, metric_value double, timestamp timestamp")
+    for part in halves(samples, 6):
+        arrive(part, f"{tmp_path}/in")
+    stream = source(spark, f"{tmp_path}/in", samples.schema)
+    summaries.stream_performance(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    states = read_states(spark, f"{tmp_path}/out")
+    for unit in ("hour", None):
+        for r in summaries.finish_performance(states, unit).collect():
+            values = sorted(v for s, m, v, at in rows if v is not None and (s, m) == (r.service_name, r.metric_type)
+                            and (unit is None or at.replace(minute=0, second=0) == r.period_start))
+            assert r.sample_count == len(values) and (r.min_value, r.max_value) == (values[0], values[-1])
+            assert abs(sum(v <= r.p95_value for v in values) / len(values) - 0.95) < 0.01
+            assert r.avg_value == pytest.approx(sum(values) / len(values))
+    merged = summaries.merge_performance(states)
+    assert merged.count() < states.count() and merged.agg(F.sum("samples")).head()[0] == states.agg(F.sum("samples")).head()[0]
 
 
 def test_intake_routes_both_body_forms_and_survives_a_restart(spark, tmp_path):
@@ -202,15 +288,3 @@ def test_compaction_keeps_rows_without_a_date_and_closed_dates(spark, tmp_path):
     assert found() == every
     compact(spark, path, lambda df: df, dt.date(2024, 1, 10))
     assert found() == every
-
-
-def test_old_status_folders_go_and_batches_read_their_buckets(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(status, "FULL_EVERY", 4)
-    rows = [(i % 9, i, ["pending", "shipped"][i % 2], START + dt.timedelta(minutes=i)) for i in range(130)]
-    schema = "order_id bigint, seq int, order_status string, updated_at timestamp"
-    for batch in range(13):
-        status.record_changes(spark.createDataFrame(rows[batch * 10 : batch * 10 + 10], schema), f"{tmp_path}", batch)
-        kept = len(list((tmp_path / "state" / "changes").iterdir())) + len(list((tmp_path / "state").glob("full/*")))
-        assert kept <= 3 * 4
-    key = lambda df: sorted((r.order_id, r.previous_status, r.new_status, r.created_at) for r in df.collect())
-    assert key(read_table(spark, f"{tmp_path}/history")) == key(status_history(spark.createDataFrame(rows, schema)))
