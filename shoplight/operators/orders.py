@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shoplight.functions.times import moment
 from shoplight.operators.sequences import with_neighbours
+from shoplight.session import stored
 
 # Tax rate, flat shipping cost, the subtotal above which shipping is free, delivery days.
 TAX_RATE = "0.08"
@@ -234,15 +235,22 @@ def game_library(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int) -> DataFrame:
-    """Arrays of whole rows per order, in pages of at most ``page_rows``: numbered, then grouped by page.
+    """Arrays of whole rows per order, in pages of at most ``page_rows``.
 
-    Rows are in ``order``; the other columns break ties, in numbering and in the arrays alike.
+    Rows are in ``order``; the other columns break ties, in numbering and in the arrays alike. Orders of one page are grouped as they
+    are, which moves each row once. Only the rows of longer ones are numbered over chunks of the whole order and grouped by page.
     """
+    rows = rows.filter(F.col("order_id").isNotNull())
     order = [*order, *[c for c in rows.columns if c not in ("order_id", *order)]]
-    entry = F.struct(*order)
-    numbered = with_neighbours(rows.filter(F.col("order_id").isNotNull()), ["order_id"], order, number="_no")
+    entries = F.sort_array(F.collect_list(F.struct(*order))).alias(name)
+    long = stored(rows.groupBy("order_id").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > page_rows).select("order_id"), "long-orders")
+    short = rows.join(long, "order_id", "left_anti").groupBy("order_id").agg(entries)
+    whole = short.select("order_id", F.lit(0).cast("bigint").alias("page"), name)
+    if long.isEmpty():
+        return whole
+    numbered = with_neighbours(rows.join(long, "order_id", "left_semi"), ["order_id"], order, number="_no")
     page = F.floor((F.col("_no") - 1) / page_rows)
-    return numbered.groupBy("order_id", page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias(name))
+    return whole.unionByName(numbered.groupBy("order_id", page.alias("page")).agg(entries))
 
 
 def order_documents(orders: DataFrame, items: DataFrame, history: DataFrame, page_rows: int = 1000) -> DataFrame:
@@ -252,7 +260,7 @@ def order_documents(orders: DataFrame, items: DataFrame, history: DataFrame, pag
     further pages, so no array and no task grows with the order: to read an order whole, take all its pages.
     """
     lines = _pages(items, ["created_at", "id"], "items", page_rows)
-    changes = _pages(history, ["created_at", "previous_status", "new_status"], "status_history", page_rows)
+    changes = _pages(stored(history, "status-changes"), ["created_at", "previous_status", "new_status"], "status_history", page_rows)
     parts = lines.join(changes, ["order_id", "page"], "full")
     documents = orders.join(parts, "order_id", "left")
     return documents.withColumn("page", F.coalesce("page", F.lit(0)))

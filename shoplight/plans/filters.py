@@ -13,7 +13,7 @@ from shoplight.operators import catalogue, orders, paging
 from shoplight.operators.games import game_scoreboard, leaderboard, popularity_rank
 from shoplight.operators.orders import daily_orders
 from shoplight.plans.registry import query
-from shoplight.session import stored
+from shoplight.session import stored, work_dir
 from shoplight.sources.shop_views import ShopViews
 
 
@@ -170,6 +170,24 @@ def ord_paginate(v: ShopViews) -> DataFrame:
     return paging.paginate(v.orders.select("order_id", "order_status", "total_amount", "created_at"), order, page=3, limit=10)
 
 
+_FAR = "(SELECT ceil(count(*) / 10.0) FROM shop_orders)"
+
+
+@query("ord_far_page", f"""
+SELECT order_id, order_status, CAST(total_amount AS DOUBLE) AS total_amount, created_at, CAST({_FAR} AS INTEGER) AS current_page,
+       CAST({_FAR} AS BIGINT) AS total_pages, (SELECT count(*) FROM shop_orders) AS total_items, 10 AS items_per_page,
+       false AS has_next_page, {_FAR} > 1 AS has_previous_page
+FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, order_id) AS no FROM shop_orders) WHERE no > ({_FAR} - 1) * 10""")
+def ord_far_page(v: ShopViews) -> DataFrame:
+    """The last page, from the range that holds it."""
+    order = paging.sort_keys("created_at", "DESC", ("created_at",), "created_at", "order_id")
+    root = work_dir(v.spark, "pages")
+    rows = v.orders.select("order_id", "order_status", "total_amount", "created_at")
+    paging.write_pages(rows, order, root)
+    first = paging.stored_page(v.spark, root, order, 1, 10).first()
+    return paging.stored_page(v.spark, root, order, first["total_pages"] if first else 1, 10)
+
+
 @query("ord_offset_page", """
 SELECT game_id, name, (SELECT count(*) FROM games) AS total, 35 < (SELECT count(*) FROM games) AS has_next, true AS has_prev
 FROM games ORDER BY name, game_id LIMIT 10 OFFSET 25""")

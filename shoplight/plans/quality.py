@@ -148,6 +148,17 @@ def str_retention(v: ShopViews) -> DataFrame:
     )
 
 
+@query("str_expiry", """
+SELECT CAST(timestamp AS DATE) AS day, count(*) AS row_count FROM performance_metrics
+WHERE timestamp + INTERVAL 6 MONTH > TIMESTAMP '2024-07-15 10:30:00' OR timestamp IS NULL GROUP BY 1""")
+def str_expiry(v: ShopViews) -> DataFrame:
+    """What is left of a dated table after its expired days' folders are removed and its border day is written anew."""
+    path = work_dir(v.spark, "expiry")
+    retention.write_dated(v.performance_metrics, "performance_metrics", path, "timestamp")
+    retention.expire(v.spark, path, "performance_metrics", dt.datetime(2024, 7, 15, 10, 30), "timestamp")
+    return v.spark.read.parquet(path).groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("row_count"))
+
+
 @query("str_retention_intake", "\nUNION ALL".join(
     _aged_sql(table, _STORED.format(kind), "created_at", length, as_of.isoformat(" ")) for table, (kind, length, as_of) in _INTAKE.items()))
 def str_retention_intake(v: ShopViews) -> DataFrame:

@@ -45,7 +45,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
-def _folders(spark: SparkSession, path: str) -> tuple[list[str], object, object]:
+def folders(spark: SparkSession, path: str) -> tuple[list[str], object, object]:
     """Names below ``path``, its file system, and the class of paths."""
     to_path = spark._jvm.org.apache.hadoop.fs.Path
     root = to_path(path)
@@ -56,13 +56,13 @@ def _folders(spark: SparkSession, path: str) -> tuple[list[str], object, object]
 
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that no reader uses any more."""
-    _, files, to_path = _folders(spark, path)
+    _, files, to_path = folders(spark, path)
     files.delete(to_path(path), True)
 
 
 def _merged(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
     """The newest finished compaction: its last batch, its date and its folder."""
-    names, files, to_path = _folders(spark, f"{path}-merged")
+    names, files, to_path = folders(spark, f"{path}-merged")
     done = sorted(n for n in names if files.exists(to_path(f"{path}-merged/{n}/_SUCCESS")))
     if not done:
         return None
@@ -93,7 +93,7 @@ def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFra
     last batch it holds; a reader skips the older batches' rows of these dates, whether removed yet or not.
     A date that is closed stays so: an earlier ``before`` than that of the last compaction is refused.
     """
-    names, _, _ = _folders(spark, path)
+    names, _, _ = folders(spark, path)
     batches = sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
     if not batches:
         return
@@ -108,7 +108,7 @@ def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFra
     if old:
         drop_folder(spark, old[2])
     for batch in batches:
-        dates, _, _ = _folders(spark, f"{path}/batch_id={batch}")
+        dates, _, _ = folders(spark, f"{path}/batch_id={batch}")
         days = [d for d in dates if d.startswith("event_date=")]
         gone = [d for d in days if d.removeprefix("event_date=") < before.isoformat()]
         if len(gone) == len(days) and batch != batches[-1]:

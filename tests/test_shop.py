@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -328,3 +329,55 @@ def test_retention_at_month_ends(spark):
     unknown = df.unionAll(spark.createDataFrame([(None,)], "created_at timestamp_ntz"))
     assert retention.apply_retention(unknown, "performance_metrics", as_of).count() == 3
     assert tuple(retention.retention_report(unknown, "performance_metrics", as_of).first())[1:] == (2, 1, 1)
+
+
+def test_expiry_removes_folders_and_reads_the_border_day(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=i)) for i in range(24 * 20)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id int, created_at timestamp_ntz")
+    path, as_of = f"{tmp_path}/dated", dt.datetime(2024, 2, 9, 6, 30)  # 30 days: what is older than the morning of the tenth goes
+    retention.write_dated(df, "legacy_performance_metrics", path, "created_at")
+    assert retention.expire(spark, path, "legacy_performance_metrics", as_of, "created_at") == (9, 1)
+    kept = spark.read.parquet(path)
+    want = retention.apply_retention(df, "legacy_performance_metrics", as_of, "created_at")
+    assert sorted(r.id for r in kept.collect()) == sorted(r.id for r in want.collect())
+    assert sorted(p.name for p in (tmp_path / "dated").glob(f"{retention.DAY}=2024-01-0*")) == []
+    assert retention.expire(spark, path, "legacy_performance_metrics", as_of, "created_at") == (0, 1)
+    assert spark.read.parquet(path).count() == want.count()
+    retention.write_dated(df.filter("id = 3"), "legacy_performance_metrics", path, "created_at")
+    assert retention.expire(spark, path, "legacy_performance_metrics", dt.datetime(2030, 1, 1), "created_at")[1] == 0
+    assert [r.id for r in spark.read.parquet(path).collect()] == [-1]
+
+
+def test_any_stored_page_reads_its_ranges_only(spark, tmp_path):
+    df = spark.range(5003).select(F.col("id"), (F.col("id") * 7919 % 101).alias("k"), F.lit("x" * 50).alias("text"))
+    order = paging.sort_keys("k", "DESC", ["k"], "k", "id")
+    paging.write_pages(df, order, f"{tmp_path}/p", 8)
+    sizes = {r[paging.RANGE]: r.row_count for r in spark.read.parquet(f"{tmp_path}/p/directory").collect()}
+    assert len(sizes) > 4 and sum(sizes.values()) == 5003
+    for page in (1, 2, 63, 250, 501):
+        found, want = paging.stored_page(spark, f"{tmp_path}/p", order, page, 10), paging.paginate(df, order, page, 10)
+        assert [tuple(r) for r in found.collect()] == [tuple(r) for r in want.select(*found.columns).collect()]
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        filters = re.search(r"PartitionFilters: (.*)", found._jdf.queryExecution().explainString(mode))[1]
+        held = {int(n) for n in re.findall(r"(?<== )\d+|(?<=[(,])\d+(?=[,)])", filters)}
+        assert 1 <= len(held) <= 2 and sum(sizes[n] for n in held) < 5003 / 2
+    far = paging.stored_page(spark, f"{tmp_path}/p", order, 900, 10)
+    assert far.count() == 0
+
+
+def test_long_and_short_orders_page_alike(spark):
+    items = spark.createDataFrame([(o, i, i % 4) for o, n in ((1, 3), (2, 40), (3, 10), (None, 5)) for i in range(n)], "order_id long, id int, created_at int")
+    pages = orders._pages(items, ["created_at", "id"], "rows", 10)
+    found = {(r.order_id, r.page): [(e.created_at, e.id) for e in r.rows] for r in pages.collect()}
+    every = lambda n: sorted((i % 4, i) for i in range(n))
+    assert found == {(1, 0): every(3), (3, 0): every(10), **{(2, p): every(40)[p * 10 : p * 10 + 10] for p in range(4)}}
+
+
+def test_foreign_keys_take_one_shuffle(spark):
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (None, "a")], "k int, s string")
+    parents, names = spark.createDataFrame([(1,), (3,)], "id bigint"), spark.createDataFrame([("a",), (None,)], "name string")
+    report = quality.check_fks([(child, parents, "k", "id"), (child, names, "s", "name"), (names, child, "name", "s")])
+    assert [tuple(r) for r in report.collect()] == [("foreign_key:k", 1, 1), ("foreign_key:s", 1, 1), ("foreign_key:name", 0, 0)]
+    plan = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning(") == 1 and "Join" not in plan
