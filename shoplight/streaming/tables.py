@@ -60,6 +60,25 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     files.delete(to_path(path), True)
 
 
+def first_note(spark: SparkSession, path: str, text: str) -> str:
+    """``text``, kept in a small file, or what the file holds since an earlier call."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    file = to_path(path)
+    files = file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(file) and files.getFileStatus(file).getLen() > 0:
+        stream = files.open(file)
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+    stream = files.create(file, True)
+    try:
+        stream.writeUTF(text)
+    finally:
+        stream.close()
+    return text
+
+
 def _merged(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
     """The newest finished compaction: its last batch, its date and its folder."""
     names, files, to_path = folders(spark, f"{path}-merged")

@@ -247,6 +247,37 @@ def test_intake_routes_both_body_forms_and_survives_a_restart(spark, tmp_path):
     assert tuple(receipts) == (9, 2)
 
 
+def test_a_half_written_intake_batch_is_not_shown_and_keeps_its_time(spark, tmp_path, monkeypatch):
+    bodies = lambda n: json.dumps({"events": [{"event_type": "page_view", "event_id": f"{n}-{i}", "session_id": "s"} for i in range(n)]})
+    (tmp_path / "in").mkdir()
+    out, checkpoint = f"{tmp_path}/out", f"{tmp_path}/ck"
+
+    def run():
+        intake.stream_ingest(intake.read_bodies(spark, f"{tmp_path}/in"), out, checkpoint).awaitTermination()
+
+    (tmp_path / "in" / "0.txt").write_text(bodies(3))
+    run()
+    (tmp_path / "in" / "1.txt").write_text(bodies(4))
+    whole = intake.write_batch
+
+    def broken(df, path, batch_id, *rest):
+        if path.endswith("rejected"):
+            raise OSError("disk full")
+        whole(df, path, batch_id, *rest)
+
+    monkeypatch.setattr(intake, "write_batch", broken)
+    with pytest.raises(Exception):
+        run()
+    monkeypatch.setattr(intake, "write_batch", whole)
+    views = lambda: intake.read_received(spark, out, "page_views")
+    assert views().count() == 3
+    noted = intake.first_note(spark, f"{checkpoint}-received/1", "later")
+    assert noted != "later"
+    run()
+    assert views().count() == 7
+    assert {r.created_at.isoformat() for r in views().filter("event_id LIKE '4-%'").collect()} == {noted}
+
+
 def test_streams_over_empty_input(spark, tmp_path):
     empty = spark.createDataFrame([], VIEWS)
     empty.write.parquet(f"{tmp_path}/in")
