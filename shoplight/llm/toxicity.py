@@ -30,8 +30,8 @@ from shoplight.session import prepare, stored
 
 # Letters of a subsequence, and the letters that it may reach over.
 ORDER, REACH = 4, 6
-# Weight of a letter left out, and of an edge between single letters.
-SKIP, SPACED = 0.8, 0.9
+# Weight of an occurrence by the letters it leaves out, and of an edge between single letters.
+SKIPPED, SPACED = (1.0, 0.8, 0.64), 0.9
 # Counts as so many edges: the end of a sentence, which nothing crosses.
 NEVER = 60
 # Letters of a word at most; what is longer is cut.
@@ -153,7 +153,7 @@ class Letters:
                 code += digits[k][offsets[k] : offsets[k] + m]
             if reach not in crossing:
                 crossing[reach] = _CROSSING[np.minimum(self.units[reach:] - self.units[:m], NEVER)]
-            yield code, crossing[reach] * np.float32(SKIP ** (reach - ORDER + 1)), reach
+            yield code, crossing[reach] * np.float32(SKIPPED[reach - ORDER + 1]), reach
 
 
 def highest(letters: Letters, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

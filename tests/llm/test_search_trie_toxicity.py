@@ -155,12 +155,12 @@ def plain_kernel(a: str, b: str) -> float:
         for i in range(len(word)):
             for offsets in toxicity.PATTERNS:
                 if i + offsets[-1] < len(word):
-                    found["".join(word[i + o] for o in offsets)] += toxicity.SKIP ** (offsets[-1] - toxicity.ORDER + 1)
+                    found["".join(word[i + o] for o in offsets)] += toxicity.SKIPPED[offsets[-1] - toxicity.ORDER + 1]
         return found
 
     x, y = features(a), features(b)
     dot = sum(x[k] * y.get(k, 0) for k in x)
-    norms = [math.sqrt(sum(toxicity.SKIP ** (2 * (o[-1] - toxicity.ORDER + 1)) for i in range(len(w) + 2) for o in toxicity.PATTERNS
+    norms = [math.sqrt(sum(toxicity.SKIPPED[o[-1] - toxicity.ORDER + 1] ** 2 for i in range(len(w) + 2) for o in toxicity.PATTERNS
                            if i + o[-1] < len(w) + 2)) for w in (a, b)]
     return dot / (norms[0] * norms[1])
 
