@@ -150,6 +150,21 @@ def str_sessions(v: ShopViews) -> DataFrame:
     return sessions.finish_sessions(read_states(v.spark, f"{root}/slots"))
 
 
+@query("str_closed_sessions", f"SELECT * EXCLUDE (session_number) FROM ({sessions_sql('30 MINUTE', 'some_anonymous')})")
+def str_closed_sessions(v: ShopViews) -> DataFrame:
+    """Sessions written once when they are closed, and those still open, over three batches in time order."""
+    root = work_dir(v.spark, "closed")
+    events = v.some_anonymous.select("user_id", "session_id", F.col("timestamp").cast("timestamp").alias("timestamp"))
+    cut = stored(events.repartitionByRange(3, "timestamp").withColumn("part", F.spark_partition_id()), "ordered-events")
+    for part in range(3):
+        cut.filter(F.col("part") == part).drop("part").coalesce(2).write.mode("append").parquet(f"{root}/events")
+        stream = v.spark.readStream.schema(events.schema).parquet(f"{root}/events")
+        sessions.stream_arrivals(stream, f"{root}/sessions", f"{root}/arrivals").awaitTermination()
+    sessions.close_sessions(v.spark, f"{root}/sessions", f"{root}/closing").awaitTermination()
+    closed = read_table(v.spark, f"{root}/sessions/closed")
+    return closed.unionByName(sessions.open_sessions(v.spark, f"{root}/sessions"))
+
+
 @query("str_user_counts", """
 SELECT count(*) AS total_users, count(*) FILTER (WHERE newest >= {as_of} - INTERVAL 1 DAY) AS active_users,
        count(*) FILTER (WHERE oldest >= {as_of} - INTERVAL 1 DAY) AS new_users,

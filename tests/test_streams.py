@@ -113,6 +113,29 @@ def test_sessions_equal_batch_over_unordered_batches(spark, tmp_path):
     assert found.count() > 50 and rows_of(found) == rows_of(expected.select(*found.columns))
 
 
+def test_closed_late_and_open_sessions_are_all(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(f"u{rng.randrange(6)}" if i % 4 else None, f"c{rng.randrange(4)}", START + dt.timedelta(minutes=i + rng.randrange(30))) for i in range(600)]
+    rows += [("u1", "c", START + dt.timedelta(minutes=k * 30)) for k in range(5)]  # pauses of just the gap
+    rows.sort(key=lambda r: r[2])
+    early, schema = rows[5:9], "user_id string, session_id string, timestamp timestamp"
+    batches = [rows[:5] + rows[9:200], rows[200:400], rows[400:500] + early, rows[500:]]
+    path = f"{tmp_path}/s"
+    for batch in batches:
+        arrive(spark.createDataFrame(batch, schema), f"{tmp_path}/in")
+        sessions.stream_arrivals(source(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), path, f"{tmp_path}/ck1", "40 MINUTE").awaitTermination()
+        sessions.close_sessions(spark, path, f"{tmp_path}/ck2", "30 MINUTE", "40 MINUTE").awaitTermination()
+    late = spark.read.parquet(f"{path}/late")
+    assert sorted(r.timestamp for r in late.collect()) == sorted(r[2] for r in early)
+    closed, still_open = spark.read.parquet(f"{path}/closed").drop("batch_id"), sessions.open_sessions(spark, path)
+    on_time = spark.createDataFrame([r for b in batches for r in b if r not in early], schema)
+    want = sessionise(on_time).select(*closed.columns).na.fill("-")
+    assert closed.count() > 10 and still_open.count() > 0
+    assert rows_of(closed.unionByName(still_open).na.fill("-")) == rows_of(want)
+    counted = sum(r.page_views for r in closed.collect()) + sum(r.page_views for r in still_open.collect())
+    assert counted + late.count() == len(rows)
+
+
 @pytest.fixture()
 def snapshots(spark):
     rng = random.Random(9)
