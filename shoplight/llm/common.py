@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 # The white space of the contracts: 0x20 and 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
-# Rows of an Arrow batch at most.
-BATCH_ROWS = 2000
+# Rows of an Arrow batch at most, and its bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 64 << 20
 # Labels that a sample takes rows of, at most.
 MOST_LABELS = 200
 
@@ -101,8 +101,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` by a function of this package, in batches of whole texts that stay small."""
+def map_batches(df: DataFrame, function: Callable, schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``mapInArrow`` by a function of this package, in batches of whole rows that stay small.
+
+    A batch is closed at the row that reaches ``batch_bytes``; Spark holds some times as much beside its heap while it is filled.
+    """
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{batch_bytes}b")
     return df.mapInArrow(function, schema)

@@ -26,7 +26,7 @@ from shoplight.session import prepare, work_dir
 TOP = 20
 # A block is closed at so many documents or bytes of text.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 3 << 19
-# Bytes of a row group of the index: a task holds one at a time.
+# Bytes of a row group of the index, of which a task holds one at a time; a batch of blocks has half as many.
 GROUP_BYTES = 8 << 20
 # Bytes of a text that are cut into words at once, and items that are searched together.
 SLICE_BYTES, ITEMS = 4 << 20, 2000
@@ -175,7 +175,7 @@ def holders_of(blocks: DataFrame, words: list[bytes]) -> np.ndarray:
         there = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"word": pa.array(there, pa.int64()), "holders": pa.array(found[there], pa.int64())})
 
-    rows = map_batches(blocks.select("words", "holders", "holder_width"), run, "word long, holders long").groupBy("word").agg(F.sum("holders")).collect()
+    rows = map_batches(blocks.select("words", "holders", "holder_width"), run, "word long, holders long", GROUP_BYTES // 2).groupBy("word").agg(F.sum("holders")).collect()
     counts = np.zeros(len(words), dtype=np.int64)
     for word, n in rows:
         counts[word] = n
@@ -211,7 +211,7 @@ def best(blocks: DataFrame, items: Items, weights: np.ndarray, top: int) -> Data
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["item", "doc_id", "score"])
 
-    return map_batches(blocks.drop("holders", "holder_width"), run, "item long, doc_id long, score long")
+    return map_batches(blocks.drop("holders", "holder_width"), run, "item long, doc_id long, score long", GROUP_BYTES // 2)
 
 
 def ranked(blocks: DataFrame, holding: int, items: DataFrame, item_id: str = "item_id", text: str = "text", top: int = TOP) -> DataFrame:
