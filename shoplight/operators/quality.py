@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def _report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -58,15 +59,19 @@ def check_fks(relations: Sequence[tuple[DataFrame, DataFrame, str, str]]) -> Dat
     """Child rows whose key is set but missing in the parent, for relations (child, parent, child key, parent key).
 
     The keys of all children and parents, each with the number of its relation, meet in one aggregate: one shuffle for
-    all rules, and map tasks count a child's repeated keys before it. Keys are compared as texts of one type per relation.
+    all rules, and map tasks count a child's repeated keys before it. Whole numbers are compared as such, other keys as texts.
     """
     tagged = []
     for number, (child, parent, child_key, parent_key) in enumerate(relations):
+        whole = all(isinstance(df.schema[key].dataType, IntegralType) for df, key in ((child, child_key), (parent, parent_key)))
         for df, key, rows in ((child, child_key, 1), (parent, parent_key, 0)):
             tagged.append(df.filter(F.col(key).isNotNull()).select(
-                F.lit(number).alias("_relation"), F.col(key).cast("string").alias("_key"), F.lit(rows).cast("bigint").alias("_rows"),
-                F.lit(rows == 0).alias("_known")))
-    keys = reduce(DataFrame.unionAll, tagged).groupBy("_relation", "_key").agg(F.sum("_rows").alias("_rows"), F.max("_known").alias("_known"))
+                F.lit(number).alias("_relation"), (F.col(key) if whole else F.lit(None)).cast("bigint").alias("_number"),
+                (F.lit(None) if whole else F.col(key)).cast("string").alias("_text"), F.lit(rows).cast("bigint").alias("_rows"),
+                F.lit(int(rows == 0)).alias("_is_known")))
+    # Sums of numbers only, so that the aggregate keeps its rows in place.
+    keys = reduce(DataFrame.unionAll, tagged).groupBy("_relation", "_number", "_text").agg(
+        F.sum("_rows").alias("_rows"), (F.max("_is_known") > 0).alias("_known"))
     orphan = ~F.col("_known")
     figures = [F.struct(F.count_if(orphan & (F.col("_relation") == n)).alias("orphan_keys"),
                         F.coalesce(F.sum(F.when(orphan & (F.col("_relation") == n), F.col("_rows"))), F.lit(0)).alias("violations")).alias(f"_{n}")
