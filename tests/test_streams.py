@@ -183,6 +183,19 @@ def test_status_of_odd_snapshots(spark, tmp_path):
     assert changes_of(read_table(spark, f"{tmp_path}/out/history")) == [(1, "None", "paid", at(2)), (2, "a", "b", at(5)), (3, "x", "y", at(0))]
 
 
+def test_status_state_is_kept_by_pages(spark, tmp_path):
+    ids = [-257, -256, -1, 0, 1, 255, 256, 600]
+    schema = "order_id bigint, seq int, order_status string, updated_at timestamp"
+    for seq, current in enumerate(["a", "b", None]):
+        arrive(spark.createDataFrame([(i, seq, current, START + dt.timedelta(minutes=seq)) for i in ids], schema), f"{tmp_path}/in")
+        stream = source(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+        status.stream_status_history(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    want = [(i, *c) for i in ids for c in (("a", "b", START + dt.timedelta(minutes=1)), ("b", "None", START + dt.timedelta(minutes=2)))]
+    assert changes_of(read_table(spark, f"{tmp_path}/out/history")) == want
+    pages = spark.read.format("statestore").option("stateVarName", "last_statuses").load(f"{tmp_path}/ck").select("key.page", "value.orders").collect()
+    assert sorted((r.page, sorted(r.orders)) for r in pages) == [(-2, [-257]), (-1, [-256, -1]), (0, [0, 1, 255]), (1, [256]), (2, [600])]
+
+
 def plain_windows(rows, long, step):
     found = {}
     for session, user, seconds, at in rows:
