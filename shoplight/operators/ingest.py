@@ -31,6 +31,7 @@ def unpack(raw: DataFrame, body: str = "body") -> DataFrame:
 
     A body is a ``batch`` if it has events, else a ``single`` event if it has a type, else ``rejected``; the last
     two give one row. Each body is parsed once: the generator keeps Spark from doing it again for later filters.
+    The text of a batch is null on its events' rows, so that it is not carried, shuffled and stored once per event.
     """
     parsed = raw.select("*", F.explode(F.array(F.from_json(F.col(body), _BODY))).alias("_body"))
     at = lambda name: F.col("_body")[name]
@@ -51,7 +52,9 @@ def unpack(raw: DataFrame, body: str = "body") -> DataFrame:
     is_batch = F.coalesce(F.size(at("events")) > 0, F.lit(False))
     form = F.when(is_batch, "batch").when(outer["event_type"].isNotNull(), "single").otherwise("rejected")
     rows = F.when(is_batch, at("events")).otherwise(F.array(single))
-    return parsed.select(*raw.columns, form.alias("_form"), F.explode(rows).alias("_event"))
+    columns = [F.when(form != "batch", F.col(c)).alias(c) if c == body else F.col(c) for c in raw.columns]
+    return parsed.select(*columns, form.alias("_form"), rows.alias("_events")).select(
+        *raw.columns, "_form", F.explode("_events").alias("_event"))
 
 
 def typed(unpacked: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from shoplight.schemas import RAW_TABLES
 from shoplight.session import stored, work_dir
 from shoplight.sources.shop_views import ShopViews
 from shoplight.streaming import intake, sessions, status, summaries
-from shoplight.streaming.tables import read_states, read_table
+from shoplight.streaming.tables import folders, read_states, read_table
 
 
 class StreamViews(ShopViews):
@@ -53,8 +53,9 @@ UNION ALL SELECT 'rejected', '', count(*) FROM ev WHERE event_no % 500 = 0
 UNION ALL SELECT 'receipt', '', count(*) FROM ev""")
 def str_ingest(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "intake")
-    v.batch_envelopes.repartition(16, "body_no").select("body").write.text(f"{root}/bodies")
-    bodies = intake.read_bodies(v.spark, f"{root}/bodies", files_per_trigger=8)
+    v.batch_envelopes.select("body").write.option("compression", "gzip").text(f"{root}/bodies")
+    files = sum(name.startswith("part-") for name in folders(v.spark, f"{root}/bodies")[0])
+    bodies = intake.read_bodies(v.spark, f"{root}/bodies", files_per_trigger=max(1, -(-files // 2)))  # two batches
     intake.stream_ingest(bodies, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     counted = None
     for target in ("page_views", "game_interactions", "search_events", "performance_metrics", "quarantine", "rejected", "receipts"):
@@ -209,10 +210,13 @@ WHERE no > 1 AND order_status IS DISTINCT FROM before""")
 def str_status_history(v: ShopViews) -> DataFrame:
     root = work_dir(v.spark, "status")
     snapshots = v.status_snapshots.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    # Cut by time and written one after another, so that orders go on over the batches and meet their kept status.
-    cut = stored(snapshots.repartitionByRange(4, "updated_at").withColumn("part", F.spark_partition_id()), "snapshots")
-    for part in range(4):
-        cut.filter(F.col("part") == part).drop("part").coalesce(2).write.mode("append").parquet(f"{root}/snapshots")
-    stream = v.spark.readStream.schema(snapshots.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/snapshots")
-    status.stream_status_history(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    # Cut by time and arriving one after another, each as a batch, so that orders go on over the batches and meet their kept status.
+    seen = stored(snapshots, "snapshots")
+    cuts = seen.agg(F.percentile_approx("updated_at", [0.25, 0.5, 0.75])).scalar()
+    behind = [F.coalesce(F.col("updated_at") > F.get(cuts, F.lit(i)), F.lit(False)).cast("int") for i in range(3)]
+    dated = seen.withColumn("part", behind[0] + behind[1] + behind[2])
+    for number in range(4):
+        dated.filter(F.col("part") == number).drop("part").write.mode("append").parquet(f"{root}/snapshots")
+        stream = v.spark.readStream.schema(snapshots.schema).parquet(f"{root}/snapshots")
+        status.stream_status_history(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return read_table(v.spark, f"{root}/out/history")

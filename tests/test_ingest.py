@@ -120,3 +120,10 @@ def test_flags(spark):
         ("shop", True, "direct", 100), ("homepage", False, "direct", 34)]
     searches = spark.createDataFrame([(0,), (2,)], "results_count int")
     assert [r.no_results for r in ingest.derive_no_results(searches).collect()] == [True, False]
+
+
+def test_a_batch_text_is_not_carried_by_its_events(spark):
+    bodies = ['{"events": [{"event_type": "search"}, {"event_type": "error"}]}', '{"eventType": "search"}', '{"other": 1}', None]
+    rows = ingest.unpack(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "n int, body string")).select("n", "body", "_form", "_event.event_type")
+    assert sorted(tuple(r) for r in rows.collect() if r.n) == [(1, bodies[1], "single", "search"), (2, bodies[2], "rejected", None), (3, None, "rejected", None)]
+    assert sorted(tuple(r) for r in rows.collect() if not r.n) == [(0, None, "batch", "error"), (0, None, "batch", "search")]
