@@ -165,9 +165,12 @@ class ShopViews:
     @cached_property
     def envelope_events(self) -> DataFrame:
         """Events in the field names a client sends, with gaps where a client may leave them."""
+        return self._envelopes(self.ev, "event_no")
+
+    def _envelopes(self, ev: DataFrame, *kept: str) -> DataFrame:
         k = F.col("k")
-        return self.ev.select(
-            "event_no",
+        return ev.select(
+            *kept,
             pick_kind().alias("event_type"),
             F.when(k % 13 != 0, F.col("event_id")).alias("event_id"),
             "session_id",
@@ -191,10 +194,15 @@ class ShopViews:
 
     @cached_property
     def batch_envelopes(self) -> DataFrame:
-        """Raw request bodies of fifty events each, and one empty body per five hundred events."""
-        event = F.struct(*[c for c in self.envelope_events.columns if c != "event_no"])
+        """Raw request bodies of fifty events each, and one empty body per five hundred events.
+
+        The narrow events are brought together, not the wide envelopes that are made of them.
+        """
+        together = self.ev.withColumn("body_no", F.floor(F.col("event_no") / 50)).repartition("body_no")
+        envelopes = self._envelopes(together, "body_no")
+        event = F.struct(*[c for c in envelopes.columns if c != "body_no"])
         full = (
-            self.envelope_events.groupBy(F.floor(F.col("event_no") / 50).alias("body_no"))
+            envelopes.groupBy("body_no")
             .agg(F.collect_list(event).alias("events"))
             .select("body_no", F.to_json(F.struct("events")).alias("body"))
         )

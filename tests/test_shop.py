@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 import re
 from decimal import Decimal
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplight.operators import catalogue, funnel, games, orders, paging, quality, reports, retention, service, traffic
+from shoplight.sources.shop_views import ShopViews
 
 D = Decimal
 GAMES = "game_id int, name string, description string, price decimal(10,2), discount_price decimal(10,2), category string, " \
@@ -381,3 +383,13 @@ def test_foreign_keys_take_one_shuffle(spark):
     assert [tuple(r) for r in report.collect()] == [("foreign_key:k", 1, 1), ("foreign_key:s", 1, 1), ("foreign_key:name", 0, 0)]
     plan = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("hashpartitioning(") == 1 and "Join" not in plan
+
+
+def test_request_bodies_shuffle_narrow_events(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1), 1, "view", 1.5, '{"k": 3}') for i in range(120)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    bodies = ShopViews(spark, str(tmp_path)).batch_envelopes
+    plan = bodies.filter("body_no >= 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and plan.index("collect_list(") < plan.index("hashpartitioning(") and "collect_list(" not in plan[plan.index("hashpartitioning("):]
+    found = {r.body_no: json.loads(r.body) for r in bodies.collect()}
+    assert sorted(found) == [-1, 0, 1, 2] and [len(found[n]["events"]) for n in (0, 1, 2)] == [50, 50, 20]
