@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplight.functions.times import moment
-from shoplight.operators.sequences import with_neighbours
+from shoplight.operators.sequences import long_keys, with_neighbours
 from shoplight.session import stored
 
 # Tax rate, flat shipping cost, the subtotal above which shipping is free, delivery days.
@@ -234,6 +235,11 @@ def game_library(items: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def _total(rows: DataFrame, order: Sequence[str]) -> list[str]:
+    """``order`` with the other columns behind it, which break ties."""
+    return [*order, *[c for c in rows.columns if c not in ("order_id", *order)]]
+
+
 def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int) -> DataFrame:
     """Arrays of whole rows per order, in pages of at most ``page_rows``.
 
@@ -241,7 +247,7 @@ def _pages(rows: DataFrame, order: Sequence[str], name: str, page_rows: int) ->
     are, which moves each row once. Only the rows of longer ones are numbered over chunks of the whole order and grouped by page.
     """
     rows = rows.filter(F.col("order_id").isNotNull())
-    order = [*order, *[c for c in rows.columns if c not in ("order_id", *order)]]
+    order = _total(rows, order)
     entries = F.sort_array(F.collect_list(F.struct(*order))).alias(name)
     long = stored(rows.groupBy("order_id").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > page_rows).select("order_id"), "long-orders")
     short = rows.join(long, "order_id", "left_anti").groupBy("order_id").agg(entries)
@@ -258,9 +264,25 @@ def order_documents(orders: DataFrame, items: DataFrame, history: DataFrame, pag
 
     An order with at most ``page_rows`` lines and changes is one document on page 0. A longer one goes on over
     further pages, so no array and no task grows with the order: to read an order whole, take all its pages.
+    All but orders of very many rows are grouped whole beside their order and cut into pages there, so each row is moved once.
     """
-    lines = _pages(items, ["created_at", "id"], "items", page_rows)
-    changes = _pages(stored(history, "status-changes"), ["created_at", "previous_status", "new_status"], "status_history", page_rows)
-    parts = lines.join(changes, ["order_id", "page"], "full")
-    documents = orders.join(parts, "order_id", "left")
-    return documents.withColumn("page", F.coalesce("page", F.lit(0)))
+    by_time = {"items": ["created_at", "id"], "status_history": ["created_at", "previous_status", "new_status"]}
+    tables = {"items": items, "status_history": stored(history, "status-changes")}
+    longs = [long for long in (long_keys(rows, "order_id") for rows in tables.values()) if long is not None]
+    long = reduce(DataFrame.union, longs).distinct() if longs else None
+    split = lambda df, how: df if long is None else df.join(long, "order_id", how)
+    documents, pages = split(orders, "left_anti"), F.lit(1)
+    for name, rows in tables.items():
+        entries = F.sort_array(F.collect_list(F.struct(*_total(rows, by_time[name])))).alias(name)
+        documents = documents.join(split(rows.filter(F.col("order_id").isNotNull()), "left_anti").groupBy("order_id").agg(entries), "order_id", "left")
+        pages = F.greatest(pages, F.ceil(F.array_size(name) / page_rows))
+    page = F.explode(F.sequence(F.lit(0).cast("bigint"), pages - 1)).alias("page")
+    cut = lambda name: F.slice(name, (F.col("page") * page_rows + 1).cast("int"), F.lit(page_rows))
+    found = documents.select("*", page).select(
+        "order_id", *[c for c in orders.columns if c != "order_id"], "page",
+        *[F.when(F.col("page") * page_rows < F.array_size(name), cut(name)).alias(name) for name in tables])
+    if long is None:
+        return found
+    lines, changes = (_pages(split(rows, "left_semi"), by_time[name], name, page_rows) for name, rows in tables.items())
+    rest = split(orders, "left_semi").join(lines.join(changes, ["order_id", "page"], "full"), "order_id", "left")
+    return found.unionByName(rest.withColumn("page", F.coalesce("page", F.lit(0))))

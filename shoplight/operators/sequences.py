@@ -19,6 +19,23 @@ from shoplight.session import stored
 
 # Parts that the rows of one key are dealt to before a join with one row per key.
 SALTS = 32
+# Rows of a key that one task may hold; and groups of keys that are counted together first.
+GROUPED_ROWS, KEY_GROUPS = 10_000, 1 << 16
+
+
+def long_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """The values of ``key`` with more than ``GROUPED_ROWS`` rows, or none if no value has as many.
+
+    Groups of keys are counted first, which moves few rows; single keys are counted only in groups with enough rows.
+    """
+    keyed = df.filter(F.col(key).isNotNull()).select(key, F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS)).alias("_group"))
+    many = F.count("*") > GROUPED_ROWS
+    groups = stored(keyed.groupBy("_group").agg(many.alias("_many")).filter("_many").select("_group"), "long-groups")
+    if groups.isEmpty():
+        return None
+    found = keyed.join(groups, "_group", "left_semi").groupBy(key).agg(many.alias("_many")).filter("_many").select(key)
+    found = stored(found, "long-keys")
+    return None if found.isEmpty() else found
 
 
 def in_chunks(df: DataFrame, order: Sequence[str], label: str = "sequences") -> DataFrame:
@@ -209,9 +226,18 @@ def conversion_time(purchases: DataFrame) -> DataFrame:
 def status_history(snapshots: DataFrame, order: Sequence[str] = ("updated_at", "seq")) -> DataFrame:
     """One row per change of an order's status between consecutive snapshots.
 
-    NULL counts as a status of its own. The first snapshot is the insert, not a change.
+    NULL counts as a status of its own. The first snapshot is the insert, not a change. Orders of very many snapshots
+    are compared in chunks, all others where their rows are.
     """
-    seen = with_neighbours(snapshots, ["order_id"], order, previous=["order_status"], number="_no")
+    long = long_keys(snapshots, "order_id")
+    known = snapshots.filter(F.col("order_id").isNotNull())
+    short = known if long is None else known.join(long, "order_id", "left_anti")
+    inside = Window.partitionBy("order_id").orderBy(*order)
+    columns = [*snapshots.columns, "prev_order_status", "_no"]
+    seen = short.withColumns({"prev_order_status": F.lag("order_status").over(inside), "_no": F.row_number().over(inside).cast("bigint")}).select(*columns)
+    if long is not None:
+        rest = with_neighbours(known.join(long, "order_id", "left_semi"), ["order_id"], order, previous=["order_status"], number="_no")
+        seen = seen.unionByName(rest.select(*columns))
     changed = (F.col("_no") > 1) & ~F.col("order_status").eqNullSafe(F.col("prev_order_status"))
     return seen.filter(changed).select(
         "order_id",

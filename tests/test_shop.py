@@ -11,7 +11,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from shoplight.operators import catalogue, funnel, games, orders, paging, quality, reports, retention, service, traffic
+from shoplight.operators import catalogue, funnel, games, orders, paging, quality, reports, retention, sequences, service, traffic
 from shoplight.sources.shop_views import ShopViews
 
 D = Decimal
@@ -393,3 +393,22 @@ def test_request_bodies_shuffle_narrow_events(spark, tmp_path):
     assert plan.count("hashpartitioning(") == 1 and plan.index("collect_list(") < plan.index("hashpartitioning(") and "collect_list(" not in plan[plan.index("hashpartitioning("):]
     found = {r.body_no: json.loads(r.body) for r in bodies.collect()}
     assert sorted(found) == [-1, 0, 1, 2] and [len(found[n]["events"]) for n in (0, 1, 2)] == [50, 50, 20]
+
+
+def test_order_documents_move_each_row_once(spark, monkeypatch):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    heads = spark.createDataFrame([(i, f"o{i}") for i in (0, 1, 2, 3, 3, 5, None)], "order_id int, name string")
+    items = spark.createDataFrame([(o, i, at(i % 4)) for o, n in ((1, 5), (2, 9), (3, 2), (7, 9), (None, 9)) for i in range(n)], "order_id int, id int, created_at timestamp_ntz")
+    seen = spark.createDataFrame([(o, i, s, at(i)) for o, names in ((1, "aabbc"), (3, "abababab"), (5, "ab"), (None, "ab")) for i, s in enumerate(names)],
+                                 "order_id int, seq int, order_status string, updated_at timestamp_ntz")
+    documents = lambda: orders.order_documents(heads, items, sequences.status_history(seen), 2)
+    shown = lambda df: sorted(str((r.order_id, r.name, r.page, r["items"], r.status_history)) for r in df.collect())
+    whole = documents()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 3 and plan.count("hashpartitioning(page") == 0 and "page#" not in "".join(re.findall(r"hashpartitioning\(.*", plan))
+    found = whole.collect()
+    assert {(r.order_id, r.page): [i.id for i in r["items"] or []] for r in found if r.order_id == 2} == {(2, 0): [0, 4], (2, 1): [8, 1], (2, 2): [5, 2], (2, 3): [6, 3], (2, 4): [7]}
+    assert sorted((r.order_id or -1, r.page) for r in found) == [(-1, 0), (-1, 0), (1, 0), (1, 1), (1, 2), *[(2, p) for p in range(5)], *[(3, p) for p in (0, 0, 1, 1, 2, 2, 3, 3)], (5, 0)]
+    monkeypatch.setattr(sequences, "GROUPED_ROWS", 4)
+    assert {r.order_id for r in sequences.long_keys(items, "order_id").collect()} == {1, 2, 7}
+    assert shown(documents()) == shown(whole)
