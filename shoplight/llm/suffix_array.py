@@ -3,9 +3,9 @@
 Every suffix is classified: smaller (S) than the next one, or larger (L). The leftmost S of each run
 (LMS) starts a substring that ends at the next one. The substrings are sorted by one induction and
 named; when names repeat, the suffixes of the name string are sorted the same way, recursively. A
-second induction from the sorted LMS suffixes gives the whole array in linear time. For texts (small
-alphabets) an induction takes whole buckets at a time with numpy; name strings, which are at
-most half as long and have large alphabets, are induced symbol by symbol.
+second induction from the sorted LMS suffixes gives the whole array. An induction takes whole buckets at a
+time with numpy, for texts (small alphabets). Name strings, which are at most half as long and have large
+alphabets, are sorted by doubled prefixes, which numpy does faster than Python induces single symbols.
 """
 
 from __future__ import annotations
@@ -78,39 +78,29 @@ def _induce_buckets(t: np.ndarray, is_s: np.ndarray, sorted_lms: np.ndarray, k:
     return np.concatenate(merged)[::-1]
 
 
-def _induce_symbols(t: np.ndarray, is_s: np.ndarray, sorted_lms: np.ndarray, k: int) -> np.ndarray:
-    """The same, one symbol at a time.
+def _by_doubling(t: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of names, by ranks of prefixes that double in length each round.
 
-    The array is read while it is filled: each entry places the suffix before it at the next free place of its
-    bucket, from the left for type L and from the right for type S. ``n`` stands for an empty place.
+    A rank is the first slot of the suffixes that are equal so far; only these are sorted further.
     """
     n = len(t)
-    ends = np.cumsum(np.bincount(t, minlength=k))
-    array = [n] * n
-    tails = (ends - 1).tolist()
-    for i, c in zip(sorted_lms[::-1].tolist(), t[sorted_lms[::-1]].tolist()):
-        array[tails[c]] = i
-        tails[c] -= 1
-    # The bucket of the suffix before each, where that has the type.
-    before = np.full(n + 1, -1, dtype=np.int64)
-    before[1:n] = np.where(is_s[:-1], -1, t[:-1])
-    to, heads = before.tolist(), np.concatenate([[0], ends[:-1]]).tolist()
-    for i in array:
-        c = to[i]
-        if c >= 0:
-            place = heads[c]
-            array[place] = i - 1
-            heads[c] = place + 1
-    before[1:n] = np.where(is_s[:-1], t[:-1], -1)
-    to, tails = before.tolist(), (ends - 1).tolist()
-    for i in reversed(array):
-        c = to[i]
-        if c >= 0:
-            place = tails[c]
-            array[place] = i - 1
-            tails[c] = place - 1
-    array[0] = n - 1
-    return np.array(array, dtype=np.int64)
+    order = np.argsort(t, kind="stable")
+    slots, at, key = np.arange(n), order, t[order]
+    rank = np.zeros(n + 1, dtype=np.int64)
+    step = 0
+    while True:
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(new, append=len(key))
+        rank[at] = np.repeat(slots[new] + 1, sizes)  # 0 stands behind the end
+        slots = slots[np.repeat(sizes > 1, sizes)]
+        if not len(slots):
+            return order
+        step = max(1, 2 * step)
+        at = order[slots]
+        key = rank[at] * (n + 1) + rank[np.minimum(at + step, n)]
+        turn = np.argsort(key, kind="stable")
+        at, key = at[turn], key[turn]
+        order[slots] = at
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -118,10 +108,11 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.argsort(t, kind="stable")
+    if k > SMALL_ALPHABET:
+        return _by_doubling(t)
     is_s = classify(t)
     starts = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    induce = _induce_buckets if k <= SMALL_ALPHABET else _induce_symbols
-    array = induce(t, is_s, starts, k)
+    array = _induce_buckets(t, is_s, starts, k)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[starts] = True
     ordered = array[is_lms[array]]
@@ -132,7 +123,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         ordered = starts[suffix_array(reduced, int(reduced.max()) + 1)]
     else:
         ordered = starts[np.argsort(names[starts])]
-    return induce(t, is_s, ordered, k)
+    return _induce_buckets(t, is_s, ordered, k)
 
 
 def _names(t: np.ndarray, starts: np.ndarray, ordered: np.ndarray) -> np.ndarray:

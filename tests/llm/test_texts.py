@@ -406,3 +406,12 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, ROOT)
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("k, repeat", [(301, 1), (301, 9), (5000, 1), (5000, 4)])
+def test_suffix_array_of_names(k, repeat):
+    rng = np.random.default_rng(k + repeat)
+    for n in (0, 1, 2, 30, 240):
+        t = np.append(np.tile(rng.integers(1, k, n), repeat), 0)
+        names = t.tolist()
+        assert suffix_array(t, k).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
